@@ -4,9 +4,9 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, FloatType
+from pyspark.sql.types import ArrayType, FloatType, StructType
 
 DIMENSIONS = 1024
 
@@ -83,20 +83,30 @@ def char_grams(low: int = 3, high: int = 4):
     return build
 
 
-@F.pandas_udf(ArrayType(FloatType()))
 def hash_grams(grams: pd.Series) -> pd.Series:
     """Unit-norm counts of n-grams hashed to a fixed number of dimensions."""
     sizes = np.array([len(g) for g in grams], dtype=np.int64)
     flat = [x.encode("utf-8") for g in grams for x in g]
     out = np.zeros((len(grams), DIMENSIONS), dtype=np.float64)
     if flat:
-        h = murmur3(flat)
-        np.add.at(out, (np.repeat(np.arange(len(grams)), sizes), np.abs(h) % DIMENSIONS), 1.0)
+        np.add.at(out, (np.repeat(np.arange(len(grams)), sizes), np.abs(murmur3(flat)) % DIMENSIONS), 1.0)
     norm = np.sqrt((out**2).sum(axis=1))
     out /= np.where(norm == 0, 1.0, norm)[:, None]
     return pd.Series(list(out.astype(np.float32)))
 
 
-def lexical_embedding(text: Column) -> Column:
-    """Offline embedder: character 3–4-grams hashed to 1024 dimensions, L2 norm."""
-    return hash_grams(char_grams()(text))
+def lexical_embedding(df: DataFrame, keys: list[str], text: str, out: str = "embedding") -> DataFrame:
+    """Offline embedder: character 3–4-grams hashed to 1024 dimensions, L2 norm.
+
+    N-grams are built on the JVM side; batches of 512 texts bound the dense block.
+    """
+
+    def embed(batches):
+        for b in batches:
+            for at in range(0, len(b), 512):
+                part = b.iloc[at : at + 512]
+                yield part[keys].assign(**{out: hash_grams(part["_g"]).to_numpy()})
+
+    kept = df.select(*keys, char_grams()(F.col(text)).alias("_g"))
+    fields = [f for f in kept.schema.fields if f.name in keys]
+    return kept.mapInPandas(embed, StructType(fields).add(out, ArrayType(FloatType())))

@@ -321,12 +321,12 @@ _SEED = f"{_EDG}, sd AS (SELECT u AS node, sum(w)::BIGINT AS k FROM bw GROUP BY
 _SEC = f"""se AS (SELECT conv_id, turn AS sec_no, CASE WHEN turn = 0 THEN 'Preámbulo' ELSE 'Pregunta ' || turn::VARCHAR END AS clave, (turn > 0 AND role <> 'system') AS trabajo,
   CASE WHEN role = 'assistant' THEN 'Como pide la pregunta anterior, ' || text WHEN turn % 3 = 2 THEN 'Véase la Pregunta 1 y la pregunta ' || (turn - 1)::VARCHAR || '. ' || text ELSE 'Se usan ambos modelos. ' || text END AS texto, role FROM conversations),
  sp AS (SELECT *, last_value(CASE WHEN trabajo THEN clave END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY sec_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS previa FROM se),
- ev AS (SELECT conv_id, clave AS src, 'Pregunta 1' AS dst, 1 AS prio, 'referencia' AS regla, 10 AS at, texto FROM sp WHERE role <> 'assistant' AND sec_no % 3 = 2 AND sec_no > 0
+ ev AS (SELECT conv_id, clave AS src, 'Pregunta 1' AS dst, 1 AS prio, 'referencia' AS regla, 10 AS po, texto FROM sp WHERE role <> 'assistant' AND sec_no % 3 = 2 AND sec_no > 0
    UNION ALL SELECT conv_id, clave, 'Pregunta ' || (sec_no - 1)::VARCHAR, 1, 'referencia', 26, texto FROM sp WHERE role <> 'assistant' AND sec_no % 3 = 2
    UNION ALL SELECT conv_id, clave, previa, 2, 'anterior', 11, texto FROM sp WHERE role = 'assistant' AND sec_no > 0 AND previa IS NOT NULL
    UNION ALL SELECT conv_id, clave, previa, 0, 'anafora', 9, texto FROM sp WHERE role <> 'assistant' AND sec_no % 3 <> 2 AND trabajo AND previa IS NOT NULL),
- ef AS (SELECT *, row_number() OVER (PARTITION BY conv_id, src, dst ORDER BY prio DESC, at DESC) AS rn FROM ev e WHERE dst <> src AND EXISTS (SELECT 1 FROM se WHERE se.conv_id = e.conv_id AND se.clave = e.dst)),
- rf AS (SELECT conv_id, src, dst, regla, array_to_string(list_filter(regexp_split_to_array(substr(texto, greatest(at - 60, 1), at - greatest(at - 60, 1) + 60), '[\\s\\x{{A0}}\\x{{202F}}]+'), lambda w: w <> ''), ' ') AS evidencia FROM ef WHERE rn = 1),
+ ef AS (SELECT *, row_number() OVER (PARTITION BY conv_id, src, dst ORDER BY prio DESC, po DESC) AS rn FROM ev e WHERE dst <> src AND EXISTS (SELECT 1 FROM se WHERE se.conv_id = e.conv_id AND se.clave = e.dst)),
+ rf AS (SELECT conv_id, src, dst, regla, array_to_string(list_filter(regexp_split_to_array(substr(texto, greatest(po - 60, 1), po - greatest(po - 60, 1) + 60), '[\\s\\x{{A0}}\\x{{202F}}]+'), lambda w: w <> ''), ' ') AS evidencia FROM ef WHERE rn = 1),
  ls AS (SELECT conv_id, arg_max(clave, sec_no) AS node FROM se GROUP BY conv_id),
  cl AS (SELECT conv_id, node FROM ls UNION SELECT rf.conv_id, rf.dst FROM rf JOIN cl ON rf.conv_id = cl.conv_id AND rf.src = cl.node),
  cx AS (SELECT * FROM cl EXCEPT SELECT * FROM ls)"""
@@ -360,6 +360,26 @@ ORACLES = {
         SELECT pt.conv_id, node, motivo, (length(node) + length(motivo) + length(texto) + 6)::BIGINT AS n_chars FROM pt JOIN se ON se.conv_id = pt.conv_id AND se.clave = pt.node""",
     "failure_propagation": f"WITH RECURSIVE {_CHN} SELECT conv_id, node, status FROM ss",
     "dag_cycles": "SELECT conv_id, turn AS node FROM conversations WHERE conv_id % 3 = 0",
+    "plan_violations": f"""WITH RECURSIVE {_CHN}, tk AS (SELECT conv_id, node, CASE WHEN role = 'system' AND conv_id % 7 = 0 THEN '' ELSE 'T' || node::VARCHAR END AS id, CASE WHEN length(text) % 11 = 0 THEN 'redaccion' ELSE tipo END AS tipo,
+        'Parte ' || (node + CASE WHEN length(text) % 13 = 0 THEN 1 ELSE 0 END)::VARCHAR AS sec, CASE WHEN length(text) % 17 = 0 THEN 'T' || node::VARCHAR WHEN length(text) % 19 = 0 THEN 'T99' WHEN conv_id % 5 = 0 AND node = 0 THEN 'T1' WHEN node > 0 THEN 'T' || (node-1)::VARCHAR END AS dep, length(text) < 60 AS bare FROM cn),
+        sc AS (SELECT conv_id, 'Parte ' || node::VARCHAR AS clave, tipo = 'calculo' AS trabajo FROM cn), sz AS (SELECT conv_id, count(*) AS n FROM tk GROUP BY 1),
+        eg AS (SELECT DISTINCT conv_id, id, dep FROM tk t WHERE dep <> id AND EXISTS (SELECT 1 FROM tk u WHERE u.conv_id = t.conv_id AND u.id = t.dep)),
+        an AS (SELECT * FROM eg WHERE conv_id IN (SELECT conv_id FROM sz WHERE n <= 12) UNION SELECT an.conv_id, an.id, eg.dep FROM an JOIN eg ON eg.conv_id = an.conv_id AND eg.id = an.dep),
+        cy AS (SELECT DISTINCT conv_id FROM an WHERE id = dep), so AS (SELECT conv_id FROM sz WHERE n <= 12 AND conv_id NOT IN (SELECT conv_id FROM cy)),
+        gv AS (SELECT DISTINCT conv_id, sec, id FROM tk WHERE tipo = 'calculo'),
+        wt AS (SELECT t.conv_id, t.id, t.sec AS src, g.sec AS dst, g.id AS giver FROM tk t JOIN cn l ON l.conv_id = t.conv_id AND l.node >= 2 AND t.sec = 'Parte ' || l.node::VARCHAR JOIN gv g ON g.conv_id = t.conv_id AND g.sec = 'Parte ' || (l.node - 2)::VARCHAR WHERE g.id <> t.id),
+        wm AS (SELECT wt.*, an.dep IS NOT NULL AS met FROM wt LEFT JOIN (SELECT DISTINCT * FROM an) an ON an.conv_id = wt.conv_id AND an.id = wt.id AND an.dep = wt.giver)
+        SELECT conv_id, 'demasiadas subtareas (' || n::VARCHAR || ' > 12)' AS problema FROM sz WHERE n > 12
+        UNION ALL SELECT conv_id, 'hay subtareas sin id' FROM tk WHERE id = '' GROUP BY 1
+        UNION ALL SELECT conv_id, 'ids repetidos: ' || id FROM tk GROUP BY conv_id, id HAVING count(*) > 1
+        UNION ALL SELECT conv_id, id || ': tipo ''' || tipo || ''' no es ''calculo'' ni ''conceptual''' FROM tk WHERE tipo NOT IN ('calculo','conceptual')
+        UNION ALL SELECT conv_id, id || ': falta el criterio' FROM tk WHERE bare
+        UNION ALL SELECT conv_id, id || ': la sección ''' || sec || ''' no existe en el enunciado' FROM tk WHERE NOT EXISTS (SELECT 1 FROM sc WHERE sc.conv_id = tk.conv_id AND clave = sec)
+        UNION ALL SELECT conv_id, id || ' depende de sí misma' FROM tk WHERE dep = id
+        UNION ALL SELECT conv_id, id || ' depende de ' || dep || ', que no existe' FROM tk t WHERE dep <> id AND NOT EXISTS (SELECT 1 FROM tk u WHERE u.conv_id = t.conv_id AND u.id = t.dep)
+        UNION ALL SELECT conv_id, 'las dependencias forman un ciclo' FROM cy
+        UNION ALL SELECT conv_id, 'sección de trabajo sin subtarea: ' || clave FROM sc WHERE trabajo AND conv_id IN (SELECT conv_id FROM so) AND NOT EXISTS (SELECT 1 FROM tk WHERE tk.conv_id = sc.conv_id AND sec = clave)
+        UNION ALL SELECT conv_id, id || ' cubre ' || src || ', que depende de ' || dst || ', pero ' || id || ' no depende de ella' FROM wm WHERE conv_id IN (SELECT conv_id FROM so) GROUP BY conv_id, id, src, dst HAVING NOT bool_or(met)""",
     "dependency_results": f"WITH RECURSIVE {_CHN} SELECT cn.conv_id, cn.node, CASE WHEN status = 'aprobada' THEN left(u.text, 40) ELSE '[T' || cn.dep::VARCHAR || '] no tiene resultados aprobados (status: ' || status || ')' END AS recibe FROM cn JOIN ss ON ss.conv_id = cn.conv_id AND ss.node = cn.dep JOIN cn u ON u.conv_id = cn.conv_id AND u.node = cn.dep",
     "local_search": """WITH x AS (SELECT generate_subscripts(embedding, 1) AS i, unnest(embedding)::DOUBLE AS v FROM embeddings), m AS (SELECT i, avg(v) AS v FROM x GROUP BY 1), n AS (SELECT list(v / (SELECT sqrt(sum(v*v)) FROM m) ORDER BY i) AS q FROM m),
         si AS (SELECT vec_id AS node, label, round(list_dot_product(embedding::DOUBLE[], q), 9) AS s FROM embeddings, n),

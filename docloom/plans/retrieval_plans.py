@@ -8,7 +8,7 @@ from docloom.functions.vectors import dot, lexical_embedding, unit
 from docloom.operators import retrieval as rt
 from docloom.operators.containment import contained_items
 from docloom.plans.scale import lookup, top_k
-from docloom.session import table
+from docloom.session import cut_lineage, table
 
 
 def _index(spark, sf, with_query=False):
@@ -144,11 +144,9 @@ def vector_reuse(spark, sf):
 
 def lexical_similarity(spark, sf):
     """Hashed n-gram similarity of each conversation turn to the turn before it."""
-    c = table(spark, sf, "conversations").select("conv_id", "turn", "text")
-    prev = c.select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("text").alias("before"))
-    e = c.join(prev, ["conv_id", "turn"]).select(
-        "conv_id", "turn", lexical_embedding(F.col("text")).alias("e"), lexical_embedding(F.col("before")).alias("p"))
-    return e.select("conv_id", "turn", F.round(dot(F.col("e"), F.col("p")), 4).alias("sim"))
+    c = cut_lineage(lexical_embedding(table(spark, sf, "conversations"), ["conv_id", "turn"], "text", "e"))
+    prev = c.select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("e").alias("p"))
+    return c.join(prev, ["conv_id", "turn"]).select("conv_id", "turn", F.round(dot(F.col("e"), F.col("p")), 4).alias("sim"))
 
 
 def shared_terms(spark, sf):
