@@ -19,6 +19,7 @@ SECRET_SHAPES = [
     r"(?i)bearer\s+[A-Za-z0-9._\-]{16,}",
 ]
 SECRET_ASSIGNMENT = r"(?i)(api[_-]?key|token|secret|password)(\s*[=:]\s*)['\"]?[^\s'\",]{8,}"
+SECRET_ASSIGNMENT_JSON = r"(?i)(api[_-]?key|token|secret|password)(\s*[=:]\s*)(?:\\?['\"])?[^\s'\",\\]{8,}"
 MASK = "***"
 
 # Environment names whose values count as secrets.
@@ -144,18 +145,21 @@ def env_secrets(environ: dict[str, str]) -> list[str]:
     return [v for k, v in environ.items() if any(w in k.upper() for w in SECRET_ENV_WORDS) and len(v) >= 8]
 
 
-def mask_secrets(c: Column, known: list[str] = ()) -> Column:
-    """Replace known values, then every secret shape, by ``***``."""
+def mask_secrets(c: Column, known: list[str] = (), in_json: bool = False) -> Column:
+    """Replace known values, then every secret shape, by ``***``.
+
+    ``in_json`` reads serialised text, where quotes inside strings carry a backslash.
+    """
     for v in known:
         c = F.replace(c, F.lit(v), F.lit(MASK))
     for shape in SECRET_SHAPES:
         c = F.regexp_replace(c, shape, MASK)
-    return F.regexp_replace(c, SECRET_ASSIGNMENT, "$1$2" + MASK)
+    return F.regexp_replace(c, SECRET_ASSIGNMENT_JSON if in_json else SECRET_ASSIGNMENT, "$1$2" + MASK)
 
 
 def mask_value(c: Column, known: list[str] = ()) -> Column:
     """Mask every string inside a nested value by masking its JSON form."""
-    return mask_secrets(F.to_json(c), known)
+    return mask_secrets(F.to_json(c), known, in_json=True)
 
 
 def fingerprint(c: Column, length: int = 16) -> Column:

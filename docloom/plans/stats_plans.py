@@ -80,7 +80,7 @@ def poisson_bootstrap_ci(spark, sf):
 def percentile_ci(spark, sf):
     q = exact_quantiles(table(spark, sf, "lineitem").select("l_returnflag", "l_extendedprice"), ["l_returnflag"],
                         "l_extendedprice", [0.025, 0.5, 0.975], F.floor(F.col("l_extendedprice") / 64))
-    return q.select("l_returnflag", *[F.round(f"q{i}", 4).alias(n) for i, n in enumerate(("p025", "p50", "p975"))])
+    return q.select("l_returnflag", *[F.round(f"q{i}", 6).alias(n) for i, n in enumerate(("p025", "p50", "p975"))])
 
 
 def _type_logits(spark, sf):
@@ -214,7 +214,7 @@ ORACLES = {
         k AS (SELECT row_number() OVER (ORDER BY m) - 1 AS i, d FROM m), s AS (SELECT unnest(range(1::BIGINT << (SELECT count(*) FROM k)::BIGINT)) AS s),
         t AS (SELECT s, abs(sum(CASE WHEN (s >> i) & 1 = 0 THEN d ELSE -d END) / count(*)) AS a FROM s, k GROUP BY s), o AS (SELECT abs(avg(d)) AS o FROM k)
         SELECT count(*) AS configuraciones, count(*) FILTER (WHERE a >= o - 1e-12) AS extremas, count(*) FILTER (WHERE a >= o - 1e-12) / count(*)::DOUBLE AS p_signos FROM t, o""",
-    "percentile_ci": "SELECT l_returnflag, round(quantile_cont(l_extendedprice, 0.025),4) AS p025, round(quantile_cont(l_extendedprice, 0.5),4) AS p50, round(quantile_cont(l_extendedprice, 0.975),4) AS p975 FROM lineitem GROUP BY l_returnflag",
+    "percentile_ci": "SELECT l_returnflag, round(quantile_cont(l_extendedprice, 0.025),6) AS p025, round(quantile_cont(l_extendedprice, 0.5),6) AS p50, round(quantile_cont(l_extendedprice, 0.975),6) AS p975 FROM lineitem GROUP BY l_returnflag",
     "softmax_entropy": f"WITH {_L}, e AS ({_soft('0.5')} UNION ALL {_soft('1.0')} UNION ALL {_soft('2.0')}), p AS (SELECT user_id, temperatura, e / sum(e) OVER (PARTITION BY user_id, temperatura) AS p FROM e) SELECT user_id, round(-sum(CASE WHEN p > 0 THEN p * log2(p) ELSE 0 END), 6) AS bits, temperatura FROM p GROUP BY user_id, temperatura",
     "top_p": f"WITH {_L}, e AS ({_soft('1.0')}), p AS (SELECT user_id, event_type, e / sum(e) OVER (PARTITION BY user_id) AS p FROM e), c AS (SELECT *, coalesce(sum(p) OVER (PARTITION BY user_id ORDER BY p DESC, event_type ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM p) SELECT user_id, event_type, round(p / sum(p) OVER (PARTITION BY user_id), 6) AS p_top FROM c WHERE before < 0.9",
     "kl_bits": "WITH q AS (SELECT event_type, count(*) / (SELECT count(*) FROM events)::DOUBLE AS q FROM events GROUP BY 1), u AS (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY ALL), p AS (SELECT user_id, event_type, n / sum(n) OVER (PARTITION BY user_id)::DOUBLE AS p FROM u) SELECT user_id, round(sum(p * log2(p / q)), 6) AS kl_bits FROM p JOIN q USING (event_type) GROUP BY user_id",

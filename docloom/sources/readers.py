@@ -29,8 +29,8 @@ NOTEBOOK_SCHEMA = (
 
 def _files(spark: SparkSession, root: str, glob: str) -> DataFrame:
     """Whole files under ``root`` with their path; the order of paths is the reading order."""
-    r = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", glob).option("wholetext", "true")
-    return r.text(root).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_size").alias("size"), F.col("value").alias("text"))
+    r = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", glob)
+    return r.text(root, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_size").alias("size"), F.col("value").alias("text"))
 
 
 def joined(v: Column) -> Column:

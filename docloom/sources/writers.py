@@ -34,7 +34,7 @@ class EventLog:
 
 def masked_log(spark: SparkSession, path: str, out: str, known: list[str] = ()) -> None:
     """Copy of a raw log with every secret masked, written with the commit protocol."""
-    spark.read.text(path).select(mask_secrets(F.col("value"), list(known)).alias("value")).write.mode("overwrite").text(out)
+    spark.read.text(path).select(mask_secrets(F.col("value"), list(known), in_json=True).alias("value")).write.mode("overwrite").text(out)
 
 
 def write_csv(df: DataFrame, path: str) -> None:
