@@ -193,20 +193,21 @@ def heading_offset(text: Column, heading: str) -> Column:
     Lines are split on single-character terminators so offsets stay exact.
     """
     goal = heading_key(F.lit(heading))
-    lines = F.split(text, "\n")
-    keys = F.transform(
-        lines, lambda l: F.regexp_replace(heading_key(F.regexp_replace(l, "^[# ]+", "")), r"^\d+ ", "")
-    )
-    hit = F.transform(
-        keys,
-        lambda h: (h != "")
-        & (F.length(h) <= F.length(goal) + 40)
-        & ((h == goal) | F.startswith(h, F.concat(goal, F.lit(" ")))),
-    )
-    at = F.array_position(hit, True)
-    upto = F.slice(lines, F.lit(1), F.greatest(at - 1, F.lit(0)).cast("int"))
-    chars = F.aggregate(upto, F.lit(0), lambda a, l: (a + F.length(l) + 1).cast("int"))
-    return F.when(at > 0, chars).otherwise(F.lit(-1))
+
+    def is_it(line: Column) -> Column:
+        h = F.regexp_replace(heading_key(F.regexp_replace(line, "^[# ]+", "")), r"^\d+ ", "")
+        return let(h, lambda k: (k != "") & (F.length(k) <= F.length(goal) + 40) & ((k == goal) | F.startswith(k, F.concat(goal, F.lit(" ")))))
+
+    def offset(lines: Column) -> Column:
+        at = F.array_position(F.transform(lines, is_it), True)
+
+        def chars(n: Column) -> Column:
+            upto = F.slice(lines, F.lit(1), F.greatest(n - 1, F.lit(0)).cast("int"))
+            return F.when(n > 0, F.aggregate(upto, F.lit(0), lambda a, l: (a + F.length(l) + 1).cast("int"))).otherwise(F.lit(-1))
+
+        return let(at, chars)
+
+    return let(F.split(text, "\n"), offset)
 
 
 def longest_fenced(c: Column, lang: str) -> Column:

@@ -18,24 +18,26 @@ def _result(ok: Column, detail: Column) -> Column:
 
 
 def _sections(text: Column, spec: dict[str, Any]) -> Column:
-    at = [tx.heading_offset(text, s) for s in spec["lista"]]
-    missing = F.filter(F.array(*[F.when(p < 0, F.lit(s)) for p, s in zip(at, spec["lista"])]), lambda x: x.isNotNull())
-    order = F.array(*at)
-    disordered = (order != F.sort_array(order)) if spec.get("en_orden") else F.lit(False)
-    detail = (F.when(F.size(missing) > 0, F.concat(F.lit("faltan: "), F.array_join(missing, ", ")))
-              .when(disordered, "las secciones están fuera de orden").otherwise("todas, en orden"))
-    return _result((F.size(missing) == 0) & ~disordered, detail)
+    names = F.array(*map(F.lit, spec["lista"]))
+    ordered = F.lit(bool(spec.get("en_orden")))
+
+    def judge(at: Column) -> Column:
+        missing = F.filter(F.zip_with(at, names, lambda p, s: F.when(p < 0, s)), lambda x: x.isNotNull())
+        disordered = ordered & (at != F.sort_array(at))
+        detail = (F.when(F.size(missing) > 0, F.concat(F.lit("faltan: "), F.array_join(missing, ", ")))
+                  .when(disordered, "las secciones están fuera de orden").otherwise("todas, en orden"))
+        return _result((F.size(missing) == 0) & ~disordered, detail)
+
+    return tx.let(F.array(*[tx.heading_offset(text, s) for s in spec["lista"]]), judge)
 
 
 def _words(text: Column, spec: dict[str, Any]) -> Column:
-    n = tx.word_count(text)
-    return _result(n <= spec["valor"], F.concat(n.cast("string"), F.lit(" palabras")))
+    return tx.let(tx.word_count(text), lambda n: _result(n <= spec["valor"], F.concat(n.cast("string"), F.lit(" palabras"))))
 
 
 def _contains(text: Column, spec: dict[str, Any]) -> Column:
-    miss = tx.missing_words(text, spec["lista"])
-    return _result(F.size(miss) == 0, F.when(F.size(miss) == 0, "todos presentes").otherwise(
-        F.concat(F.lit("faltan "), F.array_join(miss, ", "))))
+    return tx.let(tx.missing_words(text, spec["lista"]), lambda miss: _result(
+        F.size(miss) == 0, F.when(F.size(miss) == 0, "todos presentes").otherwise(F.concat(F.lit("faltan "), F.array_join(miss, ", ")))))
 
 
 def _figure(text: Column, spec: dict[str, Any]) -> Column:
@@ -46,8 +48,8 @@ def _figure(text: Column, spec: dict[str, Any]) -> Column:
         after = F.regexp_extract_all(plain, F.lit(f"(?s)(?:{spec['etiqueta']})(?=(.{{0,{WINDOW}}}))"), F.lit(1))
         found = F.flatten(F.transform(after, fg.numbers))
     hit = F.exists(found, lambda r: fg.within(r["value"], spec["verdad"], spec.get("tolerancia", 0.005)))
-    return _result(hit, F.concat(F.lit(f"verdad={spec['verdad']:.4f} ±{spec.get('tolerancia', 0.005)}; "),
-                                 F.when(hit, "hallada").otherwise("no hallada")))
+    told = F.lit(f"verdad={spec['verdad']:.4f} ±{spec.get('tolerancia', 0.005)}; ")
+    return tx.let(hit, lambda h: _result(h, F.concat(told, F.when(h, "hallada").otherwise("no hallada"))))
 
 
 def _pages(text: Column, spec: dict[str, Any]) -> Column:

@@ -12,7 +12,7 @@ from docloom.operators import graph as gr
 from docloom.operators import plan_rules as pr
 from docloom.plans.scale import top_k
 from docloom.plans.text_plans import db_name_key
-from docloom.session import table
+from docloom.session import cut_lineage, table
 
 LEAD = en.MAX_PER_EXTRACTION
 
@@ -115,17 +115,17 @@ def _seeds(e):
 
 
 def graph_seeds(spark, sf):
-    return _seeds(_edges(spark, sf)).select("node", F.col("k").cast("bigint").alias("k"))
+    return _seeds(cut_lineage(_edges(spark, sf))).select("node", F.col("k").cast("bigint").alias("k"))
 
 
 def one_hop_neighbours(spark, sf):
-    e = _edges(spark, sf)
+    e = cut_lineage(_edges(spark, sf))
     return gr.neighbours(e, _seeds(e)).select("node", F.col("w").cast("bigint").alias("w"))
 
 
 def induced_subgraph(spark, sf):
     """Edges among the seeds and their six strongest neighbours, the fifteen heaviest."""
-    e = _edges(spark, sf)
+    e = cut_lineage(_edges(spark, sf))
     s = _seeds(e)
     top = gr.neighbours(e, s).orderBy(F.col("w").desc(), "node").limit(6)
     sel = s.select("node").unionByName(top.select("node"))
@@ -137,7 +137,7 @@ def community_vote(spark, sf):
     d = _leading(spark, sf).select("lang", F.explode("m").alias("node")).groupBy("node", "lang").agg(F.count("*").alias("n"))
     lab = d.groupBy("node").agg(F.min_by("lang", F.struct(-F.col("n"), F.col("lang"))).alias("label"), F.count("*").alias("langs"))
     lab = lab.where(F.col("langs") == 1).select("node", "label")
-    return gr.inherit_community(_edges(spark, sf), lab)
+    return gr.inherit_community(cut_lineage(_edges(spark, sf)), lab)
 
 
 def layer_merge(spark, sf):
@@ -158,13 +158,13 @@ def layer_merge(spark, sf):
 
 
 def communities(spark, sf):
-    c = gr.communities(_edges(spark, sf))
+    c = gr.communities(cut_lineage(_edges(spark, sf)))
     return gr.ranked_communities(c).select("first", F.col("size").cast("bigint").alias("size"))
 
 
 def community_context(spark, sf):
     """Up to 25 members of each community by weighted degree, with the documents that cite them."""
-    e = _edges(spark, sf)
+    e = cut_lineage(_edges(spark, sf))
     c = gr.communities(e)
     deg = gr.both_ways(e).groupBy(F.col("u").alias("node")).agg(F.sum("w").alias("k"))
     m = top_k(c.join(deg, "node"), ["c"], [F.col("k").desc(), F.col("node")], 25)

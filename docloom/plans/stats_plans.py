@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from docloom.operators import experiments as ex
 from docloom.plans.scale import exact_quantiles
-from docloom.session import table
+from docloom.session import cut_lineage, table
 
 FEATURES = ["l_quantity", "l_extendedprice", "l_discount"]
 
@@ -129,7 +129,7 @@ def _split(spark, sf):
     key = F.concat_ws("|", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
     h = F.conv(F.substring(F.md5(key), 1, 12), 16, 10).cast("bigint")
     d = li.withColumn("id", key).withColumn("h", h)
-    cut = exact_quantiles(d, ["l_returnflag"], "h", [0.7], F.floor(F.col("h") / F.lit(1 << 36)))
+    cut = cut_lineage(exact_quantiles(d, ["l_returnflag"], "h", [0.7], F.floor(F.col("h") / F.lit(1 << 36))))
     d = d.join(F.broadcast(cut), "l_returnflag")
     return d.where(F.col("h") <= F.col("q0")), d.where(F.col("h") > F.col("q0"))
 
