@@ -80,7 +80,8 @@ def anchored_retrieval(spark, sf):
     inorm = iv.groupBy("item_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("ni"))
     iv = iv.join(inorm, "item_id").select("item_id", "term", "df", (F.col("w") / F.col("ni")).alias("wi"))
     dp = rt.postings(docs, "doc_id", "text")
-    dv = lookup(dp, vocab.select("term", "df", "idf"), ["term"], ["doc_id"]).withColumn("wd", F.col("tf") * F.col("idf"))
+    vocab = cut_lineage(vocab)
+    dv = cut_lineage(lookup(dp, vocab.select("term", "df", "idf"), ["term"], ["doc_id"]).withColumn("wd", F.col("tf") * F.col("idf")))
     dnorm = dv.groupBy("doc_id").agg(F.sqrt(F.sum(F.col("wd") * F.col("wd"))).alias("nd"))
     rare = F.col("df") <= 4
     reach = dv.where(rare).select("doc_id", "term").join(iv.where(rare).select("item_id", "term"), "term").select("doc_id", "item_id").distinct()

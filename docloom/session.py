@@ -23,6 +23,7 @@ def build_session(app: str = "docloom", cores: str | None = None, **extra: str)
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.sql.parquet.filterPushdown", "true")
+        .config("spark.sql.objectHashAggregate.sortBased.fallbackThreshold", "4096")
     )
     if cores:
         b = (
