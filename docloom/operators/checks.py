@@ -111,9 +111,8 @@ def protected_cells(cells: Column, contract: Column) -> Column:
 
 def pending_text_cell(source: Column) -> Column:
     """An editable text cell still to be written: placeholder or fewer than ten characters."""
-    body = tx.strip(F.when(F.instr(source, "\n\n") > 0, F.substring_index(source, "\n\n", -1)).otherwise(source))
     first = F.instr(source, "\n\n")
-    body = F.when(first > 0, tx.strip(F.substring(source, first + 2, F.length(source)))).otherwise(body)
+    body = tx.strip(F.when(first > 0, F.substring(source, first + 2, F.length(source))).otherwise(source))
     return source.rlike("ESCRIBE AQU[IÍ]") | (F.length(body) < 10)
 
 

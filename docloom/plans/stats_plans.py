@@ -7,6 +7,7 @@ from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.sql import functions as F
 
 from docloom.operators import experiments as ex
+from docloom.operators.critic import PERFECT, is_metric
 from docloom.plans.scale import exact_quantiles
 from docloom.session import cut_lineage, table
 
@@ -170,8 +171,7 @@ def implausible_metrics(spark, sf):
             F.struct(F.lit("modelo.accuracy").alias("path"), (F.col("value") / 100).alias("v")),
             F.struct(F.lit("modelo.loss[0]").alias("path"), F.col("value").alias("v")),
             F.struct(F.lit("F1[2]").alias("path"), F.when(F.col("value") < 300, F.col("value") / 300).alias("v")))).alias("x"))
-    leaf = F.lower(F.regexp_extract(F.substring_index("x.path", ".", -1), r"^[^\[]*", 0))
-    return e.where(leaf.rlike("^(acc|exact|f1|precision|recall|auc|r2)") & (F.col("x.v") >= 0.999)).select(
+    return e.where(is_metric(F.col("x.path")) & (F.col("x.v") >= PERFECT)).select(
         "event_id", "x.path", F.round("x.v", 6).alias("v"))
 
 
