@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from docloom.functions.stats import safe_sd, t_critical, t_p_value
+from docloom.session import cut_lineage
 
 # Score weights and review thresholds.
 WEIGHTS = (0.50, 0.30, 0.20)
@@ -183,10 +184,11 @@ def gaussian_nb(train: DataFrame, test: DataFrame, label: str, features: list[st
 
 
 def class_report(pred: DataFrame, label: str) -> DataFrame:
-    """Accuracy and macro F1 from per-class counts."""
-    truth = pred.groupBy(F.col(label).alias("c")).agg(
-        F.count("*").alias("t"), F.sum(F.when(F.col(label) == F.col("pred"), 1).otherwise(0)).alias("tp"))
-    given = pred.groupBy(F.col("pred").alias("c")).agg(F.count("*").alias("g"))
+    """Accuracy and macro F1 from the confusion counts, scored once."""
+    cells = cut_lineage(pred.groupBy(label, "pred").agg(F.count("*").alias("n")))
+    truth = cells.groupBy(F.col(label).alias("c")).agg(
+        F.sum("n").alias("t"), F.sum(F.when(F.col(label) == F.col("pred"), F.col("n")).otherwise(0)).alias("tp"))
+    given = cells.groupBy(F.col("pred").alias("c")).agg(F.sum("n").alias("g"))
     j = truth.join(given, "c", "full").na.fill(0)
     f1 = F.when(F.col("t") + F.col("g") > 0, 2 * F.col("tp") / (F.col("t") + F.col("g"))).otherwise(0.0)
     return j.agg(F.sum("t").cast("bigint").alias("n"), (F.sum("tp") / F.sum("t")).alias("accuracy"), F.avg(f1).alias("macro_f1"))

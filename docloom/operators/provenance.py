@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from docloom.functions.figures import figures, fits, readings
 from docloom.functions.text import without_code
 from docloom.plans.scale import lookup
+from docloom.session import cut_lineage
 
 GRID_LEVELS = list(range(2, 9))
 FINE = 8
@@ -67,7 +68,7 @@ def check_figures(docs: DataFrame, key: str, text: str, given: DataFrame, measur
 
     Figures without a two-decimal reading and figures the statement gives are left out.
     """
-    r = own_figures(docs, key, text, per_reading)
+    r = cut_lineage(own_figures(docs, key, text, per_reading))
     known = given.select("value").distinct().withColumn("given", F.lit(1))
     r = lookup(r, known, ["value"], [key, "pos"], "left")
     deep = F.col("decimals") >= 2
