@@ -134,7 +134,7 @@ def input_text(spark: SparkSession, root: str) -> DataFrame:
 def artifact_numbers(spark: SparkSession, root: str, exclude: list[str] = (), evaluator: bool = True) -> DataFrame:
     """``value`` rows of everything the runs wrote, notebook outputs included.
 
-    The evaluator reads figures and skips paths that are no evidence; the solver's
+    The evaluator reads figures and skips paths that are no evidence; the writer's
     own check reads scientific notation as well and skips temporary folders.
     """
     f = _files(spark, root, "*.{" + ",".join(ARTIFACT_SUFFIXES) + "}").where(F.col("size") <= MAX_ARTIFACT_BYTES)
@@ -163,7 +163,7 @@ def new_files(before: DataFrame, after: DataFrame) -> DataFrame:
 def attempt_files(files: DataFrame) -> DataFrame:
     """Attempt folders of each subtask, approved and rejected, with their files."""
     p = F.col("path")
-    kind = F.when(p.contains("/cache_solver/rechazados/"), "RECHAZADO").when(p.contains("/subtareas/"), "intento")
+    kind = F.when(p.contains("/rechazados/"), "RECHAZADO").when(p.contains("/subtareas/"), "intento")
     a = files.where(kind.isNotNull()).select(
         F.regexp_extract("path", r"/(?:subtareas|rechazados)/([^/]+)/", 1).alias("subtarea"), kind.alias("clase"),
         F.regexp_extract("path", r"/(intento-[^/]+)/", 1).alias("intento"), F.regexp_extract("path", r"([^/]+)$", 1).alias("archivo"))

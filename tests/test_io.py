@@ -49,7 +49,7 @@ def test_sinks(spark, tmp_path):
 
 
 def test_file_listings(spark):
-    f = spark.createDataFrame([("/r/reporte.md", ), ("/r/b/reporte.md",), ("/r/subtareas/T1/intento-1/s.py",), ("/r/cache_solver/rechazados/T1/intento-1/s.py",)], "path string")
+    f = spark.createDataFrame([("/r/reporte.md", ), ("/r/b/reporte.md",), ("/r/subtareas/T1/intento-1/s.py",), ("/r/cache/rechazados/T1/intento-1/s.py",)], "path string")
     assert readers.deliverable_path(f, r"reporte\.md$").first()[0] == "/r/reporte.md"
     assert {(r["subtarea"], r["clase"]) for r in readers.attempt_files(f).collect()} == {("T1", "intento"), ("T1", "RECHAZADO")}
     assert readers.new_files(f.limit(0), f).count() == 4
