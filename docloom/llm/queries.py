@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm import packing, urlglob
+from docloom.llm import hilbert, langid, packing, secrets, urlglob
+from docloom.llm.base import Scratch
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,12 +19,30 @@ def op3_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path(packing.TOKENIZER_FILE))
 
 
+def op5_markov_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return secrets.scan(docs, secrets.train(docs), F.col("doc_id").cast("long").alias("doc_id"))
+
+
+def op6_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hilbert.curve_shards(_table(spark, sf_dir, "documents"), Scratch(spark)).select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "curve",
+    )
+
+
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.predict_languages(_table(spark, sf_dir, "documents"))
+
+
 def op10_glob_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlglob.judge_urls(_table(spark, sf_dir, "pages"))
 
 
 QUERIES = {
     "op3_vector_packing": op3_vector_packing,
+    "op5_markov_secrets": op5_markov_secrets,
+    "op6_hilbert_shards": op6_hilbert_shards,
+    "op8_language_id": op8_language_id,
     "op10_glob_automaton": op10_glob_automaton,
 }
 ORACLES = {
