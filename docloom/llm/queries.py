@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm import hilbert, langid, packing, secrets, urlglob
+from docloom.llm import hilbert, langid, packing, secrets, urlglob, winnow
 from docloom.llm.base import Scratch
 
 
@@ -30,6 +30,11 @@ def op6_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = winnow.decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), Scratch(spark))
+    return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2("items", 256).alias("items_sha256"), "contaminated")
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict_languages(_table(spark, sf_dir, "documents"))
 
@@ -42,9 +47,11 @@ QUERIES = {
     "op3_vector_packing": op3_vector_packing,
     "op5_markov_secrets": op5_markov_secrets,
     "op6_hilbert_shards": op6_hilbert_shards,
+    "op7_winnowing": op7_winnowing,
     "op8_language_id": op8_language_id,
     "op10_glob_automaton": op10_glob_automaton,
 }
 ORACLES = {
+    "op7_winnowing": winnow.WINNOW_SQL,
     "op10_glob_automaton": urlglob.URL_SQL,
 }
