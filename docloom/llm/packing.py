@@ -19,6 +19,8 @@ gives no rows.
 from __future__ import annotations
 
 import itertools
+import os
+import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -30,7 +32,7 @@ from pyspark.sql import DataFrame
 from docloom.llm.base import arrow_map, documents
 
 TOKENIZER_FILE = "word_bpe_49k.json"
-CACHE_ENTRIES = 300_000
+CACHE_ENTRIES = 500_000
 CACHED_LENGTH = 48
 
 
@@ -131,37 +133,66 @@ def sequences(bins: list[list[Piece]], limits: Limits) -> Iterator[list[Piece]]:
             yield out
 
 
+#: A run of letters, then a run of marks: two parts for the tokenizer, both in one byte-level alphabet.
+PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,!?:;()%*#$&\"-]*)").fullmatch
+
+
+def byte_letters() -> list[str]:
+    """The letter that stands for each byte in byte-level vocabularies: itself if visible in Latin-1, else the next one from U+0100 on."""
+    seen = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in set(seen)]
+    return [chr(b) if b in set(seen) else chr(256 + hidden.index(b)) for b in range(256)]
+
+
 class WordEncoder:
-    """Token ids of texts; words between blanks are encoded once and kept in a bounded cache.
+    """Token ids of texts; the parts between blanks are encoded once and kept in a bounded cache.
 
-    White space never reaches this tokenizer's model, so the parts between blanks are independent.
+    White space never reaches this tokenizer's model, so the parts between blanks are
+    independent.  A plain part (letters, then marks) goes straight to the merge model, letters
+    and marks apart and in lower case, which is what the tokenizer's own steps give; every
+    other part takes those steps.
     """
 
     def __init__(self, path: str):
-        import os
-
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.model = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
+        self.steps = Tokenizer.from_file(path)
+        self.merges = self.steps.model
+        self.letters = byte_letters()
+        self.parts: dict[str, bytes] = {"": b""}
+        self.runs: dict[str, bytes] = {"": b""}
+
+    def _run(self, run: str) -> bytes:
+        made = self.runs.get(run)
+        if made is None:
+            shown = run if run.isascii() else "".join([self.letters[b] for b in run.encode()])
+            made = np.array([t.id for t in self.merges.tokenize(shown)], "<u4").tobytes()
+            if len(self.runs) >= CACHE_ENTRIES:
+                self.runs = {"": b""}
+            if len(run) <= CACHED_LENGTH:
+                self.runs[run] = made
+        return made
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        split = [t.split(" ") for t in texts]
-        need = list(set(itertools.chain.from_iterable(split)).difference(self.known))
-        made = self.model.encode_batch(need, add_special_tokens=False)
-        new = {w: np.array(e.ids, "<u4").tobytes() for w, e in zip(need, made, strict=True)}
-        short = {w: b for w, b in new.items() if len(w) <= CACHED_LENGTH}
-        if len(self.known) + len(short) > CACHE_ENTRIES:
-            new = {w: self.known[w] for words in split for w in words if w in self.known} | new
-            self.known = {}
-            out = [b"".join([new[w] for w in words]) for words in split]
-        else:
-            self.known.update(short)
-            far = {w: b for w, b in new.items() if len(w) > CACHED_LENGTH}
-            get = self.known
-            out = [b"".join([far[w] if w in far else get[w] for w in words]) if far else b"".join([get[w] for w in words]) for words in split]
+        split = [t.replace("\n", " ").split(" ") for t in texts]
+        if len(self.parts) >= CACHE_ENTRIES:
+            self.parts = {"": b""}
+        get, odd, long = self.parts, [], []
+        for w in set(itertools.chain.from_iterable(split)).difference(get):
+            plain = PLAIN(w)
+            if plain:
+                get[w] = self._run(plain[1].lower()) + self._run(plain[2])
+            else:
+                odd.append(w)
+            if len(w) > CACHED_LENGTH:
+                long.append(w)
+        for w, e in zip(odd, self.steps.encode_batch(odd, add_special_tokens=False), strict=True):
+            get[w] = np.array(e.ids, "<u4").tobytes()
+        out = [b"".join([get[w] for w in words]) for words in split]
+        for w in long:
+            del get[w]
         return out
 
 
