@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm import hilbert, langid, packing, secrets, urlglob, winnow
+from docloom.llm import hilbert, hmm, langid, packing, secrets, urlglob, winnow
 from docloom.llm.base import Scratch
 
 
@@ -13,6 +13,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_hidden_markov(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hmm.score_documents(_table(spark, sf_dir, "documents"), Scratch(spark))
+
+
 def op3_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -44,6 +48,7 @@ def op10_glob_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_hidden_markov": op1_hidden_markov,
     "op3_vector_packing": op3_vector_packing,
     "op5_markov_secrets": op5_markov_secrets,
     "op6_hilbert_shards": op6_hilbert_shards,
