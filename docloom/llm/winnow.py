@@ -28,12 +28,12 @@ from docloom.llm.base import Scratch, ascii_lower
 SPAN, GRAM = 10, 5
 WINDOW = SPAN - GRAM + 1
 BROADCAST_ROWS = 1_000_000
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+BETWEEN_WORDS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
 def words(text: Column) -> Column:
     """Runs of a-z, 0-9 and non-ASCII characters of the lower-cased text; null has none."""
-    return F.regexp_extract_all(ascii_lower(F.coalesce(text.cast("string"), F.lit(""))), F.lit(WORD), F.lit(0))
+    return F.array_remove(F.split(ascii_lower(F.coalesce(text.cast("string"), F.lit(""))), BETWEEN_WORDS), "")
 
 
 def _positions(n: Column) -> Column:
@@ -61,8 +61,8 @@ def small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, scratch: Scratch) -> DataFrame:
-    """Per distinct text with a hit: text_key (md5), n_hit, n_items, items (sorted ids, comma-joined)."""
+def contamination(docs: DataFrame, benchmark: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """doc_id, text_key (md5) and n_words of every row; text_key, n_hit, n_items and items (sorted ids, comma-joined) of every distinct text with a hit."""
     items = scratch.store(benchmark.select(F.col("item_id").cast("string").alias("item"), words(F.col("text")).alias("w")).where(F.size("w") > 0))
     short = [r["n"] for r in items.where(F.size("w") < SPAN).select(F.size("w").alias("n")).distinct().collect()]  # nine lengths at most
     length = F.least(F.size("w"), F.lit(SPAN))
@@ -75,10 +75,15 @@ def contamination(docs: DataFrame, benchmark: DataFrame, scratch: Scratch) -> Da
     item_kept = F.when(F.size("w") >= SPAN, fingerprints(F.col("w"))).otherwise(F.array(F.xxhash64("w")))
     keys = small(scratch.store(items.select(F.explode(item_kept).alias("hash")).distinct()))
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    keyed = docs.select(text.alias("text"), F.md5(text).alias("text_key"))
-    marked = keyed.select("text_key", F.explode(let(words(F.col("text")), kept)).alias("hash"))
+    one_pass = docs.select(
+        F.col("doc_id").cast("long").alias("doc_id"), F.md5(text).alias("text_key"),
+        let(words(F.col("text")), lambda w: F.struct(F.size(w).cast("long").alias("n_words"), kept(w).alias("kept"))).alias("w"),
+    )
+    rows = scratch.store(one_pass.select("doc_id", "text_key", "w.n_words", "w.kept"))
+    marked = rows.select("text_key", F.explode("kept").alias("hash"))
     suspects = scratch.store(marked.join(keys, "hash", "left_semi").select("text_key").distinct())
 
+    keyed = docs.select(text.alias("text"), F.md5(text).alias("text_key"))
     lengths = [SPAN, *short]
     every = let(words(F.col("text")), lambda w: F.flatten(F.array(*[grams(w, n) for n in lengths])))
     runs = keyed.join(suspects, "text_key", "left_semi").select("text_key", F.explode(every).alias("g")).select("text_key", "g.at", "g.len", "g.gram")
@@ -97,14 +102,12 @@ def contamination(docs: DataFrame, benchmark: DataFrame, scratch: Scratch) -> Da
         .groupBy("text_key").agg(F.sort_array(F.collect_set("item")).alias("i"))
         .select("text_key", F.size("i").cast("long").alias("n_items"), F.array_join("i", ",").alias("items"))
     )
-    return covered.join(listed, "text_key", "left")
+    return rows.drop("kept"), scratch.store(covered.join(listed, "text_key", "left"))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, scratch: Scratch) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items, contaminated of every row."""
-    found = scratch.store(contamination(docs, benchmark, scratch))
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.md5(text).alias("text_key"), F.size(words(text)).cast("long").alias("n_words"))
+    rows, found = contamination(docs, benchmark, scratch)
     zero = F.lit(0).cast("long")
     return rows.join(found, "text_key", "left").select(
         "doc_id", "n_words", F.coalesce("n_hit", zero).alias("n_hit"), F.coalesce("n_items", zero).alias("n_items"),
