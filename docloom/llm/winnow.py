@@ -41,13 +41,22 @@ def _positions(n: Column) -> Column:
     return F.when(n >= 1, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
 
 
-def gram_hashes(w: Column, k: int) -> Column:
-    return F.transform(_positions(F.size(w) - (k - 1)), lambda i: F.xxhash64(F.slice(w, i, F.lit(k))))
+def word_hashes(w: Column) -> Column:
+    return F.transform(w, lambda x: F.xxhash64(x))
 
 
-def fingerprints(w: Column) -> Column:
-    """Distinct least hashes of all windows of a text with at least ten words."""
-    return let(gram_hashes(w, GRAM), lambda h: F.array_distinct(F.transform(_positions(F.size(h) - (WINDOW - 1)), lambda i: F.array_min(F.slice(h, i, F.lit(WINDOW))))))
+def gram_hashes(h: Column, k: int) -> Column:
+    """Hash of every k words in a row, from the words' hashes."""
+    return F.transform(_positions(F.size(h) - (k - 1)), lambda i: F.xxhash64(*[F.get(h, i + (j - 1)) for j in range(k)]))
+
+
+def fingerprints(h: Column) -> Column:
+    """Distinct least hashes of all windows of a text with at least ten words, from the words' hashes."""
+
+    def least(g):
+        return F.transform(_positions(F.size(g) - (WINDOW - 1)), lambda i: F.least(*[F.get(g, i + (j - 1)) for j in range(WINDOW)]))
+
+    return let(gram_hashes(h, GRAM), lambda g: F.array_distinct(least(g)))
 
 
 def grams(w: Column, length: Column | int) -> Column:
@@ -69,10 +78,14 @@ def contamination(docs: DataFrame, benchmark: DataFrame, scratch: Scratch) -> tu
     windows = scratch.store(items.select("item", F.explode(grams(F.col("w"), length)).alias("g")).select("item", "g.len", "g.gram").distinct())
 
     def kept(w: Column) -> Column:
-        own = F.when(F.size(w) >= SPAN, fingerprints(w)).otherwise(F.array().cast("array<bigint>"))
-        return F.array_union(own, F.array_distinct(F.flatten(F.array(*[gram_hashes(w, n) for n in short])))) if short else own
+        def both(h: Column) -> Column:
+            own = F.when(F.size(h) >= SPAN, fingerprints(h)).otherwise(F.array().cast("array<bigint>"))
+            return F.array_union(own, F.array_distinct(F.flatten(F.array(*[gram_hashes(h, n) for n in short])))) if short else own
+
+        return let(word_hashes(w), both)
 
-    item_kept = F.when(F.size("w") >= SPAN, fingerprints(F.col("w"))).otherwise(F.array(F.xxhash64("w")))
+    # The hash of an array is that of its elements in order, as gram_hashes takes them.
+    item_kept = let(word_hashes(F.col("w")), lambda h: F.when(F.size(h) >= SPAN, fingerprints(h)).otherwise(F.array(F.xxhash64(h))))
     keys = small(scratch.store(items.select(F.explode(item_kept).alias("hash")).distinct()))
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     one_pass = docs.select(
