@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm import hilbert, hmm, langid, packing, secrets, urlglob, winnow
+from docloom.llm import hilbert, hmm, langid, multiprobe, packing, secrets, urlglob, winnow
 from docloom.llm.base import Scratch
 
 
@@ -23,6 +23,10 @@ def op3_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path(packing.TOKENIZER_FILE))
 
 
+def op4_multiprobe_lsh(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return multiprobe.nearest(_table(spark, sf_dir, "embeddings"), Scratch(spark))
+
+
 def op5_markov_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     return secrets.scan(docs, secrets.train(docs), F.col("doc_id").cast("long").alias("doc_id"))
@@ -50,6 +54,7 @@ def op10_glob_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_hidden_markov": op1_hidden_markov,
     "op3_vector_packing": op3_vector_packing,
+    "op4_multiprobe_lsh": op4_multiprobe_lsh,
     "op5_markov_secrets": op5_markov_secrets,
     "op6_hilbert_shards": op6_hilbert_shards,
     "op7_winnowing": op7_winnowing,
