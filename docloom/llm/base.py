@@ -30,7 +30,7 @@ class Scratch:
     def store(self, df: DataFrame) -> DataFrame:
         self.count += 1
         path = f"{self.root}/{self.count}"
-        df.write.parquet(path)
+        df.write.option("compression", "zstd").parquet(path)  # frees its buffers at once; snappy's are direct memory, kept until a full collection
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self) -> None:
