@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm import hilbert, hmm, langid, multiprobe, packing, secrets, urlglob, winnow
+from docloom.llm import hilbert, hmm, langid, multiprobe, packing, partenum, secrets, urlglob, winnow
 from docloom.llm.base import Scratch
 
 
@@ -17,6 +17,10 @@ def op1_hidden_markov(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hmm.score_documents(_table(spark, sf_dir, "documents"), Scratch(spark))
 
 
+def op2_partenum_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return partenum.jaccard_links(_table(spark, sf_dir, "documents"), Scratch(spark)).select("doc_id", "n_shingles", "component_id", "n_links")
+
+
 def op3_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -53,6 +57,7 @@ def op10_glob_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_hidden_markov": op1_hidden_markov,
+    "op2_partenum_join": op2_partenum_join,
     "op3_vector_packing": op3_vector_packing,
     "op4_multiprobe_lsh": op4_multiprobe_lsh,
     "op5_markov_secrets": op5_markov_secrets,
