@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm import hilbert, hmm, langid, multiprobe, packing, partenum, secrets, urlglob, winnow
+from docloom.llm import hilbert, hmm, langid, licenses, multiprobe, packing, partenum, secrets, urlglob, winnow
 from docloom.llm.base import Scratch
 
 
@@ -51,6 +51,10 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict_languages(_table(spark, sf_dir, "documents"))
 
 
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(_table(spark, sf_dir, "documents"), F.col("doc_id").cast("long").alias("doc_id"))
+
+
 def op10_glob_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlglob.judge_urls(_table(spark, sf_dir, "pages"))
 
@@ -64,6 +68,7 @@ QUERIES = {
     "op6_hilbert_shards": op6_hilbert_shards,
     "op7_winnowing": op7_winnowing,
     "op8_language_id": op8_language_id,
+    "op9_license_scan": op9_license_scan,
     "op10_glob_automaton": op10_glob_automaton,
 }
 ORACLES = {
