@@ -7,11 +7,12 @@ are equal.  A signature is the content of one such subset of parts; enumerating
 linked sets share at least one.  A set near the upper end of its band signs for the next one
 too.  No link is lost and no signature, bucket or partner is capped.
 
-Pairs are never listed.  Equal sets become one node first.  Nodes that share signatures form
-families (a chain of shared signatures, found with one edge to the smallest node per bucket).
-A family is compared inside tasks, in pairs of blocks of bounded size, by counting common
-elements exactly; a task returns one row per node: how many documents it is linked to, and the
-smallest node it is connected with.  The components of those rows are the components of all links.
+Pairs are never listed.  Equal sets become one node first.  Nodes of a bucket are held against
+each other by a parity sketch, whose distance never exceeds the difference of two sets, and
+those that may be linked form families (a task returns a forest, not the pairs).  A family is
+compared inside tasks, in pairs of blocks of bounded size, by counting common elements exactly;
+a task returns one row per node: how many documents it is linked to, and the smallest node it
+is connected with.  The components of those rows are the components of all links.
 
 Sets hold 64-bit hashes of shingles; two different shingles of one compared pair fall together
 with a chance of about 2^-64 per pair of elements.
@@ -30,7 +31,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from docloom.llm.base import Scratch, arrow_map
@@ -38,6 +39,7 @@ from docloom.llm.base import Scratch, arrow_map
 BAND = 1.5
 BLOCK_NODES, BLOCK_ELEMENTS = 1024, 2_000_000
 WORD_CACHE = 400_000
+SKETCH_BITS = 1024
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -93,7 +95,7 @@ def band(number: int, percent: int) -> Band:
     if k <= 3:
         n1, n2 = 1, k + 2
     else:
-        n1, n2 = (k + 2) // 2, 3 if k <= 16 else 2
+        n1, n2 = (k + 2) // 2, 2
     return Band(number, low, high, k, n1, n2, tuple(itertools.combinations(range(n2), n2 - k // n1)))
 
 
@@ -126,24 +128,104 @@ def signatures(s: np.ndarray, percent: int) -> np.ndarray:
     return np.concatenate(out).view(np.int64) if out else np.zeros(0, np.int64)
 
 
+def sketch(s: np.ndarray) -> bytes:
+    """Parity of the number of elements in each of SKETCH_BITS hash cells."""
+    cell = (_mix(s ^ np.uint64(0xA24BAED4963EE407)) >> np.uint64(54)).astype(np.int64)
+    return np.packbits((np.bincount(cell, minlength=SKETCH_BITS) & 1).astype(bool)).tobytes()
+
+
 def sign(docs: DataFrame, percent: int) -> DataFrame:
-    """doc_id, text_key, n_shingles, node (digest of the set; null if empty) and sigs of every row."""
+    """doc_id, text_key, n_shingles, node (digest of the set; null if empty), sketch and sigs of every row.
+
+    A task gives the signatures and the sketch of equal sets once.
+    """
 
     def run(pieces):
         import xxhash
 
+        seen: set[int] = set()
         for p in pieces:
-            made = {"n_shingles": [], "node": [], "sigs": []}
+            made = {"n_shingles": [], "node": [], "sketch": [], "sigs": []}
             for text in p.pop("text"):
                 s = shingles(text)
+                node = int(np.uint64(xxhash.xxh3_64_intdigest(s.tobytes())).astype(np.int64)) if len(s) else None
+                new = node is not None and node not in seen
                 made["n_shingles"].append(len(s))
-                made["node"].append(np.uint64(xxhash.xxh3_64_intdigest(s.tobytes())).astype(np.int64) if len(s) else None)
-                made["sigs"].append(signatures(s, percent) if len(s) else [])
+                made["node"].append(node)
+                made["sketch"].append(sketch(s) if new else None)
+                made["sigs"].append(signatures(s, percent) if new else [])
+                if len(seen) >= WORD_CACHE:
+                    seen.clear()
+                if new:
+                    seen.add(node)
             yield {**p, **made}
 
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.unhex(F.md5(text)).alias("text_key"), text.alias("text"))
-    return arrow_map(rows, run, "doc_id long, text_key binary, n_shingles long, node long, sigs array<long>")
+    return arrow_map(rows, run, "doc_id long, text_key binary, n_shingles long, node long, sketch binary, sigs array<long>")
+
+
+def in_blocks(df: DataFrame, key: str, blocks) -> DataFrame:
+    """Rows of a large group split into blocks; block i meets every block j once, as side 0 where i <= j and as side 1 otherwise."""
+    placed = df.withColumn("_blocks", blocks.cast("int")).withColumn("_own", F.pmod(F.xxhash64("node"), F.col("_blocks")).cast("int"))
+    both = placed.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
+    rest = [c for c in df.columns if c != key]
+    return both.select(key, F.least("_own", "_other").alias("i"), F.greatest("_own", "_other").alias("j"), (F.col("_own") > F.col("_other")).cast("int").alias("side"), *rest)
+
+
+def may_link(na, nb, far, percent: int):
+    """Whether sets of these sizes whose difference is at least ``far`` can be linked."""
+    return far * (100 + percent) <= (na + nb) * (100 - percent)
+
+
+def forests(groups: DataFrame, percent: int) -> DataFrame:
+    """Edges (a, b) of a spanning forest of the nodes that may be linked, for each group (sig, i, j)."""
+
+    def edges(node, n, side, bits):
+        cut = int((side == 0).sum())
+        left, right = (np.arange(cut), np.arange(cut, len(node))) if cut < len(node) else (np.arange(cut), np.arange(cut))
+        hit = np.zeros((len(node), len(node)), bool)
+        for begin in range(0, len(left), 64):
+            l = left[begin : begin + 64]
+            far = np.bitwise_count(bits[l][:, None] ^ bits[right][None]).sum(2, dtype=np.int64)
+            hit[np.ix_(l, right)] = may_link(n[l][:, None], n[right][None], far, percent)
+        root = roots(hit | hit.T)
+        other = np.flatnonzero(node[root] != node)
+        return node[root[other]], node[other]
+
+    def run(pieces):
+        held = None
+        for p in _with_end(pieces):
+            if p is not None:
+                fresh = [np.stack([np.array(p[c], np.int64) for c in ("sig", "i", "j")], 1), np.array(p["node"], np.int64), np.array(p["n"], np.int64), np.array(p["side"], np.int64),
+                         np.frombuffer(b"".join(p["sketch"]), np.uint64).reshape(len(p["node"]), -1)]
+                held = fresh if held is None else [np.concatenate(x) for x in zip(held, fresh, strict=True)]
+            if held is None or not len(held[1]):
+                continue
+            key, node, n, side, bits = held
+            first = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]).any(1))))
+            ends = np.concatenate((first[1:], [len(node)]))
+            if p is not None:  # the last group may go on
+                first, ends = first[:-1], ends[:-1]
+            size = ends - first
+            x, y = first[size == 2], first[size == 2] + 1
+            far = np.bitwise_count(bits[x] ^ bits[y]).sum(1, dtype=np.int64)
+            ok = may_link(n[x], n[y], far, percent) & (node[x] != node[y])
+            a, b = [node[x][ok]], [node[y][ok]]
+            for f, e in zip(first[size > 2], ends[size > 2], strict=True):
+                u, v = edges(node[f:e], n[f:e], side[f:e], bits[f:e])
+                a.append(u)
+                b.append(v)
+            yield {"a": np.concatenate(a), "b": np.concatenate(b)}
+            rest = int(ends[-1]) if len(ends) else 0
+            held = [c[rest:] for c in held]
+
+    return arrow_map(groups, run, "a long, b long", rows=20_000)
+
+
+def _with_end(pieces):
+    yield from pieces
+    yield None
 
 
 def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
@@ -252,13 +334,18 @@ def jaccard_links(docs: DataFrame, scratch: Scratch, percent: int = 90) -> DataF
     marked); documents with an empty set are keepers of their own.
     """
     rows = scratch.store(sign(docs, percent))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("first")
+    nodes = rows.where(F.col("node").isNotNull()).groupBy("node").agg(first, F.count(F.lit(1)).alias("copies"), F.max("n_shingles").alias("n"), F.max("sketch").alias("sketch"))
+    nodes = scratch.store(nodes)
+
+    bucket = Window.partitionBy("sig")
     signed = rows.where(F.size("sigs") > 0).select("node", F.explode("sigs").alias("sig"))
-    buckets = signed.groupBy("sig").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a <> z").select("sig", "a")
-    chains = scratch.store(signed.join(buckets, "sig").where("node <> a").select("a", F.col("node").alias("b")).distinct())
+    shared = signed.select("sig", "node", F.min("node").over(bucket).alias("_a"), F.max("node").over(bucket).alias("_z"), F.count(F.lit(1)).over(bucket).alias("_m"))
+    shared = scratch.store(shared.where("_a <> _z").select("sig", "node", "_m"))
+    met = in_blocks(shared.join(nodes.select("node", "n", "sketch"), "node"), "sig", F.ceil(F.col("_m") / BLOCK_NODES)).drop("_m")
+    key = ["sig", "i", "j"]
+    chains = scratch.store(forests(met.repartition(*key).sortWithinPartitions(*key, "side", "node"), percent).distinct())
     families = components(chains, scratch)
-
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("first")
-    nodes = scratch.store(rows.where(F.col("node").isNotNull()).groupBy("node").agg(first, F.count(F.lit(1)).alias("copies"), F.max("n_shingles").alias("n")))
     members = scratch.store(families.join(nodes, "node").select("node", F.col("root").alias("family"), "copies", "n", F.col("first.text_key").alias("text_key")))
 
     def elements(pieces):
@@ -270,15 +357,9 @@ def jaccard_links(docs: DataFrame, scratch: Scratch, percent: int = 90) -> DataF
     picked = docs.select(F.unhex(F.md5(text)).alias("text_key"), text.alias("text")).join(wanted, "text_key", "left_semi")
     sets = scratch.store(arrow_map(picked, elements, "text_key binary, elements binary").groupBy("text_key").agg(F.first("elements").alias("elements")))
 
-    blocks = F.ceil(F.greatest(F.col("m") / BLOCK_NODES, F.col("e") / BLOCK_ELEMENTS)).cast("int")
-    sizes = members.groupBy("family").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("e")).select("family", blocks.alias("blocks"))
-    placed = members.join(sizes, "family").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    # Block i meets every block j once: as the left side where i <= j, as the right side where j < i.
-    paired = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        "family", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"),
-        "node", "copies", "text_key",
-    )
-    groups = paired.join(sets, "text_key").drop("text_key")
+    blocks = F.ceil(F.greatest(F.col("m") / BLOCK_NODES, F.col("e") / BLOCK_ELEMENTS))
+    sizes = members.groupBy("family").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("e"))
+    groups = in_blocks(members.join(sizes, "family"), "family", blocks).select("family", "i", "j", "side", "node", "copies", "text_key").join(sets, "text_key").drop("text_key")
     compared = scratch.store(groups.groupBy("family", "i", "j").applyInArrow(lambda t: compare(t, percent), "node long, root long, links long"))
 
     linked = components(compared.where("node <> root").select(F.col("root").alias("a"), F.col("node").alias("b")), scratch)

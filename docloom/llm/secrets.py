@@ -1,7 +1,8 @@
 """Secret scan: fixed patterns, and two character Markov models that add what patterns miss.
 
 The models are trained from labelled samples of the corpus itself: what the patterns match
-teaches the model of random strings, all other text the model of ordinary identifiers.
+teaches the model of random strings, all other text the model of ordinary identifiers, but for
+long runs with a digit, which are the ones to judge.
 A run of identifier characters that no pattern covers is reported when the log-likelihood
 ratio of the two models is high, in total and per character.
 
@@ -35,6 +36,7 @@ KINDS = ("assign", "access", "hex", "markov")
 WORDS_AHEAD = ("passw", "secret", "token", "api")
 
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+_DIGIT = re.compile("[0-9]")
 EDGE = 66
 SYMBOLS = 67
 _TABLE = np.full(256, EDGE, np.int64)
@@ -61,6 +63,11 @@ def trigrams(raw: bytes) -> np.ndarray:
     return ((s[:-2] * SYMBOLS + s[1:-1]) * SYMBOLS + s[2:])[s[2:] != EDGE]
 
 
+def _ordinary(run: re.Match) -> str:
+    """A long run with a digit is what is to be judged, so it teaches nothing."""
+    return "\n" if _DIGIT.search(run[0]) else run[0]
+
+
 def smoothed(counts: np.ndarray, uniform: float, strength: float = 8.0) -> np.ndarray:
     """Log probabilities of a character after two others, backing off to shorter contexts."""
     c = counts.reshape(SYMBOLS, SYMBOLS, SYMBOLS)[:, :, :EDGE].astype(float)
@@ -102,7 +109,7 @@ def train(docs: DataFrame) -> Model:
                         secret.append(text[max(inner, at) : end])
                         at = end
                 plain.append(text[at:])
-            total[0] += np.bincount(trigrams("\n\n".join(plain).encode("utf-8", "surrogatepass")), minlength=size)
+            total[0] += np.bincount(trigrams(CANDIDATE.sub(_ordinary, "\n\n".join(plain)).encode("utf-8", "surrogatepass")), minlength=size)
             total[1] += np.bincount(trigrams("\n\n".join(secret).encode("utf-8", "surrogatepass")), minlength=size)
         cells = np.flatnonzero(total.any(0))
         yield {"cell": cells, "ordinary": total[0, cells], "secret": total[1, cells]}
