@@ -39,7 +39,8 @@ from docloom.llm.base import Scratch, arrow_map
 BAND = 1.5
 BLOCK_NODES, BLOCK_ELEMENTS = 1024, 2_000_000
 WORD_CACHE = 400_000
-SKETCH_BITS = 1024
+SKETCH_BITS, MOST_SKETCH_BITS = 1024, 1 << 15
+BROADCAST_ROWS = 500_000
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -129,9 +130,24 @@ def signatures(s: np.ndarray, percent: int) -> np.ndarray:
 
 
 def sketch(s: np.ndarray) -> bytes:
-    """Parity of the number of elements in each of SKETCH_BITS hash cells."""
-    cell = (_mix(s ^ np.uint64(0xA24BAED4963EE407)) >> np.uint64(54)).astype(np.int64)
-    return np.packbits((np.bincount(cell, minlength=SKETCH_BITS) & 1).astype(bool)).tobytes()
+    """Parity of the number of elements in each hash cell; larger sets have more cells, up to a bound."""
+    bits = SKETCH_BITS
+    while bits < len(s) and bits < MOST_SKETCH_BITS:
+        bits *= 2
+    cell = (_mix(s ^ np.uint64(0xA24BAED4963EE407)) & np.uint64(bits - 1)).astype(np.int64)
+    return np.packbits((np.bincount(cell, minlength=bits) & 1).astype(bool)).tobytes()
+
+
+def folded(sketches: list[bytes]) -> np.ndarray:
+    """Sketches as rows of 64-bit words, the longer ones folded to the shortest length."""
+    least = min(map(len, sketches)) // 8
+    rows = []
+    for raw in sketches:
+        x = np.frombuffer(raw, np.uint64)
+        while len(x) > least:
+            x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+        rows.append(x)
+    return np.stack(rows)
 
 
 def sign(docs: DataFrame, percent: int) -> DataFrame:
@@ -179,53 +195,38 @@ def may_link(na, nb, far, percent: int):
 
 
 def forests(groups: DataFrame, percent: int) -> DataFrame:
-    """Edges (a, b) of a spanning forest of the nodes that may be linked, for each group (sig, i, j)."""
+    """Edges (a, b) of a spanning forest of the nodes that may be linked, for each group (bucket, i, j)."""
 
     def edges(node, n, side, bits):
         cut = int((side == 0).sum())
         left, right = (np.arange(cut), np.arange(cut, len(node))) if cut < len(node) else (np.arange(cut), np.arange(cut))
         hit = np.zeros((len(node), len(node)), bool)
-        for begin in range(0, len(left), 64):
-            l = left[begin : begin + 64]
-            far = np.bitwise_count(bits[l][:, None] ^ bits[right][None]).sum(2, dtype=np.int64)
-            hit[np.ix_(l, right)] = may_link(n[l][:, None], n[right][None], far, percent)
+        for begin in range(0, len(left), 16):
+            some = left[begin : begin + 16]
+            far = np.bitwise_count(bits[some][:, None] ^ bits[right][None]).sum(2, dtype=np.int64)
+            hit[np.ix_(some, right)] = may_link(n[some][:, None], n[right][None], far, percent)
         root = roots(hit | hit.T)
         other = np.flatnonzero(node[root] != node)
         return node[root[other]], node[other]
 
+    def rows_of(pieces):
+        for p in pieces:
+            yield from zip(p["bucket"], p["i"], p["j"], p["node"], p["n"], p["side"], p["sketch"], strict=True)
+
     def run(pieces):
-        held = None
-        for p in _with_end(pieces):
-            if p is not None:
-                fresh = [np.stack([np.array(p[c], np.int64) for c in ("sig", "i", "j")], 1), np.array(p["node"], np.int64), np.array(p["n"], np.int64), np.array(p["side"], np.int64),
-                         np.frombuffer(b"".join(p["sketch"]), np.uint64).reshape(len(p["node"]), -1)]
-                held = fresh if held is None else [np.concatenate(x) for x in zip(held, fresh, strict=True)]
-            if held is None or not len(held[1]):
-                continue
-            key, node, n, side, bits = held
-            first = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]).any(1))))
-            ends = np.concatenate((first[1:], [len(node)]))
-            if p is not None:  # the last group may go on
-                first, ends = first[:-1], ends[:-1]
-            size = ends - first
-            x, y = first[size == 2], first[size == 2] + 1
-            far = np.bitwise_count(bits[x] ^ bits[y]).sum(1, dtype=np.int64)
-            ok = may_link(n[x], n[y], far, percent) & (node[x] != node[y])
-            a, b = [node[x][ok]], [node[y][ok]]
-            for f, e in zip(first[size > 2], ends[size > 2], strict=True):
-                u, v = edges(node[f:e], n[f:e], side[f:e], bits[f:e])
-                a.append(u)
-                b.append(v)
+        a, b = [], []
+        for _, group in itertools.groupby(rows_of(pieces), key=lambda r: r[:3]):  # neighbours: the rows are sorted by group
+            *_, node, n, side, bits = zip(*group, strict=True)
+            u, v = edges(np.array(node), np.array(n), np.array(side), folded(list(bits)))
+            a.append(u)
+            b.append(v)
+            if len(a) >= 5000:
+                yield {"a": np.concatenate(a), "b": np.concatenate(b)}
+                a, b = [], []
+        if a:
             yield {"a": np.concatenate(a), "b": np.concatenate(b)}
-            rest = int(ends[-1]) if len(ends) else 0
-            held = [c[rest:] for c in held]
-
-    return arrow_map(groups, run, "a long, b long", rows=20_000)
 
-
-def _with_end(pieces):
-    yield from pieces
-    yield None
+    return arrow_map(groups, run, "a long, b long", rows=2_000)
 
 
 def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
@@ -308,14 +309,18 @@ def compare(table: pa.Table, percent: int) -> pa.Table:
     copies = table["copies"].to_numpy().astype(np.int64)
     sets = [np.frombuffer(b, "<u8") for b in table["elements"].to_pylist()]
     order = np.lexsort((node, side))
+    order = order[np.concatenate(([True], np.diff(node[order]) != 0))[: len(order)]]  # a node that several tasks have read
     node, copies, side, sets = node[order], copies[order], side[order], [sets[i] for i in order]
     size = np.array([len(s) for s in sets])
     cut = int((side == 0).sum())
-    left, right = (slice(0, cut), slice(cut, None)) if cut < len(node) else (slice(0, cut), slice(0, cut))
+    alone = table["i"][0] == table["j"][0]
+    if not alone and cut in (0, len(node)):  # a block without members
+        return pa.table({"node": node, "root": node, "links": np.zeros(len(node), np.int64)})
+    left, right = (slice(0, cut), slice(0, cut)) if alone else (slice(0, cut), slice(cut, None))
     inter = common(sets[left], sets[right])
     union = size[left][:, None] + size[right][None] - inter
     hit = 100 * inter >= percent * union
-    if cut == len(node):
+    if alone:
         np.fill_diagonal(hit, False)
         links = hit @ copies
         square = hit
@@ -340,26 +345,36 @@ def jaccard_links(docs: DataFrame, scratch: Scratch, percent: int = 90) -> DataF
 
     bucket = Window.partitionBy("sig")
     signed = rows.where(F.size("sigs") > 0).select("node", F.explode("sigs").alias("sig"))
-    shared = signed.select("sig", "node", F.min("node").over(bucket).alias("_a"), F.max("node").over(bucket).alias("_z"), F.count(F.lit(1)).over(bucket).alias("_m"))
-    shared = scratch.store(shared.where("_a <> _z").select("sig", "node", "_m"))
-    met = in_blocks(shared.join(nodes.select("node", "n", "sketch"), "node"), "sig", F.ceil(F.col("_m") / BLOCK_NODES)).drop("_m")
-    key = ["sig", "i", "j"]
+    # Buckets with the same nodes need one look: they are told apart by count, ends and sum of node hashes.
+    same = F.xxhash64("_m", "_a", "_z", "_s").alias("bucket")
+    spread = F.pmod(F.xxhash64("node"), F.lit(1 << 40))
+    shared = signed.select(
+        "node", F.min("node").over(bucket).alias("_a"), F.max("node").over(bucket).alias("_z"),
+        F.count(F.lit(1)).over(bucket).alias("_m"), F.sum(spread).over(bucket).alias("_s"),
+    )
+    shared = scratch.store(shared.where("_a <> _z").select(same, "node", "_m").distinct())
+    met = in_blocks(shared.join(nodes.select("node", "n", "sketch"), "node"), "bucket", F.ceil(F.col("_m") / BLOCK_NODES)).drop("_m")
+    key = ["bucket", "i", "j"]
     chains = scratch.store(forests(met.repartition(*key).sortWithinPartitions(*key, "side", "node"), percent).distinct())
     families = components(chains, scratch)
     members = scratch.store(families.join(nodes, "node").select("node", F.col("root").alias("family"), "copies", "n", F.col("first.text_key").alias("text_key")))
 
     def elements(pieces):
+        seen: set[int] = set()
         for p in pieces:
-            yield {"text_key": p["text_key"], "elements": [shingles(t).tobytes() for t in p["text"]]}
-
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    wanted = members.select("text_key")
-    picked = docs.select(F.unhex(F.md5(text)).alias("text_key"), text.alias("text")).join(wanted, "text_key", "left_semi")
-    sets = scratch.store(arrow_map(picked, elements, "text_key binary, elements binary").groupBy("text_key").agg(F.first("elements").alias("elements")))
+            text, at = p.pop("text"), [i for i, node in enumerate(p["node"]) if node not in seen and not seen.add(node)]
+            if len(seen) > WORD_CACHE:
+                seen.clear()
+            yield {**{k: [v[i] for i in at] for k, v in p.items()}, "elements": [shingles(text[i]).tobytes() for i in at]}
 
     blocks = F.ceil(F.greatest(F.col("m") / BLOCK_NODES, F.col("e") / BLOCK_ELEMENTS))
     sizes = members.groupBy("family").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("e"))
-    groups = in_blocks(members.join(sizes, "family"), "family", blocks).select("family", "i", "j", "side", "node", "copies", "text_key").join(sets, "text_key").drop("text_key")
+    wanted = scratch.store(members.join(sizes, "family").select("text_key", "family", "node", "copies", blocks.alias("blocks")))
+    wanted = F.broadcast(wanted) if wanted.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else wanted
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    picked = docs.select(F.unhex(F.md5(text)).alias("text_key"), text.alias("text")).join(wanted, "text_key").drop("text_key")
+    sets = arrow_map(picked, elements, "family long, node long, copies long, blocks long, elements binary")
+    groups = in_blocks(sets, "family", F.col("blocks")).drop("blocks")
     compared = scratch.store(groups.groupBy("family", "i", "j").applyInArrow(lambda t: compare(t, percent), "node long, root long, links long"))
 
     linked = components(compared.where("node <> root").select(F.col("root").alias("a"), F.col("node").alias("b")), scratch)

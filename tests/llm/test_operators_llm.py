@@ -163,9 +163,11 @@ def test_partenum_matches_brute_force(spark, scratch):
     assert sorted(map(key, map(tuple, got))) == sorted(map(key, brute_links(rows)))
 
 
-def test_partenum_blocks_give_the_same(spark, scratch, monkeypatch):
+@pytest.mark.parametrize("nodes, elements", [(9, 10**6), (1024, 150)])
+def test_partenum_blocks_give_the_same(spark, scratch, monkeypatch, nodes, elements):
     rows = [(c, edited(prose(78, 100), c % 6, c), "en", "a") for c in range(70)]
-    monkeypatch.setattr(partenum, "BLOCK_NODES", 9)
+    monkeypatch.setattr(partenum, "BLOCK_NODES", nodes)
+    monkeypatch.setattr(partenum, "BLOCK_ELEMENTS", elements)
     got = partenum.jaccard_links(table(spark, rows), scratch).select("doc_id", "n_shingles", "component_id", "n_links").collect()
     assert sorted(map(tuple, got)) == sorted(brute_links(rows))
 
