@@ -46,9 +46,11 @@ def name_forms(name: Column, aliases: Column | None = None) -> Column:
     return F.array_distinct(F.filter(keys, lambda k: F.length(k) >= 2))
 
 
-def relation_label(c: Column) -> Column:
+def relation_label(c: Column, limit: int | None = None) -> Column:
+    """Lower-case words joined by ``_``; ``limit`` cuts the label, so that longer names may fall together."""
     slug = F.regexp_replace(F.lower(strip_accents(F.coalesce(c, F.lit("relacionado_con")))), "[^a-z0-9]+", "_")
-    slug = F.left(F.regexp_replace(slug, "^_+|_+$", ""), F.lit(40))
+    slug = F.regexp_replace(slug, "^_+|_+$", "")
+    slug = slug if limit is None else F.left(slug, F.lit(limit))
     return F.when(slug == "", F.lit("relacionado_con")).otherwise(slug)
 
 
@@ -66,15 +68,15 @@ def entity_line(name: Column, kind: Column, descriptions: Column) -> Column:
     return F.concat(name, F.lit(" ("), kind, F.lit("): "), F.array_join(F.slice(descriptions, 1, 2), " "))
 
 
-def section_key(title: Column) -> Column:
-    """``Parte 3 — …`` becomes ``Parte 3``; other titles keep their first 60 characters."""
+def section_key(title: Column, limit: int | None = None) -> Column:
+    """``Parte 3 — …`` becomes ``Parte 3``; other titles stay whole unless ``limit`` cuts them."""
     t = strip(title)
     word = F.regexp_extract(t, WORK_SECTION, 1)
     return F.when(
         t.rlike(WORK_SECTION),
         F.concat(F.upper(F.left(word, F.lit(1))), F.lower(F.substring(word, 2, 1000)), F.lit(" "),
                  F.regexp_extract(t, WORK_SECTION, 2)),
-    ).otherwise(F.left(t, F.lit(60)))
+    ).otherwise(t if limit is None else F.left(t, F.lit(limit)))
 
 
 # Headings of work sections.

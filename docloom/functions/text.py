@@ -5,6 +5,7 @@ from __future__ import annotations
 import unicodedata
 
 import pandas as pd
+import regex
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -29,7 +30,7 @@ SECRET_ENV_WORDS = ("KEY", "TOKEN", "SECRET", "PASSWORD")
 def _latin_folding() -> tuple[str, str]:
     """Letters whose compatibility decomposition is one base character plus marks."""
     src, dst = [], []
-    for cp in range(0xA0, 0x2000):
+    for cp in (*range(0xA0, 0xAC00), *range(0xD7A4, 0xD800), *range(0xE000, 0x10000)):
         ch = chr(cp)
         base = "".join(c for c in unicodedata.normalize("NFKD", ch) if not unicodedata.combining(c))
         if len(base) == 1 and base != ch:
@@ -42,7 +43,7 @@ _FOLD_FROM, _FOLD_TO = _latin_folding()
 
 
 def strip_accents(c: Column) -> Column:
-    """Drop accents by table (U+00A0–U+1FFF) and remove loose combining marks."""
+    """Drop accents by table (the whole basic plane) and remove loose combining marks."""
     return F.regexp_replace(F.translate(c, _FOLD_FROM, _FOLD_TO), r"\p{Mn}", "")
 
 
@@ -157,6 +158,15 @@ def mask_secrets(c: Column, known: list[str] = (), in_json: bool = False) -> Col
     return F.regexp_replace(c, SECRET_ASSIGNMENT_JSON if in_json else SECRET_ASSIGNMENT, "$1$2" + MASK)
 
 
+def mask_line(line: str, known: list[str] = ()) -> str:
+    """:func:`mask_secrets` for one serialised line on the driver."""
+    for v in known:
+        line = line.replace(v, MASK)
+    for shape in SECRET_SHAPES:
+        line = regex.sub(shape, MASK, line)
+    return regex.sub(SECRET_ASSIGNMENT_JSON, lambda m: f"{m[1]}{m[2]}{MASK}", line)
+
+
 def mask_value(c: Column, known: list[str] = ()) -> Column:
     """Mask every string inside a nested value by masking its JSON form."""
     return mask_secrets(F.to_json(c), known, in_json=True)

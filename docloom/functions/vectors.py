@@ -24,42 +24,6 @@ def unit(a: Column) -> Column:
     return F.transform(a, lambda v: v.cast("double") / safe)
 
 
-def murmur3(keys: list[bytes]) -> np.ndarray:
-    """MurmurHash3 x86 32-bit with seed 0, vectorised over keys of equal length."""
-    out = np.zeros(len(keys), dtype=np.int64)
-    sizes = np.fromiter((len(k) for k in keys), dtype=np.int64, count=len(keys))
-    with np.errstate(over="ignore"):
-        for n in np.unique(sizes):
-            at = np.flatnonzero(sizes == n)
-            raw = np.frombuffer(b"".join(keys[i] for i in at), dtype=np.uint8).reshape(len(at), n)
-            h = np.zeros(len(at), dtype=np.uint32)
-
-            def scramble(k):
-                k = k * np.uint32(0xCC9E2D51)
-                k = (k << np.uint32(15)) | (k >> np.uint32(17))
-                return k * np.uint32(0x1B873593)
-
-            whole = int(n) // 4
-            for b in range(whole):
-                h ^= scramble(np.ascontiguousarray(raw[:, 4 * b : 4 * b + 4]).view("<u4").ravel())
-                h = (h << np.uint32(13)) | (h >> np.uint32(19))
-                h = h * np.uint32(5) + np.uint32(0xE6546B64)
-            rest = int(n) - 4 * whole
-            if rest:
-                k = np.zeros(len(at), dtype=np.uint32)
-                for j in range(rest):
-                    k |= raw[:, 4 * whole + j].astype(np.uint32) << np.uint32(8 * j)
-                h ^= scramble(k)
-            h ^= np.uint32(n)
-            h ^= h >> np.uint32(16)
-            h = h * np.uint32(0x85EBCA6B)
-            h ^= h >> np.uint32(13)
-            h = h * np.uint32(0xC2B2AE35)
-            h ^= h >> np.uint32(16)
-            out[at] = h.astype(np.int32)
-    return out
-
-
 def char_grams(low: int = 3, high: int = 4):
     """Word-bounded character n-grams of a folded text column, as an array column."""
 
@@ -69,11 +33,12 @@ def char_grams(low: int = 3, high: int = 4):
         padded = F.transform(words(strip_accents(F.lower(c))), lambda w: F.concat(F.lit(" "), w, F.lit(" ")))
 
         def grams(w: Column) -> Column:
+            def runs(n: int) -> Column:
+                return F.transform(F.sequence(F.lit(1), F.greatest(F.length(w) - n + 1, F.lit(1))), lambda i: F.substring(w, i, F.lit(n)))
+
             parts = []
             for n in range(low, high + 1):
-                full = F.transform(
-                    F.sequence(F.lit(1), F.greatest(F.length(w) - n + 1, F.lit(1))), lambda i, n=n: F.substring(w, i, n)
-                )
+                full = runs(n)
                 parts.append(F.when(F.length(w) >= n, full).otherwise(
                     F.array(w) if n == low else F.array().cast("array<string>")))
             return F.concat(*parts)
@@ -83,13 +48,12 @@ def char_grams(low: int = 3, high: int = 4):
     return build
 
 
-def hash_grams(grams: pd.Series) -> pd.Series:
-    """Unit-norm counts of n-grams hashed to a fixed number of dimensions."""
-    sizes = np.array([len(g) for g in grams], dtype=np.int64)
-    flat = [x.encode("utf-8") for g in grams for x in g]
-    out = np.zeros((len(grams), DIMENSIONS), dtype=np.float64)
-    if flat:
-        np.add.at(out, (np.repeat(np.arange(len(grams)), sizes), np.abs(murmur3(flat)) % DIMENSIONS), 1.0)
+def hash_grams(cells: pd.Series) -> pd.Series:
+    """Unit-norm counts of the cells that n-grams were hashed to."""
+    sizes = np.array([len(g) for g in cells], dtype=np.int64)
+    out = np.zeros((len(cells), DIMENSIONS), dtype=np.float64)
+    if sizes.sum():
+        np.add.at(out, (np.repeat(np.arange(len(cells)), sizes), np.concatenate(cells.to_list())), 1.0)
     norm = np.sqrt((out**2).sum(axis=1))
     out /= np.where(norm == 0, 1.0, norm)[:, None]
     return pd.Series(list(out.astype(np.float32)))
@@ -107,6 +71,6 @@ def lexical_embedding(df: DataFrame, keys: list[str], text: str, out: str = "emb
                 part = b.iloc[at : at + 512]
                 yield part[keys].assign(**{out: hash_grams(part["_g"]).to_numpy()})
 
-    kept = df.select(*keys, char_grams()(F.col(text)).alias("_g"))
+    kept = df.select(*keys, F.transform(char_grams()(F.col(text)), lambda g: F.pmod(F.hash(g), F.lit(DIMENSIONS))).alias("_g"))
     fields = [f for f in kept.schema.fields if f.name in keys]
     return kept.mapInPandas(embed, StructType(fields).add(out, ArrayType(FloatType())))

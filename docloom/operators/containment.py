@@ -1,71 +1,44 @@
-"""Which items occur verbatim in which texts, without comparing every pair."""
+"""Which items occur verbatim in which texts, without comparing every pair.
+
+An item is found by a hash of its first inner words (all but its first and last word, which a
+longer word of the text may surround), joined with the texts' word runs of the same length.
+Items without an inner word are found by a hash of all their characters.  Candidates are
+verified, so a hash never decides; the number of passes is the number of distinct lengths.
+"""
 
 from __future__ import annotations
 
-import ahocorasick
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.functions.text import WORD
+from docloom.functions.text import WORD, let
 
-PATTERN_CHARS = 4_000_000
 ANCHOR = 6
 
 
 def contained_items(docs: DataFrame, key: str, text: str, items: DataFrame, ikey: str, itext: str) -> DataFrame:
-    """Pairs ``ikey, key`` where the document contains the item's whole text.
-
-    A pattern set of at most PATTERN_CHARS characters is compiled once per task
-    and scanned in one pass.  Beyond that, items are matched to documents by a
-    hash of consecutive inner words and the candidates are verified.
-    """
-    size = items.agg(F.sum(F.length(itext) + 16).alias("n")).first()["n"] or 0
-    if size <= PATTERN_CHARS:
-        return _scan(docs, key, text, items, ikey, itext)
-    inner = _inner_words(items, ikey, itext)
-    short = items.join(inner.where(F.size("w") < ANCHOR).select(ikey), ikey, "left_semi")
-    n = short.agg(F.sum(F.length(itext) + 16).alias("n")).first()["n"] or 0
-    passes = -(-n // PATTERN_CHARS)
-    out = _anchored(docs, key, text, items, ikey, itext, inner)
-    for p in range(passes):
-        block = short.where(F.pmod(F.xxhash64(ikey), F.lit(passes)) == p)
-        out = out.unionByName(_scan(docs, key, text, block, ikey, itext))
-    return out
-
-
-def _scan(docs, key, text, items, ikey, itext) -> DataFrame:
-    pats = items.groupBy(itext).agg(F.collect_list(ikey).alias("ids")).toPandas()
-    pairs = [(t, [int(i) for i in ids]) for t, ids in zip(pats[itext], pats["ids"]) if t]
-
-    def local(batches):
-        auto = ahocorasick.Automaton()
-        for n, (t, _) in enumerate(pairs):
-            auto.add_word(t, n)
-        auto.make_automaton()
-        for b in batches:
-            rows = [(i, k) for k, t in zip(b[key], b[text]) if t is not None
-                    for n in sorted({m for _, m in auto.iter(t)}) for i in pairs[n][1]]
-            yield pd.DataFrame(rows, columns=[ikey, key])
-
-    if not pairs:
-        return docs.sparkSession.createDataFrame([], f"{ikey} bigint, {key} bigint")
-    return docs.select(key, text).mapInPandas(local, f"{ikey} bigint, {key} bigint")
-
-
-def _inner_words(df: DataFrame, key: str, text: str) -> DataFrame:
-    """Words of a text without its first and last, which a match may cut."""
-    w = F.regexp_extract_all(F.col(text), F.lit(f"{WORD}+"), F.lit(0))
-    return df.select(key, F.slice(w, F.lit(2), F.greatest(F.size(w) - 2, F.lit(0))).alias("w"))
-
-
-def _anchored(docs, key, text, items, ikey, itext, inner) -> DataFrame:
-    anchors = inner.where(F.size("w") >= ANCHOR).select(ikey, F.xxhash64(F.array_join(F.slice("w", 1, ANCHOR), " ")).alias("h"))
-    words = docs.select(key, F.regexp_extract_all(F.col(text), F.lit(f"{WORD}+"), F.lit(0)).alias("w"))
-    at = F.explode(F.sequence(F.lit(1), F.size("w") - ANCHOR + 1))
-    grams = words.where(F.size("w") >= ANCHOR).select(key, "w", at.alias("i")).select(
-        key, F.xxhash64(F.array_join(F.slice("w", F.col("i"), F.lit(ANCHOR)), " ")).alias("h"))
-    grams = grams.join(anchors.select("h").distinct(), "h", "left_semi").distinct()
-    cand = grams.join(anchors, "h").select(key, ikey).distinct()
-    cand = cand.join(items.select(ikey, F.col(itext).alias("_item")), ikey).join(docs.select(key, F.col(text).alias("_doc")), key)
-    return cand.where(F.contains("_doc", "_item")).select(ikey, key)
+    """Pairs ``ikey, key`` where the document contains the item's whole text."""
+    word = F.regexp_extract_all(F.col(itext), F.lit(f"{WORD}+"), F.lit(0))
+    own = items.where(F.length(itext) > 0).select(ikey, F.col(itext).alias("_item"), F.slice(word, F.lit(2), F.greatest(F.size(word) - 2, F.lit(0))).alias("w"))
+    run = F.slice("w", F.lit(1), F.least(F.size("w"), F.lit(ANCHOR)))
+    bare = F.size("w") == 0
+    own = own.select(ikey, "_item", F.when(bare, -F.length("_item")).otherwise(F.size(run)).alias("n"), F.when(bare, F.xxhash64("_item")).otherwise(F.xxhash64(F.array_join(run, " "))).alias("h"))
+    lengths = [r["n"] for r in own.select("n").distinct().collect()]  # six word lengths, and the lengths of items of one or two words
+    if not lengths:
+        return docs.sparkSession.createDataFrame([], docs.select(key).schema).join(items.select(ikey), F.lit(False)).select(ikey, key)
+    def hashes(n: int):
+        def words(w):
+            return F.when(F.size(w) >= n, F.transform(F.sequence(F.lit(1), F.size(w) - n + 1), lambda i: F.xxhash64(F.array_join(F.slice(w, i, F.lit(n)), " ")))).otherwise(F.array().cast("array<bigint>"))
+
+        m = -n
+        letters = F.when(F.length(text) >= m, F.transform(F.sequence(F.lit(1), F.length(text) - m + 1), lambda i: F.xxhash64(F.substring(F.col(text), i, F.lit(m))))).otherwise(F.array().cast("array<bigint>"))
+        return let(F.regexp_extract_all(F.col(text), F.lit(f"{WORD}+"), F.lit(0)), words) if n > 0 else letters
+
+    def tagged(n: int):
+        return F.transform(F.array_distinct(hashes(n)), lambda h: F.struct(F.lit(n).alias("n"), h.alias("h")))
+
+    grams = F.flatten(F.array(*[tagged(n) for n in lengths]))
+    found = docs.where(F.col(text).isNotNull()).select(key, F.explode(grams).alias("g")).select(key, "g.n", "g.h")
+    cand = found.join(own.select(ikey, "n", "h"), ["n", "h"]).select(key, ikey).distinct()
+    cand = cand.join(own.select(ikey, "_item"), ikey).join(docs.select(key, F.col(text).alias("_doc")), key)
+    return cand.where(F.contains("_doc", "_item")).select(ikey, key).distinct()

@@ -25,10 +25,10 @@ def reasons(returncode: Column, error: Column, leaves: Column, wants: Column, fi
     ok = returncode == 0
     bad = F.filter(leaves, lambda x: not_finite(x["value"]))
     perfect = F.filter(leaves, lambda x: is_metric(x["path"]) & (x["value"] >= PERFECT))
-    names = lambda a: F.array_join(F.transform(F.slice(a, 1, 5), lambda x: x["path"]), ", ")
+    names = lambda a: F.array_join(F.transform(a, lambda x: x["path"]), ", ")
     return F.array_compact(F.array(
         error,
-        F.when(~ok, F.concat(F.lit("el script terminó con código "), returncode.cast("string"))),
+        F.when(~ok & error.isNull(), F.concat(F.lit("el script terminó con código "), returncode.cast("string"))),
         F.when(ok & leaves.isNull(), F.lit("no escribió resultados.json (es el contrato)")),
         F.when(ok & (F.size(leaves) == 0), F.lit("resultados.json no es un objeto con cifras")),
         F.when(ok & (F.size(bad) > 0), F.concat(F.lit("hay NaN o infinitos en resultados.json: "), names(bad))),

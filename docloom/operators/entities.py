@@ -15,22 +15,17 @@ from docloom.functions.names import DEFAULT_TYPE, entity_type, is_specific, name
 from docloom.plans.scale import lookup, top_k
 from docloom.session import cut_lineage
 
-MAX_PER_EXTRACTION = 20
-MAX_ALIASES = 5
 
-
-def clean_entities(raw: DataFrame, extraction: list[str], order: str) -> DataFrame:
-    """First 20 raw entities of each extraction; nameless and generic ones drop; fields cut to size."""
-    first = top_k(raw, extraction, [F.col(order)], MAX_PER_EXTRACTION, "_r").drop("_r")
+def clean_entities(raw: DataFrame, extraction: list[str], order: str, limit: int | None = None) -> DataFrame:
+    """Entities with a usable name; nameless and generic ones drop.  ``limit`` keeps the first ones of each extraction only."""
+    first = raw if limit is None else top_k(raw, extraction, [F.col(order)], limit, "_r").drop("_r")
     first = first.where(F.trim(F.coalesce("nombre", F.lit(""))) != "").withColumn("formas", name_forms(F.col("nombre"), F.col("alias")))
-    return first.where(is_specific(F.col("formas"))).withColumn("nombre", F.left(F.trim("nombre"), F.lit(80))).withColumn(
-        "tipo", entity_type(F.col("tipo"))).withColumn(
-        "alias", F.slice(F.transform("alias", lambda a: F.left(a, F.lit(40))), 1, MAX_ALIASES))
+    return first.where(is_specific(F.col("formas"))).withColumn("nombre", F.trim("nombre")).withColumn("tipo", entity_type(F.col("tipo")))
 
 
-def clean_relations(raw: DataFrame, entities: DataFrame, extraction: list[str], order: str) -> DataFrame:
-    """First 20 relations whose two ends are forms of the extraction's own entities."""
-    r = top_k(raw, extraction, [F.col(order)], MAX_PER_EXTRACTION, "_r").drop("_r")
+def clean_relations(raw: DataFrame, entities: DataFrame, extraction: list[str], order: str, limit: int | None = None) -> DataFrame:
+    """Relations whose two ends are forms of the extraction's own entities.  ``limit`` keeps the first ones of each extraction only."""
+    r = raw if limit is None else top_k(raw, extraction, [F.col(order)], limit, "_r").drop("_r")
     forms = entities.select(*extraction, F.explode("formas").alias("_f")).distinct()
     for end in ("origen", "destino"):
         r = r.join(forms.withColumnRenamed("_f", end), [*extraction, end], "left_semi")

@@ -16,7 +16,6 @@ WEIGHTS = (0.50, 0.30, 0.20)
 SCORE_LIMIT = 1.5
 TEMPERATURE_LIMIT = 80
 # Bootstrap seed and number of resamples.
-BOOTSTRAP_SEED = 20260829
 RESAMPLES = 10_000
 MAX_SIGN_PAIRS = 24
 
@@ -83,28 +82,6 @@ def sign_flip_test(diffs: DataFrame, d: str, order: str) -> DataFrame:
     ).withColumn("p_signos", F.col("extremas") / F.col("configuraciones"))
 
 
-def bootstrap_interval(diffs: DataFrame, d: str, order: str, seed: int = BOOTSTRAP_SEED, resamples: int = RESAMPLES) -> DataFrame:
-    """Paired bootstrap with the fixed generator; for small experiment tables only.
-
-    Reproducing one generator stream is serial by nature, so the sample size is
-    checked; :func:`poisson_bootstrap` resamples tables of any size.
-    """
-
-    @F.pandas_udf("bajo double, alto double")
-    def interval(values: pd.Series) -> pd.DataFrame:
-        out = []
-        for v in values:
-            x = np.asarray(v, dtype=float)
-            m = x[np.random.default_rng(seed).integers(0, len(x), size=(resamples, len(x)))].mean(axis=1)
-            out.append(np.percentile(m, [2.5, 97.5]))
-        return pd.DataFrame(out, columns=["bajo", "alto"])
-
-    one = diffs.limit(10_001).agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.struct(order, d))).alias("p"))
-    one = one.where(F.when(F.col("n") <= 10_000, True).otherwise(
-        F.raise_error(F.lit("the fixed-stream bootstrap takes at most 10000 rows")).cast("boolean")))
-    return one.select("n", interval(F.transform("p", lambda x: x[d].cast("double"))).alias("ic")).select("n", "ic.*")
-
-
 def poisson_bootstrap(df: DataFrame, value: str, key: str, resamples: int = 200) -> DataFrame:
     """Bootstrap means of a large table: each row enters each resample Poisson(1) times.
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructType
+from pyspark.sql.types import LongType, StringType, StructType
 
 from docloom.functions.names import name_key
 from docloom.functions.text import recover_json
@@ -20,9 +20,9 @@ PIECE_CHARS = 6000
 
 
 def ask(pieces: DataFrame, keys: list[str], text: str, model: Callable[[str], str]) -> DataFrame:
-    """``*keys, respuesta, error``: one reply per piece; a failing piece is kept with its error, not raised."""
+    """``*keys, parte, respuesta, error``: one reply per PIECE_CHARS characters of each text, all of it; a failing part is kept with its error, not raised."""
     fields = [f for f in pieces.schema.fields if f.name in keys]
-    schema = StructType(fields).add("respuesta", StringType()).add("error", StringType())
+    schema = StructType(fields).add("parte", LongType()).add("respuesta", StringType()).add("error", StringType())
 
     def run(batches):
         for b in batches:
@@ -32,17 +32,20 @@ def ask(pieces: DataFrame, keys: list[str], text: str, model: Callable[[str], st
                     out.append((model(t), None))
                 except Exception as e:  # a failed piece becomes a row, like any other outcome
                     out.append((None, f"{type(e).__name__}: {e}"[:300]))
-            yield b[keys].assign(respuesta=[r for r, _ in out], error=[e for _, e in out])
+            yield b[[*keys, "parte"]].assign(respuesta=[r for r, _ in out], error=[e for _, e in out])
 
-    return pieces.select(*keys, F.left(text, F.lit(PIECE_CHARS)).alias("_t")).mapInPandas(run, schema)
+    last = F.floor(F.greatest(F.length(text) - 1, F.lit(0)) / PIECE_CHARS)
+    parts = pieces.where(F.col(text).isNotNull()).select(*keys, text, F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("parte"))
+    return parts.select(*keys, "parte", F.substring(F.col(text), (F.col("parte") * PIECE_CHARS + 1).cast("int"), F.lit(PIECE_CHARS)).alias("_t")).mapInPandas(run, schema)
 
 
 def parse(replies: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
-    """Raw entities and relations of each reply, numbered in order; unreadable replies yield none."""
-    r = replies.select(*keys, F.from_json(recover_json(F.col("respuesta")), REPLY).alias("r"))
-    ents = r.select(*keys, F.posexplode("r.entidades").alias("pos", "e")).select(
-        *keys, "pos", "e.nombre", "e.tipo", F.coalesce("e.alias", F.array().cast("array<string>")).alias("alias"),
+    """Raw entities and relations of each reply, numbered in order (part, then place); unreadable replies yield none."""
+    pos = (F.col("parte") * (1 << 20) + F.col("pos")).alias("pos")
+    r = replies.select(*keys, "parte", F.from_json(recover_json(F.col("respuesta")), REPLY).alias("r"))
+    ents = r.select(*keys, "parte", F.posexplode("r.entidades").alias("pos", "e")).select(
+        *keys, pos, "e.nombre", "e.tipo", F.coalesce("e.alias", F.array().cast("array<string>")).alias("alias"),
         F.trim(F.coalesce("e.descripcion", F.lit(""))).alias("descripcion"))
-    rels = r.select(*keys, F.posexplode("r.relaciones").alias("pos", "e")).select(
-        *keys, "pos", name_key(F.coalesce("e.origen", F.lit(""))).alias("origen"), name_key(F.coalesce("e.destino", F.lit(""))).alias("destino"), "e.relacion")
+    rels = r.select(*keys, "parte", F.posexplode("r.relaciones").alias("pos", "e")).select(
+        *keys, pos, name_key(F.coalesce("e.origen", F.lit(""))).alias("origen"), name_key(F.coalesce("e.destino", F.lit(""))).alias("destino"), "e.relacion")
     return ents, rels

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import heapq
+import itertools
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -150,8 +151,8 @@ def lexical_order(ids: pd.Series, deps: pd.Series) -> pd.Series:
 def pair_weights(groups: DataFrame, members: str, relations: DataFrame | None = None) -> DataFrame:
     """Undirected weights ``a < b, w``: one per shared group plus two per citation of a relation.
 
-    ``members`` is an array of at most 20 names (the extraction's own bound), so a
-    row yields at most 190 pairs; pairs are built in the row and summed map-side.
+    ``members`` is the array of names found in one chunk, whose length in characters
+    bounds the pairs of a row; pairs are built in the row and summed map-side.
     """
     s = F.sort_array(F.array_distinct(F.col(members)))
     g = groups.select(s.alias("m")).select("m", F.posexplode("m").alias("i", "a"))
@@ -197,8 +198,11 @@ def modularity(edges: DataFrame, comm: DataFrame) -> float:
     return float(row["inside"] or 0) / m - float(tot["s"]) / (4 * m * m)
 
 
-def _move(edges: DataFrame, rounds: int) -> DataFrame:
-    """Local moving: each round half of the nodes (by hash) take the neighbour community of best gain."""
+def _move(edges: DataFrame, tolerance: float) -> DataFrame:
+    """Local moving: each round half of the nodes (by hash) take the neighbour community of best gain.
+
+    Ends when neither half moves, or when eight rounds raise the modularity by less than ``tolerance``.
+    """
     e = cut_lineage(both_ways(edges))
     loops = e.where(F.col("u") == F.col("v"))
     k = cut_lineage(e.groupBy("u").agg(F.sum("w").alias("k")))
@@ -209,7 +213,8 @@ def _move(edges: DataFrame, rounds: int) -> DataFrame:
     from docloom.plans.scale import hot_keys, salted_lookup
 
     hot = cut_lineage(hot_keys(hubs, ["v"], "_n"))
-    for r in range(rounds):
+    quiet, reached = 0, -1.0
+    for r in itertools.count():
         near = salted_lookup(walk, comm.select(F.col("node").alias("v"), "c"), ["v"], hot, ["u"])
         near = near.groupBy("u", "c").agg(F.sum("w").alias("w"))
         kc = k.join(comm.withColumnRenamed("node", "u"), "u")
@@ -225,22 +230,31 @@ def _move(edges: DataFrame, rounds: int) -> DataFrame:
         new = cut_lineage(best.select(F.col("u").alias("node"), F.when(turn, F.col("to")).otherwise(F.col("own")).alias("c"),
                                       (turn & (F.col("to") != F.col("own"))).alias("moved")))
         comm = new.select("node", "c")
-        if r % 2 and not new.where("moved").limit(1).count():
-            break
-    return comm
-
-
-def communities(edges: DataFrame, rounds: int = 6, levels: int = 2) -> DataFrame:
-    """Modularity communities ``node, c``: local moving, then moving of the merged graph."""
-    comm = _move(edges, rounds)
-    for _ in range(levels - 1):
+        quiet = 0 if new.where("moved").limit(1).count() else quiet + 1
+        if quiet == 2:
+            return comm
+        if r % 8 == 7:
+            now = modularity(edges, comm)
+            if now - reached < tolerance:
+                return comm
+            reached = now
+
+
+def communities(edges: DataFrame, tolerance: float = 1e-6) -> DataFrame:
+    """Modularity communities ``node, c``: local moving, then moving of the merged graph until that gains nothing."""
+    comm = _move(edges, tolerance)
+    reached = modularity(edges, comm)
+    while True:
         merged = edges.join(comm.select(F.col("node").alias("a"), F.col("c").alias("ca")), "a").join(
             comm.select(F.col("node").alias("b"), F.col("c").alias("cb")), "b")
         merged = merged.groupBy(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b")).agg(F.sum("w").cast("bigint").alias("w"))
-        up = _move(cut_lineage(merged), rounds)
-        comm = cut_lineage(lookup(comm, up.select(F.col("node").alias("c"), F.col("c").alias("c2")), ["c"], ["node"]).select(
+        up = _move(cut_lineage(merged), tolerance)
+        better = cut_lineage(lookup(comm, up.select(F.col("node").alias("c"), F.col("c").alias("c2")), ["c"], ["node"]).select(
             "node", F.col("c2").alias("c")))
-    return comm
+        now = modularity(edges, better)
+        if now - reached < tolerance:
+            return comm
+        comm, reached = better, now
 
 
 def ranked_communities(comm: DataFrame) -> DataFrame:

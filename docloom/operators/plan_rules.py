@@ -16,9 +16,8 @@ def plan_violations(tasks: DataFrame, sections: DataFrame, links: DataFrame, pla
     """``plan, problema`` for every broken rule.
 
     ``tasks``: plan, id, tipo, secciones, depende_de, criterio.  ``sections``: plan,
-    clave, trabajo.  ``links``: plan, src, dst (section depends on section).  The
-    rules that need ancestors run on plans within the size limit; a larger plan
-    is already invalid by its size, and its closure may be quadratic.
+    clave, trabajo.  ``links``: plan, src, dst (section depends on section).  Every
+    rule runs on plans of any size; a plan over the limit is reported for its size as well.
     """
     p = F.col
     say = lambda *parts: F.concat(*[x if not isinstance(x, str) else F.lit(x) for x in parts]).alias("problema")
@@ -41,11 +40,10 @@ def plan_violations(tasks: DataFrame, sections: DataFrame, links: DataFrame, pla
     others = needs.where(p("dep") != p("id"))
     out.append(others.join(ids, [plan, "dep"], "left_anti").select(plan, say(p("id"), " depende de ", p("dep"), ", que no existe")))
     edges = others.join(ids, [plan, "dep"], "left_semi").distinct()
-    fit = sizes.where(p("n") <= MAX_SUBTASKS).select(plan)
-    anc = cut_lineage(ancestors(edges.join(fit, plan, "left_semi"), plan))
+    anc = cut_lineage(ancestors(edges, plan))
     cyclic = anc.where(p("id") == p("dep")).select(plan).distinct()
     out.append(cyclic.select(plan, say("las dependencias forman un ciclo")))
-    sound = fit.join(cyclic, plan, "left_anti")
+    sound = sizes.select(plan).join(cyclic, plan, "left_anti")
     bare = sections.where("trabajo").select(plan, "clave").join(covers.select(plan, "clave").distinct(), [plan, "clave"], "left_anti")
     out.append(bare.join(sound, plan, "left_semi").select(plan, say("sección de trabajo sin subtarea: ", p("clave"))))
     givers = covers.where(p("tipo") == "calculo").select(plan, p("clave").alias("dst"), p("id").alias("giver")).distinct()

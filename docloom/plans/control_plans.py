@@ -73,7 +73,7 @@ _TAIL = _PS[_PS.rindex("SELECT page_id, sec_no, titulo"):]
 
 ORACLES = {
     "critic_verdicts": """WITH e AS (SELECT *, CASE WHEN value > 200 THEN 1 ELSE 0 END AS rc, event_type NOT IN ('error','signup') AS full_ FROM events),
-        r AS (SELECT event_id, list_filter([CASE WHEN value > 300 THEN 'tiempo agotado' END, CASE WHEN rc = 1 THEN 'el script terminó con código 1' END,
+        r AS (SELECT event_id, list_filter([CASE WHEN value > 300 THEN 'tiempo agotado' END, CASE WHEN rc = 1 AND value <= 300 THEN 'el script terminó con código 1' END,
           CASE WHEN rc = 0 AND event_type = 'error' THEN 'no escribió resultados.json (es el contrato)' END, CASE WHEN rc = 0 AND event_type = 'signup' THEN 'resultados.json no es un objeto con cifras' END,
           CASE WHEN rc = 0 AND full_ AND value < 1 THEN 'hay NaN o infinitos en resultados.json: m.loss' END,
           CASE WHEN rc = 0 AND full_ AND value / 100 >= 0.999 THEN 'plausibilidad: métricas ≥ 0,999 en un problema con ruido: m.accuracy' END,

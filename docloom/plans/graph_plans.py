@@ -10,11 +10,11 @@ from docloom.functions.vectors import dot, unit
 from docloom.operators import entities as en
 from docloom.operators import graph as gr
 from docloom.operators import plan_rules as pr
-from docloom.plans.scale import top_k
 from docloom.plans.text_plans import db_name_key
 from docloom.session import cut_lineage, table
 
-LEAD = en.MAX_PER_EXTRACTION
+CHUNK = 2500  # characters of a chunk; it bounds the pairs one row can yield
+LONG = 8  # letters of a benchmark term that counts as an entity form
 
 
 # ------------------------------------------------------------------ entities
@@ -36,7 +36,7 @@ def _entities(spark, sf):
 
 
 def entity_cleaning(spark, sf):
-    """Cleaned entities of each brand's extraction: first 20, generic names dropped."""
+    """Cleaned entities of every brand's extraction, generic names dropped."""
     raw = _raw_entities(spark, sf).withColumn("nombre", F.when(F.col("eid") % 10 == 0, F.lit("Los modelos")).otherwise(F.col("nombre")))
     c = en.clean_entities(raw, ["cita"], "eid")
     return c.select("eid", "cita", "nombre", "tipo", F.get("formas", F.lit(0)).alias("clave"))
@@ -45,7 +45,7 @@ def entity_cleaning(spark, sf):
 def relation_cleaning(spark, sf):
     """Relations of each order's extraction: both ends must be entities of the order, no loops."""
     li = table(spark, sf, "lineitem")
-    ent = li.where(F.col("l_linenumber") <= 4).select("l_orderkey", F.array(name_key(F.concat(F.lit("Part "), F.col("l_partkey").cast("string")))).alias("formas"))
+    ent = li.select("l_orderkey", F.array(name_key(F.concat(F.lit("Part "), F.col("l_partkey").cast("string")))).alias("formas"))
     rel = li.select("l_orderkey", F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice").alias("pos"),
                     name_key(F.concat(F.lit("the part "), F.col("l_partkey").cast("string"))).alias("origen"),
                     name_key(F.concat(F.lit("Parts "), (F.col("l_partkey") - F.col("l_linenumber") % 2).cast("string"))).alias("destino"),
@@ -85,23 +85,30 @@ def index_summary(spark, sf):
 
 
 # ------------------------------------------------------------------ term graph
-def _leading(spark, sf):
-    """The first 20 distinct terms of each document: the entities of its chunk."""
-    d = table(spark, sf, "documents")
-    return d.select("doc_id", "lang", F.slice(F.array_distinct(tokens(F.col("text"))), 1, LEAD).alias("m"))
+def _forms(spark, sf):
+    """Entity forms: the long terms of the benchmark items, ``item_id, m`` in order of first use."""
+    b = table(spark, sf, "benchmark")
+    return b.select("item_id", F.filter(F.array_distinct(tokens(F.col("text"))), lambda t: F.length(t) >= LONG).alias("m"))
+
+
+def _mentions(spark, sf):
+    """Entity forms found in each chunk of each document; every chunk of every text is read."""
+    d = table(spark, sf, "documents").select("doc_id", "lang", F.posexplode(F.regexp_extract_all("text", F.lit(f"(?s).{{1,{CHUNK}}}"), F.lit(0))).alias("chunk", "piece"))
+    t = d.select("doc_id", "lang", "chunk", F.explode(F.array_distinct(tokens(F.col("piece")))).alias("t")).where(F.length("t") >= LONG)
+    known = _forms(spark, sf).select(F.explode("m").alias("t")).distinct()
+    return t.join(known, "t", "left_semi").groupBy("doc_id", "lang", "chunk").agg(F.collect_set("t").alias("m"))
 
 
 def _term_relations(spark, sf):
-    """Consecutive leading terms of a benchmark item are related; items are the citations."""
-    b = table(spark, sf, "benchmark").select("item_id", F.slice(F.array_distinct(tokens(F.col("text"))), 1, LEAD).alias("m"))
-    pairs = F.zip_with(F.slice("m", F.lit(1), F.greatest(F.size("m") - 1, F.lit(0))), F.slice("m", F.lit(2), F.greatest(F.size("m") - 1, F.lit(0))),
-                       lambda a, c: F.struct(a.alias("origen"), c.alias("destino")))
-    r = b.select("item_id", F.explode(pairs).alias("p")).select("item_id", "p.*")
+    """Consecutive forms of a benchmark item are related; items are the citations."""
+    rest = F.greatest(F.size("m") - 1, F.lit(0))
+    pairs = F.zip_with(F.slice("m", F.lit(1), rest), F.slice("m", F.lit(2), rest), lambda a, c: F.struct(a.alias("origen"), c.alias("destino")))
+    r = _forms(spark, sf).select("item_id", F.explode(pairs).alias("p")).select("item_id", "p.*")
     return r.groupBy("origen", "destino").agg(F.count_distinct("item_id").alias("citas"))
 
 
 def _edges(spark, sf):
-    return gr.pair_weights(_leading(spark, sf), "m", _term_relations(spark, sf))
+    return gr.pair_weights(_mentions(spark, sf), "m", _term_relations(spark, sf))
 
 
 def cooccurrence_weights(spark, sf):
@@ -134,7 +141,7 @@ def induced_subgraph(spark, sf):
 
 def community_vote(spark, sf):
     """Terms of benchmark items take the language most of their labelled neighbours have."""
-    d = _leading(spark, sf).select("lang", F.explode("m").alias("node")).groupBy("node", "lang").agg(F.count("*").alias("n"))
+    d = _mentions(spark, sf).select("lang", F.explode("m").alias("node")).groupBy("node", "lang").agg(F.count("*").alias("n"))
     lab = d.groupBy("node").agg(F.min_by("lang", F.struct(-F.col("n"), F.col("lang"))).alias("label"), F.count("*").alias("langs"))
     lab = lab.where(F.col("langs") == 1).select("node", "label")
     return gr.inherit_community(cut_lineage(_edges(spark, sf)), lab)
@@ -142,8 +149,7 @@ def community_vote(spark, sf):
 
 def layer_merge(spark, sf):
     """Section layer plus entity layer: mentions, relations touching used entities, dependencies untouched."""
-    b = table(spark, sf, "benchmark").select(F.concat(F.lit("sec:"), F.col("item_id").cast("string")).alias("src"),
-                                              F.explode(F.slice(F.array_distinct(tokens(F.col("text"))), 1, LEAD)).alias("t"))
+    b = _forms(spark, sf).select(F.concat(F.lit("sec:"), F.col("item_id").cast("string")).alias("src"), F.explode("m").alias("t"))
     rel = _term_relations(spark, sf)
     mentions = b.select("src", F.concat(F.lit("ent:"), "t").alias("dst"), F.lit("menciona").alias("tipo"), F.lit(0).cast("bigint").alias("citas"))
     used = b.select(F.col("t").alias("node")).distinct()
@@ -163,13 +169,11 @@ def communities(spark, sf):
 
 
 def community_context(spark, sf):
-    """Up to 25 members of each community by weighted degree, with the documents that cite them."""
+    """Members of each community, and the distinct documents that cite each of them, summed."""
     e = cut_lineage(_edges(spark, sf))
     c = gr.communities(e)
-    deg = gr.both_ways(e).groupBy(F.col("u").alias("node")).agg(F.sum("w").alias("k"))
-    m = top_k(c.join(deg, "node"), ["c"], [F.col("k").desc(), F.col("node")], 25)
-    cites = _leading(spark, sf).select("doc_id", F.explode("m").alias("node")).groupBy("node").agg(F.count("*").alias("docs"))
-    return m.join(cites, "node", "left").groupBy("c").agg(F.count("*").alias("miembros"), F.sum("docs").cast("bigint").alias("citas"))
+    cites = _mentions(spark, sf).select("doc_id", F.explode("m").alias("node")).groupBy("node").agg(F.count_distinct("doc_id").alias("docs"))
+    return c.join(cites, "node", "left").groupBy("c").agg(F.count("*").alias("miembros"), F.sum("docs").cast("bigint").alias("citas"))
 
 
 # ------------------------------------------------------------------ plans and sections
@@ -233,11 +237,10 @@ def dag_cycles(spark, sf):
 
 
 def topo_order(spark, sf):
-    """Lexicographic topological order of the plans within the size limit (larger ones are rejected)."""
+    """Lexicographic topological order of every plan."""
     t = _chain(spark, sf)
-    ok = t.groupBy("conv_id").agg(F.count("*").alias("n")).where(F.col("n") <= pr.MAX_SUBTASKS).select("conv_id")
     name = lambda c: F.concat(F.lit("T"), (F.lit(12) - F.col(c)).cast("string"))
-    g = t.join(ok, "conv_id", "left_semi").groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct(
+    g = t.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct(
         name("node").alias("id"), F.when(F.col("dep").isNotNull(), F.array(name("dep"))).otherwise(F.array().cast("array<string>")).alias("deps")))).alias("p"))
     return g.select("conv_id", F.array_join(gr.lexical_order(F.transform("p", lambda x: x["id"]), F.transform("p", lambda x: x["deps"])), ",").alias("orden"))
 
@@ -264,7 +267,7 @@ def dependency_results(spark, sf):
     """What each subtask receives from the one it depends on, or why it receives nothing."""
     t = gr.propagate_failures(_chain(spark, sf).select("conv_id", "node", "dep", "tipo", "failed"), ["conv_id"])
     up = t.select("conv_id", F.col("node").alias("dep"), F.col("status").alias("s"))
-    text = table(spark, sf, "conversations").select("conv_id", F.col("turn").alias("dep"), F.left("text", F.lit(40)).alias("r"))
+    text = table(spark, sf, "conversations").select("conv_id", F.col("turn").alias("dep"), F.col("text").alias("r"))
     orig = _chain(spark, sf).where(F.col("dep").isNotNull()).select("conv_id", "node", "dep")
     j = orig.join(up, ["conv_id", "dep"]).join(text, ["conv_id", "dep"])
     return j.select("conv_id", "node", F.when(F.col("s") == "aprobada", F.col("r")).otherwise(
@@ -312,10 +315,11 @@ _FUS = f"""{_RAW}, fm AS (SELECT eid, 0 AS fpos, {_K('nombre')} AS forma FROM re
  me AS (SELECT root, any_value(clave) AS clave, any_value(nr) AS nombre, CASE WHEN any_value(tr) <> 'concepto' THEN any_value(tr) ELSE coalesce(arg_min(tipo, eid) FILTER (WHERE tipo <> 'concepto'), 'concepto') END AS tipo,
   count(*) AS menciones, count(DISTINCT cita) AS citas, count(DISTINCT origen) AS origenes, count(DISTINCT nullif(descripcion, '')) AS descripciones, (SELECT count(*) FROM av WHERE av.root = fu.root) AS n_alias FROM fu GROUP BY root)"""
 _TOKS = lambda t: rf"regexp_extract_all(lower({t}), '[\p{{L}}\p{{N}}_]{{2,}}')"
-_LEADQ = lambda src, key, more="": f"""(SELECT {key}{more}, t, row_number() OVER (PARTITION BY {key} ORDER BY i) AS r FROM (SELECT {key}{more}, t, min(i) AS i FROM (SELECT {key}{more}, unnest({_TOKS('text')}) AS t, generate_subscripts({_TOKS('text')}, 1) AS i FROM {src}) GROUP BY ALL))"""
-_EDG = f"""ld AS (SELECT * FROM {_LEADQ('documents', 'doc_id', ', lang')} WHERE r <= {LEAD}), lb AS (SELECT * FROM {_LEADQ('benchmark', 'item_id')} WHERE r <= {LEAD}),
+_EDG = f"""lb AS (SELECT item_id, t, row_number() OVER (PARTITION BY item_id ORDER BY i) AS r FROM (SELECT item_id, t, min(i) AS i FROM (SELECT item_id, unnest({_TOKS('text')}) AS t, generate_subscripts({_TOKS('text')}, 1) AS i FROM benchmark) GROUP BY ALL) WHERE length(t) >= {LONG}),
+ ck AS (SELECT doc_id, lang, c, substr(text, c * {CHUNK} + 1, {CHUNK}) AS piece FROM (SELECT doc_id, lang, text, unnest(range(0, ceil(length(text) / {CHUNK}.0)::INT)) AS c FROM documents)),
+ ld AS (SELECT DISTINCT doc_id, lang, c, t FROM (SELECT doc_id, lang, c, unnest({_TOKS('piece')}) AS t FROM ck) WHERE t IN (SELECT t FROM lb)),
  rl AS (SELECT x.t AS origen, y.t AS destino, count(DISTINCT x.item_id) AS citas FROM lb x JOIN lb y ON x.item_id = y.item_id AND y.r = x.r + 1 GROUP BY ALL),
- ed AS (SELECT a, b, sum(w)::BIGINT AS w FROM (SELECT x.t AS a, y.t AS b, 1 AS w FROM ld x JOIN ld y ON x.doc_id = y.doc_id AND x.t < y.t UNION ALL SELECT least(origen, destino), greatest(origen, destino), 2 * citas FROM rl) GROUP BY ALL),
+ ed AS (SELECT a, b, sum(w)::BIGINT AS w FROM (SELECT x.t AS a, y.t AS b, 1 AS w FROM ld x JOIN ld y ON x.doc_id = y.doc_id AND x.c = y.c AND x.t < y.t UNION ALL SELECT least(origen, destino), greatest(origen, destino), 2 * citas FROM rl) GROUP BY ALL),
  bw AS (SELECT a AS u, b AS v, w FROM ed UNION ALL SELECT b, a, w FROM ed)"""
 _SEED = f"{_EDG}, sd AS (SELECT u AS node, sum(w)::BIGINT AS k FROM bw GROUP BY u ORDER BY k DESC, node LIMIT 6), nb AS (SELECT v AS node, sum(w)::BIGINT AS w FROM bw WHERE u IN (SELECT node FROM sd) AND v NOT IN (SELECT node FROM sd) GROUP BY v)"
 _SEC = f"""se AS (SELECT conv_id, turn AS sec_no, CASE WHEN turn = 0 THEN 'Preámbulo' ELSE 'Pregunta ' || turn::VARCHAR END AS clave, (turn > 0 AND role <> 'system') AS trabajo,
@@ -338,9 +342,9 @@ _CHN = """cn AS (SELECT conv_id, turn AS node, CASE WHEN turn - CASE WHEN role =
 
 ORACLES = {
     "entity_cleaning": f"""WITH {_RAW}, r AS (SELECT eid, cita, CASE WHEN eid % 10 = 0 THEN 'Los modelos' ELSE nombre END AS nombre, tipo, row_number() OVER (PARTITION BY cita ORDER BY eid) AS rn FROM re),
-        k AS (SELECT *, {_K('nombre')} AS clave FROM r WHERE rn <= 20) SELECT eid, cita, nombre, tipo, clave FROM k WHERE clave <> 'modelo'""",
-    "relation_cleaning": """WITH e AS (SELECT DISTINCT l_orderkey, l_partkey AS p FROM lineitem WHERE l_linenumber <= 4), r AS (SELECT l_orderkey, l_partkey AS o, l_partkey - l_linenumber % 2 AS d, l_returnflag, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS rn FROM lineitem)
-        SELECT r.l_orderkey, 'part ' || o::VARCHAR AS origen, 'part ' || d::VARCHAR AS destino, 'va_con_' || lower(l_returnflag) AS relacion, count(*) AS n FROM r JOIN e a ON a.l_orderkey = r.l_orderkey AND a.p = o JOIN e b ON b.l_orderkey = r.l_orderkey AND b.p = d WHERE rn <= 20 AND o <> d GROUP BY ALL""",
+        k AS (SELECT *, {_K('nombre')} AS clave FROM r) SELECT eid, cita, nombre, tipo, clave FROM k WHERE clave <> 'modelo'""",
+    "relation_cleaning": """WITH e AS (SELECT DISTINCT l_orderkey, l_partkey AS p FROM lineitem), r AS (SELECT l_orderkey, l_partkey AS o, l_partkey - l_linenumber % 2 AS d, l_returnflag, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS rn FROM lineitem)
+        SELECT r.l_orderkey, 'part ' || o::VARCHAR AS origen, 'part ' || d::VARCHAR AS destino, 'va_con_' || lower(l_returnflag) AS relacion, count(*) AS n FROM r JOIN e a ON a.l_orderkey = r.l_orderkey AND a.p = o JOIN e b ON b.l_orderkey = r.l_orderkey AND b.p = d WHERE o <> d GROUP BY ALL""",
     "entity_fusion": f"WITH RECURSIVE {_FUS} SELECT * FROM me",
     "entity_aliases": f"WITH RECURSIVE {_FUS} SELECT root, alias, primera FROM av",
     "relation_fusion": f"WITH RECURSIVE {_FUS} SELECT clave AS origen, {_K('s_name')} AS destino, 'flag_' || lower(l_returnflag) AS relacion, count(DISTINCT year(l_shipdate)) AS citas, count(*) AS menciones FROM lineitem JOIN fu ON eid = l_partkey JOIN supplier ON s_suppkey = l_suppkey GROUP BY ALL",
@@ -360,12 +364,16 @@ ORACLES = {
         SELECT pt.conv_id, node, motivo, (length(node) + length(motivo) + length(texto) + 6)::BIGINT AS n_chars FROM pt JOIN se ON se.conv_id = pt.conv_id AND se.clave = pt.node""",
     "failure_propagation": f"WITH RECURSIVE {_CHN} SELECT conv_id, node, status FROM ss",
     "dag_cycles": "SELECT conv_id, turn AS node FROM conversations WHERE conv_id % 3 = 0",
+    "topo_order": """WITH RECURSIVE t AS (SELECT conv_id, 'T' || (12 - turn)::VARCHAR AS id, CASE WHEN turn - b >= 0 THEN 'T' || (12 - turn + b)::VARCHAR END AS dep FROM (SELECT *, CASE WHEN role = 'user' THEN 2 ELSE 1 END AS b FROM conversations)),
+        r AS (SELECT conv_id, []::VARCHAR[] AS done FROM t GROUP BY conv_id UNION ALL
+          SELECT r.conv_id, list_append(any_value(r.done), min(t.id)) FROM r JOIN t ON t.conv_id = r.conv_id AND NOT list_contains(r.done, t.id) AND (t.dep IS NULL OR list_contains(r.done, t.dep)) GROUP BY r.conv_id)
+        SELECT conv_id, array_to_string(arg_max(done, len(done)), ',') AS orden FROM r GROUP BY conv_id""",
     "plan_violations": f"""WITH RECURSIVE {_CHN}, tk AS (SELECT conv_id, node, CASE WHEN role = 'system' AND conv_id % 7 = 0 THEN '' ELSE 'T' || node::VARCHAR END AS id, CASE WHEN length(text) % 11 = 0 THEN 'redaccion' ELSE tipo END AS tipo,
         'Parte ' || (node + CASE WHEN length(text) % 13 = 0 THEN 1 ELSE 0 END)::VARCHAR AS sec, CASE WHEN length(text) % 17 = 0 THEN 'T' || node::VARCHAR WHEN length(text) % 19 = 0 THEN 'T99' WHEN conv_id % 5 = 0 AND node = 0 THEN 'T1' WHEN node > 0 THEN 'T' || (node-1)::VARCHAR END AS dep, length(text) < 60 AS bare FROM cn),
         sc AS (SELECT conv_id, 'Parte ' || node::VARCHAR AS clave, tipo = 'calculo' AS trabajo FROM cn), sz AS (SELECT conv_id, count(*) AS n FROM tk GROUP BY 1),
         eg AS (SELECT DISTINCT conv_id, id, dep FROM tk t WHERE dep <> id AND EXISTS (SELECT 1 FROM tk u WHERE u.conv_id = t.conv_id AND u.id = t.dep)),
-        an AS (SELECT * FROM eg WHERE conv_id IN (SELECT conv_id FROM sz WHERE n <= 12) UNION SELECT an.conv_id, an.id, eg.dep FROM an JOIN eg ON eg.conv_id = an.conv_id AND eg.id = an.dep),
-        cy AS (SELECT DISTINCT conv_id FROM an WHERE id = dep), so AS (SELECT conv_id FROM sz WHERE n <= 12 AND conv_id NOT IN (SELECT conv_id FROM cy)),
+        an AS (SELECT * FROM eg UNION SELECT an.conv_id, an.id, eg.dep FROM an JOIN eg ON eg.conv_id = an.conv_id AND eg.id = an.dep),
+        cy AS (SELECT DISTINCT conv_id FROM an WHERE id = dep), so AS (SELECT conv_id FROM sz WHERE conv_id NOT IN (SELECT conv_id FROM cy)),
         gv AS (SELECT DISTINCT conv_id, sec, id FROM tk WHERE tipo = 'calculo'),
         wt AS (SELECT t.conv_id, t.id, t.sec AS src, g.sec AS dst, g.id AS giver FROM tk t JOIN cn l ON l.conv_id = t.conv_id AND l.node >= 2 AND t.sec = 'Parte ' || l.node::VARCHAR JOIN gv g ON g.conv_id = t.conv_id AND g.sec = 'Parte ' || (l.node - 2)::VARCHAR WHERE g.id <> t.id),
         wm AS (SELECT wt.*, an.dep IS NOT NULL AS met FROM wt LEFT JOIN (SELECT DISTINCT * FROM an) an ON an.conv_id = wt.conv_id AND an.id = wt.id AND an.dep = wt.giver)
@@ -380,7 +388,7 @@ ORACLES = {
         UNION ALL SELECT conv_id, 'las dependencias forman un ciclo' FROM cy
         UNION ALL SELECT conv_id, 'sección de trabajo sin subtarea: ' || clave FROM sc WHERE trabajo AND conv_id IN (SELECT conv_id FROM so) AND NOT EXISTS (SELECT 1 FROM tk WHERE tk.conv_id = sc.conv_id AND sec = clave)
         UNION ALL SELECT conv_id, id || ' cubre ' || src || ', que depende de ' || dst || ', pero ' || id || ' no depende de ella' FROM wm WHERE conv_id IN (SELECT conv_id FROM so) GROUP BY conv_id, id, src, dst HAVING NOT bool_or(met)""",
-    "dependency_results": f"WITH RECURSIVE {_CHN} SELECT cn.conv_id, cn.node, CASE WHEN status = 'aprobada' THEN left(u.text, 40) ELSE '[T' || cn.dep::VARCHAR || '] no tiene resultados aprobados (status: ' || status || ')' END AS recibe FROM cn JOIN ss ON ss.conv_id = cn.conv_id AND ss.node = cn.dep JOIN cn u ON u.conv_id = cn.conv_id AND u.node = cn.dep",
+    "dependency_results": f"WITH RECURSIVE {_CHN} SELECT cn.conv_id, cn.node, CASE WHEN status = 'aprobada' THEN u.text ELSE '[T' || cn.dep::VARCHAR || '] no tiene resultados aprobados (status: ' || status || ')' END AS recibe FROM cn JOIN ss ON ss.conv_id = cn.conv_id AND ss.node = cn.dep JOIN cn u ON u.conv_id = cn.conv_id AND u.node = cn.dep",
     "local_search": """WITH x AS (SELECT generate_subscripts(embedding, 1) AS i, unnest(embedding)::DOUBLE AS v FROM embeddings), m AS (SELECT i, avg(v) AS v FROM x GROUP BY 1), n AS (SELECT list(v / (SELECT sqrt(sum(v*v)) FROM m) ORDER BY i) AS q FROM m),
         si AS (SELECT vec_id AS node, label, round(list_dot_product(embedding::DOUBLE[], q), 9) AS s FROM embeddings, n),
         sd AS (SELECT node, s FROM (SELECT node, s FROM si WHERE label = 0 ORDER BY s DESC, node LIMIT 6) UNION SELECT node, s FROM (SELECT node, s FROM si ORDER BY s DESC, node LIMIT 6)),

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from docloom.functions import code_rules
 from docloom.functions import figures as fg
 from docloom.functions.text import without_code
 from docloom.operators import checks as ck
@@ -103,34 +102,10 @@ def files_present(spark, sf):
     return ck.files_check(p, "host", "url", r"/(en|fr)/\d+", 2)
 
 
-def code_guard(spark, sf):
-    """Static guard over one derived script per page."""
-    host = F.regexp_extract("url", "^https?://([^/]+)", 1)
-    k = F.col("page_id") % 4
-    code = (F.when(k == 0, F.concat(F.lit("import pandas as pd\ndf = pd.read_csv('"), "url", F.lit("')\n")))
-            .when(k == 1, F.concat(F.lit("import socket\nopen('/"), host, F.lit("')\n")))
-            .when(k == 2, F.concat(F.lit("import os\nos.replace('a', '"), host, F.lit("')\ns = 'a'.replace('a', 'b')\n")))
-            .otherwise(F.concat(F.lit("x = '"), host, F.lit("'\nprint(eval(x))\n"))))
-    return table(spark, sf, "pages").select("page_id", code_rules.guard(code).alias("g")).select(
-        "page_id", F.array_join("g.violations", "; ").alias("violaciones"), F.array_join("g.downloads", "; ").alias("descargas"))
-
-
-def leak_lint(spark, sf):
-    """Leak rules, plausibility and the naive exit-code verdict side by side, one script per event."""
-    v = F.when(F.col("event_type") == "click", "X_train").otherwise("X_test")
-    code = F.concat(F.lit("m.fit(X_train, y)\ns = m.score("), v, F.lit(", y)\n"), F.when(
-        F.col("event_type") == "view", "Z = sc.fit_transform(X)\na, b = train_test_split(Z, y)\n").otherwise(""))
-    e = table(spark, sf, "events").select("event_id", "value", code_rules.leaks(code).alias("l"))
-    acc = F.col("value") / 100
-    return e.select(
-        "event_id", F.array_join("l.scored_on_fit", ",").alias("fuga"), F.array_join("l.fit_before_split", ",").alias("antes"),
-        (F.col("value") < 200).cast("int").alias("ingenuo"),
-        ((F.size("l.scored_on_fit") == 0) & (F.size("l.fit_before_split") == 0) & (acc < 0.999)).cast("int").alias("aprobado"))
-
 
 QUERIES = {f.__name__: f for f in (
     numbers_extracted, provenance_fraction, provenance_per_reading, unsupported_figures, figure_suggestions, marked_reports,
-    checks_dispatch, checks_tally, files_present, code_guard, leak_lint)}
+    checks_dispatch, checks_tally, files_present)}
 
 
 def db_figures(text: str) -> str:
@@ -179,16 +154,11 @@ ORACLES = {
     "provenance_fraction": f"WITH {_CHK} SELECT d.doc_id, round(coalesce(avg(ok), 1.0), 6)::DOUBLE AS fraccion, count(ok) AS total, coalesce(array_to_string(list_sort(list(DISTINCT raw) FILTER (WHERE ok = 0)), '|'), '') AS sin_origen FROM documents d LEFT JOIN ch USING (doc_id) GROUP BY d.doc_id",
     "provenance_per_reading": f"WITH {_REP}, {_FIG}, {_GIV}, {_READ}, {_ME}, {_SUP}, x AS (SELECT doc_id, (su.value IS NOT NULL)::INT AS ok FROM rd LEFT JOIN su USING (value, decimals) WHERE decimals >= 2 AND rd.value NOT IN (SELECT v FROM gi)) SELECT d.doc_id, round(coalesce(avg(ok), 1.0), 6)::DOUBLE AS fraccion, count(ok) AS total FROM documents d LEFT JOIN x USING (doc_id) GROUP BY d.doc_id",
     "unsupported_figures": f"WITH {_CHK} SELECT raw, count(*) AS veces, count(DISTINCT doc_id) AS documentos FROM ch WHERE ok = 0 GROUP BY raw",
-    "figure_suggestions": f"""WITH {_CHK}, u AS (SELECT DISTINCT value, decimals FROM ch WHERE ok = 0 AND decimals <= 8),
+    "figure_suggestions": f"""WITH {_CHK}, u AS (SELECT DISTINCT value, decimals FROM ch WHERE ok = 0),
         nr AS (SELECT value, decimals, arg_min(a, (abs(a - value), a)) AS medido FROM u, me WHERE abs(a - value) <= 1.5 * pow(10.0, -decimals) GROUP BY ALL),
         fr AS (SELECT value, decimals, min(a) AS medido FROM u ANTI JOIN nr USING (value, decimals), me WHERE value > 0 AND a > 0 AND round(log10(a / value)) <> 0 AND abs(a / pow(10.0, round(log10(a / value))) - value) <= 0.5 * pow(10.0, -decimals) + 1e-9 GROUP BY ALL)
         SELECT value, decimals, round(medido, 6) AS medido, 'redondeo' AS pista, 0::INT AS exponente FROM nr UNION ALL SELECT value, decimals, round(medido, 6), 'escala', round(log10(medido / value))::INT FROM fr""",
     "checks_dispatch": f"WITH {_DISP} SELECT doc_id, \"check\", tipo, ok, detalle FROM k",
     "checks_tally": f"WITH {_DISP} SELECT lang, \"check\", sum(ok)::BIGINT AS aprobadas, count(*) AS total FROM k GROUP BY lang, \"check\"",
     "files_present": r"WITH p AS (SELECT regexp_extract(url, '^https?://([^/]+)', 1) AS host, regexp_matches(url, '/(en|fr)/\d+') AS m FROM pages) SELECT host, (count(*) FILTER (WHERE m) >= 2)::INT AS ok, (count(*) FILTER (WHERE m))::VARCHAR || ' archivo(s)' AS detalle FROM p GROUP BY host",
-    "code_guard": r"""WITH p AS (SELECT page_id, url, regexp_extract(url, '^https?://([^/]+)', 1) AS host, page_id % 4 AS k FROM pages) SELECT page_id,
-        CASE k WHEN 0 THEN '' WHEN 1 THEN 'línea 1: import socket (red, procesos o borrado); línea 2: open(''/' || host || ''') sale de la carpeta de trabajo' WHEN 2 THEN 'línea 2: .replace() (procesos, borrado o permisos)' ELSE 'línea 2: eval()' END AS violaciones,
-        CASE k WHEN 0 THEN 'línea 2: read_csv(''' || left(url, 60) || ''')' ELSE '' END AS descargas FROM p""",
-    "leak_lint": """SELECT event_id, CASE WHEN event_type = 'click' THEN 'X_train' ELSE '' END AS fuga, CASE WHEN event_type = 'view' THEN 'Z (ajustado en la línea 3, dividido en la 4)' ELSE '' END AS antes,
-        (value < 200)::INT AS ingenuo, (event_type NOT IN ('click','view') AND value / 100 < 0.999)::INT AS aprobado FROM events""",
 }

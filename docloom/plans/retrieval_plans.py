@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from docloom.functions.vectors import dot, lexical_embedding, unit
+from docloom.functions.text import token_counts
+from docloom.functions.vectors import char_grams, dot, unit
 from docloom.operators import retrieval as rt
 from docloom.operators.containment import contained_items
 from docloom.plans.scale import lookup, top_k
@@ -144,10 +145,14 @@ def vector_reuse(spark, sf):
 
 
 def lexical_similarity(spark, sf):
-    """Hashed n-gram similarity of each conversation turn to the turn before it."""
-    c = cut_lineage(lexical_embedding(table(spark, sf, "conversations"), ["conv_id", "turn"], "text", "e"))
-    prev = c.select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("e").alias("p"))
-    return c.join(prev, ["conv_id", "turn"]).select("conv_id", "turn", F.round(dot(F.col("e"), F.col("p")), 4).alias("sim"))
+    """Cosine of the character n-gram counts of each conversation turn and the turn before it."""
+    t = table(spark, sf, "conversations").select("conv_id", "turn", token_counts(char_grams()(F.col("text"))).alias("g"))
+    norm = F.sqrt(F.aggregate("g", F.lit(0.0), lambda a, x: a + x["tf"] * x["tf"]))
+    rows = t.select("conv_id", "turn", norm.alias("norm"), F.explode_outer("g").alias("g")).select("conv_id", "turn", "norm", "g.term", "g.tf")
+    prev = rows.select("conv_id", (F.col("turn") + 1).alias("turn"), "term", F.col("tf").alias("tp"), F.col("norm").alias("np"))
+    both = rows.join(prev, ["conv_id", "turn", "term"]).groupBy("conv_id", "turn").agg((F.sum(F.col("tf") * F.col("tp")) / F.first("norm") / F.first("np")).alias("sim"))
+    pairs = t.select("conv_id", "turn").join(t.select("conv_id", (F.col("turn") + 1).alias("turn")), ["conv_id", "turn"])
+    return pairs.join(both, ["conv_id", "turn"], "left").select("conv_id", "turn", F.round(F.coalesce("sim", F.lit(0.0)), 4).alias("sim"))
 
 
 def shared_terms(spark, sf):
@@ -183,7 +188,7 @@ _BOTH = "vo AS (SELECT term, count(*) AS df, ln((1 + (SELECT count(*) FROM docum
 _SIM = """dw AS (SELECT doc_id, term, tf * idf AS w FROM dt JOIN vo USING (term)), dn AS (SELECT doc_id, sqrt(sum(w*w)) AS n FROM dw GROUP BY doc_id),
  qw AS (SELECT item_id, term, tf * idf AS w FROM qt JOIN vo USING (term)), qn AS (SELECT item_id, sqrt(sum(w*w)) AS n FROM qw GROUP BY item_id),
  sp AS (SELECT item_id, doc_id, sum(qw.w * dw.w) AS s FROM qw JOIN dw USING (term) GROUP BY ALL),
- si AS (SELECT q.item_id, d.doc_id, round(coalesce(s / (q.n * d.n), 0), 9) AS score FROM qn q CROSS JOIN dn d LEFT JOIN sp ON sp.item_id = q.item_id AND sp.doc_id = d.doc_id),
+ si AS (SELECT q.item_id, d.doc_id, round(coalesce(s / (qn.n * dn.n), 0), 9) AS score FROM benchmark q CROSS JOIN documents d LEFT JOIN qn ON qn.item_id = q.item_id LEFT JOIN dn ON dn.doc_id = d.doc_id LEFT JOIN sp ON sp.item_id = q.item_id AND sp.doc_id = d.doc_id),
  rk AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM si)"""
 _VERB = "vb AS (SELECT item_id, doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text))"
 _CEN = """cx AS (SELECT label, generate_subscripts(embedding, 1) AS i, unnest(embedding)::DOUBLE AS v FROM embeddings), cm AS (SELECT label, i, avg(v) AS v FROM cx GROUP BY ALL),
@@ -214,6 +219,11 @@ ORACLES = {
         p AS (SELECT label FROM embeddings GROUP BY 1 ORDER BY count(*) DESC, label LIMIT 2), s AS (SELECT vec_id, label, (label IN (SELECT label FROM p))::INT AS pref, round(list_dot_product(embedding::DOUBLE[], q), 9) AS s FROM embeddings, n)
         SELECT vec_id, label, pref, round(s, 6) AS score FROM s ORDER BY pref DESC, s.s DESC, vec_id LIMIT 20""",
     "vector_reuse": "SELECT count(*) AS total, count(e.vec_id) AS reusados FROM orders LEFT JOIN embeddings e ON o_orderkey = vec_id",
+    "lexical_similarity": r"""WITH w AS (SELECT conv_id, turn, ' ' || unnest(regexp_extract_all(strip_accents(lower(text)), '\S+')) || ' ' AS p FROM conversations),
+        g AS (SELECT conv_id, turn, g, count(*) AS c FROM (SELECT conv_id, turn, substr(p, unnest(range(1, length(p) - 1)), 3) AS g FROM w UNION ALL SELECT conv_id, turn, substr(p, unnest(range(1, length(p) - 2)), 4) FROM w) GROUP BY ALL),
+        n AS (SELECT conv_id, turn, sqrt(sum(c * c)) AS n FROM g GROUP BY ALL), s AS (SELECT a.conv_id, a.turn, sum(a.c * b.c) AS s FROM g a JOIN g b ON b.conv_id = a.conv_id AND b.turn = a.turn - 1 AND b.g = a.g GROUP BY ALL)
+        SELECT c.conv_id, c.turn, round(coalesce(s.s / (x.n * y.n), 0), 4) AS sim FROM conversations c JOIN conversations p ON p.conv_id = c.conv_id AND p.turn = c.turn - 1
+        LEFT JOIN s ON s.conv_id = c.conv_id AND s.turn = c.turn LEFT JOIN n x ON x.conv_id = c.conv_id AND x.turn = c.turn LEFT JOIN n y ON y.conv_id = c.conv_id AND y.turn = c.turn - 1""",
     "shared_terms": f"""WITH {_BASE}, {_CORPUS}, {_SIM}, b AS (SELECT item_id, doc_id FROM rk WHERE rank = 1)
         SELECT b.item_id, b.doc_id, coalesce(string_agg(qt.term, ' ' ORDER BY qt.term) FILTER (WHERE dt.term IS NOT NULL), '') AS comunes, coalesce(string_agg(qt.term, ' ' ORDER BY qt.term) FILTER (WHERE dt.term IS NULL), '') AS ausentes
         FROM b JOIN qt USING (item_id) LEFT JOIN dt ON dt.doc_id = b.doc_id AND dt.term = qt.term GROUP BY ALL""",

@@ -7,21 +7,16 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-HOT_SHARE = 1000
-SALTS = 32
+ROWS_PER_TASK = 1_000_000
 
 
-def hot_keys(counts: DataFrame, keys: Sequence[str], count_col: str, share: int = HOT_SHARE) -> DataFrame:
-    """Keys that hold more than 1/share of all rows.
+def hot_keys(counts: DataFrame, keys: Sequence[str], count_col: str, rows: int = ROWS_PER_TASK) -> DataFrame:
+    """Keys with more rows than one task should get, and into how many parts (``_salts``) they are split.
 
-    The counts add up to the number of rows, so fewer than ``share`` keys can
-    qualify: the result is small by arithmetic, whatever the data size.
+    The counts add up to the number of rows, so at most one row in ``rows`` of the table is
+    listed: a few thousand keys on billions of rows.
     """
-    total = counts.agg(F.sum(count_col).alias("_total"))
-    return (
-        counts.join(F.broadcast(total), F.col(count_col) * share > F.col("_total"))
-        .select(*keys)
-    )
+    return counts.where(F.col(count_col) > rows).select(*keys, F.ceil(F.col(count_col) / rows).cast("int").alias("_salts"))
 
 
 def salted_lookup(
@@ -31,32 +26,19 @@ def salted_lookup(
     hot: DataFrame,
     spread_on: Sequence[str | Column],
     how: str = "inner",
-    salts: int = SALTS,
 ) -> DataFrame:
     """Equi join of a skewed ``left`` with a ``right`` that has one row per key.
 
-    Rows of hot keys are spread over ``salts`` sub-keys and the few matching
+    Rows of hot keys are spread over as many sub-keys as they need and the few matching
     right rows are repeated once per sub-key; everything else joins as usual.
-    ``hot`` comes from :func:`hot_keys` and is therefore bounded.
+    ``hot`` comes from :func:`hot_keys`; the planner broadcasts it when it is small.
     """
     keys = list(keys)
-    flagged = hot.select(*keys).withColumn("_hot", F.lit(True))
-    l = (
-        left.join(F.broadcast(flagged), keys, "left")
-        .withColumn(
-            "_salt",
-            F.when(F.col("_hot"), F.pmod(F.xxhash64(*spread_on), F.lit(salts)).cast("int")).otherwise(F.lit(0)),
-        )
-        .drop("_hot")
-    )
-    r = (
-        right.join(F.broadcast(flagged), keys, "left")
-        .withColumn(
-            "_salt",
-            F.explode(F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))),
-        )
-        .drop("_hot")
-    )
+    flagged = hot.select(*keys, "_salts")
+    salt = F.when(F.col("_salts").isNotNull(), F.pmod(F.xxhash64(*spread_on), F.col("_salts")).cast("int")).otherwise(F.lit(0))
+    l = left.join(flagged, keys, "left").withColumn("_salt", salt).drop("_salts")
+    every = F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_salts"), F.lit(1)) - 1))
+    r = right.join(flagged, keys, "left").withColumn("_salt", every).drop("_salts")
     return l.join(r, [*keys, "_salt"], how).drop("_salt")
 
 
@@ -67,8 +49,8 @@ def lookup(
     spread_on: Sequence[str | Column],
     how: str = "inner",
 ) -> DataFrame:
-    """:func:`salted_lookup` with the hot keys counted from ``left``."""
-    counts = left.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    """:func:`salted_lookup` with the hot keys counted from the key columns of ``left``."""
+    counts = left.select(*keys).groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     return salted_lookup(left, right, keys, hot_keys(counts, keys, "_n"), spread_on, how)
 
 

@@ -68,11 +68,6 @@ def sign_flip_exact(spark, sf):
     return ex.sign_flip_test(_monthly(spark, sf), "d", "m")
 
 
-def bootstrap_ci(spark, sf):
-    r = ex.bootstrap_interval(_monthly(spark, sf), "d", "m")
-    return r.select("n", F.round("bajo", 6).alias("bajo"), F.round("alto", 6).alias("alto"))
-
-
 def poisson_bootstrap_ci(spark, sf):
     r = ex.poisson_bootstrap(table(spark, sf, "orders"), "o_totalprice", "o_orderkey")
     return r.select("remuestras", F.round("bajo", 2).alias("bajo"), F.round("alto", 2).alias("alto"))
@@ -186,7 +181,7 @@ def numeric_leaves(spark, sf):
 
 
 QUERIES = {f.__name__: f for f in (
-    zscore_review, group_summary, paired_t, paired_t_inference, sign_counts, sign_flip_exact, bootstrap_ci,
+    zscore_review, group_summary, paired_t, paired_t_inference, sign_counts, sign_flip_exact,
     poisson_bootstrap_ci, percentile_ci, softmax_entropy, top_p, kl_bits, class_counts, naive_bayes,
     logistic_regression, implausible_metrics, numeric_leaves)}
 

@@ -15,13 +15,12 @@ def stream_events_daily(spark, sf):
 
 def stream_spend(spark, sf):
     u = ev.drain(ev.spend_by_run(ev.event_stream(spark, sf), 500.0), "update")
-    r = ev.latest(u, ["user_id", "shard"], ["n", "spent"])
-    return r.groupBy("user_id").agg(F.sum("n").cast("bigint").alias("n"), F.round(F.sum("spent"), 2).alias("spent"))
+    return ev.latest(u, ["user_id"], ["n", "spent", "over"]).select("user_id", "n", F.round("spent", 2).alias("spent"), "over")
 
 
 QUERIES = {f.__name__: f for f in (stream_events_daily, stream_spend)}
 
 ORACLES = {
     "stream_events_daily": "SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY ALL",
-    "stream_spend": "SELECT user_id, count(*) AS n, round(sum(value), 2) AS spent FROM events GROUP BY user_id",
+    "stream_spend": "SELECT user_id, count(*) AS n, round(sum(value), 2) AS spent, (sum(value) > 500)::INT AS over FROM events GROUP BY user_id",
 }

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from docloom.functions import figures as fig
-from docloom.functions import names
+from docloom.functions import limits, names
 from docloom.functions import text as tx
 from docloom.operators import sections as sec
 from docloom.plans.scale import lookup
@@ -173,6 +173,16 @@ def chunk_pack(spark, sf):
         F.count("*").alias("blocks"), F.sum(F.length("z.l")).cast("bigint").alias("chars"))
 
 
+def document_limits(spark, sf):
+    """Word limits of assignments made from turns: for the whole text, for an answer, for a numbered task."""
+    n = (100 + F.col("turn")).cast("string")
+    head = (F.when(F.col("turn") % 3 == 0, F.concat(F.lit("El informe no supera las "), n, F.lit(" palabras. ")))
+            .when(F.col("turn") % 3 == 1, F.lit("Cada respuesta tiene un máximo de diez palabras. Escriba con cuidado. El total es de 1.500 palabras como máximo. "))
+            .otherwise(F.lit("Redacte esto. 3. Un resumen de hasta 150 palabras. ")))
+    c = table(spark, sf, "conversations").select("conv_id", "turn", limits.limits("palabras")(F.concat(head, "text")).alias("l"))
+    return c.select("conv_id", "turn", "l.whole", F.array_join("l.partial", "|").alias("partial"))
+
+
 def body_size(spark, sf):
     """Median over long lines, line length standing in for the font size."""
     lines = F.transform(F.split("text", "\n"), lambda t: F.struct(
@@ -183,7 +193,7 @@ def body_size(spark, sf):
 QUERIES = {f.__name__: f for f in (
     word_limit_check, contains_all, mask_secrets, token_profile, name_keys, name_forms, heading_positions,
     repeat_detector, clip_marker, json_recovery, missing_links, replace_exactly_once, rough_figures, normalise_text,
-    page_sections, fence_parity, chunk_pack, body_size)}
+    page_sections, fence_parity, chunk_pack, body_size, document_limits)}
 
 _KEY = r"""trim(regexp_replace(lower(strip_accents({x})), '[^a-z0-9]+', ' ', 'g'))"""
 _ARTICLES = "'el','la','los','las','un','una','unos','unas','the','a','an'"
@@ -249,6 +259,8 @@ ORACLES = {
         WHERE length(text) - length(replace(text, 'License', '')) = 7""",
     "rough_figures": r"""WITH t AS (SELECT doc_id, regexp_replace(text || ' 0,25 y ' || (doc_id % 90 + 10)::VARCHAR || '.5 %', '```.*?```', '', 'gs') AS t FROM documents)
         SELECT doc_id, array_to_string(regexp_extract_all(t, '(?:^|[^\p{L}\p{N}_.])(0[.,]\d{2,4}|\d{2}[.,]\d{1,2}\s?%)', 1), '|') AS cifras FROM t""",
+    "document_limits": """SELECT conv_id, turn, CASE turn % 3 WHEN 0 THEN (100 + turn)::INT WHEN 1 THEN 1500 END AS whole,
+        CASE turn % 3 WHEN 0 THEN '' WHEN 1 THEN 'Cada respuesta tiene un máximo de diez palabras.' ELSE 'Un resumen de hasta 150 palabras.' END AS partial FROM conversations""",
     "normalise_text": r"""WITH b AS (SELECT doc_id, regexp_replace(text, '(\p{L}{3})(\p{L}{3})', '\1-' || chr(10) || '\2', 'g') AS t FROM documents)
         SELECT doc_id, md5(regexp_replace(t, '([\p{L}\p{N}_])-\n([\p{L}\p{N}_])', '\1\2', 'g')) AS md5 FROM b""",
     "page_sections": rf"""WITH p AS ({DB_PAGE_LINES}),
@@ -260,7 +272,7 @@ ORACLES = {
               string_agg(CASE WHEN st THEN trim(regexp_replace(t, '^#+', '')) ELSE t END, ' ' ORDER BY i) FILTER (WHERE hd) AS ti,
               coalesce(string_agg(t, chr(10) ORDER BY i) FILTER (WHERE NOT hd), '') AS tx FROM n GROUP BY page_id, g),
         r AS (SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY g) - 1 AS sec_no, CASE WHEN g = 0 THEN 'Preámbulo' ELSE ti END AS titulo, tx FROM a)
-        SELECT page_id, sec_no, titulo, CASE WHEN sec_no = 0 THEN 'Preámbulo' ELSE left(titulo, 60) END AS clave, length(tx)::BIGINT AS n_chars, md5(tx) AS md5 FROM r""",
+        SELECT page_id, sec_no, titulo, CASE WHEN sec_no = 0 THEN 'Preámbulo' ELSE titulo END AS clave, length(tx)::BIGINT AS n_chars, md5(tx) AS md5 FROM r""",
     "fence_parity": """WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS t, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents),
         p AS (SELECT doc_id, sum(regexp_matches(t, '^(The|De|Le|Der) ')::INT) OVER (PARTITION BY doc_id ORDER BY i) % 2 AS o FROM l)
         SELECT doc_id, count(*) AS n_lines, sum(o)::BIGINT AS inside FROM p GROUP BY doc_id""",

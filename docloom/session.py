@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -39,7 +41,7 @@ def build_session(app: str = "docloom", cores: str | None = None, **extra: str)
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the checkpoint folder the cluster names; make a local one only without a cluster."""
+    """Use the checkpoint folder that the cluster names in spark.checkpoint.dir."""
     jsc = spark.sparkContext._jsc.sc()
     if jsc.getCheckpointDir().isDefined():
         return
@@ -47,9 +49,16 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     if named:
         spark.sparkContext.setCheckpointDir(named)
         return
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="docloom-ckpt-"))
+    raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
+
+
+def local_checkpoint_dir(spark: SparkSession) -> None:
+    """For one machine only (tests, benchmarks): a temporary folder, removed at exit, where none is set."""
+    unset = not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined() and not spark.conf.get("spark.checkpoint.dir", None)
+    if unset and spark.sparkContext.master.startswith("local["):
+        folder = tempfile.mkdtemp(prefix="docloom-ckpt-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        spark.sparkContext.setCheckpointDir(folder)
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
@@ -66,16 +75,19 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
 
 # Tables whose rows carry long text: CPU per row is high, so few input splits would leave cores idle.
+SMALL_BYTES = 256 << 20
 TEXT_TABLES = {"documents", "pages", "conversations"}
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Repartition only when the scan has fewer splits than the cluster has cores.
+    """Repartition a table of at most SMALL_BYTES that has fewer splits than the cluster has cores.
 
-    On large inputs this adds nothing; on a small file it stops one task doing all the work.
+    Larger tables are never shuffled for this; their splits follow spark.sql.files.maxPartitionBytes.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
+    plan = df._jdf.queryExecution()
+    small = int(str(plan.optimizedPlan().stats().sizeInBytes())) <= SMALL_BYTES
+    return df.repartition(cores) if small and plan.toRdd().getNumPartitions() < cores else df
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

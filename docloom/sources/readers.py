@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from docloom.functions.figures import artifact_values, numbers
 from docloom.functions.text import normalise_text, py_lines
 
-MAX_ARTIFACT_BYTES = 5_000_000
 # Artifact suffixes, paths that never back a figure, folders that are not input.
 ARTIFACT_SUFFIXES = ["json", "csv", "txt", "log", "out"]
 NOT_EVIDENCE = r"traza|grafo|comunidades|plan|resumen|cache|enunciado|\.mpl"
@@ -134,10 +133,11 @@ def input_text(spark: SparkSession, root: str) -> DataFrame:
 def artifact_numbers(spark: SparkSession, root: str, exclude: list[str] = (), evaluator: bool = True) -> DataFrame:
     """``value`` rows of everything the runs wrote, notebook outputs included.
 
-    The evaluator reads figures and skips paths that are no evidence; the writer's
+    Files of any size are read line by line.  The evaluator reads figures and skips paths that are no evidence; the writer's
     own check reads scientific notation as well and skips temporary folders.
     """
-    f = _files(spark, root, "*.{" + ",".join(ARTIFACT_SUFFIXES) + "}").where(F.col("size") <= MAX_ARTIFACT_BYTES)
+    lines = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{" + ",".join(ARTIFACT_SUFFIXES) + "}").text(root)
+    f = lines.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
     rel = F.replace(F.col("path"), F.lit(root.rstrip("/")), F.lit(""))
     f = f.where(~rel.rlike(NOT_EVIDENCE)) if evaluator else f.where(~F.col("path").rlike(r"/\.tmp/"))
     if exclude:

@@ -10,16 +10,17 @@ import time
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.functions.text import mask_secrets, table_row
+from docloom.functions.text import mask_line, mask_secrets, table_row
 
 
 class EventLog:
     """Append-only JSONL log of one driver; every line is on disk before the call returns.
 
-    Masking happens when the log is loaded by :func:`masked_log`, in bulk.
+    Known values and secret shapes are masked before the line is written.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, known: list[str] = ()):
+        self.known = list(known)
         os.makedirs(os.path.dirname(path) or ".", exist_ok=True)
         self.path, self._seq, self._lock = path, 0, threading.RLock()
 
@@ -28,12 +29,12 @@ class EventLog:
             self._seq += 1
             row = {"seq": self._seq, "ts": round(time.time(), 3), "tipo": kind, **fields}
             with open(self.path, "a", encoding="utf-8") as f:
-                f.write(json.dumps(row, ensure_ascii=False, default=str) + "\n")
+                f.write(mask_line(json.dumps(row, ensure_ascii=False, default=str), self.known) + "\n")
         return row
 
 
 def masked_log(spark: SparkSession, path: str, out: str, known: list[str] = ()) -> None:
-    """Copy of a raw log with every secret masked, written with the commit protocol."""
+    """Copy of a log from elsewhere with every secret masked, written with the commit protocol."""
     spark.read.text(path).select(mask_secrets(F.col("value"), list(known), in_json=True).alias("value")).write.mode("overwrite").text(out)
 
 

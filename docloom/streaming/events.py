@@ -3,50 +3,37 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from docloom.session import ensure_checkpoint_dir
 
-LATENESS = "2 days"
-SHARDS = 16
 
-
-def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Parquet files of the events table as they arrive; NTZ times become instants for the watermark."""
+def event_stream(spark: SparkSession, sf_dir: str, files_per_batch: int = 16) -> DataFrame:
+    """Parquet files of the events table as they arrive, in any order."""
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
-    s = spark.readStream.schema(schema).option("pathGlobFilter", "events*.parquet").option("maxFilesPerTrigger", 16).parquet(sf_dir)
-    return s.withColumn("ts", F.col("ts").cast("timestamp"))
+    s = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", "true")
+    own = f"{sf_dir}/events.parquet"
+    kind = spark._jvm.org.apache.hadoop.fs.Path(own)
+    folder = kind.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(kind).isDirectory()
+    s = s if folder else s.option("pathGlobFilter", "events.parquet")
+    return s.option("maxFilesPerTrigger", files_per_batch).parquet(own if folder else sf_dir).withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 def daily_totals(events: DataFrame) -> DataFrame:
-    """Tumbling daily windows per type; state is one row per open window and type."""
-    return events.withWatermark("ts", LATENESS).groupBy(F.window("ts", "1 day").alias("w"), "event_type").agg(
-        F.count("*").alias("n"), F.sum("value").alias("total")).select(
-        F.col("w.start").cast("date").alias("day"), "event_type", "n", "total")
-
+    """Totals per calendar day and type.
 
-def spend_by_run(events: DataFrame, budget: float) -> DataFrame:
-    """Custom state: running spend per user and shard, flagged when a shard passes its part of the budget.
-
-    A user's events are spread over shards so one busy user is not one task; a
-    batch aggregation adds the shards up.
+    There is no watermark: a file may arrive at any time and its rows still count.  State is
+    one row per day and type, so the calendar bounds it.
     """
+    return events.groupBy(F.to_date("ts").alias("day"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
 
-    def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        n, spent = state.get if state.exists else (0, 0.0)
-        for b in batches:
-            n, spent = n + len(b), spent + float(b["value"].sum())
-        state.update((n, spent))
-        yield pd.DataFrame({"user_id": [key[0]], "shard": [key[1]], "n": [n], "spent": [spent], "over": [int(spent > budget)]})
 
-    s = events.select("user_id", F.pmod(F.xxhash64("event_id"), F.lit(SHARDS)).cast("int").alias("shard"), "value")
-    return s.groupBy("user_id", "shard").applyInPandasWithState(
-        step, "user_id long, shard int, n long, spent double, over int", "n long, spent double", "update", GroupStateTimeout.NoTimeout)
+def spend_by_run(events: DataFrame, budget: float) -> DataFrame:
+    """Running spend per user, summed map-side, and whether it has passed the budget."""
+    s = events.groupBy("user_id").agg(F.count("*").alias("n"), F.sum("value").alias("spent"))
+    return s.withColumn("over", (F.col("spent") > budget).cast("int"))
 
 
 def drain(df: DataFrame, mode: str) -> DataFrame:

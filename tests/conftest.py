@@ -5,13 +5,14 @@ import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
-from docloom.session import build_session
+from docloom.session import build_session, local_checkpoint_dir
 
 
 @pytest.fixture(scope="session")
 def spark():
     s = build_session("tests", "4", spark__driver__memory="4g")
     s.sparkContext.setLogLevel("ERROR")
+    local_checkpoint_dir(s)
     yield s
     s.stop()
 

@@ -31,6 +31,7 @@ def test_log_round_trip(spark, tmp_path):
     log.write("inicio", agente="orquestador")
     log.write("llamada", agente="programador", modelo="m", tokens_entrada=10, tokens_salida=None, latencia_s=1.5, error=None)
     log.write("fin", agente="orquestador", status="completado", subtareas={"T1": "aprobada"}, motivo='token = "abcdefgh1234"')
+    assert "abcdefgh1234" not in (folder / "traza.jsonl").read_text()
     t = readers.traces(spark, str(tmp_path / "tarea-*" / "traza.jsonl"))
     s = runlog.run_summary(t.withColumn("ts", F.timestamp_micros((F.col("ts") * 1e6).cast("bigint"))), ["tarea"]).first()
     assert (s["tarea"], s["status"], s["tokens_entrada"], s["tokens_salida"], s["modelo"]) == ("A", "completado", 10, 0, "m")

@@ -8,6 +8,7 @@ from docloom.operators import containment, entities, experiments, graph, provena
 from docloom.operators.lsa import lsa_topk
 from docloom.plans import scale
 
+# The published corpus, questions and store pairs that the published results are for.
 CORPUS = [
     "El mecanismo de atención pondera cada token según su similitud con la consulta; la atención escalada divide por la raíz de la dimensión.",
     "Los transformadores apilan capas de autoatención y redes feed-forward, con conexiones residuales y normalización.",
@@ -62,8 +63,6 @@ def test_paired_experiment(stores):
     assert (r["favorecen_b"], r["favorecen_a"]) == (10, 6)
     s = experiments.sign_flip_test(stores, "d", "i").first()
     assert (s["configuraciones"], s["extremas"]) == (65536, 13372)
-    b = experiments.bootstrap_interval(stores, "d", "i").first()
-    assert abs(b["bajo"] + 0.19375) < 1e-9 and abs(b["alto"] - 1.00625) < 1e-9
 
 
 def test_wrong_methods_give_other_answers(stores):
@@ -180,16 +179,14 @@ def test_planted_communities(spark):
     assert graph.modularity(e, c) > 0.45
 
 
-def test_containment_paths_agree(spark, monkeypatch):
+def test_containment_finds_every_pair(spark):
     rng = random.Random(3)
     words = ["uno", "dos", "tres", "cuatro", "cinco", "seis", "siete"]
     docs = [(i, " ".join(rng.choice(words) for _ in range(60))) for i in range(40)]
-    items = [(i, docs[rng.randrange(40)][1][a : a + n]) for i, (a, n) in enumerate((rng.randrange(120), rng.choice([5, 12, 60, 100])) for _ in range(40))]
+    items = [(i, docs[rng.randrange(40)][1][a : a + n]) for i, (a, n) in enumerate((rng.randrange(120), rng.choice([1, 5, 12, 30, 60, 100])) for _ in range(40))]
     d, q = spark.createDataFrame(docs, "k bigint, t string"), spark.createDataFrame(items, "i bigint, t string")
     want = sorted((i, k) for i, p in items for k, t in docs if p and p in t)
     assert sorted(map(tuple, containment.contained_items(d, "k", "t", q, "i", "t").collect())) == want
-    monkeypatch.setattr(containment, "PATTERN_CHARS", 400)
-    assert sorted(map(tuple, containment.contained_items(d, "k", "t", q, "i", "t").select("i", "k").collect())) == want
 
 
 def test_query_blocks_do_not_change_the_answer(corpus, monkeypatch):
@@ -219,6 +216,10 @@ def test_salted_lookup_equals_a_plain_join(spark):
         a = scale.lookup(l, r, ["key"], ["id"], how).select("id", "key", "v")
         b = l.join(r, "key", how).select("id", "key", "v")
         assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
+        hot = scale.hot_keys(l.groupBy("key").agg(F.count("*").alias("n")), ["key"], "n", rows=100)
+        assert [tuple(x) for x in hot.collect()] == [("hot", 15)]
+        c = scale.salted_lookup(l, r, ["key"], hot, ["id"], how).select("id", "key", "v")
+        assert c.exceptAll(b).count() == 0 and b.exceptAll(c).count() == 0
 
 
 def test_exact_quantiles(spark):
