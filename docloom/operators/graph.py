@@ -112,18 +112,50 @@ def follow(chain: DataFrame, keys: list[str], flag: str | None = None, steps: in
     return cur
 
 
-def propagate_failures(tasks: DataFrame, keys: list[str]) -> DataFrame:
+def propagate_failures(tasks: DataFrame, deps: DataFrame, keys: list[str]) -> DataFrame:
     """``status`` of each subtask: conceptual ones pass, a failed ancestor omits the rest.
 
-    Input ``*keys, node, dep, tipo, failed``.
+    ``tasks``: ``*keys, node, tipo, failed``; ``deps``: ``*keys, node, dep``, any number per node.
+    Failure spreads as a frontier; each round writes only the nodes it reaches for the first time.
     """
     calc = F.col("tipo") == "calculo"
-    kind = tasks.where(~calc).select(*keys, F.col("node").alias("dep"), F.lit(True).alias("soft"))
-    t = tasks.join(kind, [*keys, "dep"], "left").withColumn("dep", F.when(F.col("soft").isNull(), F.col("dep"))).drop("soft")
-    t = t.withColumn("bad", F.col("failed") & calc)
-    hit = follow(t, keys, "bad").select(*keys, "node", "hit")
-    return t.join(hit, [*keys, "node"]).withColumn(
-        "status", F.when(~calc, "aprobada").when(F.col("hit"), "omitida").when(F.col("bad"), "fallida").otherwise("aprobada"))
+    own = tasks.where(calc).select(*keys, "node")
+    edges = cut_lineage(deps.select(*keys, "node", "dep").distinct().join(own, [*keys, "node"], "left_semi"))
+    hit = None
+    frontier = cut_lineage(tasks.where(calc & F.col("failed")).select(*keys, "node"))
+    while not frontier.isEmpty():
+        below = edges.join(frontier.withColumnRenamed("node", "dep"), [*keys, "dep"], "left_semi").select(*keys, "node").distinct()
+        frontier = cut_lineage(below if hit is None else below.join(hit, [*keys, "node"], "left_anti"))
+        hit = frontier if hit is None else hit.unionByName(frontier)
+    omitted = own.limit(0) if hit is None else hit
+    t = tasks.join(omitted.withColumn("hit", F.lit(True)), [*keys, "node"], "left")
+    return t.withColumn("status", F.when(~calc, "aprobada").when(F.col("hit"), "omitida").when(F.col("failed"), "fallida").otherwise("aprobada")).drop("hit")
+
+
+def cycle_nodes(edges: DataFrame, keys: list[str]) -> DataFrame:
+    """``*keys, node`` of every node that lies on a cycle of ``*keys, node, dep``.
+
+    Nodes without a way in or out are taken off until none is left; what stays lies on cycles or
+    between them, and only for that rest are paths followed.
+    """
+    rest = cut_lineage(edges.select(*keys, "node", "dep").distinct())
+    size = rest.count()
+    while size:
+        kept = rest.join(rest.select(*keys, F.col("node").alias("dep")).distinct(), [*keys, "dep"], "left_semi")
+        kept = cut_lineage(kept.join(rest.select(*keys, F.col("dep").alias("node")).distinct(), [*keys, "node"], "left_semi").select(*keys, "node", "dep"))
+        left = kept.count()
+        rest, size, done = kept, left, left == size
+        if done:
+            break
+    paths, size = rest, size
+    while size:
+        far = paths.join(paths.select(*keys, F.col("node").alias("dep"), F.col("dep").alias("up")), [*keys, "dep"]).select(*keys, "node", F.col("up").alias("dep"))
+        paths = cut_lineage(paths.unionByName(far).distinct())
+        now = paths.count()
+        if now == size:
+            break
+        size = now
+    return paths.where(F.col("node") == F.col("dep")).select(*keys, "node")
 
 
 @F.pandas_udf(ArrayType(StringType()))

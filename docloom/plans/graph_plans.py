@@ -215,38 +215,44 @@ def context_assembly(spark, sf):
         "conv_id", "node", "motivo", F.length(block).cast("bigint").alias("n_chars"))
 
 
-def _chain(spark, sf):
-    """One subtask per turn; it needs the turn before, or two before for users."""
+def _subtasks(spark, sf):
+    """One subtask per turn."""
     c = table(spark, sf, "conversations")
-    back = F.when(F.col("role") == "user", 2).otherwise(1)
-    return c.select("conv_id", F.col("turn").alias("node"), F.when(F.col("turn") - back >= 0, F.col("turn") - back).alias("dep"),
-                    F.when(F.col("role") == "system", "conceptual").otherwise("calculo").alias("tipo"), (F.length("text") % 5 == 0).alias("failed"), "text", "role")
+    return c.select("conv_id", F.col("turn").alias("node"), F.when(F.col("role") == "system", "conceptual").otherwise("calculo").alias("tipo"),
+                    (F.length("text") % 5 == 0).alias("failed"), "text", "role")
+
+
+def _deps(spark, sf):
+    """A subtask needs the turn before (users: two before), and every third one also the turn three before: diamonds, not chains."""
+    c = table(spark, sf, "conversations")
+    back = F.array(F.when(F.col("role") == "user", 2).otherwise(1), F.when(F.col("turn") % 3 == 0, 3))
+    d = c.select("conv_id", F.col("turn").alias("node"), F.explode(F.array_compact(back)).alias("b")).where(F.col("node") - F.col("b") >= 0)
+    return d.select("conv_id", "node", (F.col("node") - F.col("b")).alias("dep")).distinct()
 
 
 def failure_propagation(spark, sf):
-    return gr.propagate_failures(_chain(spark, sf).select("conv_id", "node", "dep", "tipo", "failed"), ["conv_id"]).select("conv_id", "node", "status")
+    return gr.propagate_failures(_subtasks(spark, sf).select("conv_id", "node", "tipo", "failed"), _deps(spark, sf), ["conv_id"]).select("conv_id", "node", "status")
 
 
 def dag_cycles(spark, sf):
-    """Nodes on cycles after closing every third conversation into a ring."""
+    """Nodes on cycles after one back edge in every third conversation, from its second turn to its last but one."""
     c = table(spark, sf, "conversations").select("conv_id", "turn")
-    last = c.groupBy("conv_id").agg(F.max("turn").alias("last"))
-    d = c.join(last, "conv_id").select("conv_id", F.col("turn").alias("node"), F.when(F.col("turn") > 0, F.col("turn") - 1).when(
-        F.col("conv_id") % 3 == 0, F.col("last")).alias("dep"))
-    return gr.follow(d, ["conv_id"]).where(F.col("dep").isNotNull()).select("conv_id", F.col("dep").alias("node")).distinct()
+    last = c.groupBy("conv_id").agg(F.max("turn").alias("last")).where((F.col("conv_id") % 3 == 0) & (F.col("last") >= 2))
+    ring = last.select("conv_id", F.lit(1).cast("bigint").alias("node"), (F.col("last") - 1).alias("dep"))
+    return gr.cycle_nodes(_deps(spark, sf).unionByName(ring), ["conv_id"])
 
 
 def topo_order(spark, sf):
     """Lexicographic topological order of every plan."""
-    t = _chain(spark, sf)
     name = lambda c: F.concat(F.lit("T"), (F.lit(12) - F.col(c)).cast("string"))
-    g = t.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct(
-        name("node").alias("id"), F.when(F.col("dep").isNotNull(), F.array(name("dep"))).otherwise(F.array().cast("array<string>")).alias("deps")))).alias("p"))
+    needs = _deps(spark, sf).groupBy("conv_id", "node").agg(F.collect_set(name("dep")).alias("deps"))
+    t = _subtasks(spark, sf).select("conv_id", "node").join(needs, ["conv_id", "node"], "left")
+    g = t.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct(name("node").alias("id"), F.coalesce("deps", F.array().cast("array<string>")).alias("deps")))).alias("p"))
     return g.select("conv_id", F.array_join(gr.lexical_order(F.transform("p", lambda x: x["id"]), F.transform("p", lambda x: x["deps"])), ",").alias("orden"))
 
 
 def plan_violations(spark, sf):
-    t = _chain(spark, sf)
+    t = _subtasks(spark, sf)
     tid = lambda c: F.concat(F.lit("T"), c.cast("string"))
     n = F.length("text")
     tasks = t.select(
@@ -264,13 +270,12 @@ def plan_violations(spark, sf):
 
 
 def dependency_results(spark, sf):
-    """What each subtask receives from the one it depends on, or why it receives nothing."""
-    t = gr.propagate_failures(_chain(spark, sf).select("conv_id", "node", "dep", "tipo", "failed"), ["conv_id"])
+    """What each subtask receives from each one it depends on, or why it receives nothing."""
+    t = gr.propagate_failures(_subtasks(spark, sf).select("conv_id", "node", "tipo", "failed"), _deps(spark, sf), ["conv_id"])
     up = t.select("conv_id", F.col("node").alias("dep"), F.col("status").alias("s"))
     text = table(spark, sf, "conversations").select("conv_id", F.col("turn").alias("dep"), F.col("text").alias("r"))
-    orig = _chain(spark, sf).where(F.col("dep").isNotNull()).select("conv_id", "node", "dep")
-    j = orig.join(up, ["conv_id", "dep"]).join(text, ["conv_id", "dep"])
-    return j.select("conv_id", "node", F.when(F.col("s") == "aprobada", F.col("r")).otherwise(
+    j = _deps(spark, sf).join(up, ["conv_id", "dep"]).join(text, ["conv_id", "dep"])
+    return j.select("conv_id", "node", "dep", F.when(F.col("s") == "aprobada", F.col("r")).otherwise(
         F.concat(F.lit("[T"), F.col("dep").cast("string"), F.lit("] no tiene resultados aprobados (status: "), "s", F.lit(")"))).alias("recibe"))
 
 
@@ -334,11 +339,11 @@ _SEC = f"""se AS (SELECT conv_id, turn AS sec_no, CASE WHEN turn = 0 THEN 'Preá
  ls AS (SELECT conv_id, arg_max(clave, sec_no) AS node FROM se GROUP BY conv_id),
  cl AS (SELECT conv_id, node FROM ls UNION SELECT rf.conv_id, rf.dst FROM rf JOIN cl ON rf.conv_id = cl.conv_id AND rf.src = cl.node),
  cx AS (SELECT * FROM cl EXCEPT SELECT * FROM ls)"""
-_CHN = """cn AS (SELECT conv_id, turn AS node, CASE WHEN turn - CASE WHEN role = 'user' THEN 2 ELSE 1 END >= 0 THEN turn - CASE WHEN role = 'user' THEN 2 ELSE 1 END END AS dep, role, text,
-  CASE WHEN role = 'system' THEN 'conceptual' ELSE 'calculo' END AS tipo, length(text) % 5 = 0 AS failed FROM conversations),
- st AS (SELECT c.conv_id, c.node, c.tipo, (c.tipo = 'calculo' AND c.failed) AS own, false AS up FROM cn c WHERE dep IS NULL
-   UNION ALL SELECT c.conv_id, c.node, c.tipo, (c.tipo = 'calculo' AND c.failed), (s.tipo = 'calculo' AND (s.own OR s.up)) FROM cn c JOIN st s ON s.conv_id = c.conv_id AND s.node = c.dep),
- ss AS (SELECT conv_id, node, CASE WHEN tipo = 'conceptual' THEN 'aprobada' WHEN up THEN 'omitida' WHEN own THEN 'fallida' ELSE 'aprobada' END AS status FROM st)"""
+_CHN = """cn AS (SELECT conv_id, turn AS node, role, text, CASE WHEN role = 'system' THEN 'conceptual' ELSE 'calculo' END AS tipo, (role <> 'system' AND length(text) % 5 = 0) AS own FROM conversations),
+ dp AS (SELECT conv_id, node, node - CASE WHEN role = 'user' THEN 2 ELSE 1 END AS dep FROM cn UNION SELECT conv_id, node, node - 3 FROM cn WHERE node % 3 = 0), de AS (SELECT * FROM dp WHERE dep >= 0),
+ ht AS (SELECT conv_id, node FROM cn WHERE own UNION SELECT d.conv_id, d.node FROM de d JOIN ht h ON h.conv_id = d.conv_id AND h.node = d.dep JOIN cn c ON c.conv_id = d.conv_id AND c.node = d.node AND c.tipo = 'calculo'),
+ om AS (SELECT DISTINCT d.conv_id, d.node FROM de d JOIN ht h ON h.conv_id = d.conv_id AND h.node = d.dep),
+ ss AS (SELECT cn.conv_id, cn.node, CASE WHEN tipo = 'conceptual' THEN 'aprobada' WHEN om.node IS NOT NULL THEN 'omitida' WHEN own THEN 'fallida' ELSE 'aprobada' END AS status FROM cn LEFT JOIN om ON om.conv_id = cn.conv_id AND om.node = cn.node)"""
 
 ORACLES = {
     "entity_cleaning": f"""WITH {_RAW}, r AS (SELECT eid, cita, CASE WHEN eid % 10 = 0 THEN 'Los modelos' ELSE nombre END AS nombre, tipo, row_number() OVER (PARTITION BY cita ORDER BY eid) AS rn FROM re),
@@ -363,10 +368,11 @@ ORACLES = {
     "context_assembly": f"""WITH RECURSIVE {_SEC}, pt AS (SELECT *, 'sección de la subtarea' AS motivo FROM ls WHERE node <> 'Preámbulo' UNION ALL SELECT *, 'dependencia depende_de' FROM cx WHERE node <> 'Preámbulo' UNION ALL SELECT conv_id, clave, 'preámbulo' FROM se WHERE sec_no = 0)
         SELECT pt.conv_id, node, motivo, (length(node) + length(motivo) + length(texto) + 6)::BIGINT AS n_chars FROM pt JOIN se ON se.conv_id = pt.conv_id AND se.clave = pt.node""",
     "failure_propagation": f"WITH RECURSIVE {_CHN} SELECT conv_id, node, status FROM ss",
-    "dag_cycles": "SELECT conv_id, turn AS node FROM conversations WHERE conv_id % 3 = 0",
-    "topo_order": """WITH RECURSIVE t AS (SELECT conv_id, 'T' || (12 - turn)::VARCHAR AS id, CASE WHEN turn - b >= 0 THEN 'T' || (12 - turn + b)::VARCHAR END AS dep FROM (SELECT *, CASE WHEN role = 'user' THEN 2 ELSE 1 END AS b FROM conversations)),
+    "dag_cycles": f"""WITH RECURSIVE {_CHN}, la AS (SELECT conv_id, max(node) AS last FROM cn GROUP BY 1), eg AS (SELECT * FROM de UNION SELECT conv_id, 1, last - 1 FROM la WHERE conv_id % 3 = 0 AND last >= 2),
+        an AS (SELECT * FROM eg UNION SELECT an.conv_id, an.node, eg.dep FROM an JOIN eg ON eg.conv_id = an.conv_id AND eg.node = an.dep) SELECT DISTINCT conv_id, node FROM an WHERE node = dep""",
+    "topo_order": f"""WITH RECURSIVE {_CHN}, t AS (SELECT cn.conv_id, 'T' || (12 - cn.node)::VARCHAR AS id, coalesce(list('T' || (12 - dep)::VARCHAR) FILTER (WHERE dep IS NOT NULL), []) AS deps FROM cn LEFT JOIN de ON de.conv_id = cn.conv_id AND de.node = cn.node GROUP BY cn.conv_id, cn.node),
         r AS (SELECT conv_id, []::VARCHAR[] AS done FROM t GROUP BY conv_id UNION ALL
-          SELECT r.conv_id, list_append(any_value(r.done), min(t.id)) FROM r JOIN t ON t.conv_id = r.conv_id AND NOT list_contains(r.done, t.id) AND (t.dep IS NULL OR list_contains(r.done, t.dep)) GROUP BY r.conv_id)
+          SELECT r.conv_id, list_append(any_value(r.done), min(t.id)) FROM r JOIN t ON t.conv_id = r.conv_id AND NOT list_contains(r.done, t.id) AND list_has_all(r.done, t.deps) GROUP BY r.conv_id)
         SELECT conv_id, array_to_string(arg_max(done, len(done)), ',') AS orden FROM r GROUP BY conv_id""",
     "plan_violations": f"""WITH RECURSIVE {_CHN}, tk AS (SELECT conv_id, node, CASE WHEN role = 'system' AND conv_id % 7 = 0 THEN '' ELSE 'T' || node::VARCHAR END AS id, CASE WHEN length(text) % 11 = 0 THEN 'redaccion' ELSE tipo END AS tipo,
         'Parte ' || (node + CASE WHEN length(text) % 13 = 0 THEN 1 ELSE 0 END)::VARCHAR AS sec, CASE WHEN length(text) % 17 = 0 THEN 'T' || node::VARCHAR WHEN length(text) % 19 = 0 THEN 'T99' WHEN conv_id % 5 = 0 AND node = 0 THEN 'T1' WHEN node > 0 THEN 'T' || (node-1)::VARCHAR END AS dep, length(text) < 60 AS bare FROM cn),
@@ -388,7 +394,7 @@ ORACLES = {
         UNION ALL SELECT conv_id, 'las dependencias forman un ciclo' FROM cy
         UNION ALL SELECT conv_id, 'sección de trabajo sin subtarea: ' || clave FROM sc WHERE trabajo AND conv_id IN (SELECT conv_id FROM so) AND NOT EXISTS (SELECT 1 FROM tk WHERE tk.conv_id = sc.conv_id AND sec = clave)
         UNION ALL SELECT conv_id, id || ' cubre ' || src || ', que depende de ' || dst || ', pero ' || id || ' no depende de ella' FROM wm WHERE conv_id IN (SELECT conv_id FROM so) GROUP BY conv_id, id, src, dst HAVING NOT bool_or(met)""",
-    "dependency_results": f"WITH RECURSIVE {_CHN} SELECT cn.conv_id, cn.node, CASE WHEN status = 'aprobada' THEN u.text ELSE '[T' || cn.dep::VARCHAR || '] no tiene resultados aprobados (status: ' || status || ')' END AS recibe FROM cn JOIN ss ON ss.conv_id = cn.conv_id AND ss.node = cn.dep JOIN cn u ON u.conv_id = cn.conv_id AND u.node = cn.dep",
+    "dependency_results": f"WITH RECURSIVE {_CHN} SELECT de.conv_id, de.node, de.dep, CASE WHEN status = 'aprobada' THEN u.text ELSE '[T' || de.dep::VARCHAR || '] no tiene resultados aprobados (status: ' || status || ')' END AS recibe FROM de JOIN ss ON ss.conv_id = de.conv_id AND ss.node = de.dep JOIN cn u ON u.conv_id = de.conv_id AND u.node = de.dep",
     "local_search": """WITH x AS (SELECT generate_subscripts(embedding, 1) AS i, unnest(embedding)::DOUBLE AS v FROM embeddings), m AS (SELECT i, avg(v) AS v FROM x GROUP BY 1), n AS (SELECT list(v / (SELECT sqrt(sum(v*v)) FROM m) ORDER BY i) AS q FROM m),
         si AS (SELECT vec_id AS node, label, round(list_dot_product(embedding::DOUBLE[], q), 9) AS s FROM embeddings, n),
         sd AS (SELECT node, s FROM (SELECT node, s FROM si WHERE label = 0 ORDER BY s DESC, node LIMIT 6) UNION SELECT node, s FROM (SELECT node, s FROM si ORDER BY s DESC, node LIMIT 6)),

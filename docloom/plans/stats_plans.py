@@ -117,17 +117,16 @@ def class_counts(spark, sf):
 
 
 def _split(spark, sf):
-    """Stratified 70/30 split: inside each class the rows with the lowest id hashes train.
+    """70/30 split: rows whose id hash lies below 70 % of its range train.
 
-    The cut is the exact 70 % quantile of the hash per class, so class shares are kept.
+    A hash doesn't know the class, so every class is split in these shares up to chance, without a count or a shuffle.
     """
     li = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_returnflag", *FEATURES, "l_tax")
     key = F.concat_ws("|", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
     h = F.conv(F.substring(F.md5(key), 1, 12), 16, 10).cast("bigint")
     d = li.withColumn("id", key).withColumn("h", h)
-    cut = cut_lineage(exact_quantiles(d, ["l_returnflag"], "h", [0.7], F.floor(F.col("h") / F.lit(1 << 36))))
-    d = d.join(F.broadcast(cut), "l_returnflag")
-    return d.where(F.col("h") <= F.col("q0")), d.where(F.col("h") > F.col("q0"))
+    cut = F.lit(int(0.7 * (1 << 48)))
+    return d.where(F.col("h") <= cut), d.where(F.col("h") > cut)
 
 
 NB_FEATURES = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
@@ -215,7 +214,7 @@ ORACLES = {
     "kl_bits": "WITH q AS (SELECT event_type, count(*) / (SELECT count(*) FROM events)::DOUBLE AS q FROM events GROUP BY 1), u AS (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY ALL), p AS (SELECT user_id, event_type, n / sum(n) OVER (PARTITION BY user_id)::DOUBLE AS p FROM u) SELECT user_id, round(sum(p * log2(p / q)), 6) AS kl_bits FROM p JOIN q USING (event_type) GROUP BY user_id",
     "class_counts": "SELECT label, count(*) AS n FROM embeddings GROUP BY label",
     "naive_bayes": f"""WITH d AS (SELECT *, concat_ws('|', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS id, ('0x' || left(md5(concat_ws('|', l_orderkey, l_linenumber, l_partkey, l_suppkey)), 12))::BIGINT AS h FROM lineitem),
-        c AS (SELECT l_returnflag, quantile_cont(h, 0.7) AS cut FROM d GROUP BY 1), x AS (SELECT d.*, h <= cut AS tr FROM d JOIN c USING (l_returnflag)),
+        x AS (SELECT d.*, h <= {int(0.7 * (1 << 48))} AS tr FROM d),
         f AS (SELECT {_NBV} AS fl, count(*) AS total FROM x WHERE tr), m AS (SELECT l_returnflag AS c, count(*) AS n, {_NB} FROM x WHERE tr GROUP BY 1),
         t AS (SELECT row_number() OVER () AS rid, * FROM x WHERE NOT tr), s AS (SELECT rid, l_returnflag, c, ln(n / total::DOUBLE) {_NBS} AS s FROM t, m, f),
         p AS (SELECT rid, min(l_returnflag) AS y, arg_max(c, (s, c)) AS pred FROM s GROUP BY rid),

@@ -163,6 +163,22 @@ def test_long_chain_needs_few_rounds(spark):
     assert r.where("hit").count() == n - 6 and r.where("dep is not null").count() == 0
 
 
+def test_failures_spread_over_diamonds(spark):
+    tasks = spark.createDataFrame([("p", n, "conceptual" if n == "c" else "calculo", n in ("a", "c")) for n in "abcdefg"], "g string, node string, tipo string, failed boolean")
+    deps = spark.createDataFrame([("p", *d) for d in ("ba", "bg", "db", "dc", "ec", "fd", "fe", "fe")], "g string, node string, dep string")
+    got = {r["node"]: r["status"] for r in graph.propagate_failures(tasks, deps, ["g"]).collect()}
+    assert got == {"a": "fallida", "b": "omitida", "c": "aprobada", "d": "omitida", "e": "aprobada", "f": "omitida", "g": "aprobada"}
+    none = graph.propagate_failures(tasks.withColumn("failed", F.lit(False)), deps, ["g"])
+    assert none.where("status <> 'aprobada'").count() == 0
+
+
+def test_nodes_on_cycles(spark):
+    edges = [("p", 1, 2), ("p", 2, 3), ("p", 3, 1), ("p", 3, 4), ("p", 4, 5), ("p", 5, 6), ("p", 6, 5), ("p", 0, 1), ("p", 6, 7), ("q", 1, 2), ("q", 2, 3), ("q", 1, 3), ("r", 9, 9)]
+    got = graph.cycle_nodes(spark.createDataFrame(edges, "g string, node int, dep int"), ["g"]).collect()
+    assert sorted(map(tuple, got)) == [("p", n) for n in (1, 2, 3, 5, 6)] + [("r", 9)]
+    assert graph.cycle_nodes(spark.createDataFrame(edges[9:12], "g string, node int, dep int"), ["g"]).count() == 0
+
+
 def test_lexical_topological_order(spark):
     d = spark.createDataFrame([(["T1", "T10", "T2", "T3"], [["T3"], [], [], ["T2"]])], "i array<string>, d array<array<string>>").repartition(1)
     assert d.select(graph.lexical_order("i", "d")).first()[0] == ["T10", "T2", "T3", "T1"]
