@@ -57,6 +57,35 @@ def _pages(text: Column, spec: dict[str, Any]) -> Column:
     return _result(n <= spec["valor"], F.concat(n.cast("string"), F.lit(" páginas")))
 
 
+def _paths(text: Column, spec: dict[str, Any]) -> Column:
+    n = F.size(F.filter(F.col(spec["columna"]), lambda p: p.rlike(spec["patron"])))
+    return tx.let(n, lambda k: _result(k >= spec.get("minimo", 1), F.concat(k.cast("string"), F.lit(" archivo(s)"))))
+
+
+def _provenance(text: Column, spec: dict[str, Any]) -> Column:
+    share = F.col(spec["columna"])
+    return _result(share >= spec.get("minimo", 1.0), F.concat(F.lit("procedencia "), F.format_string("%.2f", share)))
+
+
+def _executed(text: Column, spec: dict[str, Any]) -> Column:
+    return notebook_executed(F.col(spec["columna"]))
+
+
+def _intact(text: Column, spec: dict[str, Any]) -> Column:
+    return protected_cells(F.col(spec["columna"]), F.col(spec["contrato"]))
+
+
+def _complete(text: Column, spec: dict[str, Any]) -> Column:
+    """Cells whose contract fixes no hash are the editable ones; none may still be a placeholder."""
+    open_cells = F.filter(F.zip_with(F.col(spec["columna"]), F.col(spec["contrato"]), lambda c, r: F.when(
+        r["sha256"].isNull() & pending_text_cell(F.array_join(c["source"], "")), c["id"])), lambda x: x.isNotNull())
+    return tx.let(F.size(open_cells), lambda n: _result(n == 0, F.concat(n.cast("string"), F.lit(" celdas por escribir"))))
+
+
+#: Checks that read other columns than the text and hold without a deliverable.
+COLUMN_CHECKS = {
+    "archivo": _paths, "procedencia": _provenance, "ipynb_ejecutado": _executed, "celdas_intactas": _intact, "celdas_completas": _complete,
+}
 TEXT_CHECKS = {
     "secciones": _sections, "palabras_max": _words, "contiene": _contains, "cifra": _figure,
     "cifra_presente": _figure, "paginas_max": _pages,
@@ -71,9 +100,10 @@ def run_checks(docs: DataFrame, key: str, text: str, checks: list[dict[str, Any]
     c = F.col(text)
     rows = []
     for spec in checks:
-        build = TEXT_CHECKS.get(spec["tipo"])
+        build = TEXT_CHECKS.get(spec["tipo"]) or COLUMN_CHECKS.get(spec["tipo"])
         r = build(c, spec) if build else _result(F.lit(False), F.lit(f"tipo desconocido: {spec['tipo']}"))
-        r = F.when(c.isNull(), _result(F.lit(False), F.lit("no hay entregable"))).otherwise(r)
+        if spec["tipo"] not in COLUMN_CHECKS:
+            r = F.when(c.isNull(), _result(F.lit(False), F.lit("no hay entregable"))).otherwise(r)
         rows.append(F.struct(F.lit(spec["id"]).alias("check"), F.lit(spec["tipo"]).alias("tipo"), r.alias("r")))
     return docs.select(key, F.explode(F.array(*rows)).alias("x")).select(key, "x.check", "x.tipo", "x.r.ok", "x.r.detalle")
 

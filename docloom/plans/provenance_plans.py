@@ -103,9 +103,38 @@ def files_present(spark, sf):
 
 
 
+NOTEBOOK_CHECKS = [
+    {"id": "N1", "tipo": "ipynb_ejecutado", "columna": "celdas"},
+    {"id": "N2", "tipo": "celdas_intactas", "columna": "celdas", "contrato": "contrato"},
+    {"id": "N3", "tipo": "celdas_completas", "columna": "celdas", "contrato": "contrato"},
+    {"id": "N4", "tipo": "archivo", "columna": "archivos", "patron": r"^out/c[0-4]\.md$", "minimo": 2},
+    {"id": "N5", "tipo": "procedencia", "columna": "fraccion", "minimo": 1.0},
+]
+
+
+def checks_notebooks(spark, sf):
+    """Conversations as notebooks: a turn is a cell, assistants write code; figures must come from the run."""
+    n, turn = F.length("text"), F.col("turn").cast("string")
+    source = F.when(n % 13 == 0, F.lit("ESCRIBE AQUÍ")).otherwise(F.col("text"))
+    cell = F.struct(
+        "turn", F.concat(F.lit("c"), turn).alias("id"), F.when(F.col("role") == "assistant", "code").otherwise("markdown").alias("cell_type"),
+        F.when(n % 7 != 0, F.col("turn")).alias("execution_count"), F.array(source).alias("source"),
+        F.array(F.struct(F.when(n % 11 == 0, "error").otherwise("stream").alias("output_type"))).alias("outputs"))
+    rule = F.struct("turn", F.concat(F.lit("c"), turn).alias("id"), F.when(F.col("turn") % 2 == 0, F.sha2(
+        F.when((F.col("conv_id") % 4 == 0) & (F.col("turn") == 0), F.lit("x")).otherwise(source), 256)).alias("sha256"))
+    path = F.struct("turn", F.concat(F.lit("out/c"), turn, F.when(F.col("role") == "assistant", ".md").otherwise(".csv")).alias("p"))
+    own = F.concat("text", F.lit(" media "), F.format_string("%.2f", (F.col("conv_id") * 37 % 5000) / 100.0))
+    c = table(spark, sf, "conversations").groupBy("conv_id").agg(
+        F.array_sort(F.collect_list(cell)).alias("celdas"), F.array_sort(F.collect_list(rule)).alias("contrato"),
+        F.transform(F.array_sort(F.collect_list(path)), lambda x: x["p"]).alias("archivos"),
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", own.alias("t")))), lambda x: x["t"]), "\n").alias("text"))
+    f = pv.provenance_summary(c, "conv_id", pv.check_figures(c, "conv_id", "text", _given(spark, sf), _measured(spark, sf)))
+    return ck.run_checks(c.join(f.select("conv_id", "fraccion"), "conv_id"), "conv_id", "text", NOTEBOOK_CHECKS)
+
+
 QUERIES = {f.__name__: f for f in (
     numbers_extracted, provenance_fraction, provenance_per_reading, unsupported_figures, figure_suggestions, marked_reports,
-    checks_dispatch, checks_tally, files_present)}
+    checks_dispatch, checks_tally, files_present, checks_notebooks)}
 
 
 def db_figures(text: str) -> str:
@@ -160,5 +189,16 @@ ORACLES = {
         SELECT value, decimals, round(medido, 6) AS medido, 'redondeo' AS pista, 0::INT AS exponente FROM nr UNION ALL SELECT value, decimals, round(medido, 6), 'escala', round(log10(medido / value))::INT FROM fr""",
     "checks_dispatch": f"WITH {_DISP} SELECT doc_id, \"check\", tipo, ok, detalle FROM k",
     "checks_tally": f"WITH {_DISP} SELECT lang, \"check\", sum(ok)::BIGINT AS aprobadas, count(*) AS total FROM k GROUP BY lang, \"check\"",
+    "checks_notebooks": f"""WITH t AS (SELECT conv_id, turn, role, length(text) AS n, CASE WHEN length(text) % 13 = 0 THEN 'ESCRIBE AQUÍ' ELSE text END AS src FROM conversations),
+        {_CHK.replace(_REP, "rp AS (SELECT conv_id AS doc_id, string_agg(text || ' media ' || printf('%.2f', (conv_id * 37 % 5000) / 100.0::DOUBLE), chr(10) ORDER BY turn) AS text FROM conversations GROUP BY conv_id)")},
+        g AS (SELECT conv_id, count(*) FILTER (WHERE role = 'assistant') AS code, count(*) FILTER (WHERE role = 'assistant' AND n % 7 = 0) AS idle, count(*) FILTER (WHERE role = 'assistant' AND n % 11 = 0) AS err,
+          count(*) FILTER (WHERE turn = 0 AND conv_id % 4 = 0 AND src <> 'x') AS changed, count(*) FILTER (WHERE turn % 2 <> 0 AND (src LIKE '%ESCRIBE AQU%' OR length(trim(src)) < 10)) AS todo,
+          count(*) FILTER (WHERE role = 'assistant' AND turn <= 4) AS files FROM t GROUP BY conv_id),
+        p AS (SELECT doc_id AS conv_id, avg(ok) AS f FROM ch GROUP BY 1)
+        SELECT conv_id, 'N1' AS "check", 'ipynb_ejecutado' AS tipo, (code > 0 AND idle = 0 AND err = 0)::INT AS ok, code::VARCHAR || ' celdas de código, ' || idle::VARCHAR || ' sin ejecutar, ' || err::VARCHAR || ' con error' AS detalle FROM g
+        UNION ALL SELECT conv_id, 'N2', 'celdas_intactas', (changed = 0)::INT, changed::VARCHAR || ' celdas protegidas cambiadas' FROM g
+        UNION ALL SELECT conv_id, 'N3', 'celdas_completas', (todo = 0)::INT, todo::VARCHAR || ' celdas por escribir' FROM g
+        UNION ALL SELECT conv_id, 'N4', 'archivo', (files >= 2)::INT, files::VARCHAR || ' archivo(s)' FROM g
+        UNION ALL SELECT conv_id, 'N5', 'procedencia', (coalesce(f, 1.0) >= 1.0)::INT, 'procedencia ' || printf('%.2f', coalesce(f, 1.0)::DOUBLE) FROM g LEFT JOIN p USING (conv_id)""",
     "files_present": r"WITH p AS (SELECT regexp_extract(url, '^https?://([^/]+)', 1) AS host, regexp_matches(url, '/(en|fr)/\d+') AS m FROM pages) SELECT host, (count(*) FILTER (WHERE m) >= 2)::INT AS ok, (count(*) FILTER (WHERE m))::VARCHAR || ' archivo(s)' AS detalle FROM p GROUP BY host",
 }
