@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from docloom.functions.text import token_counts
@@ -9,7 +11,8 @@ from docloom.functions.vectors import char_grams, dot, unit
 from docloom.operators import retrieval as rt
 from docloom.operators.containment import contained_items
 from docloom.plans.scale import lookup, top_k
-from docloom.session import cut_lineage, table
+from docloom.session import cut_lineage, ensure_checkpoint_dir, table
+from docloom.sources.writers import write_vectors
 
 
 def _index(spark, sf, with_query=False):
@@ -137,11 +140,14 @@ def global_search_preferred(spark, sf):
 
 
 def vector_reuse(spark, sf):
-    """Cached vectors for known keys, fresh ones otherwise: embeddings of events keyed by vec_id."""
-    cached = table(spark, sf, "embeddings").select(F.col("vec_id").alias("k"), F.lit(1).alias("hit"))
-    need = table(spark, sf, "orders").select(F.col("o_orderkey").alias("k"))
-    j = need.join(cached, "k", "left")
-    return j.agg(F.count("*").alias("total"), F.sum(F.coalesce("hit", F.lit(0))).cast("bigint").alias("reusados"))
+    """Vectors of all keys: those in the cache are taken from it, only the others are computed anew."""
+    ensure_checkpoint_dir(spark)
+    at = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/v-{uuid.uuid4().hex}"
+    e = table(spark, sf, "embeddings").select("vec_id", "embedding")
+    write_vectors(e.where(F.col("vec_id") % 3 != 0).select("vec_id", F.col("embedding").alias("cached")), at)
+    j = e.join(spark.read.parquet(at), "vec_id", "left")
+    v = F.coalesce("cached", unit(F.col("embedding")).cast("array<float>"))
+    return j.select("vec_id", F.when(F.col("cached").isNull(), "nuevo").otherwise("caché").alias("origen"), F.round(dot(v, v), 4).alias("norma2"))
 
 
 def lexical_similarity(spark, sf):
@@ -218,7 +224,7 @@ ORACLES = {
     "global_search_preferred": """WITH x AS (SELECT generate_subscripts(embedding, 1) AS i, unnest(embedding)::DOUBLE AS v FROM embeddings), m AS (SELECT i, avg(v) AS v FROM x GROUP BY 1), n AS (SELECT list(v / (SELECT sqrt(sum(v*v)) FROM m) ORDER BY i) AS q FROM m),
         p AS (SELECT label FROM embeddings GROUP BY 1 ORDER BY count(*) DESC, label LIMIT 2), s AS (SELECT vec_id, label, (label IN (SELECT label FROM p))::INT AS pref, round(list_dot_product(embedding::DOUBLE[], q), 9) AS s FROM embeddings, n)
         SELECT vec_id, label, pref, round(s, 6) AS score FROM s ORDER BY pref DESC, s.s DESC, vec_id LIMIT 20""",
-    "vector_reuse": "SELECT count(*) AS total, count(e.vec_id) AS reusados FROM orders LEFT JOIN embeddings e ON o_orderkey = vec_id",
+    "vector_reuse": "SELECT vec_id, CASE WHEN vec_id % 3 = 0 THEN 'nuevo' ELSE 'caché' END AS origen, CASE WHEN vec_id % 3 = 0 THEN 1.0::DOUBLE ELSE round(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]), 4) END AS norma2 FROM embeddings",
     "lexical_similarity": r"""WITH w AS (SELECT conv_id, turn, ' ' || unnest(regexp_extract_all(strip_accents(lower(text)), '\S+')) || ' ' AS p FROM conversations),
         g AS (SELECT conv_id, turn, g, count(*) AS c FROM (SELECT conv_id, turn, substr(p, unnest(range(1, length(p) - 1)), 3) AS g FROM w UNION ALL SELECT conv_id, turn, substr(p, unnest(range(1, length(p) - 2)), 4) FROM w) GROUP BY ALL),
         n AS (SELECT conv_id, turn, sqrt(sum(c * c)) AS n FROM g GROUP BY ALL), s AS (SELECT a.conv_id, a.turn, sum(a.c * b.c) AS s FROM g a JOIN g b ON b.conv_id = a.conv_id AND b.turn = a.turn - 1 AND b.g = a.g GROUP BY ALL)
