@@ -187,6 +187,7 @@ ORACLES = {
         nr AS (SELECT value, decimals, arg_min(a, (abs(a - value), a)) AS medido FROM u, me WHERE abs(a - value) <= 1.5 * pow(10.0, -decimals) GROUP BY ALL),
         fr AS (SELECT value, decimals, min(a) AS medido FROM u ANTI JOIN nr USING (value, decimals), me WHERE value > 0 AND a > 0 AND round(log10(a / value)) <> 0 AND abs(a / pow(10.0, round(log10(a / value))) - value) <= 0.5 * pow(10.0, -decimals) + 1e-9 GROUP BY ALL)
         SELECT value, decimals, round(medido, 6) AS medido, 'redondeo' AS pista, 0::INT AS exponente FROM nr UNION ALL SELECT value, decimals, round(medido, 6), 'escala', round(log10(medido / value))::INT FROM fr""",
+    "marked_reports": f"WITH {_CHK}, b AS (SELECT DISTINCT doc_id, raw FROM ch WHERE ok = 0) SELECT b.doc_id, count(*) AS marcas, count(DISTINCT b.raw) AS cifras FROM b JOIN fg ON fg.doc_id = b.doc_id AND fg.raw = b.raw GROUP BY b.doc_id",
     "checks_dispatch": f"WITH {_DISP} SELECT doc_id, \"check\", tipo, ok, detalle FROM k",
     "checks_tally": f"WITH {_DISP} SELECT lang, \"check\", sum(ok)::BIGINT AS aprobadas, count(*) AS total FROM k GROUP BY lang, \"check\"",
     "checks_notebooks": f"""WITH t AS (SELECT conv_id, turn, role, length(text) AS n, CASE WHEN length(text) % 13 = 0 THEN 'ESCRIBE AQUÍ' ELSE text END AS src FROM conversations),

@@ -191,6 +191,12 @@ _P = """p AS (SELECT o_custkey, avg(o_totalprice) FILTER (WHERE o_orderstatus='F
 _L = "b AS (SELECT user_id, event_type, sum(value)/100 AS logit FROM events GROUP BY ALL)"
 
 
+def _TMASS(x: str) -> str:
+    """Simpson's rule for the mass of Student's t between 0 and x, with the constant c and v degrees of freedom."""
+    weight = "CASE WHEN j = 0 OR j = 4000 THEN 1 WHEN j % 2 = 1 THEN 4 ELSE 2 END"
+    return f"(c * {x} / 12000 * list_sum(list_transform(range(0, 4001), lambda j: ({weight}) * pow(1 + pow({x} * j / 4000.0, 2) / v, -(v + 1) / 2.0))))"
+
+
 def _soft(t: str) -> str:
     return f"SELECT user_id, event_type, {t}::DOUBLE AS temperatura, exp((logit - max(logit) OVER (PARTITION BY user_id)) / {t}) AS e FROM b"
 
@@ -213,6 +219,11 @@ ORACLES = {
     "top_p": f"WITH {_L}, e AS ({_soft('1.0')}), p AS (SELECT user_id, event_type, e / sum(e) OVER (PARTITION BY user_id) AS p FROM e), c AS (SELECT *, coalesce(sum(p) OVER (PARTITION BY user_id ORDER BY p DESC, event_type ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM p) SELECT user_id, event_type, round(p / sum(p) OVER (PARTITION BY user_id), 6) AS p_top FROM c WHERE before < 0.9",
     "kl_bits": "WITH q AS (SELECT event_type, count(*) / (SELECT count(*) FROM events)::DOUBLE AS q FROM events GROUP BY 1), u AS (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY ALL), p AS (SELECT user_id, event_type, n / sum(n) OVER (PARTITION BY user_id)::DOUBLE AS p FROM u) SELECT user_id, round(sum(p * log2(p / q)), 6) AS kl_bits FROM p JOIN q USING (event_type) GROUP BY user_id",
     "class_counts": "SELECT label, count(*) AS n FROM embeddings GROUP BY label",
+    "paired_t_inference": f"""WITH RECURSIVE {_P}, st AS (SELECT count(*) AS n, avg(d) AS m, stddev_samp(d) / sqrt(count(*)) AS se FROM q),
+        k AS (SELECT *, n - 1 AS v, exp(lgamma(n / 2.0) - lgamma((n - 1) / 2.0)) / sqrt((n - 1) * pi()) AS c FROM st),
+        it AS (SELECT 0 AS i, 1.96::DOUBLE AS x FROM k UNION ALL SELECT i + 1, x - ({_TMASS('x')} - 0.475) / (c * pow(1 + x * x / v, -(v + 1) / 2.0)) FROM it, k WHERE i < 12),
+        z AS (SELECT arg_max(x, i) AS z FROM it)
+        SELECT n, round(1 - 2 * {_TMASS('abs(m / se)')}, 6) AS p, round(m - z * se, 6) AS ic_bajo, round(m + z * se, 6) AS ic_alto FROM k, z""",
     "naive_bayes": f"""WITH d AS (SELECT *, concat_ws('|', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS id, ('0x' || left(md5(concat_ws('|', l_orderkey, l_linenumber, l_partkey, l_suppkey)), 12))::BIGINT AS h FROM lineitem),
         x AS (SELECT d.*, h <= {int(0.7 * (1 << 48))} AS tr FROM d),
         f AS (SELECT {_NBV} AS fl, count(*) AS total FROM x WHERE tr), m AS (SELECT l_returnflag AS c, count(*) AS n, {_NB} FROM x WHERE tr GROUP BY 1),
