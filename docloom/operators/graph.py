@@ -77,17 +77,18 @@ def reference_edges(sections: DataFrame, doc: str) -> DataFrame:
 def reach(edges: DataFrame, seeds: DataFrame, keys: list[str]) -> DataFrame:
     """Nodes reachable from the seeds of each graph, seeds left out: ``*keys, node``.
 
-    A breadth-first frontier: the output is at most one row per node, and the
-    number of rounds is the depth of the graph.
+    A breadth-first frontier: the output is at most one row per node, each round writes only
+    the nodes it reaches for the first time, and the number of rounds is the depth of the graph.
     """
-    seen = cut_lineage(seeds.select(*keys, "node").distinct())
-    frontier, start = seen, seen
+    start = cut_lineage(seeds.select(*keys, "node").distinct())
+    edges = cut_lineage(edges.select(*keys, "src", "dst"))
+    frontier, seen, found = start, start, start.limit(0)
     while True:
         step = edges.join(frontier.withColumnRenamed("node", "src"), [*keys, "src"]).select(*keys, F.col("dst").alias("node")).distinct()
         new = cut_lineage(step.join(seen, [*keys, "node"], "left_anti"))
-        if not new.limit(1).count():
-            return seen.join(start, [*keys, "node"], "left_anti")
-        seen, frontier = cut_lineage(seen.unionByName(new)), new
+        if new.isEmpty():
+            return found
+        seen, found, frontier = seen.unionByName(new), found.unionByName(new), new
 
 
 def follow(chain: DataFrame, keys: list[str], flag: str | None = None, steps: int | None = None) -> DataFrame:

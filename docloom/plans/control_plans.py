@@ -58,12 +58,15 @@ def unioned_sources(spark, sf):
 
 
 def cross_checked_keys(spark, sf):
-    """Cross-check of two copies of a table: lineitem totals per order against the orders table."""
-    li = table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("k")).agg(F.count("*").alias("lineas"))
-    o = table(spark, sf, "orders").select(F.col("o_orderkey").alias("k"), F.lit(1).alias("orden"))
+    """Cross-check of two copies of a table: keys and values of the line totals per order against the orders table."""
+    net = F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount")) * (1 + F.col("l_tax")))
+    li = table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("k")).agg(F.count("*").alias("lineas"), net.alias("neto"))
+    o = table(spark, sf, "orders").select(F.col("o_orderkey").alias("k"), F.lit(1).alias("orden"), "o_totalprice")
+    same = F.abs(F.col("neto") - F.col("o_totalprice")) <= 1000
     j = li.join(o, "k", "full")
     return j.agg(F.count("*").alias("claves"), F.sum(F.col("lineas").isNull().cast("int")).cast("bigint").alias("sin_lineas"),
-                 F.sum(F.col("orden").isNull().cast("int")).cast("bigint").alias("sin_orden"))
+                 F.sum(F.col("orden").isNull().cast("int")).cast("bigint").alias("sin_orden"),
+                 F.sum(same.cast("int")).cast("bigint").alias("valores_cercanos"), F.sum((~same).cast("int")).cast("bigint").alias("valores_distintos"))
 
 
 QUERIES = {f.__name__: f for f in (critic_verdicts, candidate_sections, index_costs, provenance_column, unioned_sources, cross_checked_keys)}
@@ -83,5 +86,7 @@ ORACLES = {
     "index_costs": "SELECT lang, count(*) AS fragmentos, count(DISTINCT source) AS fuentes, sum(n_chars)::BIGINT AS caracteres FROM documents GROUP BY lang",
     "provenance_column": "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN printf('%.2f', (doc_id % 100) / 100.0::DOUBLE) WHEN quality = 1 THEN '1.00' ELSE '' END AS procedencia FROM labels",
     "unioned_sources": "WITH l AS (SELECT 'documento' AS fuente, unnest(string_split(text, chr(10))) AS t FROM documents UNION ALL SELECT 'url', url FROM pages UNION ALL SELECT 'turno', unnest(string_split(text, chr(10))) FROM conversations) SELECT fuente, count(*) AS lineas, sum(length(t))::BIGINT AS caracteres FROM l GROUP BY fuente",
-    "cross_checked_keys": "WITH l AS (SELECT l_orderkey AS k, count(*) AS n FROM lineitem GROUP BY 1) SELECT count(*) AS claves, count(*) FILTER (WHERE l.k IS NULL) AS sin_lineas, count(*) FILTER (WHERE o_orderkey IS NULL) AS sin_orden FROM l FULL JOIN orders ON k = o_orderkey",
+    "cross_checked_keys": """WITH l AS (SELECT l_orderkey AS k, count(*) AS n, sum(l_extendedprice * (1 - l_discount) * (1 + l_tax)) AS neto FROM lineitem GROUP BY 1)
+        SELECT count(*) AS claves, count(*) FILTER (WHERE l.k IS NULL) AS sin_lineas, count(*) FILTER (WHERE o_orderkey IS NULL) AS sin_orden,
+          count(*) FILTER (WHERE abs(neto - o_totalprice) <= 1000) AS valores_cercanos, count(*) FILTER (WHERE abs(neto - o_totalprice) > 1000) AS valores_distintos FROM l FULL JOIN orders ON k = o_orderkey""",
 }

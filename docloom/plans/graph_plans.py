@@ -202,7 +202,7 @@ def dependency_closure(spark, sf):
 
 
 def context_assembly(spark, sf):
-    """Context of the last section of each statement: preamble, itself, its dependencies, with sizes."""
+    """The context text of the last section of each statement: preamble, dependencies and itself, in document order."""
     s = _doc_sections(spark, sf)
     e = gr.reference_edges(s, "conv_id").select("conv_id", "src", "dst")
     last = s.groupBy("conv_id").agg(F.max_by("clave", "sec_no").alias("node"))
@@ -211,8 +211,10 @@ def context_assembly(spark, sf):
     parts = parts.where(F.col("node") != gr.PREAMBLE).unionByName(
         s.where(F.col("clave") == gr.PREAMBLE).select("conv_id", F.col("clave").alias("node"), F.lit("preámbulo").alias("motivo")))
     block = F.concat(F.lit("["), "node", F.lit(" — "), "motivo", F.lit("]\n"), "texto")
-    return parts.join(s.select("conv_id", F.col("clave").alias("node"), "texto"), ["conv_id", "node"]).select(
-        "conv_id", "node", "motivo", F.length(block).cast("bigint").alias("n_chars"))
+    # A statement's own sections are gathered, whose number its text bounds.
+    j = parts.join(s.select("conv_id", F.col("clave").alias("node"), "sec_no", "texto"), ["conv_id", "node"])
+    g = j.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("sec_no", block.alias("b")))).alias("b"))
+    return g.select("conv_id", F.size("b").cast("bigint").alias("partes"), F.array_join(F.transform("b", lambda x: x["b"]), "\n\n").alias("contexto"))
 
 
 def _subtasks(spark, sf):
@@ -366,7 +368,7 @@ ORACLES = {
     "reference_edges": f"WITH RECURSIVE {_SEC} SELECT conv_id, src, dst, regla, md5(evidencia) AS md5 FROM rf",
     "dependency_closure": f"WITH RECURSIVE {_SEC} SELECT cx.conv_id, cx.node, se.sec_no AS orden FROM cx JOIN se ON se.conv_id = cx.conv_id AND se.clave = cx.node",
     "context_assembly": f"""WITH RECURSIVE {_SEC}, pt AS (SELECT *, 'sección de la subtarea' AS motivo FROM ls WHERE node <> 'Preámbulo' UNION ALL SELECT *, 'dependencia depende_de' FROM cx WHERE node <> 'Preámbulo' UNION ALL SELECT conv_id, clave, 'preámbulo' FROM se WHERE sec_no = 0)
-        SELECT pt.conv_id, node, motivo, (length(node) + length(motivo) + length(texto) + 6)::BIGINT AS n_chars FROM pt JOIN se ON se.conv_id = pt.conv_id AND se.clave = pt.node""",
+        SELECT pt.conv_id, count(*) AS partes, string_agg('[' || node || ' — ' || motivo || ']' || chr(10) || texto, chr(10) || chr(10) ORDER BY sec_no) AS contexto FROM pt JOIN se ON se.conv_id = pt.conv_id AND se.clave = pt.node GROUP BY pt.conv_id""",
     "failure_propagation": f"WITH RECURSIVE {_CHN} SELECT conv_id, node, status FROM ss",
     "dag_cycles": f"""WITH RECURSIVE {_CHN}, la AS (SELECT conv_id, max(node) AS last FROM cn GROUP BY 1), eg AS (SELECT * FROM de UNION SELECT conv_id, 1, last - 1 FROM la WHERE conv_id % 3 = 0 AND last >= 2),
         an AS (SELECT * FROM eg UNION SELECT an.conv_id, an.node, eg.dep FROM an JOIN eg ON eg.conv_id = an.conv_id AND eg.node = an.dep) SELECT DISTINCT conv_id, node FROM an WHERE node = dep""",
