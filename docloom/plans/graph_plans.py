@@ -69,11 +69,14 @@ def relation_fusion(spark, sf):
     e = _entities(spark, sf)
     roots = en.fusion_roots(e, "eid", "formas")
     key = e.join(roots, "eid").join(e.select(F.col("eid").alias("root"), F.get("formas", F.lit(0)).alias("clave")), "root").select("eid", "clave")
-    li = table(spark, sf, "lineitem").select(F.col("l_partkey").alias("eid"), "l_suppkey", "l_returnflag", F.year("l_shipdate").alias("cita"))
+    own = e.select("eid", F.get("formas", F.lit(0)).alias("forma"))
+    li = table(spark, sf, "lineitem").select("l_orderkey", F.col("l_partkey").alias("eid"), "l_suppkey", "l_returnflag", F.year("l_shipdate").alias("cita"))
     s = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), name_key(F.col("s_name")).alias("destino"))
-    r = li.join(key, "eid").join(s, "l_suppkey").select(F.col("clave").alias("origen"), "destino", relation_label(F.concat(F.lit("Flag "), "l_returnflag")).alias("relacion"), "cita")
-    return r.where(F.col("origen") != F.col("destino")).groupBy("origen", "destino", "relacion").agg(
-        F.count_distinct("cita").alias("citas"), F.count("*").alias("menciones"))
+    r = li.join(own, "eid").join(s, "l_suppkey").select(
+        "l_orderkey", F.col("forma").alias("origen"), "destino", relation_label(F.concat(F.lit("Flag "), "l_returnflag")).alias("relacion"), "cita")
+    local = li.join(own, "eid").join(key, "eid").select("l_orderkey", "forma", "clave").unionByName(
+        r.select("l_orderkey", F.col("destino").alias("forma"), F.col("destino").alias("clave"))).distinct()
+    return en.merged_relations(r, local, ["l_orderkey"])
 
 
 def index_summary(spark, sf):
@@ -107,6 +110,19 @@ def _term_relations(spark, sf):
     return r.groupBy("origen", "destino").agg(F.count_distinct("item_id").alias("citas"))
 
 
+def entity_mentions(spark, sf):
+    """Which chunk mentions which entity form."""
+    return _mentions(spark, sf).select(F.explode("m").alias("node"), "doc_id", F.col("chunk").cast("bigint").alias("chunk"))
+
+
+def entity_chunks(spark, sf):
+    """The first chunk of each entity, with its text: entity, chunk id, chunk."""
+    first = entity_mentions(spark, sf).groupBy("node").agg(F.min(F.struct("doc_id", "chunk")).alias("c"), F.count("*").alias("chunks"))
+    pieces = table(spark, sf, "documents").select("doc_id", F.posexplode(F.regexp_extract_all("text", F.lit(f"(?s).{{1,{CHUNK}}}"), F.lit(0))).alias("chunk", "piece"))
+    f = first.select("node", "c.doc_id", "c.chunk", "chunks")
+    return f.join(pieces, ["doc_id", "chunk"]).select("node", "doc_id", F.col("chunk").cast("bigint").alias("chunk"), "chunks", F.md5("piece").alias("md5"))
+
+
 def _edges(spark, sf):
     return gr.pair_weights(_mentions(spark, sf), "m", _term_relations(spark, sf))
 
@@ -306,7 +322,7 @@ def local_search(spark, sf):
 
 
 QUERIES = {f.__name__: f for f in (
-    entity_cleaning, relation_cleaning, entity_fusion, entity_aliases, relation_fusion, index_summary, cooccurrence_weights, graph_seeds,
+    entity_cleaning, relation_cleaning, entity_fusion, entity_aliases, relation_fusion, index_summary, entity_mentions, entity_chunks, cooccurrence_weights, graph_seeds,
     one_hop_neighbours, induced_subgraph, community_vote, layer_merge, communities, community_context, reference_edges,
     dependency_closure, context_assembly, failure_propagation, dag_cycles, topo_order, plan_violations, dependency_results, local_search)}
 
@@ -356,6 +372,8 @@ ORACLES = {
     "entity_aliases": f"WITH RECURSIVE {_FUS} SELECT root, alias, primera FROM av",
     "relation_fusion": f"WITH RECURSIVE {_FUS} SELECT clave AS origen, {_K('s_name')} AS destino, 'flag_' || lower(l_returnflag) AS relacion, count(DISTINCT year(l_shipdate)) AS citas, count(*) AS menciones FROM lineitem JOIN fu ON eid = l_partkey JOIN supplier ON s_suppkey = l_suppkey GROUP BY ALL",
     "index_summary": f"WITH RECURSIVE {_FUS} SELECT tipo, count(*) AS entidades, count(*) FILTER (WHERE origenes = 2) AS compartidas, sum(citas)::BIGINT AS citas FROM me GROUP BY tipo",
+    "entity_mentions": f"WITH {_EDG} SELECT t AS node, doc_id, c::BIGINT AS chunk FROM ld",
+    "entity_chunks": f"WITH {_EDG}, f AS (SELECT t AS node, min((doc_id, c)) AS p, count(*) AS chunks FROM ld GROUP BY t) SELECT node, ck.doc_id, ck.c::BIGINT AS chunk, chunks, md5(piece) AS md5 FROM f JOIN ck ON ck.doc_id = p[1] AND ck.c = p[2]",
     "cooccurrence_weights": f"WITH {_EDG} SELECT * FROM ed",
     "graph_seeds": f"WITH {_SEED} SELECT node, k FROM sd",
     "one_hop_neighbours": f"WITH {_SEED} SELECT node, w FROM nb",
