@@ -10,6 +10,7 @@ from docloom.operators import agreement as agr
 from docloom.operators import runlog as rl
 from docloom.plans.scale import top_k
 from docloom.session import table
+from docloom.sources import readers
 
 RUN = ["variante", "repeticion", "tarea"]
 BUDGET, RESERVE = 20000, 2000
@@ -247,12 +248,32 @@ def kappa_by_language(spark, sf):
     return agr.agreement(lab.join(table(spark, sf, "documents").select("doc_id", "lang"), "doc_id"), "quality", "juez", ["lang"])
 
 
+def judge_by_run(spark, sf):
+    """Judge verdicts joined to the golden results on variant, repetition, task and check; unanswered checks are counted."""
+    key = [F.col("lang").alias("variante"), (F.col("doc_id") % 3).alias("repeticion"), F.col("source").alias("tarea"), F.concat(F.lit("K"), F.col("doc_id").cast("string")).alias("check")]
+    d = table(spark, sf, "documents").select("doc_id", "lang", "source", "n_chars")
+    golden = d.join(table(spark, sf, "labels"), "doc_id").select(*key, F.col("quality").alias("golden"))
+    judge = d.where(F.col("doc_id") % 4 != 0).select(*key, (F.col("n_chars") % 2 == 0).cast("int").alias("juez"))
+    j = golden.join(judge, ["variante", "repeticion", "tarea", "check"], "left")
+    return agr.agreement(j, "golden", "juez", ["variante", "repeticion"])
+
+
+def approved_outputs(spark, sf):
+    """Files that an approved subtask hands on: data and figures, never its script or console output."""
+    name = F.element_at(F.array(*map(F.lit, ["script.py", "r.json", "t.csv", "f.png", "stdout.txt", "stderr.txt", "d.npy", "nota.txt"])), (F.col("page_id") % 8 + 1).cast("int"))
+    t = F.concat(F.lit("T"), (F.col("page_id") % 50).cast("string"))
+    files = table(spark, sf, "pages").select("page_id", t.alias("subtarea"), F.concat(F.lit("subtareas/"), t, F.lit("/"), name).alias("path"))
+    approved = table(spark, sf, "events").where("event_type <> 'error'").groupBy(F.concat(F.lit("T"), (F.col("user_id") % 70).cast("string")).alias("subtarea")).agg(
+        F.count("*").alias("v")).where(F.col("v") % 3 != 0)
+    return readers.approved_outputs(files, approved, "subtarea").select("page_id", "path")
+
+
 QUERIES = {f.__name__: f for f in (
     agent_totals, run_summary, code_attempts, rejections_by_source, status_histogram, mean_range_by_task, variant_totals,
     share_of_total, failing_groups, running_tokens, running_tokens_by_agent, budget_audit, attempt_numbers, attempt_cap,
     first_last_event, decision_histogram, subtask_panorama, run_status, missing_result_notes, evidence_lines,
     summary_with_checks, published_files, markdown_table, latest_calls, verdict_formats, judge_agreement,
-    judge_false_positives, kappa_by_language)}
+    judge_false_positives, kappa_by_language, judge_by_run, approved_outputs)}
 
 _R = "variante, repeticion, tarea"
 _ATT = """(count(*) FILTER (WHERE tipo = 'ejecucion' AND agente = 'ejecutor' AND subtarea <> 'notebook') + count(*) FILTER (WHERE tipo = 'decision' AND decision IN ('llm_fallo','sin_script','script_repetido')))"""
@@ -323,5 +344,9 @@ ORACLES = {k: f"WITH {TRACE}, {v}" if not v.startswith("SELECT") else f"WITH {TR
     "verdict_formats": f"{_VER} SELECT formato, count(*) AS n FROM vd GROUP BY formato",
     "judge_agreement": f"{_VER}, {_agree('vd')}",
     "judge_false_positives": f"{_VER} SELECT doc_id, razon, formato FROM vd WHERE golden = 0 AND juez = 1",
+    "judge_by_run": """lb AS (SELECT d.lang AS variante, d.doc_id % 3 AS repeticion, quality AS golden, CASE WHEN d.doc_id % 4 <> 0 THEN (d.n_chars % 2 = 0)::INT END AS juez FROM labels JOIN documents d USING (doc_id)), """ + _agree("lb", "variante, repeticion"),
+    "approved_outputs": """f AS (SELECT page_id, 'T' || (page_id % 50)::VARCHAR AS st, ['script.py', 'r.json', 't.csv', 'f.png', 'stdout.txt', 'stderr.txt', 'd.npy', 'nota.txt'][page_id % 8 + 1] AS n FROM pages),
+        a AS (SELECT 'T' || (user_id % 70)::VARCHAR AS st FROM events WHERE event_type <> 'error' GROUP BY 1 HAVING count(*) % 3 <> 0)
+        SELECT page_id, 'subtareas/' || st || '/' || n AS path FROM f WHERE st IN (SELECT st FROM a) AND n NOT IN ('script.py', 'stdout.txt', 'stderr.txt')""",
     "kappa_by_language": "lb AS (SELECT lang, quality AS golden, 1 - toxic AS juez FROM labels JOIN documents USING (doc_id)), " + _agree("lb", "lang"),
 }.items()}

@@ -13,6 +13,8 @@ from docloom.functions.text import normalise_text, py_lines
 # Artifact suffixes, paths that never back a figure, folders that are not input.
 ARTIFACT_SUFFIXES = ["json", "csv", "txt", "log", "out"]
 NOT_EVIDENCE = r"traza|grafo|comunidades|plan|resumen|cache|enunciado|\.mpl"
+HANDED_ON = ["json", "csv", "png", "parquet", "npy", "txt"]
+CONSOLE = ["stdout.txt", "stderr.txt"]
 NOT_INPUT = r"/(\.venv|output|__pycache__)/"
 
 TRACE_SCHEMA = (
@@ -155,6 +157,13 @@ def deliverable_path(files: DataFrame, pattern: str) -> DataFrame:
     return files.where(F.col("path").rlike(pattern)).agg(F.min_by("path", F.struct(depth, F.col("path"))).alias("path"))
 
 
+def approved_outputs(files: DataFrame, approved: DataFrame, subtask: str) -> DataFrame:
+    """Files of approved subtasks that later ones may read."""
+    name = F.regexp_extract("path", r"([^/]+)$", 1)
+    kept = name.rlike(r"\.(" + "|".join(HANDED_ON) + ")$") & ~name.isin(*CONSOLE)
+    return files.where(kept).join(approved.select(subtask).distinct(), subtask, "left_semi")
+
+
 def new_files(before: DataFrame, after: DataFrame) -> DataFrame:
     """Files that appeared during a run."""
     return after.select("path").exceptAll(before.select("path"))
