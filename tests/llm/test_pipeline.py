@@ -49,3 +49,25 @@ def test_oracles(spark, name):
     got = entry.queries()[name](spark, SF).toPandas()[list(want.columns)]
     rows = lambda d: sorted(tuple(None if v != v else v for v in r) for r in d.astype(object).itertuples(index=False))
     assert sorted(map(repr, rows(got))) == sorted(map(repr, rows(want)))
+
+
+@pytest.mark.parametrize("k", range(5))
+def test_stages_take_awkward_and_empty_tables(spark, k):
+    """Nulls in every column, empty and long texts, repeated rows, ties, more columns with clashing names."""
+    name, stage = pipeline.STAGES[k]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, score double, text_key string, held_out boolean, rank int"
+    same = "the same words stand here " * 6
+    rows = [(1, None, None, None, None), (2, "", "en", "a", 0), (None, "no id here", "en", None, 10), (3, same, "en", "a", 150), (3, same, "en", "a", 150), (4, same, None, "a", 150),
+            (5, "a lone long word " * 4000, "en", "b", 68_000), (6, "token: abcdef1234 token: abcdef1234", "de", "b", 35), (None, None, None, None, None)]
+    docs = spark.createDataFrame([(*r, None, "k", None, 1) for r in rows], schema).repartition(2)
+    got = stage(spark, docs, SF)
+    if name != "packing":
+        assert got.columns == pipeline.COLUMNS
+    ids = [r["doc_id"] for r in got.collect()]
+    want = {
+        "language_id": [None, 3, 3, 4, 5, 6], "jaccard_join": [None, None, 1, 2, 3, 5, 6], "decontamination": [None, None, 1, 2, 3, 3, 4, 5, 6],
+        "secret_scan": [None, None, 1, 2, 3, 3, 4, 5, 6],
+    }
+    key = lambda i: (i is not None, i or 0)
+    assert name == "packing" and {1, 2, 3, 4, 5, 6, None} == set(ids) or sorted(ids, key=key) == sorted(want[name], key=key)
+    assert stage(spark, docs.where("false"), SF).count() == 0
