@@ -64,10 +64,6 @@ def is_specific(forms: Column) -> Column:
     return (F.size(forms) > 0) & ~F.get(forms, F.lit(0)).isin(*GENERIC)
 
 
-def entity_line(name: Column, kind: Column, descriptions: Column) -> Column:
-    return F.concat(name, F.lit(" ("), kind, F.lit("): "), F.array_join(F.slice(descriptions, 1, 2), " "))
-
-
 def section_key(title: Column, limit: int | None = None) -> Column:
     """``Parte 3 — …`` becomes ``Parte 3``; other titles stay whole unless ``limit`` cuts them."""
     t = strip(title)

@@ -50,13 +50,6 @@ def fusion_roots(entities: DataFrame, eid: str, forms: str) -> DataFrame:
             return cur
 
 
-def form_index(entities: DataFrame, roots: DataFrame, eid: str, forms: str) -> DataFrame:
-    """``forma, root``: the merged entity each form leads to."""
-    f = entities.select(F.col(eid).alias("eid"), F.explode(forms).alias("forma"))
-    owner = f.groupBy("forma").agg(F.min("eid").alias("eid"))
-    return owner.join(roots, "eid").select("forma", "root")
-
-
 def fused(entities: DataFrame, roots: DataFrame, eid: str) -> DataFrame:
     """Entities with their root and the root's key and name; the base of every merged view."""
     heads = entities.select(F.col(eid).alias("root"), F.get("formas", F.lit(0)).alias("clave"), F.col("nombre").alias("nombre_raiz"),

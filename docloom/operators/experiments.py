@@ -6,7 +6,6 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
 
 from docloom.functions.stats import safe_sd, t_critical, t_p_value
 from docloom.session import cut_lineage

@@ -75,6 +75,26 @@ def io_json_documents(spark, sf):
     return spark.read.schema("p_brand STRING, n BIGINT, media DOUBLE").json(at)
 
 
+def io_check_results(spark, sf):
+    """Check results and judge verdicts as CSV; an empty verdict is NULL when it is read."""
+    at = _folder(spark)
+    d = table(spark, sf, "labels")
+    writers.write_csv(d.select(F.lit("A").alias("tarea"), F.concat(F.lit("K"), "doc_id").alias("check"), F.lit("cifra").alias("tipo"), F.col("quality").alias("ok"), F.lit("x").alias("detalle")), f"{at}/checks")
+    seen = F.when(F.col("doc_id") % 3 != 0, F.col("toxic").cast("string")).otherwise("")
+    writers.write_csv(d.select(
+        F.lit("v").alias("variante"), F.lit(1).alias("repeticion"), F.lit("A").alias("tarea"), F.concat(F.lit("K"), "doc_id").alias("check"), F.lit("cifra").alias("tipo"),
+        F.col("quality").alias("golden"), seen.alias("juez"), F.lit("").alias("detalle"), F.lit("completo").alias("formato"), F.lit("r").alias("razon")), f"{at}/judge")
+    c = readers.check_results(spark, f"{at}/checks").select("check", "ok")
+    return c.join(readers.judge_rows(spark, f"{at}/judge").select("check", "golden", "juez"), "check")
+
+
+def io_input_text(spark, sf):
+    """Texts a run was given, whole files, and a fingerprint that doesn't depend on their order."""
+    at = _folder(spark)
+    table(spark, sf, "conversations").select(F.col("conv_id").cast("string").alias("k"), "text").where("turn = 0").write.partitionBy("k").text(f"{at}/in")
+    return readers.input_text(spark, f"{at}/in").select(F.regexp_extract("path", r"/k=([^/]+)/", 1).cast("bigint").alias("conv_id"), F.length(F.regexp_replace("text", r"\n\z", "")).cast("bigint").alias("n"))
+
+
 def io_verified(spark, sf):
     """Parquet written, read back and compared as a multiset with its source, both ways."""
     o = table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice")
@@ -82,7 +102,7 @@ def io_verified(spark, sf):
     return o.agg(F.count("*").alias("filas")).select("filas", *[F.lit(int(v)).alias(k) for k, v in r.items()])
 
 
-QUERIES = {f.__name__: f for f in (io_csv, io_event_log, io_masked_log, io_artifacts, io_graph, io_json_documents, io_verified)}
+QUERIES = {f.__name__: f for f in (io_csv, io_event_log, io_masked_log, io_artifacts, io_graph, io_json_documents, io_check_results, io_input_text, io_verified)}
 
 ORACLES = {
     "io_csv": "SELECT c_custkey, c_name, c_acctbal FROM customer",
@@ -91,5 +111,7 @@ ORACLES = {
     "io_artifacts": "SELECT floor(v / 10)::BIGINT AS decena, count(*) AS n, round(sum(v), 2) AS suma FROM (SELECT printf('%.2f', value)::DOUBLE AS v FROM events) GROUP BY 1",
     "io_graph": "WITH e AS (SELECT l_partkey AS a, l_suppkey AS b, count(*) AS w FROM lineitem GROUP BY ALL), x AS (SELECT a AS u, w FROM e UNION ALL SELECT b, w FROM e) SELECT u AS node, count(*) AS vecinos, sum(w)::BIGINT AS k FROM x GROUP BY u",
     "io_json_documents": "SELECT p_brand, count(*) AS n, round(avg(p_size), 6) AS media FROM part GROUP BY p_brand",
+    "io_check_results": "SELECT 'K' || doc_id::VARCHAR AS \"check\", quality::INT AS ok, quality::INT AS golden, CASE WHEN doc_id % 3 <> 0 THEN toxic::INT END AS juez FROM labels",
+    "io_input_text": "SELECT conv_id, length(text)::BIGINT AS n FROM conversations WHERE turn = 0",
     "io_verified": "SELECT count(*) AS filas, 1 AS columns, 1 AS schema, 1 AS lost, 1 AS added FROM orders",
 }

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from docloom.functions.text import token_counts
-from docloom.functions.vectors import char_grams, dot, unit
+from docloom.functions.vectors import char_grams, dot, lexical_embedding, unit
 from docloom.operators import retrieval as rt
 from docloom.operators.containment import contained_items
 from docloom.plans.scale import lookup, top_k
@@ -150,6 +150,12 @@ def vector_reuse(spark, sf):
     return j.select("vec_id", F.when(F.col("cached").isNull(), "nuevo").otherwise("caché").alias("origen"), F.round(dot(v, v), 4).alias("norma2"))
 
 
+def lexical_embeddings(spark, sf):
+    """Batched embedding of every turn: its width and length, which the embedder must keep."""
+    e = lexical_embedding(table(spark, sf, "conversations"), ["conv_id", "turn"], "text", "e")
+    return e.select("conv_id", "turn", F.size("e").alias("ancho"), F.round(F.sqrt(dot(F.col("e"), F.col("e"))), 3).alias("norma"))
+
+
 def lexical_similarity(spark, sf):
     """Cosine of the character n-gram counts of each conversation turn and the turn before it."""
     t = table(spark, sf, "conversations").select("conv_id", "turn", token_counts(char_grams()(F.col("text"))).alias("g"))
@@ -184,7 +190,7 @@ def lsa_topk(spark, sf):
 
 QUERIES = {f.__name__: f for f in (
     retrieval_tfidf_topk, flat_retrieval, verbatim_items, retrieval_ranks, retrieval_mrr, one_hop_coverage, anchored_retrieval,
-    dense_topk, dense_margin, dense_topk_candidates, global_search_preferred, vector_reuse, lexical_similarity, shared_terms, lsa_topk)}
+    dense_topk, dense_margin, dense_topk_candidates, global_search_preferred, vector_reuse, lexical_embeddings, lexical_similarity, shared_terms, lsa_topk)}
 
 _TOK = lambda t: rf"unnest(regexp_extract_all(lower({t}), '[\p{{L}}\p{{N}}_]{{2,}}'))"
 _BASE = f"""dt AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, {_TOK('text')} AS term FROM documents) GROUP BY ALL),
@@ -225,6 +231,7 @@ ORACLES = {
         p AS (SELECT label FROM embeddings GROUP BY 1 ORDER BY count(*) DESC, label LIMIT 2), s AS (SELECT vec_id, label, (label IN (SELECT label FROM p))::INT AS pref, round(list_dot_product(embedding::DOUBLE[], q), 9) AS s FROM embeddings, n)
         SELECT vec_id, label, pref, round(s, 6) AS score FROM s ORDER BY pref DESC, s.s DESC, vec_id LIMIT 20""",
     "vector_reuse": "SELECT vec_id, CASE WHEN vec_id % 3 = 0 THEN 'nuevo' ELSE 'caché' END AS origen, CASE WHEN vec_id % 3 = 0 THEN 1.0::DOUBLE ELSE round(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]), 4) END AS norma2 FROM embeddings",
+    "lexical_embeddings": "SELECT conv_id, turn, 1024::INT AS ancho, CASE WHEN length(trim(text)) > 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS norma FROM conversations",
     "lexical_similarity": r"""WITH w AS (SELECT conv_id, turn, ' ' || unnest(regexp_extract_all(strip_accents(lower(text)), '\S+')) || ' ' AS p FROM conversations),
         g AS (SELECT conv_id, turn, g, count(*) AS c FROM (SELECT conv_id, turn, substr(p, unnest(range(1, length(p) - 1)), 3) AS g FROM w UNION ALL SELECT conv_id, turn, substr(p, unnest(range(1, length(p) - 2)), 4) FROM w) GROUP BY ALL),
         n AS (SELECT conv_id, turn, sqrt(sum(c * c)) AS n FROM g GROUP BY ALL), s AS (SELECT a.conv_id, a.turn, sum(a.c * b.c) AS s FROM g a JOIN g b ON b.conv_id = a.conv_id AND b.turn = a.turn - 1 AND b.g = a.g GROUP BY ALL)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.sql import functions as F
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 from docloom.operators import experiments as ex
 from docloom.operators.critic import PERFECT, is_metric
 from docloom.plans.scale import exact_quantiles
-from docloom.session import cut_lineage, table
+from docloom.session import table
 
 FEATURES = ["l_quantity", "l_extendedprice", "l_discount"]
 
@@ -191,6 +192,9 @@ _P = """p AS (SELECT o_custkey, avg(o_totalprice) FILTER (WHERE o_orderstatus='F
 _L = "b AS (SELECT user_id, event_type, sum(value)/100 AS logit FROM events GROUP BY ALL)"
 
 
+_POISSON_CUTS = [float(c) for c in np.cumsum([np.exp(-1.0) / np.prod(np.arange(1, k + 1, dtype=float)) for k in range(12)])]
+
+
 def _TMASS(x: str) -> str:
     """Simpson's rule for the mass of Student's t between 0 and x, with the constant c and v degrees of freedom."""
     weight = "CASE WHEN j = 0 OR j = 4000 THEN 1 WHEN j % 2 = 1 THEN 4 ELSE 2 END"
@@ -219,6 +223,12 @@ ORACLES = {
     "top_p": f"WITH {_L}, e AS ({_soft('1.0')}), p AS (SELECT user_id, event_type, e / sum(e) OVER (PARTITION BY user_id) AS p FROM e), c AS (SELECT *, coalesce(sum(p) OVER (PARTITION BY user_id ORDER BY p DESC, event_type ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM p) SELECT user_id, event_type, round(p / sum(p) OVER (PARTITION BY user_id), 6) AS p_top FROM c WHERE before < 0.9",
     "kl_bits": "WITH q AS (SELECT event_type, count(*) / (SELECT count(*) FROM events)::DOUBLE AS q FROM events GROUP BY 1), u AS (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY ALL), p AS (SELECT user_id, event_type, n / sum(n) OVER (PARTITION BY user_id)::DOUBLE AS p FROM u) SELECT user_id, round(sum(p * log2(p / q)), 6) AS kl_bits FROM p JOIN q USING (event_type) GROUP BY user_id",
     "class_counts": "SELECT label, count(*) AS n FROM embeddings GROUP BY label",
+    "poisson_bootstrap_ci": f"""WITH a AS (SELECT o_totalprice AS v, r, ((o_orderkey::UHUGEINT * {0xBF58476D1CE4E5B9} + r::UHUGEINT * {0x9E3779B97F4A7C15}) % {1 << 64}::UHUGEINT)::UBIGINT AS z FROM orders, (SELECT unnest(range(1, 201)) AS r)),
+        b AS (SELECT v, r, (xor(z, z >> 30)::UHUGEINT * {0xBF58476D1CE4E5B9} % {1 << 64}::UHUGEINT)::UBIGINT AS z FROM a),
+        c AS (SELECT v, r, (xor(z, z >> 27)::UHUGEINT * {0x94D049BB133111EB} % {1 << 64}::UHUGEINT)::UBIGINT AS z FROM b),
+        u AS (SELECT v, r, (xor(z, z >> 31) >> 11)::DOUBLE / {1 << 53}::DOUBLE AS u FROM c),
+        m AS (SELECT r, sum(v * n) / sum(n) AS m FROM (SELECT v, r, {" + ".join(f"({c!r}::DOUBLE < u)::INT" for c in _POISSON_CUTS)} AS n FROM u) GROUP BY r), l AS (SELECT list_sort(list(m)) AS l FROM m)
+        SELECT 200 AS remuestras, round(l[6], 2) AS bajo, round(l[195], 2) AS alto FROM l""",
     "paired_t_inference": f"""WITH RECURSIVE {_P}, st AS (SELECT count(*) AS n, avg(d) AS m, stddev_samp(d) / sqrt(count(*)) AS se FROM q),
         k AS (SELECT *, n - 1 AS v, exp(lgamma(n / 2.0) - lgamma((n - 1) / 2.0)) / sqrt((n - 1) * pi()) AS c FROM st),
         it AS (SELECT 0 AS i, 1.96::DOUBLE AS x FROM k UNION ALL SELECT i + 1, x - ({_TMASS('x')} - 0.475) / (c * pow(1 + x * x / v, -(v + 1) / 2.0)) FROM it, k WHERE i < 12),

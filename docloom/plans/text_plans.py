@@ -173,6 +173,27 @@ def chunk_pack(spark, sf):
         F.count("*").alias("blocks"), F.sum(F.length("z.l")).cast("bigint").alias("chars"))
 
 
+def notes_split(spark, sf):
+    """Notes split before each heading; the first line of a piece is its key."""
+    note = F.concat(F.lit("intro\n## uno "), F.col("turn").cast("string"), F.lit("\n"), "text", F.lit("\n## dos\n"), "text")
+    p = table(spark, sf, "conversations").select("conv_id", "turn", F.posexplode(tx.split_before(note, "## ")).alias("pos", "piece"))
+    return p.select("conv_id", "turn", F.col("pos").cast("bigint").alias("pos"), F.substring_index("piece", "\n", 1).alias("clave"), F.length("piece").cast("bigint").alias("n"))
+
+
+def fenced_code(spark, sf):
+    """The longest fenced block of a reply; the reply itself when there is none."""
+    reply = F.when(F.col("turn") % 2 == 0, F.concat(F.lit("x\n```\na\n```\ny\n```python\n"), "text", F.lit("\n```"))).otherwise(F.col("text"))
+    return table(spark, sf, "conversations").select("conv_id", "turn", F.md5(tx.longest_fenced(reply, "python")).alias("md5"))
+
+
+def masked_values(spark, sf):
+    """Every string inside a nested value is masked."""
+    secret = F.concat(F.lit('token = "abcd'), F.lpad(F.col("event_id").cast("string"), 12, "0"), F.lit('"'))
+    v = F.struct("event_id", F.array(F.struct(secret.alias("a"), F.lit("libre").alias("b"))).alias("xs"))
+    m = table(spark, sf, "events").select("event_id", tx.mask_value(v).alias("m"))
+    return m.select("event_id", F.col("m").contains("abcd0").cast("int").alias("visible"), F.get_json_object("m", "$.xs[0].b").alias("b"))
+
+
 def document_limits(spark, sf):
     """Word limits of assignments made from turns: for the whole text, for an answer, for a numbered task."""
     n = (100 + F.col("turn")).cast("string")
@@ -193,7 +214,7 @@ def body_size(spark, sf):
 QUERIES = {f.__name__: f for f in (
     word_limit_check, contains_all, mask_secrets, token_profile, name_keys, name_forms, heading_positions,
     repeat_detector, clip_marker, json_recovery, missing_links, replace_exactly_once, rough_figures, normalise_text,
-    page_sections, fence_parity, chunk_pack, body_size, document_limits)}
+    page_sections, fence_parity, chunk_pack, body_size, document_limits, notes_split, fenced_code, masked_values)}
 
 _KEY = r"""trim(regexp_replace(lower(strip_accents({x})), '[^a-z0-9]+', ' ', 'g'))"""
 _ARTICLES = "'el','la','los','las','un','una','unos','unas','the','a','an'"
@@ -259,6 +280,11 @@ ORACLES = {
         WHERE length(text) - length(replace(text, 'License', '')) = 7""",
     "rough_figures": r"""WITH t AS (SELECT doc_id, regexp_replace(text || ' 0,25 y ' || (doc_id % 90 + 10)::VARCHAR || '.5 %', '```.*?```', '', 'gs') AS t FROM documents)
         SELECT doc_id, array_to_string(regexp_extract_all(t, '(?:^|[^\p{L}\p{N}_.])(0[.,]\d{2,4}|\d{2}[.,]\d{1,2}\s?%)', 1), '|') AS cifras FROM t""",
+    "notes_split": """WITH p AS (SELECT conv_id, turn, unnest([0, 1, 2])::BIGINT AS pos, text FROM conversations)
+        SELECT conv_id, turn, pos, CASE pos WHEN 0 THEN 'intro' WHEN 1 THEN '## uno ' || turn::VARCHAR ELSE '## dos' END AS clave,
+          (CASE pos WHEN 0 THEN 5 WHEN 1 THEN 8 + length(turn::VARCHAR) + length(text) ELSE 7 + length(text) END)::BIGINT AS n FROM p""",
+    "fenced_code": "SELECT conv_id, turn, md5(trim(text, ' ' || chr(9) || chr(10) || chr(13))) AS md5 FROM conversations",
+    "masked_values": "SELECT event_id, 0 AS visible, 'libre' AS b FROM events",
     "document_limits": """SELECT conv_id, turn, CASE turn % 3 WHEN 0 THEN (100 + turn)::INT WHEN 1 THEN 1500 END AS whole,
         CASE turn % 3 WHEN 0 THEN '' WHEN 1 THEN 'Cada respuesta tiene un máximo de diez palabras.' ELSE 'Un resumen de hasta 150 palabras.' END AS partial FROM conversations""",
     "normalise_text": r"""WITH b AS (SELECT doc_id, regexp_replace(text, '(\p{L}{3})(\p{L}{3})', '\1-' || chr(10) || '\2', 'g') AS t FROM documents)

@@ -78,9 +78,3 @@ def free_folder(path: str) -> str:
     stamp = f"{path}-{time.strftime('%Y%m%d-%H%M%S')}"
     names = (stamp if n == 1 else f"{stamp}-{n}" for n in range(1, 1 << 30))
     return next(n for n in names if not os.path.exists(n))
-
-
-def figure_listing(files: DataFrame) -> DataFrame:
-    """PNG files of approved subtasks with the name they are published under."""
-    name = F.regexp_extract("path", r"([^/]+\.png)$", 1)
-    return files.where(name != "").select("path", F.concat(F.lit("figuras/"), "subtarea", F.lit("_"), name).alias("destino"))
