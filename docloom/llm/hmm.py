@@ -45,7 +45,7 @@ STATES = 6
 SEGMENT = 512
 SEED_PASSES, FULL_PASSES = 5, 2
 FLUSH = 150_000
-BATCH_TOKENS, BATCH_TEXTS = 2_000_000, 8192
+TRAIN_TOKENS, SCORE_TOKENS, BATCH_TEXTS = 600_000, 2_000_000, 8192  # training keeps every step's state shares, scoring only the last
 
 
 def tokens(text: str) -> list[bytes]:
@@ -172,15 +172,15 @@ def first_model(lex: Lexicon) -> Hmm:
     return Hmm(np.full(STATES, 1 / STATES), move, tilt / tilt.sum(0))
 
 
-def batches(pieces, column: str):
-    """Piece columns gathered until they hold enough tokens."""
+def batches(pieces, column: str, enough: int):
+    """Piece columns gathered until they hold ``enough`` tokens."""
     held: dict[str, list] = {}
     size = 0
     for p in pieces:
         for k, v in p.items():
             held.setdefault(k, []).extend(v)
         size += sum(map(len, p[column])) // 4
-        if size >= BATCH_TOKENS or len(held[column]) >= BATCH_TEXTS:
+        if size >= enough or len(held[column]) >= BATCH_TEXTS:
             yield held
             held, size = {}, 0
     if held:
@@ -236,7 +236,7 @@ def baum_welch(training: DataFrame, model: Hmm, lex: Lexicon) -> Hmm:
 
     def run(pieces):
         emit, move, start = np.zeros((size, STATES)), np.zeros((STATES, STATES)), np.zeros(STATES)
-        for held in batches(pieces, "symbols"):
+        for held in batches(pieces, "symbols", TRAIN_TOKENS):
             parts = [s[i : i + SEGMENT] for s in (np.frombuffer(b, "<i4") for b in held["symbols"]) for i in range(0, len(s), SEGMENT)]
             e, m, b = expected(handle.value, parts, size)
             emit, move, start = emit + e, move + m, start + b
@@ -294,7 +294,7 @@ def score_documents(docs: DataFrame, scratch: Scratch) -> DataFrame:
     handle = spark.sparkContext.broadcast(model)
 
     def run(pieces):
-        for held in batches(pieces, "symbols"):
+        for held in batches(pieces, "symbols", SCORE_TOKENS):
             held["states"] = forward(handle.value, [np.frombuffer(b, "<i4") for b in held.pop("symbols")])
             yield held
 

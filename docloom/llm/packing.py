@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from docloom.llm.base import arrow_map, documents
 
 TOKENIZER_FILE = "word_bpe_49k.json"
-CACHE_ENTRIES = 500_000
+CACHE_ENTRIES = 400_000
 CACHED_LENGTH = 48
 
 
@@ -174,6 +174,10 @@ class WordEncoder:
                 self.runs[run] = made
         return made
 
+    def forget(self) -> None:
+        """Give up the larger cache at the end of a task: the worker may serve another stage next."""
+        self.parts = {"": b""}
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
         split = [t.replace("\n", " ").split(" ") for t in texts]
@@ -242,6 +246,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int = 2, limits
                 for group in sequences(bins, limits):
                     place(group)
             yield rows
+        words.forget()
         rows = fresh()
         bins, _ = pack(held, limits, last=True)
         for group in sequences(bins, limits):

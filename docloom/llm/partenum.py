@@ -25,7 +25,6 @@ and are never a component's id unless it has none; an empty table gives no rows.
 from __future__ import annotations
 
 import itertools
-import math
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -175,6 +174,7 @@ def sign(docs: DataFrame, percent: int) -> DataFrame:
                 if new:
                     seen.add(node)
             yield {**p, **made}
+        _WORDS.clear()  # the worker may serve another stage next
 
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.unhex(F.md5(text)).alias("text_key"), text.alias("text"))
@@ -366,6 +366,7 @@ def jaccard_links(docs: DataFrame, scratch: Scratch, percent: int = 90) -> DataF
             if len(seen) > WORD_CACHE:
                 seen.clear()
             yield {**{k: [v[i] for i in at] for k, v in p.items()}, "elements": [shingles(text[i]).tobytes() for i in at]}
+        _WORDS.clear()
 
     blocks = F.ceil(F.greatest(F.col("m") / BLOCK_NODES, F.col("e") / BLOCK_ELEMENTS))
     sizes = members.groupBy("family").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("e"))
