@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 WORD = r"[\p{L}\p{N}_]"
+NOT_WORD = "[^" + WORD[1:]  # the complement of a character class
 SPACE = r"[\s\h\v\x1C-\x1F]"
 
 # Shapes of secrets that are masked before text is stored.
@@ -90,7 +91,7 @@ def squeeze(c: Column) -> Column:
 
 def tokens(c: Column) -> Column:
     """Lower-cased runs of two or more word characters."""
-    return F.regexp_extract_all(F.lower(c), F.lit(rf"{WORD}{{2,}}"), F.lit(0))
+    return F.filter(F.split(F.lower(c), rf"{NOT_WORD}+"), lambda w: F.length(w) >= 2)
 
 
 def let(value: Column, body) -> Column:

@@ -8,17 +8,21 @@ verified, so a hash never decides; the number of passes is the number of distinc
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docloom.functions.text import WORD, let
+from docloom.functions.text import NOT_WORD, let
 
 ANCHOR = 6
 
 
+def _words(c: Column) -> Column:
+    return F.array_remove(F.split(c, f"{NOT_WORD}+"), "")
+
+
 def contained_items(docs: DataFrame, key: str, text: str, items: DataFrame, ikey: str, itext: str) -> DataFrame:
     """Pairs ``ikey, key`` where the document contains the item's whole text."""
-    word = F.regexp_extract_all(F.col(itext), F.lit(f"{WORD}+"), F.lit(0))
+    word = _words(F.col(itext))
     own = items.where(F.length(itext) > 0).select(ikey, F.col(itext).alias("_item"), F.slice(word, F.lit(2), F.greatest(F.size(word) - 2, F.lit(0))).alias("w"))
     run = F.slice("w", F.lit(1), F.least(F.size("w"), F.lit(ANCHOR)))
     bare = F.size("w") == 0
@@ -26,18 +30,18 @@ def contained_items(docs: DataFrame, key: str, text: str, items: DataFrame, ikey
     lengths = [r["n"] for r in own.select("n").distinct().collect()]  # six word lengths, and the lengths of items of one or two words
     if not lengths:
         return docs.sparkSession.createDataFrame([], docs.select(key).schema).join(items.select(ikey), F.lit(False)).select(ikey, key)
-    def hashes(n: int):
-        def words(w):
-            return F.when(F.size(w) >= n, F.transform(F.sequence(F.lit(1), F.size(w) - n + 1), lambda i: F.xxhash64(F.array_join(F.slice(w, i, F.lit(n)), " ")))).otherwise(F.array().cast("array<bigint>"))
+    none = F.array().cast("array<bigint>")
 
+    def hashes(w, n: int):
+        if n > 0:
+            return F.when(F.size(w) >= n, F.transform(F.sequence(F.lit(1), F.size(w) - n + 1), lambda i: F.xxhash64(F.array_join(F.slice(w, i, F.lit(n)), " ")))).otherwise(none)
         m = -n
-        letters = F.when(F.length(text) >= m, F.transform(F.sequence(F.lit(1), F.length(text) - m + 1), lambda i: F.xxhash64(F.substring(F.col(text), i, F.lit(m))))).otherwise(F.array().cast("array<bigint>"))
-        return let(F.regexp_extract_all(F.col(text), F.lit(f"{WORD}+"), F.lit(0)), words) if n > 0 else letters
+        return F.when(F.length(text) >= m, F.transform(F.sequence(F.lit(1), F.length(text) - m + 1), lambda i: F.xxhash64(F.substring(F.col(text), i, F.lit(m))))).otherwise(none)
 
-    def tagged(n: int):
-        return F.transform(F.array_distinct(hashes(n)), lambda h: F.struct(F.lit(n).alias("n"), h.alias("h")))
+    def tagged(w, n: int):
+        return F.transform(F.array_distinct(hashes(w, n)), lambda h: F.struct(F.lit(n).alias("n"), h.alias("h")))
 
-    grams = F.flatten(F.array(*[tagged(n) for n in lengths]))
+    grams = let(_words(F.col(text)), lambda w: F.flatten(F.array(*[tagged(w, n) for n in lengths])))
     found = docs.where(F.col(text).isNotNull()).select(key, F.explode(grams).alias("g")).select(key, "g.n", "g.h")
     cand = found.join(own.select(ikey, "n", "h"), ["n", "h"]).select(key, ikey).distinct()
     cand = cand.join(own.select(ikey, "_item"), ikey).join(docs.select(key, F.col(text).alias("_doc")), key)

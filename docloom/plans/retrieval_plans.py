@@ -83,7 +83,7 @@ def anchored_retrieval(spark, sf):
     iv = ip.join(vocab, "term").withColumn("w", F.col("tf") * F.col("idf"))
     inorm = iv.groupBy("item_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("ni"))
     iv = iv.join(inorm, "item_id").select("item_id", "term", "df", (F.col("w") / F.col("ni")).alias("wi"))
-    dp = rt.postings(docs, "doc_id", "text")
+    dp = cut_lineage(rt.postings(docs, "doc_id", "text"))
     vocab = cut_lineage(vocab)
     dv = cut_lineage(lookup(dp, vocab.select("term", "df", "idf"), ["term"], ["doc_id"]).withColumn("wd", F.col("tf") * F.col("idf")))
     dnorm = dv.groupBy("doc_id").agg(F.sqrt(F.sum(F.col("wd") * F.col("wd"))).alias("nd"))
