@@ -18,10 +18,11 @@ gives no rows.
 
 from __future__ import annotations
 
-import itertools
 import os
 import re
+import sys
 import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -32,7 +33,7 @@ from pyspark.sql import DataFrame
 from docloom.llm.base import arrow_map, documents
 
 TOKENIZER_FILE = "word_bpe_49k.json"
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES = 300_000
 CACHED_LENGTH = 48
 
 
@@ -144,60 +145,56 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in set(seen) else chr(256 + hidden.index(b)) for b in range(256)]
 
 
-class WordEncoder:
-    """Token ids of texts; the parts between blanks are encoded once and kept in a bounded cache.
+class _Runs(dict):
+    """Ids of runs of letters or marks in lower case, straight from the merge model."""
+
+    def __init__(self, merge):
+        super().__init__({"": b""})
+        self.merge, self.letters = merge, byte_letters()
+
+    def __missing__(self, run: str) -> bytes:
+        shown = run if run.isascii() else "".join([self.letters[b] for b in run.encode()])
+        made = id_bytes([t.id for t in self.merge(shown)])
+        if len(self) < CACHE_ENTRIES and len(run) <= CACHED_LENGTH:
+            self[run] = made
+        return made
+
+
+class WordEncoder(dict):
+    """Token ids of texts; the parts between blanks are encoded one by one and remembered.
 
     White space never reaches this tokenizer's model, so the parts between blanks are
     independent.  A plain part (letters, then marks) goes straight to the merge model, letters
     and marks apart and in lower case, which is what the tokenizer's own steps give; every
-    other part takes those steps.
+    other part takes those steps.  Frequent parts come early, so a full memory simply takes
+    no more.
     """
 
     def __init__(self, path: str):
+        super().__init__({"": b""})
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.steps = Tokenizer.from_file(path)
-        self.merges = self.steps.model
-        self.letters = byte_letters()
-        self.parts: dict[str, bytes] = {"": b""}
-        self.runs: dict[str, bytes] = {"": b""}
-
-    def _run(self, run: str) -> bytes:
-        made = self.runs.get(run)
-        if made is None:
-            shown = run if run.isascii() else "".join([self.letters[b] for b in run.encode()])
-            made = np.array([t.id for t in self.merges.tokenize(shown)], "<u4").tobytes()
-            if len(self.runs) >= CACHE_ENTRIES:
-                self.runs = {"": b""}
-            if len(run) <= CACHED_LENGTH:
-                self.runs[run] = made
-        return made
+        self.runs = _Runs(self.steps.model.tokenize)
 
-    def forget(self) -> None:
-        """Give up the larger cache at the end of a task: the worker may serve another stage next."""
-        self.parts = {"": b""}
+    def __missing__(self, part: str) -> bytes:
+        plain = PLAIN(part)
+        made = self.runs[plain[1].lower()] + self.runs[plain[2]] if plain else id_bytes(self.steps.encode(part, add_special_tokens=False).ids)
+        if len(self) < CACHE_ENTRIES and len(part) <= CACHED_LENGTH:
+            self[part] = made
+        return made
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        split = [t.replace("\n", " ").split(" ") for t in texts]
-        if len(self.parts) >= CACHE_ENTRIES:
-            self.parts = {"": b""}
-        get, odd, long = self.parts, [], []
-        for w in set(itertools.chain.from_iterable(split)).difference(get):
-            plain = PLAIN(w)
-            if plain:
-                get[w] = self._run(plain[1].lower()) + self._run(plain[2])
-            else:
-                odd.append(w)
-            if len(w) > CACHED_LENGTH:
-                long.append(w)
-        for w, e in zip(odd, self.steps.encode_batch(odd, add_special_tokens=False), strict=True):
-            get[w] = np.array(e.ids, "<u4").tobytes()
-        out = [b"".join([get[w] for w in words]) for words in split]
-        for w in long:
-            del get[w]
-        return out
+        return [b"".join(map(self.__getitem__, t.replace("\n", " ").split(" "))) for t in texts]
+
+
+def id_bytes(ids: list[int]) -> bytes:
+    made = array("I", ids)
+    if sys.byteorder == "big":
+        made.byteswap()
+    return made.tobytes()
 
 
 _ENCODERS: dict[str, WordEncoder] = {}
@@ -246,7 +243,6 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int = 2, limits
                 for group in sequences(bins, limits):
                     place(group)
             yield rows
-        words.forget()
         rows = fresh()
         bins, _ = pack(held, limits, last=True)
         for group in sequences(bins, limits):
