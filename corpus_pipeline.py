@@ -14,6 +14,7 @@ from docloom.llm import langid, packing, partenum, secrets, winnow
 from docloom.llm.base import Scratch, id_remainder
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+NEAR_PERCENT, NEAR_WORDS = 80, 5  # near duplicates: least Jaccard similarity, and words of a shingle
 
 _HELD: list[Scratch] = []
 
@@ -35,7 +36,7 @@ def keep_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of the Jaccard join the document with the smallest id stays, once."""
-    links = partenum.jaccard_links(docs, _scratch(spark))
+    links = partenum.jaccard_links(docs, _scratch(spark), NEAR_PERCENT, NEAR_WORDS)
     chosen = links.where("keeper").select("doc_id", "text_key").distinct()
     key = F.unhex(F.md5(F.coalesce(F.col("text").cast("string"), F.lit(""))))
     rows = docs.select(*COLUMNS, key.alias("text_key"))

@@ -17,8 +17,8 @@ is connected with.  The components of those rows are the components of all links
 Sets hold 64-bit hashes of shingles; two different shingles of one compared pair fall together
 with a chance of about 2^-64 per pair of elements.
 
-Defined cases: a null text, or one without words, has an empty set and no link; fewer than
-three words are one shingle; equal rows are linked with each other; rows without id take part
+Defined cases: a null text, or one without words, has an empty set and no link; fewer words
+than a shingle has are one shingle; equal rows are linked with each other; rows without id take part
 and are never a component's id unless it has none; an empty table gives no rows.
 """
 
@@ -61,7 +61,7 @@ class _Words(dict):
 _WORDS = _Words()
 
 
-def shingles(text: str | None, n: int = 3) -> np.ndarray:
+def shingles(text: str | None, n: int) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the n-word shingles of a text (A-Z in lower case)."""
     words = text.encode("utf-8", "surrogatepass").lower().split() if text else []
     if not words:
@@ -149,7 +149,7 @@ def folded(sketches: list[bytes]) -> np.ndarray:
     return np.stack(rows)
 
 
-def sign(docs: DataFrame, percent: int) -> DataFrame:
+def sign(docs: DataFrame, percent: int, length: int) -> DataFrame:
     """doc_id, text_key, n_shingles, node (digest of the set; null if empty), sketch and sigs of every row.
 
     A task gives the signatures and the sketch of equal sets once.
@@ -162,7 +162,7 @@ def sign(docs: DataFrame, percent: int) -> DataFrame:
         for p in pieces:
             made = {"n_shingles": [], "node": [], "sketch": [], "sigs": []}
             for text in p.pop("text"):
-                s = shingles(text)
+                s = shingles(text, length)
                 node = int(np.uint64(xxhash.xxh3_64_intdigest(s.tobytes())).astype(np.int64)) if len(s) else None
                 new = node is not None and node not in seen
                 made["n_shingles"].append(len(s))
@@ -332,13 +332,13 @@ def compare(table: pa.Table, percent: int) -> pa.Table:
     return pa.table({"node": node, "root": node[roots(square)], "links": links.astype(np.int64)})
 
 
-def jaccard_links(docs: DataFrame, scratch: Scratch, percent: int = 90) -> DataFrame:
-    """doc_id, text_key, n_shingles, component_id, n_links, keeper of every row.
+def jaccard_links(docs: DataFrame, scratch: Scratch, percent: int = 90, length: int = 3) -> DataFrame:
+    """doc_id, text_key, n_shingles, component_id, n_links, keeper of every row; shingles of ``length`` words.
 
     ``keeper`` marks the rows whose (doc_id, text) comes first in their component (rows equal in both are all
     marked); documents with an empty set are keepers of their own.
     """
-    rows = scratch.store(sign(docs, percent))
+    rows = scratch.store(sign(docs, percent, length))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("first")
     nodes = rows.where(F.col("node").isNotNull()).groupBy("node").agg(first, F.count(F.lit(1)).alias("copies"), F.max("n_shingles").alias("n"), F.max("sketch").alias("sketch"))
     nodes = scratch.store(nodes)
@@ -365,7 +365,7 @@ def jaccard_links(docs: DataFrame, scratch: Scratch, percent: int = 90) -> DataF
             text, at = p.pop("text"), [i for i, node in enumerate(p["node"]) if node not in seen and not seen.add(node)]
             if len(seen) > WORD_CACHE:
                 seen.clear()
-            yield {**{k: [v[i] for i in at] for k, v in p.items()}, "elements": [shingles(text[i]).tobytes() for i in at]}
+            yield {**{k: [v[i] for i in at] for k, v in p.items()}, "elements": [shingles(text[i], length).tobytes() for i in at]}
         _WORDS.clear()
 
     blocks = F.ceil(F.greatest(F.col("m") / BLOCK_NODES, F.col("e") / BLOCK_ELEMENTS))

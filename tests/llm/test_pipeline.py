@@ -33,6 +33,17 @@ def test_stages_keep_columns_and_decide(spark, tmp_path):
     assert set(seen["packing"]) == set(seen["secret_scan"])
 
 
+def test_near_copies_of_eight_tenths_go(spark):
+    """Two of 100 words replaced far apart: 86 of 106 five-word shingles (a copy), but 92 of 104 three-word ones."""
+    w = [f"word{i}" for i in range(100)]
+    near, far = w.copy(), w.copy()
+    near[30], near[70] = "other", "another"
+    far[20], far[50], far[80] = "one", "two", "three"  # 81 of 111
+    rows = [(i, " ".join(t), "en", "a", len(" ".join(t))) for i, t in enumerate((w, near, far), 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    assert sorted(r["doc_id"] for r in pipeline.keep_one_of_each_group(spark, docs, SF).collect()) == [1, 3]
+
+
 def test_run_equals_its_stages(spark):
     got = entry.queries()["pipeline"](spark, SF)
     assert got.groupBy("doc_id").count().count() > 100 and got.count() == entry.queries()["pipeline"](spark, SF).count()
