@@ -12,9 +12,8 @@ so the recursion needs a table of fixed size, and rare words meet their counts i
 
 Training.  Word counts come from all training texts.  Each Baum-Welch pass runs over the
 training texts in segments of at most SEGMENT tokens; every task adds up its expected counts,
-Spark sums them by symbol, and only that bounded table reaches the driver.  The first passes
-separate the states on one sixteenth of the texts (by digest, so it grows with the corpus),
-the last ones run over all of them.
+Spark sums them by symbol, and only that bounded table reaches the driver.  Passes go on until
+one gains less than GAIN of log-likelihood a token.
 
 Scoring is exact: a scaled forward recursion over the whole text, many texts at a time.
 
@@ -43,7 +42,8 @@ HEAD_SHARE = 1 << 17  # symbols of their own
 KNOWN_SHARE = 1 << 20  # words whose counts every task holds
 STATES = 6
 SEGMENT = 512
-SEED_PASSES, FULL_PASSES = 5, 2
+FIT = -2 - STATES  # row of the log-likelihood, after those of the moves
+GAIN = 0.005  # natural logarithm a token
 FLUSH = 150_000
 TRAIN_TOKENS, SCORE_TOKENS, BATCH_TEXTS = 600_000, 2_000_000, 8192  # training keeps every step's state shares, scoring only the last
 
@@ -199,7 +199,12 @@ def side_by_side(sequences: list[np.ndarray]) -> tuple[np.ndarray, list[np.ndarr
 
 
 def expected(model: Hmm, sequences: list[np.ndarray], size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Expected emission (symbols x states), transition and start counts: one forward and one backward sweep."""
+    """Expected emission (symbols x states), transition and start counts."""
+    return sweeps(model, sequences, size)[:3]
+
+
+def sweeps(model: Hmm, sequences: list[np.ndarray], size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+    """Expected counts, and the log-likelihood: one forward and one backward sweep."""
     _, steps = side_by_side(sequences)
     emit, move = model.emit.astype(np.float32), model.move.astype(np.float32)
     alphas, scales, seen = [], [], []
@@ -225,24 +230,24 @@ def expected(model: Hmm, sequences: list[np.ndarray], size: int) -> tuple[np.nda
     flat = np.concatenate(steps)
     gamma = np.concatenate(gammas)
     counts = np.stack([np.bincount(flat, weights=gamma[:, k], minlength=size) for k in range(STATES)], 1)
-    return counts, moves * model.move, gammas[0].sum(0)
+    return counts, moves * model.move, gammas[0].sum(0), float(np.log(np.concatenate(scales), dtype=np.float64).sum())
 
 
-def baum_welch(training: DataFrame, model: Hmm, lex: Lexicon) -> Hmm:
-    """One pass over ``training`` (column symbols)."""
+def baum_welch(training: DataFrame, model: Hmm, lex: Lexicon) -> tuple[Hmm, float]:
+    """One pass over ``training`` (column symbols), and the log-likelihood of the model before it."""
     handle = training.sparkSession.sparkContext.broadcast(model)
     size = lex.size
     names = [f"c{k}" for k in range(STATES)]
 
     def run(pieces):
-        emit, move, start = np.zeros((size, STATES)), np.zeros((STATES, STATES)), np.zeros(STATES)
+        emit, move, start, total = np.zeros((size, STATES)), np.zeros((STATES, STATES)), np.zeros(STATES), 0.0
         for held in batches(pieces, "symbols", TRAIN_TOKENS):
             parts = [s[i : i + SEGMENT] for s in (np.frombuffer(b, "<i4") for b in held["symbols"]) for i in range(0, len(s), SEGMENT)]
-            e, m, b = expected(handle.value, parts, size)
-            emit, move, start = emit + e, move + m, start + b
+            e, m, b, fit = sweeps(handle.value, parts, size)
+            emit, move, start, total = emit + e, move + m, start + b, total + fit
         at = np.flatnonzero(emit.any(1))
-        table = np.concatenate((emit[at], move, start[None]))
-        label = np.concatenate((at, -2 - np.arange(STATES), [-1]))
+        table = np.concatenate((emit[at], move, start[None], np.full((1, STATES), total)))
+        label = np.concatenate((at, -2 - np.arange(STATES), [-1, FIT]))
         yield {"symbol": label, **{n: table[:, k] for k, n in enumerate(names)}}
 
     sums = arrow_map(training.select("symbols"), run, "symbol int, " + ", ".join(f"{n} double" for n in names))
@@ -251,15 +256,27 @@ def baum_welch(training: DataFrame, model: Hmm, lex: Lexicon) -> Hmm:
     values = np.stack([table[n].to_numpy() for n in names], 1) if len(label) else np.zeros((0, STATES))
     emit = np.zeros((size, STATES))
     emit[label[label >= 0]] = values[label >= 0]
-    move, start = np.ones((STATES, STATES)), np.ones(STATES)
+    move, start, total = np.ones((STATES, STATES)), np.ones(STATES), 0.0
     for x, v in zip(label, values, strict=True):
-        if x <= -2:
+        if x == FIT:
+            total = float(v[0])
+        elif x <= -2:
             move[-2 - x] += v
         elif x == -1:
             start += v
     back = 50.0  # pseudo-tokens of the training shares in every state
     emit = (emit + back * lex.prior[:, None]) / (emit.sum(0) + back)
-    return Hmm(start / start.sum(), move / move.sum(1, keepdims=True), emit)
+    return Hmm(start / start.sum(), move / move.sum(1, keepdims=True), emit), total
+
+
+def train(training: DataFrame, lex: Lexicon) -> Hmm:
+    """Baum-Welch over ``training`` until a pass gains less than GAIN a token."""
+    model, before = first_model(lex), -math.inf
+    while True:
+        model, now = baum_welch(training, model, lex)
+        if now - before < GAIN * max(1, lex.train_tokens):
+            return model
+        before = now
 
 
 def forward(model: Hmm, sequences: list[np.ndarray]) -> np.ndarray:
@@ -285,11 +302,7 @@ def score_documents(docs: DataFrame, scratch: Scratch) -> DataFrame:
     lex = lexicon(counts)
     encoded = scratch.store(encode(rows, lex))
 
-    model = first_model(lex)
-    learn = encoded.where(~F.col("held_out"))
-    seed = learn.where(F.pmod(F.xxhash64("symbols"), F.lit(16)) == 0)
-    for some in [seed] * SEED_PASSES + [learn] * FULL_PASSES:
-        model = baum_welch(some, model, lex)
+    model = train(encoded.where(~F.col("held_out")), lex)
 
     handle = spark.sparkContext.broadcast(model)
 

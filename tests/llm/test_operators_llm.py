@@ -104,6 +104,14 @@ def test_hmm_training_raises_held_out_likelihood(spark, scratch):
     assert (r["s"] - r["b"]) / r["n"] > 0.2
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_hmm_separates_states_on_few_distinct_texts(spark, scratch, seed):
+    """Runs of two word groups in one text, forty copies: the states tell the groups apart, which single words can't."""
+    text = " ".join([f"{g}{seed}{k % 3}" for g in "ab" * 3 for k in range(30)])
+    r = hmm.score_documents(table(spark, [(i, text, "en", "a") for i in range(40)]), scratch).agg(F.sum("score").alias("s"), F.sum("base_score").alias("b"), F.sum("n_tokens").alias("n")).first()
+    assert (r["s"] - r["b"]) / r["n"] > 0.15
+
+
 def test_hmm_probabilities_of_all_words_add_up_to_one(awkward, scratch):
     lex = hmm.lexicon(hmm.word_counts(base.documents(awkward).select("text")))
     model = hmm.first_model(lex)
