@@ -12,8 +12,10 @@ run of GRAM + WINDOW - 1 words shares a kept one.
 Each text is scanned whole inside one task and nothing is shuffled.
 
 Defined cases: a null or empty text has no match; repeated notices give one match each; equal
-rows get equal answers; of overlapping matches of one license the better covered stays, then
-the earlier; spans count code points, end exclusive.
+rows get equal answers; of overlapping matches, of whatever license, the one with the best
+alignment stays, then the better covered, then the earlier; a notice needs the words that tell
+it from its siblings (nc, sa, lesser, version numbers); a span that only opens a BSD license
+names none; spans count code points, end exclusive.
 """
 
 from __future__ import annotations
@@ -21,6 +23,8 @@ from __future__ import annotations
 import re
 from collections import defaultdict
 from dataclasses import dataclass
+from itertools import product
+from pathlib import Path
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -30,25 +34,57 @@ from docloom.llm.base import arrow_map
 
 GRAM, WINDOW, BAND, COVERAGE = 3, 2, 8, 0.8
 
-# Public license notices, (license, text).
+BODIES = ("BSD-3-Clause", "BSD-2-Clause", "MIT", "ISC", "Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.0", "LGPL-2.1", "LGPL-3.0", "MPL-1.1", "MPL-2.0", "CC0-1.0", "CC-BY-SA-4.0")
+_FREE = (
+    "This program is free software: you can redistribute it and/or modify it under the terms of the GNU", "Public License as published by the Free Software Foundation, either", "any later version.",
+)
+
+
+def _creative_commons():
+    """Notices of the six licenses in their versions and spellings."""
+    words_of = {"BY": ("Attribution",), "NC": ("NonCommercial", "Non-Commercial"), "SA": ("ShareAlike", "Share Alike"), "ND": ("NoDerivatives", "No Derivatives", "NoDerivs")}
+    for kind in ("BY-NC", "BY", "BY-SA", "BY-ND", "BY-NC-SA", "BY-NC-ND"):
+        for version, law in (("4.0", "International"), ("3.0", "Unported"), ("2.5", "Generic"), ("2.0", "Generic")):
+            name = f"CC-{kind}-{version}"
+            yield name, f"Licensed under CC {kind} {version}."
+            if version == "4.0":
+                yield name, f"Licensed under CC {kind} 4."
+            for spelled in product(*[words_of[k] for k in kind.split("-")]):
+                yield name, f"This work is licensed under a Creative Commons {'-'.join(spelled)} {version} {law} License."
+
+
+# Public license notices and whole texts, (license, text).
 TEMPLATES = (
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("Apache-2.0", 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. '
      "You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, "
      'software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.'),
     ("MIT", "Released under the MIT License."),
-    ("MIT", 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), '
-     "to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, "
-     "and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so"),
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
     ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by "
      "the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
-    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
-    ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
-    ("CC-BY-NC-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
-    ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
+    ("Apache-2.0", "Licensed under the Apache License, Version 2."),
+    ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2."),
+    ("AGPL-3.0", "Licensed under the GNU Affero General Public License, version 3."),
+    ("LGPL-2.1", "Licensed under the GNU Lesser General Public License, version 2.1."),
+    ("LGPL-3.0", "Licensed under the GNU Lesser General Public License, version 3."),
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
+    ("MPL-2.0", "Licensed under the Mozilla Public License, Version 2.0."),
+    ("MPL-1.1", "Licensed under the Mozilla Public License, Version 1.1."),
+    ("ISC", "Released under the ISC License."),
+    *_creative_commons(),
+    *((name, (Path(__file__).parent / "license_texts" / f"{name}.txt").read_text(encoding="utf-8").strip().rstrip(".")) for name in BODIES),
+    *((name, f"{_FREE[0]} {kind} {_FREE[1]} {version} {_FREE[2]}") for name, kind, version in (
+        ("GPL-2.0", "General", "version 2 of the License, or (at your option)"), ("AGPL-3.0", "Affero General", "version 3 of the License, or (at your option)"),
+        ("LGPL-2.1", "Lesser General", "version 2.1 of the License, or (at your option)"), ("LGPL-3.0", "Lesser General", "version 3 of the License, or (at your option)"))),
+    ("BSD-2-Clause", "Released under the BSD 2-Clause License."),
+    ("BSD-3-Clause", "Released under the BSD 3-Clause License."),
 )
 
+# Words that tell siblings apart.  A notice counts only with its own ones, all of them, and no other inside its span.
+MARKS = {b"nc", b"sa", b"nd", b"noncommercial", b"commercial", b"sharealike", b"alike", b"noderivatives", b"derivatives", b"noderivs", b"derivs", b"lesser", b"affero", b"library"}
+NOTICE = 120  # words; longer templates are whole licenses, told apart by their alignment
+
 _SPACED = bytes(c if c > 127 or chr(c).isalnum() else 32 for c in range(256))
 _WORD = re.compile(r"[A-Za-z0-9\x80-\U0010FFFF]+")
 
@@ -78,7 +114,14 @@ class Scanner:
         self.names = [n for n, _ in templates]
         texts = [words(t) for _, t in templates]
         self.vocabulary = {w: i for i, w in enumerate(sorted({w for t in texts for w in t}), 1)}
+        texts_of = {i: w for w, i in self.vocabulary.items()}
         self.templates = [np.array([self.vocabulary[w] for w in t], np.int64) for t in texts]
+        marks = {i for w, i in self.vocabulary.items() if w in MARKS}
+        self.required: list[dict[int, int]] = []  # of a notice: word -> bit
+        self.marks = np.array(sorted(marks), np.int64)
+        for t in self.templates:
+            own = [w for w in dict.fromkeys(t.tolist()) if w in marks or texts_of[w].isdigit()] if len(t) <= NOTICE else []
+            self.required.append({w: 1 << k for k, w in enumerate(own)})
         self.index: dict[int, list[tuple[int, int]]] = defaultdict(list)
         for n, t in enumerate(self.templates):
             h = self._hashes(t)
@@ -112,51 +155,66 @@ class Scanner:
         for i in at:
             for n, j in self.index[int(h[i])]:
                 votes[n].append(int(i) - j)
-        found: list[tuple[str, float, int, int]] = []
+        found: list[tuple[str, float, int, int, int]] = []
         for n, diagonals in votes.items():
             diagonals.sort()
             begin = 0
             for i in range(1, len(diagonals) + 1):
                 if i == len(diagonals) or diagonals[i] - diagonals[i - 1] > BAND:
-                    matched, first, last = align(self.templates[n], ids, diagonals[begin] - BAND, diagonals[i - 1] + BAND)
-                    if matched >= COVERAGE * len(self.templates[n]):
-                        found.append((self.names[n], matched / len(self.templates[n]), first, last))
+                    found += self._candidate(n, ids, diagonals[begin] - BAND, diagonals[i - 1] + BAND)
                     begin = i
         if not found:
             return []
         spans = [m.span() for m in _WORD.finditer(text)]
-        out: list[tuple[str, float, int, int]] = []
-        for m in sorted(found, key=lambda m: (-m[1] * (m[3] - m[2] + 1), m[2], m[0])):
-            if all(m[0] != o[0] or m[2] > o[3] or m[3] < o[2] for o in out):
+        out: list[tuple[str, float, int, int, int]] = []
+        for m in sorted(found, key=lambda m: (-m[4], -m[1], m[2], m[0])):
+            if all(m[2] > o[3] or m[3] < o[2] for o in out):
                 out.append(m)
-        return [Match(n, c, spans[a][0], spans[b][1]) for n, c, a, b in sorted(out, key=lambda m: (m[2], m[0]))]
+        return [Match(n, c, spans[a][0], spans[b][1]) for n, c, a, b, _ in sorted(out, key=lambda m: (m[2], m[0]))]
+
+    def _candidate(self, n: int, ids: np.ndarray, low: int, high: int) -> list[tuple[str, float, int, int, int]]:
+        """The match of template n inside a band, or nothing: name, coverage, first and last word, score."""
+        t, required = self.templates[n], self.required[n]
+        near = ids[max(0, low) : max(0, len(t) + high)]
+        size = len(self.vocabulary) + 1
+        if np.minimum(np.bincount(near, minlength=size), np.bincount(t, minlength=size)).sum() < COVERAGE * len(t):
+            return []  # not enough of its words stand there in any order
+        matched, first, last, score, seen = align(t, ids, low, high, required)
+        if matched < COVERAGE * len(t) or seen != (1 << len(required)) - 1:
+            return []
+        span = ids[first : last + 1]
+        if len(t) <= NOTICE and any(int(w) not in required for w in span[np.isin(span, self.marks)]):
+            return []
+        return [(self.names[n], matched / len(t), first, last, score)]
 
 
-def align(template: np.ndarray, ids: np.ndarray, low: int, high: int) -> tuple[int, int, int]:
-    """Best local alignment with text position minus template position in low..high: matched words, first and last text word.
+def align(template: np.ndarray, ids: np.ndarray, low: int, high: int, required: dict[int, int]) -> tuple[int, int, int, int, int]:
+    """Best local alignment with text position minus template position in low..high: matched words, first and last text word, score, bits of the required words that match.
 
     A match counts 2, a mismatch, insertion or deletion -1.
     """
-    best = (0, 0, 0, 0)
-    above: dict[int, tuple[int, int, int]] = {}
+    best = (0, 0, 0, 0, 0)
+    above: dict[int, tuple[int, int, int, int]] = {}
     words_of, n = ids.tolist(), len(ids)
     for i, t in enumerate(template.tolist()):
-        row: dict[int, tuple[int, int, int]] = {}
+        row: dict[int, tuple[int, int, int, int]] = {}
+        bit = required.get(t, 0)
         for j in range(max(0, i + low), min(n, i + high + 1)):
-            score, matched, first = above.get(j - 1, (0, 0, j))
+            score, matched, first, seen = above.get(j - 1, (0, 0, j, 0))
             if words_of[j] == t:
-                cell = (score + 2, matched + 1, first if score else j)
+                cell = (score + 2, matched + 1, first if score else j, seen | bit)
                 if cell[:2] > best[:2]:
                     best = (*cell, j)
             else:
-                cell = (score - 1, matched, first)
+                cell = (score - 1, matched, first, seen)
             for other in (above.get(j), row.get(j - 1)):
                 if other and other[0] - 1 > cell[0]:
-                    cell = (other[0] - 1, other[1], other[2])
+                    cell = (other[0] - 1, *other[1:])
             if cell[0] > 0:
                 row[j] = cell
         above = row
-    return best[1], best[2], best[3]
+    score, matched, first, seen, last = best
+    return matched, first, last, score, seen
 
 
 def scan_licenses(docs: DataFrame, *keep: Column, templates=TEMPLATES) -> DataFrame:

@@ -500,6 +500,28 @@ def test_license_candidates_equal_aligning_everything():
         assert name in {m.license for m in scanner.scan(text)}
 
 
+@pytest.mark.parametrize("text, want", [
+    ("Licensed under CC BY 4.0", "CC-BY-4.0"), ("Licensed under CC BY-NC 4.0", "CC-BY-NC-4.0"), ("Licensed under CC BY-SA 4.0", "CC-BY-SA-4.0"), ("Licensed under CC BY-NC-SA 3.0", "CC-BY-NC-SA-3.0"),
+    ("This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License", "CC-BY-NC-4.0"),
+    ("This work is licensed under a Creative Commons Attribution-Non-Commercial 4.0 International License", "CC-BY-NC-4.0"),
+    ("This work is licensed under a Creative Commons Attribution 4.0 International License", "CC-BY-4.0"),
+    ("This work is licensed under the GNU General Public License, version 2", "GPL-2.0"), ("This work is licensed under the GNU General Public License, version 3", "GPL-3.0"),
+    ("Licensed under the GNU Lesser General Public License, version 3", "LGPL-3.0"), ("This work is licensed under the GNU Affero General Public License, version 3", "AGPL-3.0"),
+    ("Licensed under the Apache License, Version 1.1", None), ("This work is licensed under the GNU General Public License, version 4", None),
+    ("Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met", None),
+])
+def test_license_siblings(text, want):
+    assert [m.license for m in licenses.Scanner().scan(f"Words before. {text}. More after")] == ([want] if want else [])
+
+
+@pytest.mark.parametrize("name", ["BSD-3-Clause", "BSD-2-Clause", "MIT", "ISC", "CC0-1.0", "LGPL-3.0"])
+def test_license_bodies(name):
+    body = max((t for n, t in licenses.TEMPLATES if n == name), key=len)
+    w = body.split()
+    for cut in (w, w[: len(w) // 2] + w[len(w) // 2 + 2 :]):
+        assert {m.license for m in licenses.Scanner().scan("Before it. " + " ".join(cut))} == {name}
+
+
 # 10: URLs
 
 def slow_glob(g, s):
