@@ -1,11 +1,11 @@
-"""The registered queries of the ten operators, and their SQL where SQL can express them."""
+"""The registered queries of the operators, and their SQL where SQL can express them."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm import hilbert, hmm, langid, licenses, multiprobe, packing, partenum, secrets, urlglob, winnow
+from docloom.llm import hilbert, hmm, langid, licenses, multiprobe, packing, partenum, periods, secrets, urlglob, winnow
 from docloom.llm.base import Scratch
 
 
@@ -59,6 +59,15 @@ def op10_glob_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlglob.judge_urls(_table(spark, sf_dir, "pages"))
 
 
+def op13_square_catching(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periods.find_runs(_table(spark, sf_dir, "documents"), F.col("doc_id").cast("long").alias("doc_id"), prepare=periods.periodic_tail)
+    lines = F.transform("runs", lambda r: F.concat(F.array_join(r.cast("array<string>"), ","), F.lit("\n")))
+    return found.select(
+        "doc_id", "n_runs", "start", "length", "period", "exponent_milli",
+        F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"), F.sha2("collapsed_text", 256).alias("collapsed_sha256"),
+    )
+
+
 QUERIES = {
     "op1_hidden_markov": op1_hidden_markov,
     "op2_partenum_join": op2_partenum_join,
@@ -70,6 +79,7 @@ QUERIES = {
     "op8_language_id": op8_language_id,
     "op9_license_scan": op9_license_scan,
     "op10_glob_automaton": op10_glob_automaton,
+    "op13_square_catching": op13_square_catching,
 }
 ORACLES = {
     "op7_winnowing": winnow.WINNOW_SQL,
