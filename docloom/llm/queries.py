@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm import hilbert, hmm, langid, licenses, multiprobe, packing, partenum, periods, secrets, urlglob, winnow
+from docloom.llm import alignment, hilbert, hmm, langid, licenses, multiprobe, packing, partenum, periods, secrets, urlglob, winnow
 from docloom.llm.base import Scratch
 
 
@@ -59,6 +59,13 @@ def op10_glob_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlglob.judge_urls(_table(spark, sf_dir, "pages"))
 
 
+def op12_interval_coalescing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    paths = [public_tokenizers.path(f) for f in (alignment.A_FILE, alignment.B_FILE, alignment.RANKS_FILE)]
+    return alignment.align_documents(_table(spark, sf_dir, "documents"), Scratch(spark), *paths)
+
+
 def op13_square_catching(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = periods.find_runs(_table(spark, sf_dir, "documents"), F.col("doc_id").cast("long").alias("doc_id"), prepare=periods.periodic_tail)
     lines = F.transform("runs", lambda r: F.concat(F.array_join(r.cast("array<string>"), ","), F.lit("\n")))
@@ -79,6 +86,7 @@ QUERIES = {
     "op8_language_id": op8_language_id,
     "op9_license_scan": op9_license_scan,
     "op10_glob_automaton": op10_glob_automaton,
+    "op12_interval_coalescing": op12_interval_coalescing,
     "op13_square_catching": op13_square_catching,
 }
 ORACLES = {
