@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm import alignment, hilbert, hmm, langid, licenses, multiprobe, packing, partenum, periods, secrets, urlglob, winnow
+from docloom.llm import alignment, crf, hilbert, hmm, langid, licenses, multiprobe, packing, partenum, periods, secrets, urlglob, winnow
 from docloom.llm.base import Scratch
 
 
@@ -59,6 +59,11 @@ def op10_glob_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlglob.judge_urls(_table(spark, sf_dir, "pages"))
 
 
+def op11_crf_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = crf.train(crf.examples(spark))
+    return crf.scan(_table(spark, sf_dir, "documents"), model, F.col("doc_id").cast("long").alias("doc_id"))
+
+
 def op12_interval_coalescing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -86,6 +91,7 @@ QUERIES = {
     "op8_language_id": op8_language_id,
     "op9_license_scan": op9_license_scan,
     "op10_glob_automaton": op10_glob_automaton,
+    "op11_crf_personal_data": op11_crf_personal_data,
     "op12_interval_coalescing": op12_interval_coalescing,
     "op13_square_catching": op13_square_catching,
 }
