@@ -13,8 +13,8 @@ from docloom.operators import plan_rules as pr
 from docloom.plans.text_plans import db_name_key
 from docloom.session import cut_lineage, table
 
-CHUNK = 2500  # characters of a chunk; it bounds the pairs one row can yield
-LONG = 8  # letters of a benchmark term that counts as an entity form
+CHUNK = 2500  # characters of a chunk, and those that end its last word; it bounds the pairs one row can yield
+PIECE = rf"(?s).{{1,{CHUNK}}}[\p{{L}}\p{{N}}_]*"
 
 
 # ------------------------------------------------------------------ entities
@@ -89,15 +89,19 @@ def index_summary(spark, sf):
 
 # ------------------------------------------------------------------ term graph
 def _forms(spark, sf):
-    """Entity forms: the long terms of the benchmark items, ``item_id, m`` in order of first use."""
+    """Entity forms: the terms of the benchmark items, ``item_id, m`` in order of first use."""
     b = table(spark, sf, "benchmark")
-    return b.select("item_id", F.filter(F.array_distinct(tokens(F.col("text"))), lambda t: F.length(t) >= LONG).alias("m"))
+    return b.select("item_id", F.array_distinct(tokens(F.col("text"))).alias("m"))
+
+
+def _pieces(spark, sf):
+    """Chunks of every text: ``doc_id, lang, chunk, piece``; no word is cut."""
+    return table(spark, sf, "documents").select("doc_id", "lang", F.posexplode(F.regexp_extract_all("text", F.lit(PIECE), F.lit(0))).alias("chunk", "piece"))
 
 
 def _mentions(spark, sf):
     """Entity forms found in each chunk of each document; every chunk of every text is read."""
-    d = table(spark, sf, "documents").select("doc_id", "lang", F.posexplode(F.regexp_extract_all("text", F.lit(f"(?s).{{1,{CHUNK}}}"), F.lit(0))).alias("chunk", "piece"))
-    t = d.select("doc_id", "lang", "chunk", F.explode(F.array_distinct(tokens(F.col("piece")))).alias("t")).where(F.length("t") >= LONG)
+    t = _pieces(spark, sf).select("doc_id", "lang", "chunk", F.explode(F.array_distinct(tokens(F.col("piece")))).alias("t"))
     known = _forms(spark, sf).select(F.explode("m").alias("t")).distinct()
     return t.join(known, "t", "left_semi").groupBy("doc_id", "lang", "chunk").agg(F.collect_set("t").alias("m"))
 
@@ -118,7 +122,7 @@ def entity_mentions(spark, sf):
 def entity_chunks(spark, sf):
     """The first chunk of each entity, with its text: entity, chunk id, chunk."""
     first = entity_mentions(spark, sf).groupBy("node").agg(F.min(F.struct("doc_id", "chunk")).alias("c"), F.count("*").alias("chunks"))
-    pieces = table(spark, sf, "documents").select("doc_id", F.posexplode(F.regexp_extract_all("text", F.lit(f"(?s).{{1,{CHUNK}}}"), F.lit(0))).alias("chunk", "piece"))
+    pieces = _pieces(spark, sf).select("doc_id", "chunk", "piece")
     f = first.select("node", "c.doc_id", "c.chunk", "chunks")
     return f.join(pieces, ["doc_id", "chunk"]).select("node", "doc_id", F.col("chunk").cast("bigint").alias("chunk"), "chunks", F.md5("piece").alias("md5"))
 
@@ -164,19 +168,23 @@ def community_vote(spark, sf):
 
 
 def layer_merge(spark, sf):
-    """Section layer plus entity layer: mentions, relations touching used entities, dependencies untouched."""
+    """Section layer plus entity layer, as edges: mentions, relations between used entities with their citing items, dependencies untouched.
+
+    The used entities are those that a section mentions, and the other ends of their relations.
+    """
     b = _forms(spark, sf).select(F.concat(F.lit("sec:"), F.col("item_id").cast("string")).alias("src"), F.explode("m").alias("t"))
     rel = _term_relations(spark, sf)
-    mentions = b.select("src", F.concat(F.lit("ent:"), "t").alias("dst"), F.lit("menciona").alias("tipo"), F.lit(0).cast("bigint").alias("citas"))
-    used = b.select(F.col("t").alias("node")).distinct()
-    touch = rel.join(used.withColumnRenamed("node", "origen"), "origen", "left_semi").unionByName(
-        rel.join(used.withColumnRenamed("node", "destino"), "destino", "left_semi")).distinct()
+    none = F.lit(0).cast("bigint").alias("citas")
+    mentions = b.select("src", F.concat(F.lit("ent:"), "t").alias("dst"), F.lit("menciona").alias("tipo"), none)
+    own = b.select(F.col("t").alias("node")).distinct()
+    ends = lambda near, far: rel.join(own.withColumnRenamed("node", near), near, "left_semi").select(F.col(far).alias("node"))
+    used = own.unionByName(ends("origen", "destino")).unionByName(ends("destino", "origen")).distinct()
+    touch = rel.join(used.withColumnRenamed("node", "origen"), "origen", "left_semi").join(used.withColumnRenamed("node", "destino"), "destino", "left_semi")
     rels = touch.select(F.concat(F.lit("ent:"), "origen").alias("src"), F.concat(F.lit("ent:"), "destino").alias("dst"), F.lit("relacion").alias("tipo"), "citas")
     deps = _doc_sections(spark, sf).where(F.col("sec_no") > 0).select(
         F.concat(F.lit("c"), F.col("conv_id").cast("string"), F.lit(":"), "clave").alias("src"),
-        F.concat(F.lit("c"), F.col("conv_id").cast("string"), F.lit(":Preámbulo")).alias("dst"), F.lit("depende_de").alias("tipo"), F.lit(0).cast("bigint").alias("citas"))
-    return mentions.unionByName(rels).unionByName(deps).groupBy("tipo").agg(
-        F.count("*").alias("aristas"), F.count_distinct("src").alias("origenes"), F.count_distinct("dst").alias("destinos"), F.sum("citas").cast("bigint").alias("citas"))
+        F.concat(F.lit("c"), F.col("conv_id").cast("string"), F.lit(":Preámbulo")).alias("dst"), F.lit("depende_de").alias("tipo"), none)
+    return mentions.unionByName(rels).unionByName(deps)
 
 
 def communities(spark, sf):
@@ -184,14 +192,6 @@ def communities(spark, sf):
     return gr.ranked_communities(c).select("first", F.col("size").cast("bigint").alias("size"))
 
 
-def community_context(spark, sf):
-    """Members of each community, and the distinct documents that cite each of them, summed."""
-    e = cut_lineage(_edges(spark, sf))
-    c = gr.communities(e)
-    cites = _mentions(spark, sf).select("doc_id", F.explode("m").alias("node")).groupBy("node").agg(F.count_distinct("doc_id").alias("docs"))
-    return c.join(cites, "node", "left").groupBy("c").agg(F.count("*").alias("miembros"), F.sum("docs").cast("bigint").alias("citas"))
-
-
 # ------------------------------------------------------------------ plans and sections
 def _doc_sections(spark, sf):
     """Conversations as statements: turns are sections that refer back in words."""
@@ -323,7 +323,7 @@ def local_search(spark, sf):
 
 QUERIES = {f.__name__: f for f in (
     entity_cleaning, relation_cleaning, entity_fusion, entity_aliases, relation_fusion, index_summary, entity_mentions, entity_chunks, cooccurrence_weights, graph_seeds,
-    one_hop_neighbours, induced_subgraph, community_vote, layer_merge, communities, community_context, reference_edges,
+    one_hop_neighbours, induced_subgraph, community_vote, layer_merge, communities, reference_edges,
     dependency_closure, context_assembly, failure_propagation, dag_cycles, topo_order, plan_violations, dependency_results, local_search)}
 
 _K = db_name_key
@@ -338,8 +338,10 @@ _FUS = f"""{_RAW}, fm AS (SELECT eid, 0 AS fpos, {_K('nombre')} AS forma FROM re
  me AS (SELECT root, any_value(clave) AS clave, any_value(nr) AS nombre, CASE WHEN any_value(tr) <> 'concepto' THEN any_value(tr) ELSE coalesce(arg_min(tipo, eid) FILTER (WHERE tipo <> 'concepto'), 'concepto') END AS tipo,
   count(*) AS menciones, count(DISTINCT cita) AS citas, count(DISTINCT origen) AS origenes, count(DISTINCT nullif(descripcion, '')) AS descripciones, (SELECT count(*) FROM av WHERE av.root = fu.root) AS n_alias FROM fu GROUP BY root)"""
 _TOKS = lambda t: rf"regexp_extract_all(lower({t}), '[\p{{L}}\p{{N}}_]{{2,}}')"
-_EDG = f"""lb AS (SELECT item_id, t, row_number() OVER (PARTITION BY item_id ORDER BY i) AS r FROM (SELECT item_id, t, min(i) AS i FROM (SELECT item_id, unnest({_TOKS('text')}) AS t, generate_subscripts({_TOKS('text')}, 1) AS i FROM benchmark) GROUP BY ALL) WHERE length(t) >= {LONG}),
- ck AS (SELECT doc_id, lang, c, substr(text, c * {CHUNK} + 1, {CHUNK}) AS piece FROM (SELECT doc_id, lang, text, unnest(range(0, ceil(length(text) / {CHUNK}.0)::INT)) AS c FROM documents)),
+_PART = lambda s: rf"least({CHUNK}, length(text) - {s} + 1) + length(regexp_extract(substr(text, {s} + {CHUNK}), '^[\p{{L}}\p{{N}}_]*'))"
+_EDG = f"""lb AS (SELECT item_id, t, row_number() OVER (PARTITION BY item_id ORDER BY i) AS r FROM (SELECT item_id, t, min(i) AS i FROM (SELECT item_id, unnest({_TOKS('text')}) AS t, generate_subscripts({_TOKS('text')}, 1) AS i FROM benchmark) GROUP BY ALL)),
+ cr AS (SELECT doc_id, lang, text, 0 AS c, 1 AS s, {_PART('1')} AS n FROM documents WHERE text <> '' UNION ALL SELECT doc_id, lang, text, c + 1, s + n, {_PART('(s + n)')} FROM cr WHERE s + n <= length(text)),
+ ck AS (SELECT doc_id, lang, c, substr(text, s, n) AS piece FROM cr),
  ld AS (SELECT DISTINCT doc_id, lang, c, t FROM (SELECT doc_id, lang, c, unnest({_TOKS('piece')}) AS t FROM ck) WHERE t IN (SELECT t FROM lb)),
  rl AS (SELECT x.t AS origen, y.t AS destino, count(DISTINCT x.item_id) AS citas FROM lb x JOIN lb y ON x.item_id = y.item_id AND y.r = x.r + 1 GROUP BY ALL),
  ed AS (SELECT a, b, sum(w)::BIGINT AS w FROM (SELECT x.t AS a, y.t AS b, 1 AS w FROM ld x JOIN ld y ON x.doc_id = y.doc_id AND x.c = y.c AND x.t < y.t UNION ALL SELECT least(origen, destino), greatest(origen, destino), 2 * citas FROM rl) GROUP BY ALL),
@@ -372,17 +374,17 @@ ORACLES = {
     "entity_aliases": f"WITH RECURSIVE {_FUS} SELECT root, alias, primera FROM av",
     "relation_fusion": f"WITH RECURSIVE {_FUS} SELECT clave AS origen, {_K('s_name')} AS destino, 'flag_' || lower(l_returnflag) AS relacion, count(DISTINCT year(l_shipdate)) AS citas, count(*) AS menciones FROM lineitem JOIN fu ON eid = l_partkey JOIN supplier ON s_suppkey = l_suppkey GROUP BY ALL",
     "index_summary": f"WITH RECURSIVE {_FUS} SELECT tipo, count(*) AS entidades, count(*) FILTER (WHERE origenes = 2) AS compartidas, sum(citas)::BIGINT AS citas FROM me GROUP BY tipo",
-    "entity_mentions": f"WITH {_EDG} SELECT t AS node, doc_id, c::BIGINT AS chunk FROM ld",
-    "entity_chunks": f"WITH {_EDG}, f AS (SELECT t AS node, min((doc_id, c)) AS p, count(*) AS chunks FROM ld GROUP BY t) SELECT node, ck.doc_id, ck.c::BIGINT AS chunk, chunks, md5(piece) AS md5 FROM f JOIN ck ON ck.doc_id = p[1] AND ck.c = p[2]",
-    "cooccurrence_weights": f"WITH {_EDG} SELECT * FROM ed",
-    "graph_seeds": f"WITH {_SEED} SELECT node, k FROM sd",
-    "one_hop_neighbours": f"WITH {_SEED} SELECT node, w FROM nb",
-    "induced_subgraph": f"WITH {_SEED}, sl AS (SELECT node FROM sd UNION SELECT node FROM (SELECT node FROM nb ORDER BY w DESC, node LIMIT 6)) SELECT a, b, w FROM ed WHERE a IN (SELECT node FROM sl) AND b IN (SELECT node FROM sl) ORDER BY w DESC, a, b LIMIT 15",
-    "community_vote": f"WITH {_EDG}, lc AS (SELECT t AS node, min(lang) AS label FROM ld GROUP BY t HAVING count(DISTINCT lang) = 1), vt AS (SELECT u, label, count(*) AS n FROM bw JOIN lc ON v = lc.node GROUP BY ALL) SELECT u AS node, arg_min(label, (-n, label)) AS label, max(n) AS votos FROM vt WHERE u NOT IN (SELECT node FROM lc) GROUP BY u",
-    "layer_merge": f"""WITH {_EDG}, us AS (SELECT DISTINCT t FROM lb), al AS (SELECT 'menciona' AS tipo, 'sec:' || item_id::VARCHAR AS src, 'ent:' || t AS dst, 0 AS citas FROM lb
-        UNION ALL SELECT 'relacion', 'ent:' || origen, 'ent:' || destino, citas FROM rl WHERE origen IN (SELECT t FROM us) OR destino IN (SELECT t FROM us)
-        UNION ALL SELECT 'depende_de', 'c' || conv_id::VARCHAR || ':Pregunta ' || turn::VARCHAR, 'c' || conv_id::VARCHAR || ':Preámbulo', 0 FROM conversations WHERE turn > 0)
-        SELECT tipo, count(*) AS aristas, count(DISTINCT src) AS origenes, count(DISTINCT dst) AS destinos, sum(citas)::BIGINT AS citas FROM al GROUP BY tipo""",
+    "entity_mentions": f"WITH RECURSIVE {_EDG} SELECT t AS node, doc_id, c::BIGINT AS chunk FROM ld",
+    "entity_chunks": f"WITH RECURSIVE {_EDG}, f AS (SELECT t AS node, min((doc_id, c)) AS p, count(*) AS chunks FROM ld GROUP BY t) SELECT node, ck.doc_id, ck.c::BIGINT AS chunk, chunks, md5(piece) AS md5 FROM f JOIN ck ON ck.doc_id = p[1] AND ck.c = p[2]",
+    "cooccurrence_weights": f"WITH RECURSIVE {_EDG} SELECT * FROM ed",
+    "graph_seeds": f"WITH RECURSIVE {_SEED} SELECT node, k FROM sd",
+    "one_hop_neighbours": f"WITH RECURSIVE {_SEED} SELECT node, w FROM nb",
+    "induced_subgraph": f"WITH RECURSIVE {_SEED}, sl AS (SELECT node FROM sd UNION SELECT node FROM (SELECT node FROM nb ORDER BY w DESC, node LIMIT 6)) SELECT a, b, w FROM ed WHERE a IN (SELECT node FROM sl) AND b IN (SELECT node FROM sl) ORDER BY w DESC, a, b LIMIT 15",
+    "community_vote": f"WITH RECURSIVE {_EDG}, lc AS (SELECT t AS node, min(lang) AS label FROM ld GROUP BY t HAVING count(DISTINCT lang) = 1), vt AS (SELECT u, label, count(*) AS n FROM bw JOIN lc ON v = lc.node GROUP BY ALL) SELECT u AS node, arg_min(label, (-n, label)) AS label, max(n) AS votos FROM vt WHERE u NOT IN (SELECT node FROM lc) GROUP BY u",
+    "layer_merge": f"""WITH RECURSIVE {_EDG}, us AS (SELECT t FROM lb UNION SELECT destino FROM rl WHERE origen IN (SELECT t FROM lb) UNION SELECT origen FROM rl WHERE destino IN (SELECT t FROM lb))
+        SELECT 'menciona' AS tipo, 'sec:' || item_id::VARCHAR AS src, 'ent:' || t AS dst, 0::BIGINT AS citas FROM lb
+        UNION ALL SELECT 'relacion', 'ent:' || origen, 'ent:' || destino, citas FROM rl WHERE origen IN (SELECT t FROM us) AND destino IN (SELECT t FROM us)
+        UNION ALL SELECT 'depende_de', 'c' || conv_id::VARCHAR || ':Pregunta ' || turn::VARCHAR, 'c' || conv_id::VARCHAR || ':Preámbulo', 0 FROM conversations WHERE turn > 0""",
     "reference_edges": f"WITH RECURSIVE {_SEC} SELECT conv_id, src, dst, regla, md5(evidencia) AS md5 FROM rf",
     "dependency_closure": f"WITH RECURSIVE {_SEC} SELECT cx.conv_id, cx.node, se.sec_no AS orden FROM cx JOIN se ON se.conv_id = cx.conv_id AND se.clave = cx.node",
     "context_assembly": f"""WITH RECURSIVE {_SEC}, pt AS (SELECT *, 'sección de la subtarea' AS motivo FROM ls WHERE node <> 'Preámbulo' UNION ALL SELECT *, 'dependencia depende_de' FROM cx WHERE node <> 'Preámbulo' UNION ALL SELECT conv_id, clave, 'preámbulo' FROM se WHERE sec_no = 0)
