@@ -136,6 +136,14 @@ def contains_word(c: Column, word: str) -> Column:
     return c.rlike(left + regex_escape(word) + right)
 
 
+def word_pattern(word: Column) -> Column:
+    """The pattern of :func:`contains_word` for words in a column."""
+    escaped = F.regexp_replace(word, r"([\\.^$|?*+()\[\]{}])", r"\\$1")
+    left = F.when(word.rlike(f"^{WORD}"), f"(?<!{WORD})").otherwise(f"(?<={WORD})")
+    right = F.when(word.rlike(f"{WORD}$"), f"(?!{WORD})").otherwise(f"(?={WORD})")
+    return F.concat(left, escaped, right)
+
+
 def missing_words(c: Column, wanted: list[str]) -> Column:
     """The wanted words that do not occur, in the given order."""
     return F.filter(
@@ -196,14 +204,14 @@ def py_lines(c: Column) -> Column:
     return F.split(c, r"\R|[\x1C-\x1E]")
 
 
-def heading_offset(text: Column, heading: str) -> Column:
+def heading_offset(text: Column, heading: str | Column) -> Column:
     """Character offset of the first line that is the heading, or -1.
 
     A line counts when its key equals the target or starts with it as a whole
     word, after an optional leading number, and is at most 40 characters longer.
     Lines are split on single-character terminators so offsets stay exact.
     """
-    goal = heading_key(F.lit(heading))
+    goal = heading_key(heading if isinstance(heading, Column) else F.lit(heading))
 
     def is_it(line: Column) -> Column:
         h = F.regexp_replace(heading_key(F.regexp_replace(line, "^[# ]+", "")), r"^\d+ ", "")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from docloom.functions import figures as fg
 from docloom.functions.text import without_code
+from docloom.operators import check_tables as ct
 from docloom.operators import checks as ck
 from docloom.operators import provenance as pv
 from docloom.session import table
@@ -103,6 +104,35 @@ def files_present(spark, sf):
 
 
 
+#: Two tasks with lists and truths of their own; a truth is the name of a query.
+TASK_CHECKS = [
+    ("A", "A1", "palabras_max", None, None, 250.0, None, None, None, None, None),
+    ("A", "A2", "contiene", ["the", "and"], None, None, None, None, None, None, None),
+    ("A", "A3", "cifra", None, None, None, "Valor", "calidad_media", None, None, None),
+    ("A", "A4", "secciones", ["The", "In"], True, None, None, None, None, None, None),
+    ("A", "A5", "archivo", None, None, None, None, None, None, r"\.md$", 2.0),
+    ("B", "B1", "contiene", ["de", "en"], None, None, None, None, None, None, None),
+    ("B", "B2", "cifra_presente", None, None, None, None, "descuento_maximo", 0.002, None, None),
+    ("B", "B3", "palabras_max", None, None, 120.0, None, None, None, None, None),
+    ("B", "B4", "paginas_max", None, None, 2.0, None, None, None, None, None),
+    ("B", "B5", "celdas_mágicas", None, None, None, None, None, None, None, None),
+]
+
+
+def checks_by_task(spark, sf):
+    """Checks, truths and tasks as tables: English texts answer task A, others task B; a report states a value next to the truth."""
+    t = ct.truth_table(spark, {
+        "calidad_media": lambda: table(spark, sf, "labels").agg(F.avg("quality")),
+        "descuento_maximo": lambda: table(spark, sf, "lineitem").agg(F.max("l_discount")),
+    })
+    mean = t.where("verdad = 'calidad_media'").select(F.col("esperado").alias("m"))
+    d = table(spark, sf, "documents").join(F.broadcast(mean)).withColumn("tarea", F.when(F.col("lang") == "en", "A").otherwise("B"))
+    said = F.concat("text", F.lit(" Valor "), F.format_string("%.4f", F.col("m") + (F.col("doc_id") % 3) * 0.004), F.lit(" y "), F.format_string("%.2f", (F.col("doc_id") % 4 + 8) / 100.0))
+    d = d.select("doc_id", "tarea", F.when(F.col("n_chars") % 17 != 0, said).alias("text"), F.ceil(F.col("n_chars") / 1000).alias("paginas"),
+                 F.array(F.lit("a.md"), F.when(F.col("doc_id") % 2 == 0, "b.md").otherwise("b.csv")).alias("archivos"))
+    return ct.run_check_table(d, "doc_id", spark.createDataFrame(TASK_CHECKS, ct.CHECK_SCHEMA), t)
+
+
 NOTEBOOK_CHECKS = [
     {"id": "N1", "tipo": "ipynb_ejecutado", "columna": "celdas"},
     {"id": "N2", "tipo": "celdas_intactas", "columna": "celdas", "contrato": "contrato"},
@@ -134,7 +164,7 @@ def checks_notebooks(spark, sf):
 
 QUERIES = {f.__name__: f for f in (
     numbers_extracted, provenance_fraction, provenance_per_reading, unsupported_figures, figure_suggestions, marked_reports,
-    checks_dispatch, checks_tally, files_present, checks_notebooks)}
+    checks_dispatch, checks_tally, checks_by_task, files_present, checks_notebooks)}
 
 
 def db_figures(text: str) -> str:
@@ -161,9 +191,13 @@ _HEAD = lambda t, goal: f"""(SELECT min(o) FROM (SELECT length(array_to_string(s
 _PLANO = r"array_to_string(list_filter(regexp_split_to_array(regexp_replace(text, '```.*?```', '', 'gs'), '[\s\x{A0}\x{2028}\x{202F}\x{3000}]+'), lambda w: w <> ''), ' ')"
 
 
-def _num_hit(txt: str, truth: float) -> str:
+def _has(word: str) -> str:
+    return rf"regexp_matches(text, '(^|[^\p{{L}}\p{{N}}_]){word}($|[^\p{{L}}\p{{N}}_])')"
+
+
+def _num_hit(txt: str, truth: float | str, tolerance: float | str = 0.005) -> str:
     v = r"replace(regexp_extract(r, '^\d+([.,]\d+)?'), ',', '.')::DOUBLE"
-    return f"(len(list_filter({db_figures(txt)}, lambda r: abs({v} - {truth}) <= 0.005 + 1e-12 OR (r LIKE '%\\%' ESCAPE '\\' AND abs({v} / 100 - {truth}) <= 0.005 + 1e-12))) > 0)"
+    return f"(len(list_filter({db_figures(txt)}, lambda r: abs({v} - {truth}) <= {tolerance} + 1e-12 OR (r LIKE '%\\%' ESCAPE '\\' AND abs({v} / 100 - {truth}) <= {tolerance} + 1e-12))) > 0)"
 
 
 _DISP = f"""d AS (SELECT doc_id, lang, n_chars, text, {_PLANO} AS p, {_HEAD('text', 'the')} AS h1, {_HEAD('text', 'in')} AS h2 FROM documents),
@@ -190,6 +224,22 @@ ORACLES = {
     "marked_reports": f"WITH {_CHK}, b AS (SELECT DISTINCT doc_id, raw FROM ch WHERE ok = 0) SELECT b.doc_id, count(*) AS marcas, count(DISTINCT b.raw) AS cifras FROM b JOIN fg ON fg.doc_id = b.doc_id AND fg.raw = b.raw GROUP BY b.doc_id",
     "checks_dispatch": f"WITH {_DISP} SELECT doc_id, \"check\", tipo, ok, detalle FROM k",
     "checks_tally": f"WITH {_DISP} SELECT lang, \"check\", sum(ok)::BIGINT AS aprobadas, count(*) AS total FROM k GROUP BY lang, \"check\"",
+    "checks_by_task": f"""WITH m AS (SELECT avg(quality) AS q FROM labels), x AS (SELECT max(l_discount) AS q FROM lineitem), dd AS (SELECT doc_id, CASE WHEN lang = 'en' THEN 'A' ELSE 'B' END AS tarea, n_chars, n_chars % 17 = 0 AS gone,
+          text || ' Valor ' || printf('%.4f', m.q + (doc_id % 3) * 0.004::DOUBLE) || ' y ' || printf('%.2f', (doc_id % 4 + 8) / 100.0::DOUBLE) AS text FROM documents, m),
+        d AS (SELECT *, {_PLANO} AS p, {_HEAD('text', 'the')} AS h1, {_HEAD('text', 'in')} AS h2 FROM dd),
+        e AS (SELECT *, array_length(list_filter(string_split(p, ' '), lambda w: w <> '')) AS nw, {_has('the')} AS w1, {_has('and')} AS w2, {_has('de')} AS w3, {_has('en')} AS w4,
+          len(list_filter(range(2, len(string_split(p, 'Valor')) + 1), lambda i: {_num_hit("left(array_to_string(string_split(p, 'Valor')[i:], 'Valor'), 160)", "m.q")})) > 0 AS fa, {_num_hit('p', 'x.q', '0.002')} AS fb, m.q AS mq, x.q AS xq FROM d, m, x),
+        k AS (SELECT doc_id, tarea, 'A1' AS "check", 'palabras_max' AS tipo, (nw <= 250)::INT AS ok, nw::VARCHAR || ' palabras' AS detalle, gone FROM e WHERE tarea = 'A'
+        UNION ALL SELECT doc_id, tarea, 'A2', 'contiene', (w1 AND w2)::INT, CASE WHEN w1 AND w2 THEN 'todos presentes' ELSE 'faltan ' || concat_ws(', ', CASE WHEN NOT w1 THEN 'the' END, CASE WHEN NOT w2 THEN 'and' END) END, gone FROM e WHERE tarea = 'A'
+        UNION ALL SELECT doc_id, tarea, 'A3', 'cifra', fa::INT, 'verdad=' || printf('%.4f', mq) || ' ±0.005; ' || CASE WHEN fa THEN 'hallada' ELSE 'no hallada' END, gone FROM e WHERE tarea = 'A'
+        UNION ALL SELECT doc_id, tarea, 'A4', 'secciones', coalesce(h1 <= h2, false)::INT, CASE WHEN h1 IS NULL AND h2 IS NULL THEN 'faltan: The, In' WHEN h1 IS NULL THEN 'faltan: The' WHEN h2 IS NULL THEN 'faltan: In' WHEN h1 > h2 THEN 'las secciones están fuera de orden' ELSE 'todas, en orden' END, gone FROM e WHERE tarea = 'A'
+        UNION ALL SELECT doc_id, tarea, 'A5', 'archivo', (doc_id % 2 = 0)::INT, CASE WHEN doc_id % 2 = 0 THEN '2' ELSE '1' END || ' archivo(s) con \\.md$', false FROM e WHERE tarea = 'A'
+        UNION ALL SELECT doc_id, tarea, 'B1', 'contiene', (w3 AND w4)::INT, CASE WHEN w3 AND w4 THEN 'todos presentes' ELSE 'faltan ' || concat_ws(', ', CASE WHEN NOT w3 THEN 'de' END, CASE WHEN NOT w4 THEN 'en' END) END, gone FROM e WHERE tarea = 'B'
+        UNION ALL SELECT doc_id, tarea, 'B2', 'cifra_presente', fb::INT, 'verdad=' || printf('%.4f', xq) || ' ±0.002; ' || CASE WHEN fb THEN 'hallada' ELSE 'no hallada' END, gone FROM e WHERE tarea = 'B'
+        UNION ALL SELECT doc_id, tarea, 'B3', 'palabras_max', (nw <= 120)::INT, nw::VARCHAR || ' palabras', gone FROM e WHERE tarea = 'B'
+        UNION ALL SELECT doc_id, tarea, 'B4', 'paginas_max', (ceil(n_chars / 1000.0) <= 2)::INT, ceil(n_chars / 1000.0)::BIGINT::VARCHAR || ' páginas', gone FROM e WHERE tarea = 'B'
+        UNION ALL SELECT doc_id, tarea, 'B5', 'celdas_mágicas', 0, 'tipo desconocido: celdas_mágicas', false FROM e WHERE tarea = 'B')
+        SELECT doc_id, tarea, "check", tipo, CASE WHEN gone THEN 0 ELSE ok END AS ok, CASE WHEN gone THEN 'no hay entregable' ELSE detalle END AS detalle FROM k""",
     "checks_notebooks": f"""WITH t AS (SELECT conv_id, turn, role, length(text) AS n, CASE WHEN length(text) % 13 = 0 THEN 'ESCRIBE AQUÍ' ELSE text END AS src FROM conversations),
         {_CHK.replace(_REP, "rp AS (SELECT conv_id AS doc_id, string_agg(text || ' media ' || printf('%.2f', (conv_id * 37 % 5000) / 100.0::DOUBLE), chr(10) ORDER BY turn) AS text FROM conversations GROUP BY conv_id)")},
         g AS (SELECT conv_id, count(*) FILTER (WHERE role = 'assistant') AS code, count(*) FILTER (WHERE role = 'assistant' AND n % 7 = 0) AS idle, count(*) FILTER (WHERE role = 'assistant' AND n % 11 = 0) AS err,
