@@ -1,15 +1,20 @@
 """Exact Jaccard join of word shingles with PartEnum signatures, and the components of its links.
 
 Signatures.  Sets are grouped into size bands.  Inside a band, linked sets differ in at most
-k elements, so the hashed feature domain is cut into n1 * n2 ranges: of n1 first-level
-partitions one differs in at most k2 = k // n1 elements, and of its n2 parts at least n2 - k2
-are equal.  A signature is the content of one such subset of parts; enumerating all subsets,
-linked sets share at least one.  A set near the upper end of its band signs for the next one
-too.  No link is lost and no signature, bucket or partner is capped.
-
-Pairs are never listed.  Equal sets become one node first.  Nodes of a bucket are held against
+k elements, so the hashed feature domain is cut into parts.  Small bands: of k + 2 parts at least
+two are equal, and a signature is the content of one of all subsets of two.  Larger bands have
+k + 1 + spare parts; at least 1 + spare of them are equal, and each set leaves out the ``spare``
+poorest ones, by number of elements, content and place.  That order is the same for equal parts in both
+sets, so the richest equal part has ``spare`` equal ones before it and neither set leaves it out: linked
+sets share at least one signature, and no signature rests on an empty part while there are richer ones.
+A set near the upper end of its band signs for the next one too.  No link is lost and no
+signature, bucket or partner is capped.
+
+Pairs are never listed.  Equal sets become one node first.  Nodes that share a bucket are held against
 each other by a parity sketch, whose distance never exceeds the difference of two sets, and
-those that may be linked form families (a task returns a forest, not the pairs).  A family is
+those that may be linked form families.  First every node meets the smallest node of its buckets, once
+for all buckets the two share; where all nodes of a bucket pass they are one family, and only buckets in
+which some do not are gathered and looked at node by node (a task returns a forest, not the pairs).  A family is
 compared inside tasks, in pairs of blocks of bounded size, by counting common elements exactly;
 a task returns one row per node: how many documents it is linked to, and the smallest node it
 is connected with.  The components of those rows are the components of all links.
@@ -38,7 +43,8 @@ from docloom.llm.base import Scratch, arrow_map
 BAND = 1.5
 BLOCK_NODES, BLOCK_ELEMENTS = 1024, 2_000_000
 WORD_CACHE = 400_000
-SKETCH_BITS, MOST_SKETCH_BITS = 1024, 1 << 15
+SMALL_K, SPARE_PERCENT = 3, 35
+SKETCH_BITS, MOST_SKETCH_BITS = 128, 1 << 15
 BROADCAST_ROWS = 500_000
 
 
@@ -76,15 +82,15 @@ def shingles(text: str | None, n: int) -> np.ndarray:
 
 @dataclass(frozen=True)
 class Band:
-    """Sizes low..high, and the partition that suits the differences inside it."""
+    """Sizes low..high, the differences k inside it, its parts, how many are left out, and the size of a subset."""
 
     number: int
     low: int
     high: int
     k: int
-    n1: int
-    n2: int
-    subsets: tuple[tuple[int, ...], ...]
+    parts: int
+    spare: int
+    subset: int
 
 
 @lru_cache(maxsize=None)
@@ -92,11 +98,8 @@ def band(number: int, percent: int) -> Band:
     low = 1 if number == 0 else band(number - 1, percent).high + 1
     high = int(low * BAND)
     k = 2 * high * (100 - percent) // (100 + percent)
-    if k <= 3:
-        n1, n2 = 1, k + 2
-    else:
-        n1, n2 = (k + 2) // 2, 2
-    return Band(number, low, high, k, n1, n2, tuple(itertools.combinations(range(n2), n2 - k // n1)))
+    spare = 0 if k <= SMALL_K else -(-(k + 1) * SPARE_PERCENT // 100)
+    return Band(number, low, high, k, k + 2 if k <= SMALL_K else k + 1 + spare, spare, 2 if k <= SMALL_K else 1)
 
 
 def bands_of(size: int, percent: int) -> list[Band]:
@@ -115,16 +118,18 @@ def signatures(s: np.ndarray, percent: int) -> np.ndarray:
     for b in bands_of(len(s), percent):
         if b.k == 0:
             continue
-        parts = b.n1 * b.n2
-        cuts = np.array([(i << 64) // parts for i in range(1, parts)], np.uint64)
+        cuts = np.array([(i << 64) // b.parts for i in range(1, b.parts)], np.uint64)
         at = np.concatenate(([0], np.searchsorted(s, cuts), [len(s)]))
-        content = (sums[at[1:]] - sums[at[:-1]]).reshape(b.n1, b.n2)
-        first = np.arange(b.n1, dtype=np.uint64)
-        for i, subset in enumerate(b.subsets):
-            sig = first + np.uint64((b.number << 40) + (i << 32))
-            for part in subset:
-                sig = _mix(sig * np.uint64(0x9E3779B97F4A7C15) + content[:, part])
-            out.append(sig)
+        content = sums[at[1:]] - sums[at[:-1]]
+        if b.subset == 1:
+            chosen = np.lexsort((content, at[1:] - at[:-1]))[b.spare :]  # stable: of equals the earlier place comes first
+            out.append(_mix((chosen.astype(np.uint64) + np.uint64(b.number << 40)) * np.uint64(0x9E3779B97F4A7C15) + content[chosen]))
+        else:
+            for i, (u, v) in enumerate(itertools.combinations(range(b.parts), 2)):
+                sig = np.array([(b.number << 40) + (i << 32)], np.uint64)
+                for part in (u, v):
+                    sig = _mix(sig * np.uint64(0x9E3779B97F4A7C15) + content[part])
+                out.append(sig)
     return np.concatenate(out).view(np.int64) if out else np.zeros(0, np.int64)
 
 
@@ -229,6 +234,18 @@ def forests(groups: DataFrame, percent: int) -> DataFrame:
     return arrow_map(groups, run, "a long, b long", rows=2_000)
 
 
+def apart(pairs: DataFrame, percent: int) -> DataFrame:
+    """first, node, near: whether the sketches of two nodes (na, nb, sa, sb) leave room for a link."""
+
+    def run(pieces):
+        for p in pieces:
+            far = np.array([np.bitwise_count(np.bitwise_xor(*folded([a, b]))).sum(dtype=np.int64) for a, b in zip(p["sa"], p["sb"], strict=True)], np.int64)
+            near = may_link(np.array(p["na"], np.int64), np.array(p["nb"], np.int64), far, percent)
+            yield {"first": p["first"], "node": p["node"], "near": near.astype(bool).tolist()}
+
+    return arrow_map(pairs, run, "first long, node long, near boolean", rows=2_000)
+
+
 def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """node, root (smallest node reachable) for every node of ``edges`` (a, b), by label spreading and pointer doubling."""
     both = scratch.store(edges.select("a", "b").union(edges.select(F.col("b"), F.col("a"))).where("a <> b").distinct())
@@ -338,13 +355,15 @@ def jaccard_links(docs: DataFrame, scratch: Scratch, percent: int = 90, length:
     ``keeper`` marks the rows whose (doc_id, text) comes first in their component (rows equal in both are all
     marked); documents with an empty set are keepers of their own.
     """
-    rows = scratch.store(sign(docs, percent, length))
+    early = Scratch(docs.sparkSession)  # signatures are most of the volume and go as soon as shared ones are known
+    signed = early.store(sign(docs, percent, length))
+    rows = scratch.store(signed.drop("sigs"))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("first")
     nodes = rows.where(F.col("node").isNotNull()).groupBy("node").agg(first, F.count(F.lit(1)).alias("copies"), F.max("n_shingles").alias("n"), F.max("sketch").alias("sketch"))
     nodes = scratch.store(nodes)
 
     bucket = Window.partitionBy("sig")
-    signed = rows.where(F.size("sigs") > 0).select("node", F.explode("sigs").alias("sig"))
+    signed = signed.where(F.size("sigs") > 0).select("node", F.explode("sigs").alias("sig"))
     # Buckets with the same nodes need one look: they are told apart by count, ends and sum of node hashes.
     same = F.xxhash64("_m", "_a", "_z", "_s").alias("bucket")
     spread = F.pmod(F.xxhash64("node"), F.lit(1 << 40))
@@ -352,10 +371,17 @@ def jaccard_links(docs: DataFrame, scratch: Scratch, percent: int = 90, length:
         "node", F.min("node").over(bucket).alias("_a"), F.max("node").over(bucket).alias("_z"),
         F.count(F.lit(1)).over(bucket).alias("_m"), F.sum(spread).over(bucket).alias("_s"),
     )
-    shared = scratch.store(shared.where("_a <> _z").select(same, "node", "_m").distinct())
-    met = in_blocks(shared.join(nodes.select("node", "n", "sketch"), "node"), "bucket", F.ceil(F.col("_m") / BLOCK_NODES)).drop("_m")
+    shared = scratch.store(shared.where("_a <> _z").select(same, "node", F.col("_a").alias("first"), "_m").distinct())
+    early.drop()
+    side = lambda name, n, bits: nodes.select(F.col("node").alias(name), F.col("n").alias(n), F.col("sketch").alias(bits))
+    stars = shared.where("node <> first").select("first", "node").distinct().join(side("node", "nb", "sb"), "node").join(side("first", "na", "sa"), "first")
+    stars = scratch.store(apart(stars, percent))
+    doubtful = shared.where("_m > 2").join(stars.where("not near").select("first", "node"), ["first", "node"], "left_semi").select("bucket").distinct()
+    rest = shared.join(doubtful, "bucket", "left_semi").join(nodes.select("node", "n", "sketch"), "node")
+    met = in_blocks(rest.drop("first"), "bucket", F.ceil(F.col("_m") / BLOCK_NODES)).drop("_m")
     key = ["bucket", "i", "j"]
-    chains = scratch.store(forests(met.repartition(*key).sortWithinPartitions(*key, "side", "node"), percent).distinct())
+    met = forests(met.repartition(*key).sortWithinPartitions(*key, "side", "node"), percent)
+    chains = scratch.store(met.unionByName(stars.where("near").select(F.col("first").alias("a"), F.col("node").alias("b"))).distinct())
     families = components(chains, scratch)
     members = scratch.store(families.join(nodes, "node").select("node", F.col("root").alias("family"), "copies", "n", F.col("first.text_key").alias("text_key")))
 
@@ -387,7 +413,7 @@ def jaccard_links(docs: DataFrame, scratch: Scratch, percent: int = 90, length:
     tops = known.groupBy("root").agg(F.min("first").alias("top"))
     answer = scratch.store(known.join(tops, "root").select("node", F.col("top.doc_id").alias("component_id"), F.col("top.text_key").alias("top_key"), "n_links"))
     alone = F.col("node").isNull()
-    return rows.drop("sigs").join(answer, "node", "left").select(
+    return rows.join(answer, "node", "left").select(
         "doc_id", "text_key", "n_shingles",
         F.when(alone, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
         F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
