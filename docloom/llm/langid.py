@@ -3,13 +3,15 @@
 Features are hashed 1- to 3-grams of the lower-cased text in which every run of non-letters
 is one blank; weights are (1 + log tf) * idf, scaled to length one.  Document frequencies
 come from all learning documents.  The regression itself is fitted on a sample of at most
-``per_class`` documents per language (a bound, not a share), by follow-the-regularised-leader
+``per_class`` distinct texts per language (a bound, not a share; the ones with the least hashes, so
+copies take no one's place and a repeated task draws the same), by follow-the-regularised-leader
 with an elastic-net penalty, and its confidence is calibrated by one temperature on a fifth
-of that sample.  Only the text enters a prediction, and all of it.
+of that sample.  Half of the least score in that fifth is the model's ``floor``: a text scored lower
+is of no learned language.  Only the text enters a prediction, and all of it.
 
 Defined cases: a null text or one without letters is ``und`` with score 0; rows without
-language are predicted, not learned from; with no language to learn, all is ``und``; equal
-rows get equal answers; ties go to the language that sorts first.
+language are predicted, not learned from; with no language to learn, all is ``und``; with more than ``MAX_CLASSES`` languages learning raises
+ValueError; equal rows get equal answers; ties go to the language that sorts first.
 """
 
 from __future__ import annotations
@@ -22,6 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docloom.llm.base import arrow_map, id_remainder
+from docloom.plans.scale import top_k
 
 BITS = 15
 WIDTH = 1 << BITS
@@ -128,6 +131,7 @@ class Model:
     idf: np.ndarray
     weights: np.ndarray
     heat: float
+    floor: float = 0.0
 
     def predict(self, text: str | None) -> tuple[str, float]:
         counts = gram_counts(text) if text else None
@@ -165,8 +169,11 @@ def fit(docs: DataFrame, t: Training = Training()) -> Model:
         df[r["gram"]] = r["df"]
     idf = np.log((1.0 + df[WIDTH]) / (1.0 + df[:WIDTH])) + 1.0
 
-    share = F.create_map(*[v for k in names for v in (F.lit(k), F.lit(min(1.0, t.per_class / sizes[k])))])
-    drawn = known.where(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < share[F.col("lang")] * float(1 << 30))
+    h = F.xxhash64("text")
+    kinds = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.approx_count_distinct(h).alias("n")).collect()}  # at most MAX_CLASSES rows
+    share = F.create_map(*[v for k in names for v in (F.lit(k), F.lit(min(1.0, 2.0 * t.per_class / kinds[k])))])
+    least = known.withColumn("h", h).where((F.pmod("h", F.lit(1 << 30)) < share[F.col("lang")] * float(1 << 30)))
+    drawn = top_k(least.groupBy("lang", "h").agg(F.min("text").alias("text")), ["lang"], [F.pmod("h", F.lit(1 << 30)), F.col("h")], t.per_class)
 
     def features(pieces):
         for p in pieces:
@@ -180,13 +187,15 @@ def fit(docs: DataFrame, t: Training = Training()) -> Model:
                     made["x"].append(x.astype("<f4").tobytes())
             yield made
 
-    rows = arrow_map(drawn, features, "lang string, at binary, x binary").limit(2 * t.per_class * len(names)).collect()
+    rows = arrow_map(drawn.select("lang", "text"), features, "lang string, at binary, x binary").collect()  # at most per_class rows a language
     examples = sorted(((r["at"], r["x"], names.index(r["lang"])) for r in rows), key=lambda r: hash_order(r[0], r[1]))
     examples = [(np.frombuffer(a, "<u2"), np.frombuffer(x, "<f4").astype(float), y) for a, x, y in examples]
     held, used = examples[::5], [e for i, e in enumerate(examples) if i % 5]
     w = ftrl(used or held, len(names), t)
     logits = np.array([x @ w[at] for at, x, _ in held]).reshape(len(held), len(names))
-    return Model(names, idf, w.astype(np.float32), temperature(logits, np.array([y for *_, y in held], int)))
+    heat = temperature(logits, np.array([y for *_, y in held], int))
+    floor = min((float(softmax(row / heat).max()) for row in logits), default=0.0) / 2
+    return Model(names, idf, w.astype(np.float32), heat, floor)
 
 
 def hash_order(a: bytes, b: bytes) -> bytes:

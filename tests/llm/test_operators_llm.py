@@ -552,3 +552,13 @@ def test_url_rules(spark):
         assert got[i][:3] == (host, path, max(fits)[1] if fits else None), u
         assert got[i][3] == (max(fits)[2] if fits else "block" if i == 13 else "allow"), u
     assert urlglob.judge_urls(pages.where("false")).count() == 0
+
+
+def test_copies_of_one_text_take_no_place_in_the_language_sample(spark):
+    """20,000 copies of one text before the others change nothing, and learning twice gives the same model."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "lang")
+    copies = spark.range(10**6, 10**6 + 20_000).select(F.col("id").alias("doc_id"), F.lit(docs.first()["text"]).alias("text"), F.lit(docs.first()["lang"]).alias("lang"))
+    small = langid.Training(per_class=20)
+    right = lambda m: langid.identify(docs, m, F.col("lang")).where("lang = lang_pred").count()
+    one, two = langid.fit(copies.union(docs), small), langid.fit(copies.union(docs).repartition(7), small)
+    assert right(one) >= right(langid.fit(docs, small)) - 2 and (one.weights == two.weights).all() and one.floor == two.floor > 0
