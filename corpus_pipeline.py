@@ -28,10 +28,13 @@ def _scratch(spark: SparkSession) -> Scratch:
 
 
 def keep_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a language (no letters) go; learned as in op8, from the rows that are not held out."""
+    """Documents without letters go, and those scored below the model's calibrated floor; learned as in op8, from the rows that
+    are not held out.  With no language to learn every document with letters stays."""
     model = langid.fit(docs.where(id_remainder(F.col("doc_id"), 4) != 2))
+    if not model.languages:
+        return docs.where(F.col("text").rlike(r"\p{L}")).select(*COLUMNS)
     judged = langid.identify(docs, model, *[F.col(c) for c in COLUMNS])
-    return judged.where(F.col("lang_pred") != langid.UNKNOWN).select(*COLUMNS)
+    return judged.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= model.floor)).select(*COLUMNS)
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
