@@ -91,7 +91,7 @@ def test_what_patterns_miss_is_added(spark, model):
     schema = "doc_id long, text string, spans string, n_ip string"
     docs = spark.createDataFrame([(i, t, "x", "y") for i, t in enumerate(texts)], schema)
     got = {r["doc_id"]: r["spans"] for r in crf.scan(docs, model, crf.F.col("doc_id")).collect()}
-    assert got == {0: "crf_phone:11:23", 1: "crf_email:0:21", 2: "crf_card:8:27", 3: "crf_phone:5:19", 4: "", 5: "", 6: "", 7: "crf_phone:14:28"}
+    assert got == {0: "crf_phone:11:23", 1: "crf_email:0:21", 2: "crf_card:8:27", 3: "crf_phone:5:19", 4: "", 5: "", 6: "", 7: "crf_phone:13:27"}
 
 
 def test_added_spans_never_touch_base_spans():

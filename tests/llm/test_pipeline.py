@@ -75,12 +75,13 @@ def test_language_stage_without_labels_and_with_a_foreign_script(spark):
     assert 10**6 not in kept and len(kept) == docs.count()
 
 
-def test_run_equals_its_stages(spark):
+def test_run_equals_its_stages(spark, tmp_path):
     got = entry.queries()["pipeline"](spark, SF)
     assert got.groupBy("doc_id").count().count() > 100
     docs = spark.read.parquet(f"{SF}/documents.parquet")
-    for _, stage in pipeline.STAGES[:-1]:
-        docs = stage(spark, docs, SF)
+    for k, (_, stage) in enumerate(pipeline.STAGES[:-1]):
+        stage(spark, docs, SF).write.parquet(str(tmp_path / str(k)))
+        docs = spark.read.parquet(str(tmp_path / str(k)))
     assert {r["doc_id"] for r in got.select("doc_id").collect()} == {r["doc_id"] for r in docs.select("doc_id").collect()}
 
 
