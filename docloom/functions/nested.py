@@ -36,3 +36,27 @@ def numeric_leaves(docs: pd.Series) -> pd.Series:
             return []
 
     return docs.map(one)
+
+
+def container_sizes(df, keys: list[str], value: str):
+    """``*keys, ruta, tipo, n``: how many members the arrays and objects at each path of a VARIANT column hold, of any shape.
+
+    Elements of an array share one path; each round explodes one level, so the number of rounds is the depth.
+    """
+    from docloom.session import cut_lineage
+
+    spark = df.sparkSession
+    shape = F.schema_of_variant("v")
+    level = df.select(*keys, F.lit("$").alias("ruta"), F.col(value).alias("v")).where(F.col("v").isNotNull())
+    out = None
+    while True:
+        level = cut_lineage(level.withColumn("tipo", F.when(shape.startswith("ARRAY"), "lista").when(shape.startswith("OBJECT"), "mapa")).where(F.col("tipo").isNotNull()))
+        if level.isEmpty():
+            break
+        members = level.lateralJoin(spark.tvf.variant_explode_outer(F.col("v").outer()).alias("m"))
+        n = members.groupBy(*keys, "ruta", "tipo").agg(F.count("m.pos").alias("n"))
+        out = n if out is None else out.unionByName(n)
+        step = F.when(F.col("tipo") == "lista", F.concat("ruta", F.lit("[]"))).otherwise(F.concat("ruta", F.lit("."), F.col("m.key")))
+        level = members.where(F.col("m.pos").isNotNull()).select(*keys, step.alias("ruta"), F.col("m.value").alias("v"))
+    empty = level.select(*keys, "ruta", "tipo", F.lit(0).cast("bigint").alias("n"))
+    return empty if out is None else out

@@ -6,7 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, FloatType, StructType
+from pyspark.sql.types import ArrayType, DoubleType, FloatType, IntegerType, LongType, StringType, StructField, StructType
 
 DIMENSIONS = 1024
 
@@ -59,6 +59,31 @@ def hash_grams(cells: pd.Series) -> pd.Series:
     return pd.Series(list(out.astype(np.float32)))
 
 
+def embedding_with_events(df: DataFrame, keys: list[str], text: str, path: str) -> tuple[DataFrame, DataFrame]:
+    """``(vectors, events)`` of one pass: ``*keys, embedding``, and a row per batch with its texts, width and seconds.
+
+    Both kinds of rows leave the same task and are stored together under ``path``, told apart by a partition folder, so the
+    events describe exactly the vectors that are there and nothing runs twice.
+    """
+    import time
+
+    def embed(batches):
+        for b in batches:
+            for at in range(0, len(b), 512):
+                part, began = b.iloc[at : at + 512], time.perf_counter()
+                made = part[keys].assign(embedding=hash_grams(part["_g"]).to_numpy(), clase="vector", textos=None, dimension=None, latencia_s=None)
+                yield made
+                none = {k: [None] for k in (*keys, "embedding")}
+                yield pd.DataFrame({**none, "clase": ["evento"], "textos": [len(part)], "dimension": [DIMENSIONS], "latencia_s": [time.perf_counter() - began]})
+
+    kept = df.select(*keys, F.transform(char_grams()(F.col(text)), lambda g: F.pmod(F.hash(g), F.lit(DIMENSIONS))).alias("_g"))
+    fields = StructType([StructField(f.name, f.dataType) for f in kept.schema.fields if f.name in keys])
+    schema = fields.add("embedding", ArrayType(FloatType())).add("clase", StringType()).add("textos", LongType()).add("dimension", IntegerType()).add("latencia_s", DoubleType())
+    kept.mapInPandas(embed, schema).write.partitionBy("clase").parquet(path)
+    both = df.sparkSession.read.schema(schema).parquet(path)
+    return both.where("clase = 'vector'").select(*keys, "embedding"), both.where("clase = 'evento'").select("textos", "dimension", "latencia_s")
+
+
 def lexical_embedding(df: DataFrame, keys: list[str], text: str, out: str = "embedding") -> DataFrame:
     """Offline embedder: character 3–4-grams hashed to 1024 dimensions, L2 norm.
 

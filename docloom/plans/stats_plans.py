@@ -8,6 +8,7 @@ from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.sql import functions as F
 
 from docloom.operators import experiments as ex
+from docloom.operators import sampling as sp
 from docloom.operators.critic import PERFECT, is_metric
 from docloom.plans.scale import exact_quantiles
 from docloom.session import table
@@ -159,6 +160,31 @@ def logistic_regression(spark, sf):
     return out
 
 
+def _labelled_shape(spark, sf):
+    d = table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id")
+    return d.select("doc_id", "quality", (F.log1p("n_chars") - 6).alias("tamano"), (F.length("source") / 10).alias("fuente"))
+
+
+def stratified_split(spark, sf):
+    """A third of each quality class for testing, exactly, by the least hashes."""
+    return sp.stratified_split(table(spark, sf, "labels").select("doc_id", "quality"), "doc_id", "quality", 1 / 3).select("doc_id", "quality", "prueba")
+
+
+def logistic_newton(spark, sf):
+    """Eight Newton steps on the training part: the coefficients, and how many of the test part they get right."""
+    d = sp.stratified_split(_labelled_shape(spark, sf), "doc_id", "quality", 1 / 3)
+    beta = sp.logistic_fit(d.where("prueba = 0"), "quality", ["tamano"])
+    right = (sp.logistic_scores(d, ["tamano"], beta) >= 0.5).cast("int") == F.col("quality")
+    return d.where("prueba = 1").agg(
+        F.lit(round(float(beta[0]), 6)).alias("b0"), F.lit(round(float(beta[1]), 6)).alias("b1"), F.count(F.lit(1)).alias("n"), F.sum(right.cast("int")).cast("bigint").alias("aciertos"))
+
+
+def categorical_draws(spark, sf):
+    """Fifty event types per user, drawn from the softmax of their totals."""
+    p = ex.softmax(_type_logits(spark, sf).withColumn("logit", F.col("logit") / 20), ["user_id"], "logit", 1.0)
+    return sp.categorical_draws(p, ["user_id"], "event_type", "p", 50).select("user_id", F.col("draw").cast("bigint").alias("draw"), "event_type")
+
+
 def implausible_metrics(spark, sf):
     """Flattened event metrics at or above 0.999, the sign of a leak."""
     e = table(spark, sf, "events").select(
@@ -183,7 +209,7 @@ def numeric_leaves(spark, sf):
 QUERIES = {f.__name__: f for f in (
     zscore_review, group_summary, paired_t, paired_t_inference, sign_counts, sign_flip_exact,
     poisson_bootstrap_ci, percentile_ci, softmax_entropy, top_p, kl_bits, class_counts, naive_bayes,
-    logistic_regression, implausible_metrics, numeric_leaves)}
+    logistic_regression, implausible_metrics, numeric_leaves, stratified_split, logistic_newton, categorical_draws)}
 
 _Z = """s AS (SELECT avg(l_quantity) m1, stddev_pop(l_quantity) s1, avg(l_extendedprice) m2, stddev_pop(l_extendedprice) s2, avg(l_discount) m3, stddev_pop(l_discount) s3 FROM lineitem),
  z AS (SELECT l.*, 0.5*(l_quantity-m1)/s1 + 0.3*(l_extendedprice-m2)/s2 + 0.2*(l_discount-m3)/s3 AS load_score FROM lineitem l, s),
@@ -209,6 +235,9 @@ _NB = ", ".join(f"avg({f}) AS m_{f}, var_pop({f}) AS v_{f}" for f in NB_FEATURES
 _NBV = "greatest(" + ", ".join(f"var_pop({f})" for f in NB_FEATURES) + ") * 1e-9"
 _NBS = " ".join(f"- ln((v_{f} + fl) * 2 * pi()) / 2 - (({f} - m_{f}) ** 2) / ((v_{f} + fl) * 2)" for f in NB_FEATURES)
 
+_SPLIT = """sh AS (SELECT doc_id, quality, row_number() OVER (PARTITION BY quality ORDER BY md5('split:' || doc_id::VARCHAR) || ':' || doc_id::VARCHAR) AS pos, count(*) OVER (PARTITION BY quality) AS n FROM labels),
+ sl AS (SELECT doc_id, quality, (pos <= floor(n * (1.0::DOUBLE / 3) + 0.5))::INT AS prueba FROM sh)"""
+
 ORACLES = {
     "zscore_review": f"WITH {_Z} SELECT l_orderkey, l_linenumber, l_suppkey, l_partkey, round(load_score, 6) AS load_score, rr::INT AS requires_review FROM r",
     "group_summary": f"WITH {_Z} SELECT l_suppkey, count(*) AS observations, round(avg(l_extendedprice),4) AS mean_price, max(l_tax) AS max_tax, round(avg(load_score),6) AS mean_load, sum(rr::INT)::BIGINT AS review_count FROM r GROUP BY l_suppkey",
@@ -219,6 +248,18 @@ ORACLES = {
         t AS (SELECT s, abs(sum(CASE WHEN (s >> i) & 1 = 0 THEN d ELSE -d END) / count(*)) AS a FROM s, k GROUP BY s), o AS (SELECT abs(avg(d)) AS o FROM k)
         SELECT count(*) AS configuraciones, count(*) FILTER (WHERE a >= o - 1e-12) AS extremas, count(*) FILTER (WHERE a >= o - 1e-12) / count(*)::DOUBLE AS p_signos FROM t, o""",
     "percentile_ci": "SELECT l_returnflag, round(quantile_cont(l_extendedprice, 0.025),6) AS p025, round(quantile_cont(l_extendedprice, 0.5),6) AS p50, round(quantile_cont(l_extendedprice, 0.975),6) AS p975 FROM lineitem GROUP BY l_returnflag",
+    "stratified_split": f"WITH {_SPLIT} SELECT doc_id, quality, prueba FROM sl",
+    "logistic_newton": f"""WITH RECURSIVE {_SPLIT}, d AS (SELECT sl.*, ln(1 + n_chars) - 6 AS x FROM sl JOIN documents USING (doc_id)), tr AS (SELECT quality::DOUBLE AS y, x FROM d WHERE prueba = 0),
+        it AS (SELECT 0 AS k, 0.0::DOUBLE AS b0, 0.0::DOUBLE AS b1 UNION ALL
+          SELECT k + 1, b0 + (h11 * g0 - h01 * g1) / (h00 * h11 - h01 * h01), b1 + (h00 * g1 - h01 * g0) / (h00 * h11 - h01 * h01) FROM (
+            SELECT any_value(k) AS k, any_value(b0) AS b0, any_value(b1) AS b1, sum(y - p) - 0.01 * any_value(b0) AS g0, sum((y - p) * x) - 0.01 * any_value(b1) AS g1,
+              sum(p * (1 - p)) + 0.01 AS h00, sum(p * (1 - p) * x) AS h01, sum(p * (1 - p) * x * x) + 0.01 AS h11 FROM (SELECT it.k, it.b0, it.b1, y, x, 1 / (1 + exp(-(it.b0 + it.b1 * x))) AS p FROM it, tr WHERE it.k < 8) GROUP BY k) q),
+        la AS (SELECT b0, b1 FROM it WHERE k = 8)
+        SELECT round(any_value(b0), 6) AS b0, round(any_value(b1), 6) AS b1, count(*) AS n, count(*) FILTER (WHERE (1 / (1 + exp(-(b0 + b1 * x))) >= 0.5)::INT = quality) AS aciertos FROM d, la WHERE prueba = 1""",
+    "categorical_draws": f"""WITH {_L}, lx AS (SELECT user_id, event_type, exp(logit / 20 - max(logit / 20) OVER (PARTITION BY user_id)) AS e FROM b), pp AS (SELECT user_id, event_type, e / sum(e) OVER (PARTITION BY user_id) AS p FROM lx),
+        c AS (SELECT user_id, event_type, coalesce(sum(p) OVER (PARTITION BY user_id ORDER BY event_type ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS lo, lead(1) OVER (PARTITION BY user_id ORDER BY event_type) IS NULL AS tail, p FROM pp),
+        dr AS (SELECT user_id, draw, ('0x' || substr(md5(user_id::VARCHAR || ':' || draw::VARCHAR || ':draw'), 1, 12))::BIGINT / 281474976710656.0::DOUBLE AS u FROM (SELECT DISTINCT user_id FROM pp), range(50) r(draw))
+        SELECT dr.user_id, draw, event_type FROM dr JOIN c ON c.user_id = dr.user_id AND u >= lo AND (tail OR u < lo + p)""",
     "softmax_entropy": f"WITH {_L}, e AS ({_soft('0.5')} UNION ALL {_soft('1.0')} UNION ALL {_soft('2.0')}), p AS (SELECT user_id, temperatura, e / sum(e) OVER (PARTITION BY user_id, temperatura) AS p FROM e) SELECT user_id, round(-sum(CASE WHEN p > 0 THEN p * log2(p) ELSE 0 END), 6) AS bits, temperatura FROM p GROUP BY user_id, temperatura",
     "top_p": f"WITH {_L}, e AS ({_soft('1.0')}), p AS (SELECT user_id, event_type, e / sum(e) OVER (PARTITION BY user_id) AS p FROM e), c AS (SELECT *, coalesce(sum(p) OVER (PARTITION BY user_id ORDER BY p DESC, event_type ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM p) SELECT user_id, event_type, round(p / sum(p) OVER (PARTITION BY user_id), 6) AS p_top FROM c WHERE before < 0.9",
     "kl_bits": "WITH q AS (SELECT event_type, count(*) / (SELECT count(*) FROM events)::DOUBLE AS q FROM events GROUP BY 1), u AS (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY ALL), p AS (SELECT user_id, event_type, n / sum(n) OVER (PARTITION BY user_id)::DOUBLE AS p FROM u) SELECT user_id, round(sum(p * log2(p / q)), 6) AS kl_bits FROM p JOIN q USING (event_type) GROUP BY user_id",
