@@ -18,8 +18,13 @@ BUDGET, RESERVE = 20000, 2000
 
 def trace(spark, sf):
     """Events as trace rows: user → run, event type → kind, properties → agent, subtask, tokens."""
+    return trace_of(table(spark, sf, "events"))
+
+
+def trace_of(events):
+    """The trace rows of a table or stream of events."""
     k = F.get_json_object("props", "$.k").cast("bigint")
-    e = table(spark, sf, "events").withColumn("k", k)
+    e = events.withColumn("k", k)
     t = F.col("event_type")
     tipo = F.when(t.isin("view", "click"), "llamada").when(t == "purchase", "ejecucion").when(t == "signup", "decision").otherwise("fin")
     agents = ["planificador", "programador", "critico", "redactor", "indexador"]
