@@ -28,7 +28,7 @@ def truth_table(spark: SparkSession, named: dict[str, Callable[[], DataFrame]])
     out = spark.createDataFrame([], "verdad STRING, esperado DOUBLE")
     for name, query in named.items():
         df = query()
-        value = df.select(F.col(df.columns[0]).cast("double").alias("v")).agg(F.max("v").alias("esperado"))
+        value = df.toDF("v", *df.columns[1:]).select(F.col("v").cast("double").alias("v")).agg(F.max("v").alias("esperado"))
         out = out.unionByName(value.select(F.lit(name).alias("verdad"), "esperado"))
     return out
 

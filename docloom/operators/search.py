@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from docloom.functions.vectors import dot
 from docloom.operators import retrieval as rt
-from docloom.plans.scale import lookup, running_sum, top_k
+from docloom.plans.scale import lookup, salted_lookup, top_k
 from docloom.session import cut_lineage
 
 MAX_ANCHOR_CHUNKS = 4  # an entity found in more chunks anchors nothing
@@ -163,28 +163,36 @@ def connected_parts(edges: DataFrame, comm: DataFrame) -> DataFrame:
             return at
 
 
-def best_moves(edges: DataFrame, comm: DataFrame) -> DataFrame:
-    """``node, own, to, gain``: each node's best move to a neighbour's community that raises the modularity.
+class Moves:
+    """Best moves in one graph: what does not change from round to round is stored once."""
 
-    Gains are exact whole numbers, in units of 1 / (2 m^2) of modularity, m the sum of all weights.
-    """
-    from docloom.operators.graph import both_ways
+    def __init__(self, edges: DataFrame):
+        from docloom.operators.graph import both_ways
+        from docloom.plans.scale import hot_keys
+
+        both = cut_lineage(both_ways(edges))
+        self.degree = cut_lineage(both.groupBy("u").agg(F.sum("w").alias("k")))
+        self.two_m = int(self.degree.agg(F.sum("k")).first()[0] or 0)
+        self.walk = cut_lineage(both.where(F.col("u") != F.col("v")))
+        self.hot = cut_lineage(hot_keys(self.walk.groupBy("v").agg(F.count(F.lit(1)).alias("_n")), ["v"], "_n"))
+
+    def best(self, comm: DataFrame) -> DataFrame:
+        """``node, own, to, gain``: each node's best move to a neighbour's community that raises the modularity.
 
-    e = both_ways(edges)
-    k = e.groupBy("u").agg(F.sum("w").alias("k"))
-    two_m = int(k.agg(F.sum("k")).first()[0] or 0)
-    kc = cut_lineage(k.join(comm.withColumnRenamed("node", "u"), "u"))
-    tot = kc.groupBy("c").agg(F.sum("k").alias("t"))
-    walk = e.where(F.col("u") != F.col("v"))
-    near = lookup(walk, comm.select(F.col("node").alias("v"), "c"), ["v"], ["u"]).groupBy("u", "c").agg(F.sum("w").alias("w"))
-    near = near.join(tot, "c").join(kc.select("u", F.col("c").alias("own"), "k"), "u")
-    whole = lambda c: c.cast("decimal(38,0)")
-    worth = whole(F.lit(two_m)) * whole(F.col("w")) - whole(F.col("k")) * whole(F.col("t") - F.when(F.col("c") == F.col("own"), F.col("k")).otherwise(0))
-    at_home = kc.join(tot, "c").select("u", (whole(F.lit(0)) - whole(F.col("k")) * whole(F.col("t") - F.col("k"))).alias("alone"))
-    best = near.withColumn("g", worth).groupBy("u").agg(
-        F.max_by(F.struct("c", "g"), F.struct("g", -F.xxhash64("c"))).alias("b"), F.max(F.when(F.col("c") == F.col("own"), F.col("g"))).alias("stay"), F.first("own").alias("own"))
-    best = best.join(at_home, "u").withColumn("gain", F.col("b.g") - F.coalesce("stay", "alone"))
-    return best.where((F.col("b.c") != F.col("own")) & (F.col("gain") > 0)).select(F.col("u").alias("node"), "own", F.col("b.c").alias("to"), "gain")
+        Gains are exact whole numbers, in units of 1 / (2 m^2) of modularity, m the sum of all weights.
+        """
+        kc = self.degree.join(comm.withColumnRenamed("node", "u"), "u")
+        tot = kc.groupBy("c").agg(F.sum("k").alias("t"))
+        near = salted_lookup(self.walk, comm.select(F.col("node").alias("v"), "c"), ["v"], self.hot, ["u"]).groupBy("u", "c").agg(F.sum("w").alias("w"))
+        # every node may also stay, with no edge into its community
+        near = near.unionByName(kc.select("u", "c", F.lit(0).cast("bigint").alias("w"))).groupBy("u", "c").agg(F.sum("w").alias("w"))
+        near = near.join(tot, "c").join(kc.select("u", F.col("c").alias("own"), "k"), "u")
+        whole = lambda c: c.cast("decimal(38,0)")
+        worth = whole(F.lit(self.two_m)) * whole(F.col("w")) - whole(F.col("k")) * whole(F.col("t") - F.when(F.col("c") == F.col("own"), F.col("k")).otherwise(0))
+        best = near.withColumn("g", worth).groupBy("u").agg(
+            F.max_by(F.struct("c", "g"), F.struct("g", -F.xxhash64("c"))).alias("b"), F.max(F.when(F.col("c") == F.col("own"), F.col("g"))).alias("stay"), F.first("own").alias("own"))
+        best = best.withColumn("gain", F.col("b.g") - F.col("stay"))
+        return best.where((F.col("b.c") != F.col("own")) & (F.col("gain") > 0)).select(F.col("u").alias("node"), "own", F.col("b.c").alias("to"), "gain")
 
 
 def settled(edges: DataFrame, comm: DataFrame, quick: int = 12) -> DataFrame:
@@ -194,9 +202,10 @@ def settled(edges: DataFrame, comm: DataFrame, quick: int = 12) -> DataFrame:
     communities they touch are made: their gains add up, so the modularity rises strictly and the rounds end.
     """
     edges, r = cut_lineage(edges), 0
+    graph = Moves(edges)
     comm = connected_parts(edges, comm)
     while True:
-        moves = cut_lineage(best_moves(edges, comm))
+        moves = cut_lineage(graph.best(comm))
         if moves.isEmpty():
             parts = connected_parts(edges, comm)
             if parts.select("c").distinct().count() == comm.select("c").distinct().count():
@@ -208,7 +217,7 @@ def settled(edges: DataFrame, comm: DataFrame, quick: int = 12) -> DataFrame:
         else:
             order = F.struct("gain", -F.xxhash64("node"), "node")
             sides = moves.select(F.col("own").alias("c"), order.alias("o")).unionByName(moves.select(F.col("to").alias("c"), order.alias("o")))
-            first = sides.groupBy("c").agg(F.max("o.node").alias("_"), F.max("o").alias("o")).select("c", F.col("o.node").alias("node"))
+            first = sides.groupBy("c").agg(F.max("o").alias("o")).select("c", F.col("o.node").alias("node"))
             taken = moves.join(first.withColumnRenamed("c", "own"), ["own", "node"], "left_semi").join(first.withColumnRenamed("c", "to"), ["to", "node"], "left_semi")
         comm = cut_lineage(comm.join(taken.select("node", "to"), "node", "left").select("node", F.coalesce("to", "c").alias("c")))
         r += 1
@@ -230,7 +239,7 @@ def certificate(edges: DataFrame, comm: DataFrame) -> DataFrame:
     two_m = F.sum("t").cast("double")
     by_sums = float(sums.agg((F.sum("inside") / two_m - F.sum(F.col("t").cast("double") * F.col("t")) / two_m / two_m).alias("q")).first()["q"] or 0.0)
     same = abs(by_sums - modularity(edges, comm)) < 1e-9
-    still = best_moves(edges, comm).isEmpty()
+    still = Moves(edges).best(comm).isEmpty()
     flag = lambda b, n: F.lit(bool(b)).alias(n)
     return covered.join(shape).select("nodos", "aristas", "peso", "cubiertos", flag(parts, "conexas"), flag(same, "modularidad_coincide"), flag(still, "sin_mejora"))
 

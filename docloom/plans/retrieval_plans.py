@@ -188,9 +188,22 @@ def lsa_topk(spark, sf):
         "item_id", "doc_id", F.round("score", 4).alias("score"), "rank")
 
 
+def lsa_certificate(spark, sf):
+    """The four singular vectors of the turns' TF-IDF matrix, checked: orthonormal, and A'A turns each into a multiple of itself."""
+    from docloom.operators import lsa
+
+    c = table(spark, sf, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("k"), "text")
+    post = cut_lineage(rt.postings(c, "k", "text"))
+    own = cut_lineage(lsa.weighted(post, "k", rt.vocabulary(post, c)))
+    basis, values = lsa.singular_basis(own, "k", 4)
+    r = lsa.certificate(own, "k", basis, values)
+    return own.agg(F.count_distinct("k").alias("textos"), F.count_distinct("term").alias("terminos"), F.lit(len(values)).alias("dimensiones")).select(
+        "textos", "terminos", "dimensiones", F.lit(r["orthonormal"] < 1e-8).alias("ortonormal"), F.lit(r["residual"] < 0.02).alias("propios"))
+
+
 QUERIES = {f.__name__: f for f in (
     retrieval_tfidf_topk, flat_retrieval, verbatim_items, retrieval_ranks, retrieval_mrr, one_hop_coverage, anchored_retrieval,
-    dense_topk, dense_margin, dense_topk_candidates, global_search_preferred, vector_reuse, lexical_embeddings, lexical_similarity, shared_terms, lsa_topk)}
+    dense_topk, dense_margin, dense_topk_candidates, global_search_preferred, vector_reuse, lexical_embeddings, lexical_similarity, shared_terms, lsa_topk, lsa_certificate)}
 
 _TOK = lambda t: rf"unnest(regexp_extract_all(lower({t}), '[\p{{L}}\p{{N}}_]{{2,}}'))"
 _BASE = f"""dt AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, {_TOK('text')} AS term FROM documents) GROUP BY ALL),
@@ -209,6 +222,7 @@ _DS = f"{_CEN}, s AS (SELECT qid, vec_id, label, round(list_dot_product(embeddin
 _R5 = "r AS (SELECT qid, vec_id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, vec_id) AS rank FROM s)"
 
 ORACLES = {
+    "lsa_certificate": r"WITH t AS (SELECT conv_id * 1000 + turn AS k, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]{2,}')) AS t FROM conversations) SELECT count(DISTINCT k) AS textos, count(DISTINCT t) AS terminos, 4::INT AS dimensiones, TRUE AS ortonormal, TRUE AS propios FROM t",
     "retrieval_tfidf_topk": f"WITH {_BASE}, {_CORPUS}, {_SIM} SELECT item_id, doc_id, round(score, 6) AS score, rank FROM rk WHERE rank <= 3",
     "flat_retrieval": f"WITH {_BASE}, {_BOTH}, {_SIM} SELECT item_id, doc_id, round(score, 6) AS score, rank FROM rk WHERE rank <= 2",
     "verbatim_items": f"WITH {_VERB} SELECT * FROM vb",

@@ -28,3 +28,26 @@ def test_query_matches_sql(spark, name):
 @pytest.mark.skipif(not os.path.isdir(SF), reason="tables not present")
 def test_flagship(spark):
     assert entry.entry(spark).columns == ["item_id", "doc_id", "score", "rank"]
+
+
+def test_other_queries_stay_without_the_optional_folder(monkeypatch):
+    """The optional subpackage hidden by an import hook: all other queries and their SQL are still there."""
+    import importlib.util
+    import sys
+
+    import __spark_entry__ as entry
+
+    whole = set(entry.queries())
+    find = importlib.util.find_spec
+    for name in [m for m in sys.modules if m.startswith("docloom.llm") or m == "corpus_pipeline"]:
+        monkeypatch.delitem(sys.modules, name)
+
+    class Hidden:
+        def find_spec(self, name, path=None, target=None):
+            if name == "docloom.llm" or name.startswith("docloom.llm."):
+                raise ModuleNotFoundError(name)
+
+    monkeypatch.setattr(sys, "meta_path", [Hidden(), *sys.meta_path])
+    monkeypatch.setattr(importlib.util, "find_spec", lambda n, *a: None if n.startswith("docloom.llm") else find(n, *a))
+    left = set(entry.queries())
+    assert {q for q in whole - left} == {q for q in whole if q == "pipeline" or q.startswith("op") and q[2].isdigit()} and set(entry.oracle_sql()) <= left and len(left) > 140
