@@ -195,7 +195,7 @@ class Moves:
         return best.where((F.col("b.c") != F.col("own")) & (F.col("gain") > 0)).select(F.col("u").alias("node"), "own", F.col("b.c").alias("to"), "gain")
 
 
-def settled(edges: DataFrame, comm: DataFrame, quick: int = 12) -> DataFrame:
+def settled(edges: DataFrame, comm: DataFrame, quick: int = 60) -> DataFrame:
     """``node, c`` where every community is connected and no single move raises the modularity.
 
     First half of the nodes (by hash) may move at a time.  After ``quick`` such rounds only moves that are the best one of both
