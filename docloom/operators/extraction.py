@@ -19,7 +19,8 @@ PIECE_CHARS = 6000
 
 
 def ask(pieces: DataFrame, keys: list[str], text: str, model: Callable[[str], str]) -> DataFrame:
-    """``*keys, parte, respuesta, error``: one reply per PIECE_CHARS characters of each text, all of it; a failing part is kept with its error, not raised."""
+    """``*keys, parte, respuesta, error``: one reply per piece of each text, all of it; a piece has at most PIECE_CHARS characters and ends
+    before white space, unless one word is longer than that.  A failing part is kept with its error, not raised."""
     fields = [f for f in pieces.schema.fields if f.name in keys]
     schema = StructType(fields).add("parte", LongType()).add("respuesta", StringType()).add("error", StringType())
 
@@ -33,9 +34,10 @@ def ask(pieces: DataFrame, keys: list[str], text: str, model: Callable[[str], st
                     out.append((None, f"{type(e).__name__}: {e}"[:300]))
             yield b[[*keys, "parte"]].assign(respuesta=[r for r, _ in out], error=[e for _, e in out])
 
-    last = F.floor(F.greatest(F.length(text) - 1, F.lit(0)) / PIECE_CHARS)
-    parts = pieces.where(F.col(text).isNotNull()).select(*keys, text, F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("parte"))
-    return parts.select(*keys, "parte", F.substring(F.col(text), (F.col("parte") * PIECE_CHARS + 1).cast("int"), F.lit(PIECE_CHARS)).alias("_t")).mapInPandas(run, schema)
+    piece = F.lit(rf"(?s).{{1,{PIECE_CHARS}}}(?!\S)|.{{1,{PIECE_CHARS}}}")
+    cut = F.when(F.length(text) > 0, F.regexp_extract_all(F.col(text), piece, F.lit(0))).otherwise(F.array(F.col(text)))
+    parts = pieces.where(F.col(text).isNotNull()).select(*keys, F.posexplode(cut).alias("parte", "_t"))
+    return parts.select(*keys, F.col("parte").cast("long").alias("parte"), "_t").mapInPandas(run, schema)
 
 
 def parse(replies: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:

@@ -89,10 +89,13 @@ def io_check_results(spark, sf):
 
 
 def io_input_text(spark, sf):
-    """Texts a run was given, whole files, and a fingerprint that doesn't depend on their order."""
+    """Texts a run was given: every turn of every conversation, dealt to forty folders, read as whole files."""
     at = _folder(spark)
-    table(spark, sf, "conversations").select(F.col("conv_id").cast("string").alias("k"), "text").where("turn = 0").write.partitionBy("k").text(f"{at}/in")
-    return readers.input_text(spark, f"{at}/in").select(F.regexp_extract("path", r"/k=([^/]+)/", 1).cast("bigint").alias("conv_id"), F.length(F.regexp_replace("text", r"\n\z", "")).cast("bigint").alias("n"))
+    c = table(spark, sf, "conversations").select((F.col("conv_id") % 40).cast("string").alias("k"), F.regexp_replace("text", r"[\r\n]", " ").alias("text"))
+    c.write.partitionBy("k").text(f"{at}/in")
+    lines = F.split(F.regexp_replace("text", r"\n\z", ""), "\n")
+    r = readers.input_text(spark, f"{at}/in").select(F.regexp_extract("path", r"/k=([^/]+)/", 1).cast("bigint").alias("k"), lines.alias("l"))
+    return r.groupBy("k").agg(F.sum(F.size("l")).cast("bigint").alias("turnos"), F.sum(F.aggregate("l", F.lit(0), lambda a, x: a + F.length(x))).cast("bigint").alias("n"))
 
 
 def io_verified(spark, sf):
@@ -112,6 +115,6 @@ ORACLES = {
     "io_graph": "WITH e AS (SELECT l_partkey AS a, l_suppkey AS b, count(*) AS w FROM lineitem GROUP BY ALL), x AS (SELECT a AS u, w FROM e UNION ALL SELECT b, w FROM e) SELECT u AS node, count(*) AS vecinos, sum(w)::BIGINT AS k FROM x GROUP BY u",
     "io_json_documents": "SELECT p_brand, count(*) AS n, round(avg(p_size), 6) AS media FROM part GROUP BY p_brand",
     "io_check_results": "SELECT 'K' || doc_id::VARCHAR AS \"check\", quality::INT AS ok, quality::INT AS golden, CASE WHEN doc_id % 3 <> 0 THEN toxic::INT END AS juez FROM labels",
-    "io_input_text": "SELECT conv_id, length(text)::BIGINT AS n FROM conversations WHERE turn = 0",
+    "io_input_text": "SELECT conv_id % 40 AS k, count(*) AS turnos, sum(length(text))::BIGINT AS n FROM conversations GROUP BY 1",
     "io_verified": "SELECT count(*) AS filas, 1 AS columns, 1 AS schema, 1 AS lost, 1 AS added FROM orders",
 }
