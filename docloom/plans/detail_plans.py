@@ -106,8 +106,8 @@ ORACLES = {
         g AS (SELECT q.doc_id, q.text, lower(regexp_replace(q.q, '[*`_«»"''“”]', '', 'g')) AS g0, form FROM q JOIN t USING (doc_id)),
         h AS (SELECT doc_id, text, form, trim(regexp_replace(g0, ' +', ' ', 'g')) AS g FROM g),
         a AS (SELECT doc_id, text, CASE WHEN length(g) >= 12 THEN strpos(form, g) ELSE 0 END AS p, length(g) AS m FROM h),
-        s AS (SELECT a.doc_id, 0 AS n, x.i - 1 AS ini, y.i AS fin, a.text FROM a LEFT JOIN f x ON x.doc_id = a.doc_id AND x.p = a.p LEFT JOIN f y ON y.doc_id = a.doc_id AND a.p > 0 AND y.p = a.p + a.m - 1)
-        SELECT doc_id, n, ini, fin, CASE WHEN ini IS NOT NULL THEN md5(substr(text, ini + 1, fin - ini)) END AS md5 FROM s UNION ALL SELECT doc_id, 1, NULL, NULL, NULL FROM q""",
+        s AS (SELECT a.doc_id, 0::BIGINT AS n, x.i - 1 AS ini, y.i AS fin, a.text FROM a LEFT JOIN f x ON x.doc_id = a.doc_id AND x.p = a.p LEFT JOIN f y ON y.doc_id = a.doc_id AND a.p > 0 AND y.p = a.p + a.m - 1)
+        SELECT doc_id, n, ini, fin, CASE WHEN ini IS NOT NULL THEN md5(substr(text, ini + 1, fin - ini)) END AS md5 FROM s UNION ALL SELECT doc_id, 1::BIGINT, NULL, NULL, NULL FROM q""",
     "index_nested_sizes": """SELECT p_brand AS marca, '$' AS ruta, 'mapa' AS tipo, 4::BIGINT AS n FROM part GROUP BY p_brand
         UNION ALL SELECT p_brand, '$.tokens', 'mapa', 2 FROM part GROUP BY p_brand UNION ALL SELECT p_brand, '$.fusion', 'mapa', 1 FROM part GROUP BY p_brand
         UNION ALL SELECT p_brand, '$.fragmentos', 'lista', count(*) FROM part GROUP BY p_brand UNION ALL SELECT p_brand, '$.fusion.entidades', 'mapa', count(DISTINCT p_type) FROM part GROUP BY p_brand
