@@ -38,7 +38,7 @@ def test_certificate_sees_what_is_wrong(spark, planted):
     assert not se.certificate(planted, right.where("node <> 'g1n3'")).first()["cubiertos"]
 
 
-@pytest.mark.parametrize("start", ["each"])
+@pytest.mark.parametrize("start", ["each", "odd"])
 def test_settling_ends_from_any_start(spark, planted, start):
     named = {"each": F.col("u"), "odd": F.substring("u", -1, 1)}[start]
     begin = gr.both_ways(planted).select(F.col("u").alias("node"), named.alias("c")).distinct()
