@@ -61,7 +61,7 @@ def _figure(text: Column, c: Column) -> Column:
     found = F.when(c["tipo"] == "cifra_presente", fg.numbers(plain)).otherwise(F.flatten(F.transform(after, fg.numbers)))
     tolerance = F.coalesce(c["tolerancia"], F.lit(TOLERANCE))
     hit = F.exists(found, lambda r: F.abs(r["value"] - c["esperado"]) <= tolerance + F.lit(1e-12))
-    told = F.concat(F.lit("verdad="), F.coalesce(F.format_string("%.4f", c["esperado"]), F.lit("?")), F.lit(" ±"), tolerance.cast("string"), F.lit("; "))
+    told = F.concat(F.lit("verdad="), F.when(c["esperado"].isNull(), "?").otherwise(F.format_string("%.4f", c["esperado"])), F.lit(" ±"), tolerance.cast("string"), F.lit("; "))
     return tx.let(F.coalesce(hit, F.lit(False)), lambda h: _result(h, F.concat(told, F.when(h, "hallada").otherwise("no hallada"))))
 
 
