@@ -209,8 +209,29 @@ def test_query_blocks_do_not_change_the_answer(corpus, monkeypatch):
     d, q = corpus
     v, qw = retrieval.tfidf_index(d, "d", "text", q, "q", "text")
     a = sorted(map(tuple, retrieval.sparse_topk(v, "d", qw, "q", 3).collect()))
-    monkeypatch.setattr(retrieval, "QUERY_BLOCK", 2)
+    pairs = q.select("q", F.col("rel").alias("d"))
+    ranks = sorted(map(tuple, retrieval.relevant_ranks(v, "d", qw, "q", pairs).collect()))
+    for name, n in (("QUERY_BLOCK", 2), ("SLOT_BLOCKS", 1), ("STRIPE", 2)):
+        monkeypatch.setattr(retrieval, name, n)
     assert sorted(map(tuple, retrieval.sparse_topk(v, "d", qw, "q", 3).collect())) == a
+    assert sorted(map(tuple, retrieval.relevant_ranks(v, "d", qw, "q", pairs).collect())) == ranks
+
+
+def test_dense_topk_over_many_stripes_equals_brute_force(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    rows = [(i, [float(x) for x in rng.integers(-3, 4, 5)]) for i in range(90)] + [(90, None)]  # small integers: many ties
+    asked = [(i, [float(x) for x in rng.integers(-3, 4, 5)]) for i in range(11)] + [(11, None)]
+    d, q = spark.createDataFrame(rows, "k bigint, v array<double>"), spark.createDataFrame(asked, "q bigint, v array<double>")
+    want = []
+    for i, v in asked[:-1]:
+        near = sorted((-float(np.dot(v, w)), k) for k, w in rows[:-1])[:7]
+        want += [(i, k, -s, r) for r, (s, k) in enumerate(near, 1)]
+    for name, n in (("QUERY_BLOCK", 2), ("SLOT_BLOCKS", 2), ("STRIPE", 16)):
+        monkeypatch.setattr(retrieval, name, n)
+    got = retrieval.dense_topk(d, "k", "v", q, "q", "v", 7).select("q", "k", "score", "rank")
+    assert sorted(map(tuple, got.collect()), key=lambda r: (r[0], r[3])) == want
+    assert retrieval.dense_topk(d.limit(0), "k", "v", q, "q", "v", 7).count() == 0
+    assert retrieval.dense_topk(d, "k", "v", q.limit(0), "q", "v", 7).count() == 0
 
 
 def test_prefix_scan_with_one_hot_key(spark):
