@@ -3,17 +3,20 @@
 Templates and texts are sequences of words (runs of ASCII letters, digits and non-ASCII
 characters, A-Z in lower case).  Of every WINDOW consecutive GRAM-word runs the one with the
 least hash is kept; the templates' kept runs form an inverted index of fixed size.  A text's
-kept runs that occur there vote for (template, diagonal), and close diagonals of one template
-form a candidate.  A local alignment inside a band around the candidate gives the matched
-template words (coverage) and the span in the text.  Runs with a word that no template has
-can't be in the index and get the largest hash, which keeps the guarantee that every shared
-run of GRAM + WINDOW - 1 words shares a kept one.
+kept runs that occur there are seeds (text position, template position).  Seeds of one template
+that follow each other in both, on diagonals at most BAND apart, form a chain; long chains of a
+whole license are joined over larger insertions and gaps.  Each chain is a candidate: a local
+alignment inside a band that follows it gives the matched template words (coverage) and the span
+in the text.  A chain uses a template position once, so a text that repeats a license has a chain
+for each repetition, and work grows with the length of the text.  Runs with a word that no
+template has can't be in the index and get the largest hash, which keeps the guarantee that every
+shared run of GRAM + WINDOW - 1 words shares a kept one.
 
 Each text is scanned whole inside one task and nothing is shuffled.
 
 Defined cases: a null or empty text has no match; repeated notices give one match each; equal
-rows get equal answers; of overlapping matches, of whatever license, the one with the best
-alignment stays, then the better covered, then the earlier; a notice needs the words that tell
+rows get equal answers; a whole license needs a chain of LINKS seeds, dense enough for its
+coverage; of overlapping matches, of whatever license, the one with the best alignment stays, then the better covered, then the earlier; a notice needs the words that tell
 it from its siblings (nc, sa, lesser, version numbers); a span that only opens a BSD license
 names none; spans count code points, end exclusive.
 """
@@ -21,6 +24,7 @@ names none; spans count code points, end exclusive.
 from __future__ import annotations
 
 import re
+from bisect import bisect
 from collections import defaultdict
 from dataclasses import dataclass
 from itertools import product
@@ -33,6 +37,7 @@ from pyspark.sql import functions as F
 from docloom.llm.base import arrow_map
 
 GRAM, WINDOW, BAND, COVERAGE = 3, 2, 8, 0.8
+LINKS = 4  # seeds of the least chain of a whole license
 
 BODIES = ("BSD-3-Clause", "BSD-2-Clause", "MIT", "ISC", "Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.0", "LGPL-2.1", "LGPL-3.0", "MPL-1.1", "MPL-2.0", "CC0-1.0", "CC-BY-SA-4.0")
 _FREE = (
@@ -122,6 +127,7 @@ class Scanner:
         for t in self.templates:
             own = [w for w in dict.fromkeys(t.tolist()) if w in marks or texts_of[w].isdigit()] if len(t) <= NOTICE else []
             self.required.append({w: 1 << k for k, w in enumerate(own)})
+        self.bags = [np.unique(t, return_counts=True) for t in self.templates]
         self.index: dict[int, list[tuple[int, int]]] = defaultdict(list)
         for n, t in enumerate(self.templates):
             h = self._hashes(t)
@@ -150,71 +156,178 @@ class Scanner:
         if not (h < np.uint64(1 << 63)).any():
             return []
         at = kept(h)
-        at = at[np.isin(h[at], self.listed)]
-        votes: dict[int, list[int]] = defaultdict(list)
-        for i in at:
+        at = at[self.listed[np.minimum(np.searchsorted(self.listed, h[at]), len(self.listed) - 1)] == h[at]]
+        seeds: dict[int, list[tuple[int, int]]] = defaultdict(list)
+        for i in at.tolist():
             for n, j in self.index[int(h[i])]:
-                votes[n].append(int(i) - j)
+                seeds[n].append((i, j))
+        everywhere = np.bincount(ids, minlength=len(self.vocabulary) + 1)
         found: list[tuple[str, float, int, int, int]] = []
-        for n, diagonals in votes.items():
-            diagonals.sort()
-            begin = 0
-            for i in range(1, len(diagonals) + 1):
-                if i == len(diagonals) or diagonals[i] - diagonals[i - 1] > BAND:
-                    found += self._candidate(n, ids, diagonals[begin] - BAND, diagonals[i - 1] + BAND)
-                    begin = i
+        for n, pairs in seeds.items():
+            if self._enough(n, everywhere):
+                for chain in chains(pairs, len(self.templates[n])):
+                    found += self._candidate(n, ids, chain)
         if not found:
             return []
         spans = [m.span() for m in _WORD.finditer(text)]
         out: list[tuple[str, float, int, int, int]] = []
+        firsts: list[int] = []  # of the matches in out, which never overlap and stand in their order
         for m in sorted(found, key=lambda m: (-m[4], -m[1], m[2], m[0])):
-            if all(m[2] > o[3] or m[3] < o[2] for o in out):
-                out.append(m)
+            k = bisect(firsts, m[3])
+            if k == 0 or out[k - 1][3] < m[2]:
+                firsts.insert(k, m[2])
+                out.insert(k, m)
         return [Match(n, c, spans[a][0], spans[b][1]) for n, c, a, b, _ in sorted(out, key=lambda m: (m[2], m[0]))]
 
-    def _candidate(self, n: int, ids: np.ndarray, low: int, high: int) -> list[tuple[str, float, int, int, int]]:
-        """The match of template n inside a band, or nothing: name, coverage, first and last word, score."""
+    def _enough(self, n: int, counts: np.ndarray) -> bool:
+        """Whether enough words of template n are among the counted ones, in any order."""
+        own, times = self.bags[n]
+        return np.minimum(counts[own], times).sum() >= COVERAGE * len(self.templates[n])
+
+    def _candidate(self, n: int, ids: np.ndarray, chain: list[tuple[int, int]]) -> list[tuple[str, float, int, int, int]]:
+        """The match of template n along a chain, or nothing: name, coverage, first and last word, score."""
         t, required = self.templates[n], self.required[n]
-        near = ids[max(0, low) : max(0, len(t) + high)]
-        size = len(self.vocabulary) + 1
-        if np.minimum(np.bincount(near, minlength=size), np.bincount(t, minlength=size)).sum() < COVERAGE * len(t):
-            return []  # not enough of its words stand there in any order
-        matched, first, last, score, seen = align(t, ids, low, high, required)
+        low, high = band(chain, len(t))
+        begin, end = max(0, int(low.min())), min(len(ids), int(high.max()))
+        near = ids[begin:end]
+        if not self._enough(n, np.bincount(near, minlength=len(self.vocabulary) + 1)):
+            return []
+        matched, first, last, score, seen = align(t, near, low - begin, high - begin, required)
         if matched < COVERAGE * len(t) or seen != (1 << len(required)) - 1:
             return []
-        span = ids[first : last + 1]
+        span = near[first : last + 1]
         if len(t) <= NOTICE and any(int(w) not in required for w in span[np.isin(span, self.marks)]):
             return []
-        return [(self.names[n], matched / len(t), first, last, score)]
+        return [(self.names[n], matched / len(t), begin + first, begin + last, score)]
+
+
+def _taken_apart(scores: list[float], before: list[int]) -> list[list[int]]:
+    """Every element once: the best end first, followed back until an element that another path has."""
+    free, out = [True] * len(scores), []
+    for end in sorted(range(len(scores)), key=lambda k: (-scores[k], k)):
+        path = []
+        while end >= 0 and free[end]:
+            free[end] = False
+            path.append(end)
+            end = before[end]
+        if path:
+            out.append(path[::-1])
+    return out
+
+
+def chains(seeds: list[tuple[int, int]], length: int) -> list[list[tuple[int, int]]]:
+    """Seeds (text position, template position), by text position, as chains that rise in both.
+
+    A seed follows the seed with the longest chain among the last ones of the diagonals within
+    BAND, the nearest diagonal if equal.  Of a whole license, where stray seeds are common, no step
+    passes 4 * BAND words; chains of at least LINKS seeds are then linked in the same way over
+    drifts of up to a fifth of its length.
+    """
+    whole = length > NOTICE
+    reach = 4 * BAND if whole else max(4 * BAND, length // 2)
+    near = sorted(range(-BAND, BAND + 1), key=abs)
+    scores: list[float] = []
+    before: list[int] = []
+    last: dict[int, int] = {}
+    for k, (i, j) in enumerate(seeds):
+        best, link = 0.0, -1
+        for step in near:
+            p = last.get(i - j + step, -1)
+            if p >= 0 and seeds[p][0] < i and seeds[p][1] < j and i - seeds[p][0] <= reach and scores[p] - abs(step) / BAND > best:
+                best, link = scores[p] - abs(step) / BAND, p
+        scores.append(best + 1)
+        before.append(link)
+        last[i - j] = k
+    found = [[seeds[k] for k in path] for path in _taken_apart(scores, before)]
+    if not whole:  # a step to another diagonal may lead into a repetition: its two sides are candidates as well
+        return found + [p for c in found for p in _straight(c) if len(p) < len(c)]
+    found = sorted(c for c in found if len(c) >= LINKS)
+    scores, before, oldest = [], [], 0
+    for k, c in enumerate(found):
+        (i, j), best, link = c[0], 0.0, -1
+        while found[oldest][0][0] < i - 2 * length:  # no chain spans more, see band()
+            oldest += 1
+        for p in range(oldest, k):
+            a, b = found[p][-1]
+            drift = abs((i - j) - (a - b))
+            if a < i and b < j and i - a <= length // 2 and drift <= length // 5 and scores[p] - drift / BAND > best:
+                best, link = scores[p] - drift / BAND, p
+        scores.append(best + len(c))
+        before.append(link)
+    linked = ([s for k in path for s in found[k]] for path in _taken_apart(scores, before))
+    return [c for c in linked if attainable(c, length) >= COVERAGE * length]
+
+
+def _straight(chain: list[tuple[int, int]]) -> list[list[tuple[int, int]]]:
+    """Its pieces on one diagonal."""
+    cuts = [0, *(k for k in range(1, len(chain)) if chain[k][0] - chain[k][1] != chain[k - 1][0] - chain[k - 1][1]), len(chain)]
+    return [chain[a:b] for a, b in zip(cuts, cuts[1:])]
+
+
+def attainable(chain: list[tuple[int, int]], length: int) -> float:
+    """Most template words that can match along a chain.
+
+    Where seeds are further apart than every shared run of GRAM + WINDOW - 1 words allows, one
+    word of each such run must differ.
+    """
+    run = GRAM + WINDOW - 1
+    gaps = np.diff([0, *(j for _, j in chain), length])
+    return float(np.where(gaps <= run, gaps, np.minimum(gaps, gaps * (run - 1) / run + run)).sum())
+
+
+def band(chain: list[tuple[int, int]], length: int) -> tuple[np.ndarray, np.ndarray]:
+    """First and one past the last text position of each template row: BAND to both sides of the chain, and of both ends of a step."""
+    rows = np.arange(length)
+    at = np.array([j for _, j in chain])
+    drift = np.array([i - j for i, j in chain])
+    after = np.minimum(np.searchsorted(at, rows), len(at) - 1)
+    ahead = np.where(rows > at[-1], after, np.maximum(after - 1, 0))
+    side = min(BAND, length - 1)  # a longer insertion never pays, and the next repetition lies length away
+    return rows + np.minimum(drift[after], drift[ahead]) - side, rows + np.maximum(drift[after], drift[ahead]) + side + 1
 
 
-def align(template: np.ndarray, ids: np.ndarray, low: int, high: int, required: dict[int, int]) -> tuple[int, int, int, int, int]:
-    """Best local alignment with text position minus template position in low..high: matched words, first and last text word, score, bits of the required words that match.
+def align(template: np.ndarray, ids: np.ndarray, low: np.ndarray, high: np.ndarray, required: dict[int, int]) -> tuple[int, int, int, int, int]:
+    """Best local alignment with row r inside text positions low[r]..high[r]-1: matched words, first and last text word, score, bits of the required words that match.
 
-    A match counts 2, a mismatch, insertion or deletion -1.
+    A match counts 2, a mismatch, insertion or deletion -1.  A row is computed at once: what an
+    insertion hands on inside it is a running maximum.
     """
-    best = (0, 0, 0, 0, 0)
-    above: dict[int, tuple[int, int, int, int]] = {}
-    words_of, n = ids.tolist(), len(ids)
-    for i, t in enumerate(template.tolist()):
-        row: dict[int, tuple[int, int, int, int]] = {}
-        bit = required.get(t, 0)
-        for j in range(max(0, i + low), min(n, i + high + 1)):
-            score, matched, first, seen = above.get(j - 1, (0, 0, j, 0))
-            if words_of[j] == t:
-                cell = (score + 2, matched + 1, first if score else j, seen | bit)
-                if cell[:2] > best[:2]:
-                    best = (*cell, j)
-            else:
-                cell = (score - 1, matched, first, seen)
-            for other in (above.get(j), row.get(j - 1)):
-                if other and other[0] - 1 > cell[0]:
-                    cell = (other[0] - 1, *other[1:])
-            if cell[0] > 0:
-                row[j] = cell
-        above = row
-    score, matched, first, seen, last = best
-    return matched, first, last, score, seen
+    n = len(ids)
+    low, high = np.clip(low, 0, n).tolist(), np.clip(high, 0, n).tolist()
+    score = np.zeros(n + 1, np.int64)  # cell j + 1 is text position j, cells without an alignment hold 0
+    state = np.zeros((3, n + 1), np.int64)  # matched words, first word, bits of the required words
+    steps = np.arange(max(b - a for a, b in zip(low, high, strict=True)) + 1)
+    best, old = (0, 0, 0, 0, 0), (0, 0)
+    for r, t in enumerate(template.tolist()):
+        a, b = low[r], high[r]
+        if a >= b:
+            score[old[0] + 1 : old[1] + 1] = 0
+            continue
+        ar, same = steps[: b - a], ids[a:b] == t
+        diagonal, own = score[a:b], state[:, a:b].copy()
+        fresh = diagonal == 0
+        own[:, fresh] = 0
+        own[1, fresh] = ar[fresh] + a
+        own[0] += same
+        if t in required:
+            own[2, same] |= required[t]
+        cell = diagonal + np.where(same, 2, -1)
+        above = score[a + 1 : b + 1] - 1
+        up = above > cell
+        if up.any():
+            cell = np.where(up, above, cell)
+            own = np.where(up, state[:, a + 1 : b + 1], own)
+        value = cell + ar
+        top = np.maximum.accumulate(value)
+        source = np.maximum.accumulate(np.where(value == top, ar, 0))
+        cell, own = np.maximum(top - ar, 0), own[:, source]
+        score[old[0] + 1 : old[1] + 1] = 0
+        score[a + 1 : b + 1], state[:, a + 1 : b + 1], old = cell, own, (a, b)
+        k = int(np.argmax(cell * (len(template) + 1) + own[0]))
+        if (cell[k], own[0, k]) > best[:2]:
+            best = (int(cell[k]), int(own[0, k]), int(own[1, k]), int(own[2, k]), a + k)
+    points, matched, first, seen, last = best
+    return matched, first, last, points, seen
 
 
 def scan_licenses(docs: DataFrame, *keep: Column, templates=TEMPLATES) -> DataFrame:

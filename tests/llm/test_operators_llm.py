@@ -487,17 +487,56 @@ def test_license_spans_and_coverage(spark):
     assert name == "BSD-3-Clause" and 0.9 < coverage < 1 and span == text[4]
 
 
+def slow_align(template, ids, low, high, required):
+    """Cell by cell: (matched, first, last, score, bits) of the best local alignment inside the band."""
+    best, above = (0, 0, 0, 0, 0), {}
+    for r, t in enumerate(template):
+        row = {}
+        for j in range(max(0, low[r]), min(len(ids), high[r])):
+            points, matched, first, seen = above.get(j - 1, (0, 0, j, 0))
+            cell = (points + 2, matched + 1, first, seen | required.get(t, 0)) if ids[j] == t else (points - 1, matched, first, seen)
+            for other in (above.get(j), row.get(j - 1)):
+                if other and other[0] - 1 > cell[0]:
+                    cell = (other[0] - 1, *other[1:])
+            if cell[0] > 0:
+                row[j] = cell
+            if cell[:2] > best[:2] and cell[0] > 0:
+                best = (*cell, j)
+        above = row
+    return best[1], best[2], best[4], best[0], best[3]
+
+
+def test_license_alignment_equals_cell_by_cell():
+    rng = np.random.default_rng(4)
+    for _ in range(300):
+        t, ids = rng.integers(1, 5, rng.integers(1, 25)), rng.integers(0, 5, rng.integers(1, 40))
+        low = np.arange(len(t)) + np.cumsum(rng.integers(-1, 2, len(t))) - 4
+        high = low + rng.integers(0, 14, len(t))
+        required = {1: 1, 3: 2}
+        assert licenses.align(t, ids, low, high, required) == slow_align(t.tolist(), ids.tolist(), low.tolist(), high.tolist(), required)
+
+
 def test_license_candidates_equal_aligning_everything():
-    """Every notice that a scan without the index finds is found with it."""
+    """The best template by a whole alignment, without index, chains or band, is what a scan finds."""
     scanner = licenses.Scanner()
     rng = np.random.default_rng(9)
+    notices = [(n, w) for n, t in licenses.TEMPLATES if len(w := licenses.words(t)) <= licenses.NOTICE]
     for i in range(60):
-        name, t = licenses.TEMPLATES[i % len(licenses.TEMPLATES)]
-        w = t.split()
+        _, w = notices[i % len(notices)]
+        w = [x.decode() for x in w]
         if len(w) > 12:
             del w[int(rng.integers(len(w)))]
         text = " ".join([prose(i, int(rng.integers(0, 30))), *w, prose(i + 1, 5)])
-        assert name in {m.license for m in scanner.scan(text)}
+        ids = np.array([scanner.vocabulary.get(x, 0) for x in licenses.words(text)])
+        best = []
+        for n, t in enumerate(scanner.templates):
+            if len(t) <= licenses.NOTICE:
+                matched, first, last, score, seen = licenses.align(t, ids, np.zeros(len(t), int), np.full(len(t), len(ids)), scanner.required[n])
+                others = [x for x in ids[first : last + 1].tolist() if x in scanner.marks and x not in scanner.required[n]]
+                if matched >= licenses.COVERAGE * len(t) and seen == (1 << len(scanner.required[n])) - 1 and not others:
+                    best.append((score, matched / len(t), scanner.names[n]))
+        top = max(best)[:2] if best else None
+        assert {m.license for m in scanner.scan(text)} & {n for *a, n in best if tuple(a) == top} or not best
 
 
 @pytest.mark.parametrize("text, want", [
@@ -514,14 +553,35 @@ def test_license_siblings(text, want):
     assert [m.license for m in licenses.Scanner().scan(f"Words before. {text}. More after")] == ([want] if want else [])
 
 
-@pytest.mark.parametrize("name", ["BSD-3-Clause", "BSD-2-Clause", "MIT", "ISC", "CC0-1.0", "LGPL-3.0"])
+@pytest.mark.parametrize("name", licenses.BODIES)
 def test_license_bodies(name):
+    """Whole, with a gap, and (whole licenses) with a long insertion or without a tenth of it."""
     body = max((t for n, t in licenses.TEMPLATES if n == name), key=len)
     w = body.split()
-    for cut in (w, w[: len(w) // 2] + w[len(w) // 2 + 2 :]):
+    half, third, some = len(w) // 2, len(w) // 3, len(w) // 10
+    cases = [w, w[:half] + w[half + 2 :]]
+    if len(w) > 500:
+        cases += [w[:half] + ["und"] * some + w[half:], w[:third] + w[third + some :]]
+    for cut in cases:
         assert {m.license for m in licenses.Scanner().scan("Before it. " + " ".join(cut))} == {name}
 
 
+def test_license_work_grows_with_the_text(monkeypatch):
+    """A body several times in one text: each time one match, and cells in proportion."""
+    body = max((t for n, t in licenses.TEMPLATES if n == "GPL-3.0"), key=len)
+    scanner, cells, plain = licenses.Scanner(), [0], licenses.align
+    monkeypatch.setattr(licenses, "align", lambda t, ids, low, high, req: (cells.__setitem__(0, cells[0] + int((high - low).sum())), plain(t, ids, low, high, req))[1])
+    made = {}
+    for times in (1, 2, 8):
+        cells[0] = 0
+        found = scanner.scan(" Then. ".join([body] * times))
+        assert [(m.license, m.coverage) for m in found] == [("GPL-3.0", 1.0)] * times
+        made[times] = cells[0]
+    assert made[2] <= 2.2 * made[1] and made[8] <= 8.8 * made[1]
+    notices = scanner.scan(" ".join(["Released under the MIT License."] * 3000))
+    assert len(notices) == 3000 and {m.license for m in notices} == {"MIT"}
+
+
 # 10: URLs
 
 def slow_glob(g, s):
