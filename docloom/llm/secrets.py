@@ -3,15 +3,16 @@
 The models are trained from labelled samples of the corpus itself: what the patterns match
 teaches the model of random strings, all other text the model of ordinary identifiers, but for
 long runs with a digit, which are the ones to judge.
-A run of identifier characters that no pattern covers is reported when the log-likelihood
-ratio of the two models is high, in total and per character.
+A run of identifier characters is judged whole and reported when the log-likelihood ratio of
+the two models is high, in total and per character; of a run that patterns cover in part, the
+other parts are reported, each if its own ratio per character is high.
 
 Both models have order two over 64 identifier characters and a boundary; probabilities back
 off to order one, order zero and, for random strings, a uniform share, so an unseen alphabet
 of secrets is not ruled out.  Their tables have a fixed size.  Counts come from all texts.
 
 Defined cases: a null or empty text has no spans; texts of any length are scanned whole;
-spans count code points, end exclusive; added spans never overlap a pattern's span; equal
+spans count code points, end exclusive; added spans never overlap a pattern's span, and may touch it; equal
 rows get equal answers; with no secret in the corpus the random model is uniform.
 """
 
@@ -88,11 +89,22 @@ class Model:
     total: float = 18.0
     per_character: float = 0.9
 
+    def gains(self, run: str) -> np.ndarray:
+        return self.ratio[trigrams(run.encode())]
+
     def secret(self, run: str) -> bool:
-        gain = self.ratio[trigrams(run.encode())]
+        gain = self.gains(run)
         s = float(gain.sum())
         return s >= self.total and s >= self.per_character * len(run)
 
+    def rest(self, run: str, covered: list[tuple[int, int]]) -> list[tuple[int, int]]:
+        """Parts of a secret run outside ``covered`` (in order, without overlaps) that are random themselves, not words beside a secret."""
+        if not self.secret(run):
+            return []
+        gain = self.gains(run)
+        ends = [0, *(x for span in covered for x in span), len(run)]
+        return [(a, b) for a, b in zip(ends[::2], ends[1::2], strict=True) if a < b and float(gain[a:b].sum()) >= self.per_character * (b - a)]
+
 
 def train(docs: DataFrame) -> Model:
     def count(pieces):
@@ -123,16 +135,25 @@ def train(docs: DataFrame) -> Model:
 
 def all_spans(text: str, model: Model) -> list[tuple[int, int, int]]:
     """(start, kind, end): the patterns' spans, and runs that the models add, by start, then kind."""
-    spans = [(s, k, e) for s, k, e, _ in base_spans(text)]
-    taken = sorted((s, e) for s, _, e in spans)
-    i, reach = 0, 0
+    base = base_spans(text)
+    spans = [(s, k, e) for s, k, e, _ in base]
+    taken: list[tuple[int, int]] = []  # what the patterns cover, overlaps merged
+    for s, _, e, _ in base:
+        if taken and s <= taken[-1][1]:
+            taken[-1] = (taken[-1][0], max(taken[-1][1], e))
+        else:
+            taken.append((s, e))
+    i = 0
     for m in CANDIDATE.finditer(text):
         s, e = m.span()
-        while i < len(taken) and taken[i][0] < e:
-            reach = max(reach, taken[i][1])
+        while i < len(taken) and taken[i][1] <= s:
             i += 1
-        if reach <= s and model.secret(m.group()):
-            spans.append((s, 3, e))
+        covered = []
+        for k in range(i, len(taken)):
+            if taken[k][0] >= e:
+                break
+            covered.append((max(taken[k][0], s) - s, min(taken[k][1], e) - s))
+        spans += [(s + a, 3, s + b) for a, b in model.rest(m.group(), covered)]
     return sorted(spans)
 
 

@@ -357,6 +357,24 @@ def test_secrets_empty(empty):
     assert secrets.scan(empty, secrets.train(empty), F.col("doc_id")).count() == 0
 
 
+def test_ends_of_a_run_that_a_pattern_covers_are_reported():
+    every = secrets.Model(np.full(secrets.SYMBOLS**3, 9.0, np.float32))
+    middle = "0123456789abcdef0123456789abcd"
+    text = "é Zx9Qw7Lr2Tn5" + middle + "Vb8Yc3Mk6Pj1Hd4GfQ."
+    assert secrets.all_spans(text, every) == [(2, 3, 13), (13, 2, 44), (44, 3, 62)]  # the last digit before them is a hex digit too
+    none = secrets.Model(np.full(secrets.SYMBOLS**3, -9.0, np.float32))
+    assert secrets.all_spans(text, none) == [(13, 2, 44)]
+    # only characters of the random alphabet gain: a word beside a secret is no secret
+    ratio = np.full((secrets.SYMBOLS,) * 3, -1.0, np.float32)
+    ratio[:, :, [i for i, c in enumerate("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789") if c in "0123456789abcdef"]] = 5.0
+    mixed = "slow_run/" + middle + "/9f8e7d6c"
+    assert secrets.all_spans(mixed, secrets.Model(ratio.reshape(-1))) == [(9, 2, 39), (39, 3, 48)]
+    # two overlapping patterns count as one cover; every character is reported once
+    both = "password=AKIA" + "Z" * 20 + " " + "Q" * 20
+    spans = secrets.all_spans(both, every)
+    assert [k for _, k, _ in spans] == [0, 1, 3] and spans[2][0] == both.index("Q" * 20)
+
+
 # 6: sharding
 
 def test_hilbert_curve_visits_neighbours(spark):
