@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType
 
 from docloom.functions.names import WORK_SECTION, is_work_title, section_key
 from docloom.functions.text import let, positions, strip
+from docloom.plans.scale import running_sum
+from docloom.session import cut_lineage
 
 PREAMBLE = "Preámbulo"
 CHUNK_CHARS = 2500
@@ -191,19 +193,53 @@ def note_chunks(df: DataFrame, source: str, lines: str, limit: int = CHUNK_CHARS
 
     Second-level headings always open a chunk; smaller blocks join while they fit.
     """
-    b = df.select(F.col(source).alias("fuente"), note_blocks(F.col(lines)).alias("_b"))
-    b = b.withColumn(
+    return _cited_chunks(_packed(df.select(F.col(source).alias("fuente"), F.lit(0).cast("bigint").alias("_o"), F.col(lines).alias("_l")), limit))
+
+
+def note_line_chunks(df: DataFrame, source: str, at: str, text: str, limit: int = CHUNK_CHARS, span: int = 1 << 20) -> DataFrame:
+    """:func:`note_chunks` of notes given line by line, in the order of the number ``at``.
+
+    A second-level heading outside fences opens a chunk, so only the lines from one to the next meet in a row.  Fences and
+    headings are counted inside stretches of ``span`` of ``at``; the totals of stretches before are added.
+    """
+    flag = lambda regex: F.coalesce(F.col("t").rlike(regex), F.lit(False))
+    d = df.select(F.col(source).alias("fuente"), F.col(at).cast("bigint").alias("p"), F.col(text).alias("t"))
+    d = d.withColumn("_b", F.floor(F.col("p") / span)).withColumn("_m", flag(r"^\s*```").cast("bigint"))
+    inside = Window.partitionBy("fuente", "_b").orderBy("p").rowsBetween(Window.unboundedPreceding, 0)
+    opens = flag(r"^##\s+(.+?)\s*$") & (F.col("_m") == 0)
+    d = d.withColumn("_f", F.sum("_m").over(inside)).withColumn("_even", (opens & (F.col("_f") % 2 == 0)).cast("bigint")).withColumn("_odd", (opens & (F.col("_f") % 2 == 1)).cast("bigint"))
+    d = cut_lineage(d.select("fuente", "p", "t", "_b", "_m", "_even", "_odd", F.sum("_even").over(inside).alias("_he"), F.sum("_odd").over(inside).alias("_ho")))
+    totals = d.groupBy("fuente", "_b").agg(*[F.sum(c).alias(c) for c in ("_m", "_even", "_odd")])
+    before = Window.partitionBy("fuente").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)  # a row per stretch
+    totals = totals.withColumn("_in", F.coalesce(F.sum("_m").over(before), F.lit(0)) % 2 == 1)
+    own = F.when(F.col("_in"), F.col("_odd")).otherwise(F.col("_even"))
+    totals = totals.withColumn("_own", own).select("fuente", "_b", "_in", F.coalesce(F.sum("_own").over(before), F.lit(0)).alias("_o"))
+    placed = d.join(totals, ["fuente", "_b"]).select("fuente", "p", "t", (F.col("_o") + F.when(F.col("_in"), F.col("_ho")).otherwise(F.col("_he"))).alias("_s"))
+    g = placed.groupBy("fuente", "_s").agg(F.transform(F.array_sort(F.collect_list(F.struct("p", "t"))), lambda x: x["t"]).alias("_l"))
+    b = cut_lineage(_packed(g, limit).withColumn("_n", (F.array_max("_g") + 1).cast("bigint")))
+    known = running_sum(b.select("fuente", "_s", "_n"), ["fuente"], ["_s"], F.floor(F.col("_s") / 4096), {"_e": "_n"}).select("fuente", "_s", (F.col("_e") - F.col("_n")).alias("_o"))
+    return _cited_chunks(b.join(known, ["fuente", "_s"]))
+
+
+def _packed(df: DataFrame, limit: int) -> DataFrame:
+    """Blocks ``_b`` of the lines ``_l`` with the group ``_g`` of each; rows without blocks go."""
+    b = df.select(*[c for c in df.columns if c != "_l"], note_blocks(F.col("_l")).alias("_b"))
+    return b.withColumn(
         "_g",
         pack(
             F.transform("_b", lambda x: F.struct(x["body"].alias("body"), F.length(x["titulo"]).alias("title"))),
             F.transform("_b", lambda x: x["nivel"] == 2),
             F.lit(limit),
         ),
-    )
+    ).where(F.size("_b") > 0)
+
+
+def _cited_chunks(b: DataFrame) -> DataFrame:
+    """A row per group of ``fuente, _o, _b, _g``; ``_o`` chunks of the note come before."""
     chunk_nos = F.sequence(F.lit(0), F.array_max("_g"))
-    b = b.where(F.size("_b") > 0).select("fuente", "_b", "_g", F.explode(chunk_nos).alias("_k"))
+    b = b.select("fuente", "_o", "_b", "_g", F.explode(chunk_nos).alias("_k"))
     mine = F.filter(F.arrays_zip(F.col("_b").alias("b"), F.col("_g").alias("g")), lambda z: z["g"] == F.col("_k"))
-    b = b.select("fuente", "_k", F.transform(mine, lambda z: z["b"]).alias("m"))
+    b = b.select("fuente", (F.col("_o") + F.col("_k") + 1).alias("_no"), F.transform(mine, lambda z: z["b"]).alias("m"))
     titles = F.transform("m", lambda x: x["titulo"])
     text = F.array_join(
         F.transform(
@@ -212,7 +248,7 @@ def note_chunks(df: DataFrame, source: str, lines: str, limit: int = CHUNK_CHARS
         "\n\n",
     )
     return b.select(
-        F.concat("fuente", F.lit("#"), (F.col("_k") + 1).cast("string")).alias("id"),
+        F.concat("fuente", F.lit("#"), F.col("_no").cast("string")).alias("id"),
         "fuente",
         titles.alias("titulos"),
         F.concat(

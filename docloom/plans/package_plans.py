@@ -25,7 +25,7 @@ def _by_run(df, at, suffix, name):
 
 
 def _stored(rows, at):
-    """Files below ``at`` from ``path, conv_id, turn, linea``, each written by the one task that holds its rows."""
+    """Files below ``at`` from ``path, conv_id, turn, linea``, each written by the one task that holds its rows, in their order."""
 
     def write(batches):
         import posixpath
@@ -33,17 +33,23 @@ def _stored(rows, at):
         import pandas as pd
 
         system, base = pk._open(at)
-        held: dict[str, list] = {}
-        for b in batches:
-            for p, *row in b[["path", "conv_id", "turn", "linea"]].itertuples(index=False):
-                held.setdefault(p, []).append(tuple(row))
-        for p, lines in held.items():
-            system.create_dir(posixpath.dirname(posixpath.join(base, p)))
-            with system.open_output_stream(posixpath.join(base, p)) as f:
-                f.write("".join(f"{x[2]}\n" for x in sorted(lines)).encode())
-        yield pd.DataFrame({"n": [len(held)]})
-
-    return rows.repartition("path").mapInPandas(write, "n long").agg(F.sum("n")).first()
+        path, out, n = None, None, 0
+        try:
+            for b in batches:
+                for p, lines in b.groupby("path", sort=False)["linea"]:
+                    if p != path:
+                        if out:
+                            out.close()
+                        system.create_dir(posixpath.dirname(posixpath.join(base, p)))
+                        path, out, n = p, system.open_output_stream(posixpath.join(base, p)), n + 1
+                    out.write(("\n".join(lines) + "\n").encode())
+        finally:
+            if out:
+                out.close()
+        yield pd.DataFrame({"n": [n]})
+
+    dealt = rows.select("path", "conv_id", "turn", "linea").repartition("path").sortWithinPartitions("path", "conv_id", "turn", "linea")
+    return dealt.select("path", "linea").mapInPandas(write, "n long").agg(F.sum("n")).first()
 
 
 def _run(path="path"):
@@ -106,8 +112,7 @@ def package_notes(spark, sf):
     body = d.select("doc_id", F.posexplode(F.concat(F.array(F.concat(F.lit("## Nota "), F.col("doc_id").cast("string"))), parts)).alias("turn", "linea"))
     _stored(body.select(F.concat(F.lit("notas/n"), (F.col("doc_id") % 64).cast("string"), F.lit(".md")).alias("path"), F.col("doc_id").alias("conv_id"), F.col("turn").cast("bigint").alias("turn"), F.regexp_replace("linea", r"[\x{85}\x{2028}\x{2029}\x0B\x0C\x1C-\x1E\r]", " ").alias("linea")), at)
     r = pk.read_package(spark, at, byte_range=1 << 16)
-    g = r.groupBy(F.regexp_extract("path", r"([^/]+)\.md$", 1).alias("fuente")).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "texto"))), lambda x: x["texto"]).alias("lines"))  # one note file
-    n = sec.note_chunks(g, "fuente", "lines")
+    n = sec.note_line_chunks(r.select(F.regexp_extract("path", r"([^/]+)\.md$", 1).alias("fuente"), "pos", "texto"), "fuente", "pos", "texto")
     return n.groupBy("fuente").agg(F.count(F.lit(1)).alias("fragmentos"), F.sum(F.size("titulos")).cast("bigint").alias("titulos"))
 
 

@@ -20,3 +20,18 @@ def test_lexical_similarity_joins_no_exploded_counts(spark, tmp_path):
     assert got == [(1, 1, 1.0), (1, 2, 0.0), (1, 3, 0.0), (3, 1, 1.0), (3, 1, 1.0)]
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "Join" not in plan and "Generate explode(g" not in plan
+
+
+@pytest.mark.parametrize("span", [7, 40, 1 << 20])
+def test_notes_by_line_give_the_chunks_of_whole_notes(spark, span):
+    import random
+
+    from docloom.operators import sections
+
+    kinds = ["## A", "### b", "### c largo", "```", "texto " * 3, "", "  ```py", "#### d", "##", "uno"]
+    notes = {f"n{i}": random.Random(i).choices(kinds, k=60 * i) for i in range(4)}
+    whole = spark.createDataFrame([(k, v) for k, v in notes.items()], "f string, l array<string>")
+    lines = spark.createDataFrame([(k, 3 * i, t) for k, v in notes.items() for i, t in enumerate(v)], "f string, p long, t string")
+    got = sorted(map(repr, sections.note_line_chunks(lines, "f", "p", "t", 60, span).collect()))
+    want = sorted(map(repr, sections.note_chunks(whole, "f", "l", 60).collect()))
+    assert got == want and len(got) > 20
