@@ -16,6 +16,7 @@ to the range it starts in; a notebook that is no JSON gives one row with campo `
 from __future__ import annotations
 
 import codecs
+import io
 import json
 import posixpath
 import re
@@ -31,6 +32,7 @@ NAME = "docloom_package"
 SCHEMA = "path string, clase string, parte long, pos long, campo string, texto string"
 TEXT_SUFFIXES = ("md", "txt", "csv", "log", "out", "json", "jsonl")
 RANGE = 32 << 20
+LOAD = 4 << 20  # bytes that one task gets, in ranges
 BATCH = 2048
 NOT_INPUT = re.compile(r"(^|/)(\.venv|output|__pycache__)(/|$)")  # fixed value: folders that are not input
 
@@ -57,9 +59,9 @@ def listing(root: str, only_input: bool = False) -> list[tuple[str, int]]:
 
 @dataclass
 class Piece(InputPartition):
-    """Byte ranges (path, from, to) that one task reads; to = -1 for a file that is read as a whole stream."""
+    """Stretches (path, from, to) that one task reads, range by range; to = -1 for a file that is read as a whole stream."""
 
-    ranges: list[tuple[str, int, int]]
+    stretches: list[tuple[str, int, int]]
 
 
 class PackageReader(DataSourceReader):
@@ -69,15 +71,16 @@ class PackageReader(DataSourceReader):
         self.input = options.get("input", "false") == "true"
 
     def partitions(self):
-        made, held, room = [], [], self.size
+        load = max(1, LOAD // self.size) * self.size  # whole ranges, so small ones do not make a task each
+        made, held, room = [], [], load
         for path, n in listing(self.root, self.input):
             suffix = path.rsplit(".", 1)[-1]
-            cuts = [(path, 0, -1)] if suffix == "ipynb" else [(path, a, min(a + self.size, n)) for a in range(0, n, self.size)] if suffix in TEXT_SUFFIXES else []
+            cuts = [(path, 0, -1)] if suffix == "ipynb" else [(path, a, min(a + load, n)) for a in range(0, n, load)] if suffix in TEXT_SUFFIXES else []
             for c in cuts:
                 cost = n if c[2] < 0 else c[2] - c[1]
                 if held and cost > room:
                     made.append(Piece(held))
-                    held, room = [], self.size
+                    held, room = [], load
                 held.append(c)
                 room -= cost
         return [*made, Piece(held)] if held or not made else made
@@ -85,10 +88,10 @@ class PackageReader(DataSourceReader):
     def read(self, partition):
         system, base = _open(self.root)
         rows: list[tuple] = []
-        for path, a, b in partition.ranges:
+        for path, a, b in partition.stretches:
             clase = path.rsplit(".", 1)[-1]
-            with system.open_input_file(posixpath.join(base, path)) as f:
-                own = lines(f, a, b) if b >= 0 else cells(f)
+            with io.BufferedReader(system.open_input_file(posixpath.join(base, path)), 1 << 16) as f:
+                own = (x for at in range(a, b, self.size) for x in lines(f, at, min(at + self.size, b))) if b >= 0 else cells(f)
                 for parte, pos, campo, texto in own:
                     rows.append((path, clase, parte, pos, campo, texto))
                     if len(rows) == BATCH:
@@ -122,33 +125,17 @@ def lines(f, begin: int, stop: int) -> Iterator[tuple[int, int, str, str]]:
     at = begin
     if begin:
         f.seek(begin - 1)
-        at += len(_line(f)) - 1  # the line that began before
+        at += len(f.readline()) - 1  # the line that began before
     else:
         f.seek(0)
     while at < stop:
-        raw = _line(f)
+        raw = f.readline()
         if not raw:
             return
         yield 0, at, "linea", raw.rstrip(b"\n").removesuffix(b"\r").decode("utf-8", "replace")
         at += len(raw)
 
 
-def _line(f, step: int = 1 << 16) -> bytes:
-    """The rest of the current line, its end included."""
-    out = []
-    while True:
-        where = f.tell()
-        part = f.read(step)
-        if not part:
-            return b"".join(out)
-        end = part.find(b"\n")
-        if end >= 0:
-            out.append(part[: end + 1])
-            f.seek(where + end + 1)
-            return b"".join(out)
-        out.append(part)
-
-
 def cells(f, step: int = 1 << 20) -> Iterator[tuple[int, int, str, str | None]]:
     """Sources and outputs of a notebook, decoded one cell at a time from the stream."""
     decoder, number = json.JSONDecoder(), 0

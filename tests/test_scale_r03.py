@@ -35,3 +35,15 @@ def test_notes_by_line_give_the_chunks_of_whole_notes(spark, span):
     got = sorted(map(repr, sections.note_line_chunks(lines, "f", "p", "t", 60, span).collect()))
     want = sorted(map(repr, sections.note_chunks(whole, "f", "l", 60).collect()))
     assert got == want and len(got) > 20
+
+
+def test_small_ranges_do_not_make_a_task_each(tmp_path):
+    from docloom.sources import package as pk
+
+    (tmp_path / "a.md").write_text("línea uno\n" * 5000)
+    (tmp_path / "b.md").write_text("x\n" * 5000)
+    reader = pk.PackageReader({"path": str(tmp_path), "range": "16"})
+    parts = reader.partitions()
+    assert len(parts) == 1
+    rows = [r for p in parts for b in reader.read(p) for r in b.to_pylist()]
+    assert len(rows) == 10_000 and len({(r["path"], r["pos"]) for r in rows}) == 10_000 and {r["texto"] for r in rows} == {"línea uno", "x"}
