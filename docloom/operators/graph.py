@@ -226,7 +226,8 @@ def modularity(edges: DataFrame, comm: DataFrame) -> float:
         comm.select(F.col("node").alias("b"), F.col("c").alias("cb")), "b")
     row = e.agg(F.sum("w").alias("m"), F.sum(F.when(F.col("ca") == F.col("cb"), F.col("w"))).alias("inside")).first()
     deg = both_ways(edges).groupBy(F.col("u").alias("node")).agg(F.sum("w").alias("k")).join(comm, "node")
-    tot = deg.groupBy("c").agg(F.sum("k").alias("t")).agg(F.sum(F.col("t") * F.col("t")).alias("s")).first()
+    whole = F.col("t").cast("decimal(19,0)")  # squares of weights pass 64 bits
+    tot = deg.groupBy("c").agg(F.sum("k").alias("t")).agg(F.sum(whole * whole).alias("s")).first()
     m = float(row["m"])
     return float(row["inside"] or 0) / m - float(tot["s"]) / (4 * m * m)
 
@@ -256,7 +257,7 @@ def _move(edges: DataFrame, tolerance: float) -> DataFrame:
         cand = near.unionByName(own.select("u", F.col("own").alias("c"), F.lit(0).cast("bigint").alias("w"))).groupBy("u", "c").agg(F.sum("w").alias("w"))
         cand = cand.join(tot, "c").join(own, "u")
         rest = F.col("t") - F.when(F.col("c") == F.col("own"), F.col("k")).otherwise(0)
-        gain = F.round(F.col("w") - F.col("k") * rest / F.lit(two_m), 9)
+        gain = F.round(F.col("w") - F.col("k").cast("double") * rest / F.lit(two_m), 9)
         best = cand.groupBy("u").agg(
             F.max_by("c", F.struct(gain, F.col("c") == F.col("own"), -F.xxhash64("c"))).alias("to"), F.first("own").alias("own"))
         turn = F.pmod(F.xxhash64("u", F.lit(r)), F.lit(2)) == 0

@@ -47,3 +47,19 @@ def test_small_ranges_do_not_make_a_task_each(tmp_path):
     assert len(parts) == 1
     rows = [r for p in parts for b in reader.read(p) for r in b.to_pylist()]
     assert len(rows) == 10_000 and len({(r["path"], r["pos"]) for r in rows}) == 10_000 and {r["texto"] for r in rows} == {"línea uno", "x"}
+
+
+def test_communities_of_heavy_edges(spark):
+    """Squares of community weights pass 64 bits."""
+    from docloom.operators import graph as gr
+    from docloom.operators import search as se
+    from docloom.session import cut_lineage
+
+    heavy = 3_000_000_000
+    rows = [(a, b, heavy) for g in ("abc", "xyz") for i, a in enumerate(g) for b in g[i + 1:]] + [("c", "x", 1)]
+    e = cut_lineage(spark.createDataFrame(rows, "a string, b string, w long"))
+    comm = gr.communities(e)
+    sets = {frozenset(r.n) for r in comm.groupBy("c").agg(F.collect_set("node").alias("n")).collect()}
+    assert sets == {frozenset("abc"), frozenset("xyz")} and abs(gr.modularity(e, comm) - 0.5) < 1e-6
+    row = se.certificate(e, se.settled(e, comm)).first()
+    assert row.cubiertos and row.conexas and row.modularidad_coincide and row.sin_mejora
