@@ -5,6 +5,7 @@ from __future__ import annotations
 import heapq
 import itertools
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -181,18 +182,61 @@ def lexical_order(ids: pd.Series, deps: pd.Series) -> pd.Series:
     return pd.Series([one(list(a), [list(x) for x in b]) for a, b in zip(ids, deps)])
 
 
+PAIR_TERMS = 4096  # names that a task counts pairs of at a time, in one square table
+
+
+def _pair_counts(batches):
+    """``a, b, w`` with a < b: in how many rows two names stand together, counted in a square table over the names met so far.
+
+    When the names pass ``PAIR_TERMS`` the table is given out and begun anew; a row of more names is counted by itself, line by line.
+    """
+    import pyarrow as pa
+
+    place: dict[str, int] = {}
+    table = np.zeros((PAIR_TERMS, PAIR_TERMS), np.int32)
+
+    def given(names, low, high, w):
+        return pa.RecordBatch.from_arrays([names.take(pa.array(low)), names.take(pa.array(high)), pa.array(w, pa.int64())], names=["a", "b", "w"])
+
+    def counted():
+        names, n = list(place), len(place)
+        rank = np.argsort(np.argsort(np.array(names, object)))
+        held = pa.array(sorted(names), pa.string())
+        for at in range(0, n, 64):
+            i, j = np.nonzero(np.triu(table[at : min(at + 64, n), :n], at + 1))
+            if len(i):
+                x, y = rank[i + at], rank[j]
+                yield given(held, np.minimum(x, y), np.maximum(x, y), table[i + at, j])
+        place.clear()
+        table[:n, :n] = 0
+
+    for batch in batches:
+        for m in batch.column(0).to_pylist():
+            if len(m) < 2:
+                continue
+            if len(m) > PAIR_TERMS:
+                held = pa.array(sorted(m), pa.string())
+                for i in range(len(m) - 1):
+                    yield given(held, np.full(len(m) - i - 1, i), np.arange(i + 1, len(m)), np.ones(len(m) - i - 1, np.int64))
+                continue
+            if len(place) + sum(t not in place for t in m) > PAIR_TERMS:
+                yield from counted()
+            at = np.array([place.setdefault(t, len(place)) for t in m])
+            table[at[:, None], at] += 1  # names of a row are distinct
+    yield from counted()
+
+
 def pair_weights(groups: DataFrame, members: str, relations: DataFrame | None = None) -> DataFrame:
     """Undirected weights ``a < b, w``: one per shared group plus two per citation of a relation.
 
-    ``members`` is the array of names found in one chunk, whose length in characters
-    bounds the pairs of a row; pairs are built in the row and summed map-side.
+    ``members`` is the array of names found in one chunk.  A task counts the pairs of its chunks in numpy and gives each
+    pair out once per table it filled; the sums are Spark's.
     """
-    s = F.sort_array(F.array_distinct(F.col(members)))
-    g = groups.select(s.alias("m")).select("m", F.posexplode("m").alias("i", "a"))
-    p = g.select("a", F.explode(F.slice("m", F.col("i") + 2, F.greatest(F.size("m") - F.col("i") - 1, F.lit(0)))).alias("b"), F.lit(1).alias("w"))
+    m = groups.select(F.array_compact(F.array_distinct(F.col(members))).alias("m"))
+    p = m.mapInArrow(_pair_counts, "a string, b string, w long")
     if relations is not None:
         p = p.unionByName(relations.select(
-            F.least("origen", "destino").alias("a"), F.greatest("origen", "destino").alias("b"), (F.col("citas") * 2).cast("int").alias("w")))
+            F.least("origen", "destino").alias("a"), F.greatest("origen", "destino").alias("b"), (F.col("citas") * 2).cast("bigint").alias("w")))
     return p.groupBy("a", "b").agg(F.sum("w").cast("bigint").alias("w"))
 
 

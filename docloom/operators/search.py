@@ -126,7 +126,8 @@ def community_context(members: DataFrame, relations: DataFrame, cites: DataFrame
     rel = lookup(relations.select("origen", "destino").distinct(), members.select(F.col("node").alias("origen"), "c"), ["origen"], ["destino"])
     rel = lookup(rel, members.select(F.col("node").alias("destino"), F.col("c").alias("_d")), ["destino"], ["origen"]).where(F.col("c") == F.col("_d"))
     rel = top_k(rel, ["c"], [F.col("origen"), F.col("destino")], pairs, "pos")
-    own = lookup(cites.select("node", "cita").distinct(), top.select("node", "c"), ["node"], ["cita"]).select("c", "cita").distinct()
+    told = cites.join(top.select("node"), "node", "left_semi").select("node", "cita")
+    own = lookup(told, top.select("node", "c"), ["node"], ["cita"]).select("c", "cita").distinct()
     placed = ranks_of(own, ["c"], "cita")
     place = F.col("pos").cast("bigint").alias("pos")
     return (top.select("c", F.lit("miembro").alias("clase"), place, F.col("node").alias("texto"))

@@ -30,8 +30,8 @@ def _cites(mentions, located):
     return mentions.select("node", item.alias("cita")).unionByName(located.select("node", F.col("chunk").alias("cita")))
 
 
-def _located(spark, sf):
-    return gp._mentions(spark, sf).select(F.explode("m").alias("node"), _chunk_id().alias("chunk"))
+def _located(found):
+    return found.select(F.explode("m").alias("node"), _chunk_id().alias("chunk"))
 
 
 def _mentioned(spark, sf):
@@ -44,7 +44,8 @@ def local_search_subtasks(spark, sf):
     Every third item also depends on the section before it.
     """
     b = table(spark, sf, "benchmark").select(F.col("item_id").alias("q"))
-    mentions, located = cut_lineage(_mentioned(spark, sf)), cut_lineage(_located(spark, sf))
+    held = cut_lineage(gp._mentions(spark, sf))
+    mentions, located = cut_lineage(_mentioned(spark, sf)), _located(held)
     deps = b.where((F.col("q") % 3 == 0) & (F.col("q") > 0)).select("q", (F.col("q") - 1).alias("dep"))
     nodes = se.ranks_of(mentions.select("node").distinct(), [], "node", "n").withColumn("n", F.col("n").cast("bigint"))
     pairs = gp._forms(spark, sf)
@@ -52,7 +53,7 @@ def local_search_subtasks(spark, sf):
     steps = F.zip_with(F.slice("m", F.lit(1), rest), F.slice("m", F.lit(2), rest), lambda a, c: F.struct(a.alias("origen"), c.alias("destino")))
     rel = pairs.select(F.concat(F.lit("enunciado § "), F.col("item_id").cast("string")).alias("cita"), F.explode(steps).alias("p")).select("p.*", "cita")
     chunks = gp._pieces(spark, sf).select(_chunk_id().alias("chunk"))
-    members = cut_lineage(se.leaders(gp._edges(spark, sf)))
+    members = cut_lineage(se.leaders(gp._edges(spark, sf, held)))
     found = se.local_search(
         _vectors(spark, sf, b, "q", "q"), _vectors(spark, sf, nodes, "node", "e"), rel, mentions, deps, located,
         _vectors(spark, sf, chunks, "chunk", "c"), _vectors(spark, sf, members.select("c").distinct(), "c", "g"), members, _cites(mentions, located), rel)
@@ -61,8 +62,9 @@ def local_search_subtasks(spark, sf):
 
 def community_context(spark, sf):
     """Members, inner relations and citations of each community of a stored partition (nodes with one strongest neighbour)."""
-    members = se.leaders(gp._edges(spark, sf))
-    mentions, located = _mentioned(spark, sf), _located(spark, sf)
+    held = cut_lineage(gp._mentions(spark, sf))
+    members = cut_lineage(se.leaders(gp._edges(spark, sf, held)))
+    mentions, located = _mentioned(spark, sf), _located(held)
     return se.community_context(members, gp._term_relations(spark, sf), _cites(mentions, located))
 
 

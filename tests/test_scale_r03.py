@@ -63,3 +63,27 @@ def test_communities_of_heavy_edges(spark):
     assert sets == {frozenset("abc"), frozenset("xyz")} and abs(gr.modularity(e, comm) - 0.5) < 1e-6
     row = se.certificate(e, se.settled(e, comm)).first()
     assert row.cubiertos and row.conexas and row.modularidad_coincide and row.sin_mejora
+
+
+@pytest.mark.parametrize("terms", [4, 9, 4096])
+def test_pair_counts_by_brute_force(spark, monkeypatch, terms):
+    import itertools
+    import random
+    from collections import Counter
+
+    import pyarrow as pa
+
+    from docloom.operators import graph as gr
+
+    monkeypatch.setattr(gr, "PAIR_TERMS", terms)
+    rng = random.Random(3)
+    rows = [rng.sample([*"abcdefghij", "é", "ñu", "𝔸", "ﬁ"], rng.randrange(0, 9)) for _ in range(300)]
+    given = [b for b in gr._pair_counts(iter([pa.RecordBatch.from_arrays([pa.array(rows[i : i + 50], pa.list_(pa.string()))], names=["m"]) for i in range(0, 300, 50)]))]
+    got = Counter()
+    for r in (r for b in given for r in b.to_pylist()):
+        got[r["a"], r["b"]] += r["w"]
+    assert got == Counter(p for r in rows for p in itertools.combinations(sorted(r), 2))
+    if terms == 4096:  # one task gives each pair once, not once per row
+        assert sum(b.num_rows for b in given) == len(got)
+        df = gr.pair_weights(spark.createDataFrame([(r,) for r in rows], "m array<string>"), "m")
+        assert {(r.a, r.b): r.w for r in df.collect()} == got
