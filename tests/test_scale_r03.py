@@ -87,3 +87,18 @@ def test_pair_counts_by_brute_force(spark, monkeypatch, terms):
         assert sum(b.num_rows for b in given) == len(got)
         df = gr.pair_weights(spark.createDataFrame([(r,) for r in rows], "m array<string>"), "m")
         assert {(r.a, r.b): r.w for r in df.collect()} == got
+
+
+def test_compatibility_forms_in_parts(spark):
+    """A batch is normalised some rows at a time, so only those are Python strings; nulls and order stay."""
+    import unicodedata
+
+    import pyarrow as pa
+
+    from docloom.functions.text import nfkc
+
+    texts = [None if i % 7 == 0 else f"ﬁ{i} x² ½ １２" for i in range(300)]
+    want = [t and unicodedata.normalize("NFKC", t) for t in texts]
+    assert nfkc.func(pa.array(texts, pa.string())).to_pylist() == want and len(nfkc.func(pa.array([], pa.string()))) == 0
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string").repartition(1)
+    assert [r.n for r in df.select("i", nfkc("t").alias("n")).orderBy("i").collect()] == want
