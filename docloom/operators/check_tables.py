@@ -47,7 +47,7 @@ def _sections(text: Column, c: Column) -> Column:
         return tx.let(missing, lambda m: _result((F.size(m) == 0) & ~wrong, F.when(
             F.size(m) > 0, F.concat(F.lit("faltan: "), F.array_join(m, ", "))).when(wrong, "las secciones están fuera de orden").otherwise("todas, en orden")))
 
-    return tx.let(F.transform(c["lista"], lambda s: tx.heading_offset(text, s)), judge)
+    return tx.let(tx.heading_offsets(text, c["lista"]), judge)
 
 
 def _contains(text: Column, c: Column) -> Column:

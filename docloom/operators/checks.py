@@ -11,6 +11,7 @@ from docloom.functions import figures as fg
 from docloom.functions import text as tx
 
 WINDOW = 160
+PLAIN = "_plain"
 
 
 def _result(ok: Column, detail: Column) -> Column:
@@ -28,7 +29,7 @@ def _sections(text: Column, spec: dict[str, Any]) -> Column:
                   .when(disordered, "las secciones están fuera de orden").otherwise("todas, en orden"))
         return _result((F.size(missing) == 0) & ~disordered, detail)
 
-    return tx.let(F.array(*[tx.heading_offset(text, s) for s in spec["lista"]]), judge)
+    return tx.let(tx.heading_offsets(text, names), judge)
 
 
 def _words(text: Column, spec: dict[str, Any]) -> Column:
@@ -41,7 +42,7 @@ def _contains(text: Column, spec: dict[str, Any]) -> Column:
 
 
 def _figure(text: Column, spec: dict[str, Any]) -> Column:
-    plain = tx.squeeze(tx.without_code(text))
+    plain = F.col(PLAIN)  # made once for all figure checks
     if spec["tipo"] == "cifra_presente":
         found = fg.numbers(plain)
     else:
@@ -98,6 +99,8 @@ def run_checks(docs: DataFrame, key: str, text: str, checks: list[dict[str, Any]
     A NULL text fails as a missing deliverable, an unknown type fails by name.
     """
     c = F.col(text)
+    if any(TEXT_CHECKS.get(spec["tipo"]) is _figure for spec in checks):
+        docs = docs.withColumn(PLAIN, tx.squeeze(tx.without_code(c)))
     rows = []
     for spec in checks:
         build = TEXT_CHECKS.get(spec["tipo"]) or COLUMN_CHECKS.get(spec["tipo"])

@@ -101,9 +101,9 @@ def suggestions(unsupported: DataFrame, measured: DataFrame) -> DataFrame:
     Cells keep only their smallest and largest measured value: for a grid point the
     nearest value of a cell below is its largest, of a cell above its smallest.
     """
-    every = unsupported.select("value", "decimals").distinct()
+    every = cut_lineage(unsupported.select("value", "decimals").distinct())  # both sides are read by several steps
     need = every.where(F.col("decimals") <= FINE)
-    m = measured.select(F.col("value").cast("double").alias("a")).distinct()
+    m = cut_lineage(measured.select(F.col("value").cast("double").alias("a")).distinct())
     lv = m.select("a", F.explode(F.array(*map(F.lit, GRID_LEVELS))).alias("decimals"))
     cells = lv.groupBy("decimals", F.floor(F.col("a") * _scale(F.col("decimals"))).cast("double").alias("cell")).agg(
         F.min("a").alias("lo"), F.max("a").alias("hi"))
@@ -120,7 +120,7 @@ def suggestions(unsupported: DataFrame, measured: DataFrame) -> DataFrame:
     close = fine.withColumn("cell", F.explode(F.array(*[cell(F.col("value")) + o for o in (-1, 0, 1)]))).join(m.withColumn("cell", cell(F.col("a"))), "cell")
     close = close.where(F.abs(F.col("a") - F.col("value")) <= F.lit(1.5) * _scale(-F.col("decimals"))).groupBy("value", "decimals").agg(
         F.min_by("a", F.struct(F.abs(F.col("a") - F.col("value")), F.col("a"))).alias("medido"))
-    near, need = near.unionByName(close), every
+    near, need = cut_lineage(near.unionByName(close)), every
     out = near.select("value", "decimals", "medido", F.lit("redondeo").alias("pista"), F.lit(0).alias("exponente"))
     rest = need.where(F.col("value") > 0).join(near, ["value", "decimals"], "left_anti").withColumn("K", k)
     rest = rest.withColumn("s", F.length(F.col("K").cast("decimal(38,0)").cast("string")))

@@ -102,3 +102,21 @@ def test_compatibility_forms_in_parts(spark):
     assert nfkc.func(pa.array(texts, pa.string())).to_pylist() == want and len(nfkc.func(pa.array([], pa.string()))) == 0
     df = spark.createDataFrame(list(enumerate(texts)), "i int, t string").repartition(1)
     assert [r.n for r in df.select("i", nfkc("t").alias("n")).orderBy("i").collect()] == want
+
+
+def test_line_keys_are_shared_by_headings(one):
+    from docloom.functions import text as tx
+
+    names = ["Uno", "dós", "nada", "Tres"]
+    text = "x\n## 1 Uno y más\ncuerpo\n# DOS\n\n3. tres\nUno"
+    each = one(text, *[lambda c, n=n: tx.heading_offset(c, n).alias(n) for n in names])
+    assert one(text, lambda c: tx.heading_offsets(c, F.array(*map(F.lit, names))).alias("o"))["o"] == list(each) == [2, 24, -1, 31]
+
+
+def test_figure_checks_share_the_plain_text(spark):
+    from docloom.operators import checks as ck
+
+    specs = [{"id": f"c{i}", "tipo": "cifra_presente", "verdad": float(i)} for i in range(4)]
+    df = ck.run_checks(spark.createDataFrame([(1, "hay 2 y ```3```"), (2, None)], "k int, t string"), "k", "t", specs)
+    assert [(r["k"], r["check"]) for r in df.where("ok = 1").collect()] == [(1, "c2")]
+    assert df._jdf.queryExecution().executedPlan().toString().count("```.*?```") == 1
