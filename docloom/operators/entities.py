@@ -80,12 +80,21 @@ def aliases(f: DataFrame, eid: str) -> DataFrame:
 def merged_relations(relations: DataFrame, local: DataFrame, extraction: list[str]) -> DataFrame:
     """Relations between merged entities: ends resolved through the extraction's own forms.
 
-    ``local`` has one row per extraction and form with its ``clave``.
+    ``local`` has each extraction's forms with their ``clave``; repeated rows count once.  Where ``relations`` brings
+    ``k_origen`` and ``k_destino``, a clave that ``local`` has for each end in that extraction, only ends whose form
+    has several claves in the corpus are looked up: any other form has that one clave wherever it stands.
     """
-    r = relations
+    r, names = relations, local.select(*extraction, "forma", "clave").dropna()
+    known = {"k_origen", "k_destino"} <= set(r.columns)
+    if known:
+        several = cut_lineage(names.groupBy("forma").agg(F.min("clave").alias("lo"), F.max("clave").alias("hi")).where("lo < hi").select("forma"))
+        names = cut_lineage(names.join(several, "forma", "left_semi").distinct())
+    else:
+        names = names.distinct()
     for end in ("origen", "destino"):
-        names = local.select(*extraction, F.col("forma").alias(end), F.col("clave").alias(f"k_{end}"))
-        r = r.join(names, [*extraction, end])
+        found = names.select(*extraction, F.col("forma").alias(end), F.col("clave").alias("_k"))
+        r = r.join(found, [*extraction, end], "left" if known else "inner")
+        r = r.withColumn(f"k_{end}", F.coalesce("_k", f"k_{end}") if known else F.col("_k")).drop("_k")
     r = r.where(F.col("k_origen") != F.col("k_destino"))
     return r.groupBy(F.col("k_origen").alias("origen"), F.col("k_destino").alias("destino"), "relacion").agg(
         F.count_distinct("cita").alias("citas"), F.count("*").alias("menciones"))
